@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, token_counts
+from . import common, decontamination, exact_dedup, line_dedup, packing, sharding, token_counts
 
 #: Fixed values of the contracts.
-TOKEN_LIMIT, SEQUENCE, END_ID = 4096, 2048, 1
+TOKEN_LIMIT, SEQUENCE, END_ID, SHARDS, LINE_DOCUMENTS = 4096, 2048, 1, 24, 10
+
+
+def op2_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(common.documents(spark, sf_dir).select("doc_id", "text"), SHARDS)
+
+
+def op5_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(common.documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +32,56 @@ def op8_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, SEQUENCE)
 
 
+def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    out = decontamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    digest = F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op10_line_runs_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_frequent_lines(common.documents(spark, sf_dir).select("doc_id", "text"), LINE_DOCUMENTS)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES = {
+    "op9_winnowing_decontamination": r"""
+WITH low AS (SELECT 'd' AS kind, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT kind, id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM low),
+item AS (SELECT id, w, least(10, len(w)) AS n FROM w WHERE kind = 'b' AND len(w) > 0),
+bench AS (SELECT DISTINCT id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM item)),
+sizes AS (SELECT DISTINCT n FROM item),
+docs AS (SELECT id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM w, sizes WHERE kind = 'd' AND len(w) >= n)),
+hit AS (SELECT d.id, d.i, d.n, b.id AS item FROM docs d JOIN bench b ON d.n = b.n AND d.win = b.win),
+words AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY id),
+items AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM hit) GROUP BY id)
+SELECT w.id AS doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words ON words.id = w.id LEFT JOIN items ON items.id = w.id WHERE w.kind = 'd'
+""",
+    "op5_content_sort_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY n) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(n) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY n ORDER BY length(t) DESC, doc_id)
+""",
+    "op10_line_runs_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+k AS (SELECT doc_id, i, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT k.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id
+""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

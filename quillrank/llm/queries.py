@@ -8,16 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, exact_dedup, line_dedup, packing, sharding, token_counts
+from . import common, decontamination, exact_dedup, line_dedup, packing, quality, secret_scan, sharding, token_counts
 
 #: Fixed values of the contracts.
-TOKEN_LIMIT, SEQUENCE, END_ID, SHARDS, LINE_DOCUMENTS = 4096, 2048, 1, 24, 10
+TOKEN_LIMIT, SEQUENCE, END_ID, SHARDS, LINE_DOCUMENTS, KEEP = 4096, 2048, 1, 24, 10, 0.3
+
+
+def op1_crf_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(common.documents(spark, sf_dir).select("doc_id", "text"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"] != "crf")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), count("crf"))
 
 
 def op2_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(common.documents(spark, sf_dir).select("doc_id", "text"), SHARDS)
 
 
+def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")
+    return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+
+
 def op5_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(common.documents(spark, sf_dir).select("doc_id", "text"))
 

@@ -32,22 +32,11 @@ from . import common, kernel
 
 WINDOW, K = 10, 5
 BLOCK_BYTES = 64 << 20
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def rolled(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of ``n`` words."""
-    size = max(0, len(words) - n + 1)
-    out = np.zeros(size, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(n):
-            out = out * _STEP + words[j : j + size]
-    return kernel.mix(out)
 
 
 def fingerprints(words: np.ndarray) -> np.ndarray:
     """Of each window, the least hash of its K-word runs."""
-    runs = rolled(words, K)
+    runs = kernel.rolled(words, K)
     size = max(0, len(words) - WINDOW + 1)
     out = runs[:size].copy()
     for j in range(1, WINDOW - K + 1):
@@ -72,7 +61,7 @@ class Index:
             n = min(WINDOW, len(own))
             if n == WINDOW:
                 prints.append(fingerprints(own))
-            found.setdefault(n, []).append((np.unique(rolled(own, n)), at[name]))
+            found.setdefault(n, []).append((np.unique(kernel.rolled(own, n)), at[name]))
         self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
         for n, parts in found.items():
             keys = np.concatenate([p for p, _ in parts])
@@ -95,7 +84,7 @@ class Index:
         for n, (keys, _, _) in sorted(self.windows.items()):
             if len(words) < n:
                 continue
-            marks = fingerprints(words) if n == WINDOW else rolled(words, n)
+            marks = fingerprints(words) if n == WINDOW else kernel.rolled(words, n)
             sieve = self.sieves[n]
             at = np.flatnonzero(sieve[marks >> np.uint64(65 - len(sieve).bit_length())])
             at = at[at + n <= ends[at]]
@@ -104,7 +93,7 @@ class Index:
                 whole = np.zeros(len(at), np.uint64)
                 with np.errstate(over="ignore"):
                     for j in range(n):
-                        whole = whole * _STEP + words[at + j]
+                        whole = whole * kernel.ROLL + words[at + j]
                 marks = kernel.mix(whole)
             else:
                 marks = marks[at]

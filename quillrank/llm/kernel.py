@@ -17,6 +17,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 CODES, LOWER_CODES = _CODES, _CODES[LOWER]
 
+ROLL = np.uint64(0x9E3779B97F4A7C15)
+
 #: Bytes of [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -98,3 +100,13 @@ def stripped(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     s, e = starts.copy(), starts.copy()
     s[full], e[full] = solid[a[full]], solid[b[full] - 1] + 1
     return s, e
+
+
+def rolled(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words."""
+    size = max(0, len(words) - n + 1)
+    out = np.zeros(size, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out = out * ROLL + words[j : j + size]
+    return mix(out)

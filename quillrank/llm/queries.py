@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, exact_dedup, line_dedup, packing, quality, secret_scan, sharding, token_counts
+from . import common, decontamination, exact_dedup, line_dedup, near_dedup, packing, quality, secret_scan, sharding, token_counts
 
 #: Fixed values of the contracts.
 TOKEN_LIMIT, SEQUENCE, END_ID, SHARDS, LINE_DOCUMENTS, KEEP = 4096, 2048, 1, 24, 10, 0.3
@@ -36,6 +36,10 @@ def op5_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(common.documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_bbit_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(common.documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")

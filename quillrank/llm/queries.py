@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, exact_dedup, line_dedup, near_dedup, packing, quality, secret_scan, sharding, token_counts
+from . import common, decontamination, exact_dedup, language_model, line_dedup, near_dedup, packing, quality, secret_scan, sharding, token_counts
 
 #: Fixed values of the contracts.
 TOKEN_LIMIT, SEQUENCE, END_ID, SHARDS, LINE_DOCUMENTS, KEEP = 4096, 2048, 1, 24, 10, 0.3
@@ -26,6 +26,12 @@ def op2_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(common.documents(spark, sf_dir).select("doc_id", "text"), SHARDS)
 
 
+def op3_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    out = language_model.score(common.documents(spark, sf_dir).select("doc_id", "text"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")

@@ -41,7 +41,7 @@ VOCABULARY, PER_CLASS, HIDDEN, WINDOW = 1024, 32, 16, 32
 LOOKS = 3 * 6 * 3
 GROUPS = VOCABULARY // PER_CLASS
 CLASSES = GROUPS + LOOKS
-HEAD = 2_000_000
+HEAD = 500_000
 LANES, PACK_TOKENS = 512, 4_000_000
 WARM_DOCUMENTS, WARM_EPOCHS, SHARE, TRAIN_LANES, RATE = 200, 3, 16, 32, 0.004
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
@@ -295,8 +295,8 @@ def lexicon(table: DataFrame) -> tuple[Lexicon, np.ndarray, np.ndarray]:
     end = table.where(F.col("key") == int(END.view(np.int64))).select("n").first()
     ends = int(end[0]) if end else 0
     total, distinct = sum(n for n, _ in sums.values()) + ends, sum(v for _, v in sums.values()) + (ends > 0)
-    head = table.orderBy(F.desc("n"), "key").limit(HEAD).toPandas() if distinct else pd.DataFrame({"key": [], "look": [], "n": []}, dtype="int64")
-    keys, looks, counts = head["key"].to_numpy(np.int64).view(np.uint64), head["look"].to_numpy(), head["n"].to_numpy(np.int64)
+    head = table.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
+    keys, looks, counts = head["key"].to_numpy().astype(np.int64).view(np.uint64), head["look"].to_numpy().astype(np.int64), head["n"].to_numpy().astype(np.int64)
     words = np.flatnonzero(keys != END)[: VOCABULARY - 1]
     mass = np.array([sums.get(k, (0, 0))[0] + 0.5 * sums.get(k, (0, 0))[1] + 0.5 for k in range(LOOKS)])
     np.subtract.at(mass, looks[words], counts[words] + 0.5)

@@ -16,12 +16,12 @@ import numpy as np
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The most valuable multiset of sizes within the capacity; ``sizes`` ascending."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
-        k = int(np.searchsorted(sizes, c, side="right"))
-        if k:
+        if k := fits[c]:
             gain = best[c - sizes[:k]] + values[:k]
-            i = int(np.argmax(gain))
+            i = int(gain.argmax())
             if gain[i] > best[c] + 1e-12:
                 best[c], choice[c] = gain[i], i
     pattern, c = np.zeros(len(sizes), np.int64), capacity
@@ -34,11 +34,12 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), pattern
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = 2e-4, rounds: int = 20_000) -> list[tuple[np.ndarray, float]]:
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = 2e-4, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
     """Patterns of the linear program's basis and how often each is used.
 
     Stops at the optimum, or when the bound from the best column's value is
-    within ``tolerance`` of the present number of sequences.
+    within ``tolerance`` of the present number of sequences or within half a
+    sequence, or after ``rounds`` columns (any basis is a valid packing).
     """
     m = len(sizes)
     each = capacity // sizes
@@ -52,7 +53,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tole
         else:
             value, column = knapsack(sizes, prices, capacity)
             total = float(cost @ x)
-            if value <= 1 + 1e-9 or total - total / value <= tolerance * total:
+            if value <= 1 + 1e-9 or total - total / value <= max(0.5, tolerance * total):
                 break
             price = 1.0
         move = inverse @ column

@@ -50,7 +50,7 @@ def effective_size(weights: DataFrame, by: str, w: str = "w") -> DataFrame:
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     """Wins, losses and ties of b against a by query (qid, r)."""
     d = a.select("qid", F.col("r").alias("ra")).join(b.select("qid", F.col("r").alias("rb")), "qid")
-    return d.agg(F.count_if("rb > ra").alias("wins"), F.count_if("rb < ra").alias("losses"), F.count_if("rb = ra").alias("ties"), F.round(F.avg(F.col("rb") - F.col("ra")), 6).alias("mean_delta"))
+    return d.agg(F.count_if(F.col("rb") > F.col("ra")).alias("wins"), F.count_if(F.col("rb") < F.col("ra")).alias("losses"), F.count_if(F.col("rb") == F.col("ra")).alias("ties"), F.round(F.avg(F.col("rb") - F.col("ra")), 6).alias("mean_delta"))
 
 
 def stage(curve: DataFrame, tolerance: float) -> DataFrame:

@@ -42,28 +42,50 @@ def query_terms(queries: DataFrame, key: str = "qid", text: str = "text", transf
     return queries.select(F.col(key).alias("qid"), F.explode(F.array_distinct(X.tokens(transform(F.col(text))))).alias("term"))
 
 
-def postings(stack: DataFrame, terms: DataFrame | None = None, fields: tuple[Field, ...] = FIELDS, transform: Callable[[Column], Column] = X.normalize) -> DataFrame:
+#: Up to so many (query, term) rows are broadcast; more are joined by a shuffle on the term.
+BROADCAST_TERMS = 500_000
+
+
+def _small(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
+def fits(terms: DataFrame) -> bool:
+    """Whether the query terms, and so everything kept by term, may be broadcast."""
+    return terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+
+
+def postings(stack: DataFrame, terms: DataFrame | None = None, fields: tuple[Field, ...] = FIELDS, transform: Callable[[Column], Column] = X.normalize, small: bool = False) -> DataFrame:
     """(field, term, doc, w): the weight a document adds to a query that has the term.
 
-    With ``terms``, only theirs: other tokens leave before the shuffle.
+    With ``terms``, only theirs: other tokens leave before the shuffle.  Rows
+    are dealt by document once; where terms are ``small`` all else is
+    broadcast, so what follows by document needs no further shuffle.
     """
     cut = stack.select("field", "doc", X.tokens(transform(F.col("text"))).alias("t")).withColumn("dl", F.size("t"))
     stats = cut.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # a row for each field
     own = cut.select("field", "doc", "dl", F.explode("t").alias("term"))
     if terms is not None:
-        own = own.join(terms.select("term").distinct(), "term", "left_semi")
-    tf = own.groupBy("field", "term", "doc").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        own = own.join(_small(terms.select("term").distinct(), small), "term", "left_semi")
+    tf = own.repartition("doc").groupBy("field", "term", "doc").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
-    joined = tf.join(df, ["field", "term"]).join(F.broadcast(stats), "field")
+    joined = tf.join(_small(df, small), ["field", "term"]).join(F.broadcast(stats), "field")
     k1, b = _by_field(fields, lambda f: f.k1), _by_field(fields, lambda f: f.b)
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return joined.select("field", "term", "doc", w.alias("w"))
 
 
-def scores(weights: DataFrame, terms: DataFrame) -> DataFrame:
+def scores(weights: DataFrame, terms: DataFrame, small: bool = False) -> DataFrame:
     """(field, qid, doc, score) of documents with at least one term; rounded so that the order of a sum can't swap ranks."""
-    return weights.join(terms, "term").groupBy("field", "qid", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
+    return weights.join(_small(terms, small), "term").groupBy("field", "qid", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
+
+
+def search(items: DataFrame, queries: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
+    """Scores of all items with a term of a query."""
+    terms = query_terms(queries)
+    small = fits(terms)
+    return scores(postings(stacked(items, fields), terms, fields, small=small), terms, small)
 
 
 def top_k(scored: DataFrame, k: int, by: list[str], score: str = "score", tie: str = "doc") -> DataFrame:
@@ -80,5 +102,4 @@ def channels(ranked: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame
 
 def retrieve(items: DataFrame, queries: DataFrame, k: int, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """Channels of all queries over all items."""
-    terms = query_terms(queries)
-    return channels(top_k(scores(postings(stacked(items, fields), terms, fields), terms), k, ["field", "qid"]), fields)
+    return channels(top_k(search(items, queries, fields), k, ["field", "qid"]), fields)

@@ -116,9 +116,7 @@ def source_controlled_pool(spark: SparkSession, sf: str) -> DataFrame:
 SELECT qid, field || '_geo' AS channel, doc AS item_id, score, rank FROM s WHERE rank <= 20""")
 def geo_topk(spark: SparkSession, sf: str) -> DataFrame:
     items, q = R.corpus(spark, sf), R.queries(spark, sf)
-    terms = bm25.query_terms(q)
-    scored = bm25.scores(bm25.postings(bm25.stacked(items), terms), terms)
-    inside = scored.join(q.select("qid", "location"), "qid").join(items.select(F.col("item_id").alias("doc"), "location"), ["doc", "location"])  # the mask comes before the cut
+    inside = bm25.search(items, q).join(q.select("qid", "location"), "qid").join(items.select(F.col("item_id").alias("doc"), "location"), ["doc", "location"])  # the mask comes before the cut
     return bm25.top_k(inside, 20, ["field", "qid"]).select("qid", F.concat("field", F.lit("_geo")).alias("channel"), F.col("doc").alias("item_id"), "score", "rank")
 
 

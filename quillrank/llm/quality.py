@@ -31,7 +31,7 @@ from . import common, kernel
 BITS, SIZES, DIM = 18, (3, 4, 5), 12
 BUCKETS = 1 << BITS
 AGAIN = 1
-TRAIN_DOCUMENTS, EPOCHS, RATE = 3000, 6, 2.0
+TRAIN_DOCUMENTS, STEPS, RATE = 3000, 18_000, 2.0
 _STEP = np.uint32(0x01000193)
 _SPREAD = np.uint32(0x9E3779B1)
 _BYTE = (np.random.default_rng(7).integers(1, 1 << 32, 256, dtype=np.uint32)) | np.uint32(1)
@@ -89,8 +89,9 @@ class Classifier:
         for t in texts:
             ids, n = np.unique(features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], return_counts=True)
             documents.append((ids, (n / max(1, n.sum())).astype(np.float32)))
-        steps, done = EPOCHS * len(texts), 0
-        for _ in range(EPOCHS):
+        epochs = max(1, round(STEPS / len(texts)))  # as many steps for few documents as for many
+        steps, done = epochs * len(texts), 0
+        for _ in range(epochs):
             for i in random.permutation(len(texts)):
                 ids, weight = documents[i]
                 rows = self.vectors[ids]

@@ -97,3 +97,16 @@ def list_array(values: pa.Array, sizes: np.ndarray) -> pa.Array:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a table that is about to be broadcast has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
+
+
+def sampled_texts(df: DataFrame, key: str, text: str, n: int) -> list[bytes]:
+    """Whole texts of at most ``n`` rows, the first by a hash of the key.
+
+    Keys are chosen before any text is read, so tasks send the driver ``n``
+    small rows each, and of texts only the chosen ones.
+    """
+    order = [F.xxhash64(key), F.col(key)]
+    chosen = df.select(F.col(key).alias("__chosen")).orderBy(F.xxhash64("__chosen"), "__chosen").limit(n).distinct()
+    rows = df.join(F.broadcast(chosen), F.col(key).eqNullSafe(F.col("__chosen")), "left_semi")
+    own = text_bytes(text)
+    return [bytes(r[0]) for r in rows.orderBy(*order, F.xxhash64(own)).select(own.alias("t")).limit(n).collect()]

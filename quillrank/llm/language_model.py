@@ -15,8 +15,8 @@ corpus); the partitions' weights are averaged by their tokens.
 
 Scoring reads every whole text: texts are laid on lanes and read in windows,
 and the state is carried from window to window to a text's end.  Counts of the
-``HEAD`` most frequent words are broadcast (a fixed bound); rarer words are
-joined by their hash.
+most frequent words, at most ``HEAD``, are broadcast; rarer words are joined
+by their hash.
 
 Null and empty texts are one end token.  Rows with equal ids are scored each.
 A corpus without training rows gives every token the count 0.
@@ -295,8 +295,19 @@ def lexicon(table: DataFrame) -> tuple[Lexicon, np.ndarray, np.ndarray]:
     end = table.where(F.col("key") == int(END.view(np.int64))).select("n").first()
     ends = int(end[0]) if end else 0
     total, distinct = sum(n for n, _ in sums.values()) + ends, sum(v for _, v in sums.values()) + (ends > 0)
-    head = table.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
+    # The head is every word above a count, the least (to an eighth of an octave) at which it has at most HEAD words.
+    octave = F.floor(F.log2("n") * 8).cast("int")
+    sizes = {r["o"]: r["v"] for r in table.groupBy(octave.alias("o")).agg(F.count("*").alias("v")).collect()}  # at most 8 for each doubling
+    least, held = max(sizes, default=0) + 1, 0
+    for o in sorted(sizes, reverse=True):
+        held += sizes[o]
+        if held > HEAD:
+            break
+        least = o
+    head = table.where(octave >= least).toArrow()
     keys, looks, counts = head["key"].to_numpy().astype(np.int64).view(np.uint64), head["look"].to_numpy().astype(np.int64), head["n"].to_numpy().astype(np.int64)
+    order = np.lexsort((keys.view(np.int64), -counts))
+    keys, looks, counts = keys[order], looks[order], counts[order]
     words = np.flatnonzero(keys != END)[: VOCABULARY - 1]
     mass = np.array([sums.get(k, (0, 0))[0] + 0.5 * sums.get(k, (0, 0))[1] + 0.5 for k in range(LOOKS)])
     np.subtract.at(mass, looks[words], counts[words] + 0.5)
@@ -306,7 +317,7 @@ def lexicon(table: DataFrame) -> tuple[Lexicon, np.ndarray, np.ndarray]:
         part = own[k : k + PER_CLASS]
         word_b[k : k + len(part)], group_mass[k // PER_CLASS] = np.log(part / part.sum()), part.sum()
     every = np.concatenate([group_mass, mass])
-    return Lexicon(keys, counts, outputs, mass, int(total), int(distinct), distinct <= HEAD), np.log(every / every.sum()), word_b
+    return Lexicon(keys, counts, outputs, mass, int(total), int(distinct), len(keys) == distinct), np.log(every / every.sum()), word_b
 
 
 def _flows(raw: np.ndarray, offsets: np.ndarray, own: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -322,10 +333,8 @@ def fit(train: DataFrame, own: Lexicon, class_b: np.ndarray, word_b: np.ndarray,
     spark = train.sparkSession
     held = spark.sparkContext.broadcast((own, class_b, word_b))
     network = Network(class_b, word_b)
-    warm = train.select(F.xxhash64(key).alias("h"), common.text_bytes(text).alias("t")).orderBy("h", "t").limit(WARM_DOCUMENTS).collect()
-    texts = [bytes(r["t"]) for r in warm]
     flows = []
-    for t in texts:
+    for t in common.sampled_texts(train, key, text, WARM_DOCUMENTS):
         flows += [i.astype(np.int64) for i, *_ in _flows(np.frombuffer(t, np.uint8), np.array([0, len(t)]), own)]
     if not flows:
         return network

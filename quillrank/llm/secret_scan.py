@@ -293,8 +293,7 @@ def train(texts: list[bytes]) -> Field:
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``df`` with secrets: an array of (kind, start, end) by start, then kind."""
-    chosen = df.select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), common.text_bytes(text).alias("t")).orderBy("h", "k", "t").limit(sample)
-    field = df.sparkSession.sparkContext.broadcast(train([bytes(r["t"]) for r in chosen.collect()]))
+    field = df.sparkSession.sparkContext.broadcast(train(common.sampled_texts(df, key, text, sample)))
     item = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = common.extended(df.schema, T.StructField("secrets", T.ArrayType(item)))
     kept = schema.names[:-1]

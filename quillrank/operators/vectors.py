@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -15,49 +15,73 @@ from ..functions import scalar as S
 from ..shipping import ship
 
 BLOCK = 4096
+#: Queries of a block scored at once; with BLOCK it bounds the matrix of scores to 16 MB.
+STRIPE = 512
 
 
-def packed(vectors: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
-    """(ids, data, width): unit vectors of at most ``block`` rows each, packed; null and zero vectors stay out."""
+def packed(vectors: DataFrame, key: str, vector: str, group: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """(ids, groups, data, width): unit vectors of at most ``block`` rows each, packed; null and zero vectors stay out."""
     ship(vectors.sparkSession)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            rows = rows[rows["v"].notna()]
+            rows = rows[rows["v"].notna()].sort_values("g", kind="stable")
             for at in range(0, len(rows), block):
                 part = rows.iloc[at : at + block]
                 data = np.stack(part["v"].to_list()).astype(np.float64)
                 norm = np.linalg.norm(data, axis=1)
                 ok = norm > 0
                 if ok.any():
-                    yield pd.DataFrame({"ids": [part["k"].to_numpy()[ok]], "data": [(data[ok] / norm[ok, None]).tobytes()], "width": [data.shape[1]]})
+                    yield pd.DataFrame({"ids": [part["k"].to_numpy()[ok]], "groups": [part["g"].to_numpy()[ok]], "data": [(data[ok] / norm[ok, None]).tobytes()], "width": [data.shape[1]]})
 
-    schema = T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType()), T.StructField("width", T.IntegerType())])
-    return vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).mapInPandas(run, schema)
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("ids", longs), T.StructField("groups", longs), T.StructField("data", T.BinaryType()), T.StructField("width", T.IntegerType())])
+    one = F.lit(0) if group is None else F.coalesce(group, F.lit(-1))
+    return vectors.select(F.col(key).cast("long").alias("k"), one.cast("long").alias("g"), F.col(vector).alias("v")).mapInPandas(run, schema)
 
 
-def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", skip_self: bool = True) -> DataFrame:
+def _best(near: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest of each row, ties at the edge by the smaller id; at most a few more than k a row before the cut."""
+    if near.shape[1] > k:
+        edge = np.partition(near, near.shape[1] - k, axis=1)[:, -k]
+        row, col = np.nonzero(near >= edge[:, None])
+    else:
+        row, col = np.divmod(np.arange(near.size), near.shape[1])
+    order = np.lexsort((ids[col], -near[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
+def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", skip_self: bool = True, group: Column | None = None) -> DataFrame:
     """(qid, item_id, score, rank): the k most similar rows of the corpus to each query, exactly.
 
-    Blocks of queries meet blocks of the corpus; each meeting is one matrix
-    product and gives at most k rows a query, so only those are shuffled.
+    With ``group``, a whole-number expression over the corpus, the k of each
+    group (null is one), and a column ``grp``.  Blocks of queries meet blocks
+    of the corpus; each meeting is one matrix product, stripe by stripe, and
+    gives at most k rows a query and group, so only those are shuffled.
     """
     q = packed(queries, key, vector).select(F.col("ids").alias("q_ids"), F.col("data").alias("q"), "width")
-    c = packed(corpus, key, vector).select("ids", "data")
+    c = packed(corpus, key, vector, group).select("ids", "groups", "data")
+    more = k + 1 if skip_self else k
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples():
                 left, right = (np.frombuffer(d).reshape(-1, r.width) for d in (r.q, r.data))
-                near = np.round(left @ right.T, 6)
-                q_ids, ids = np.asarray(r.q_ids), np.asarray(r.ids)
-                order = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, : k + 1]
-                out = pd.DataFrame({"qid": np.repeat(q_ids, order.shape[1]), "item_id": ids[order].ravel(), "score": np.take_along_axis(near, order, 1).ravel() + 0.0})
-                yield out[out["qid"] != out["item_id"]] if skip_self else out
-
-    found = q.crossJoin(c).mapInPandas(run, "qid long, item_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "item_id")).cast("long")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+                q_ids, ids, groups = np.asarray(r.q_ids), np.asarray(r.ids), np.asarray(r.groups)
+                starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+                for at in range(0, len(q_ids), STRIPE):
+                    near, own = np.round(left[at : at + STRIPE] @ right.T, 6) + 0.0, q_ids[at : at + STRIPE]
+                    for low, high in zip(starts, np.r_[starts[1:], len(groups)], strict=True):
+                        row, col = _best(near[:, low:high], ids[low:high], more)
+                        out = pd.DataFrame({"qid": own[row], "item_id": ids[low + col], "grp": groups[low], "score": near[row, low + col]})
+                        yield out[out["qid"] != out["item_id"]] if skip_self else out
+
+    found = q.crossJoin(c).mapInPandas(run, "qid long, item_id long, grp long, score double")
+    rank = F.row_number().over(Window.partitionBy("qid", "grp").orderBy(F.desc("score"), "item_id")).cast("long")
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.drop("grp") if group is None else best
 
 
 def score_pool(pool: DataFrame, queries: DataFrame, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -53,14 +53,30 @@ def query_text(text: Column, filters: Column, category: Column) -> Column:
     return F.concat_ws(" ", F.concat(F.lit("запрос: "), normalize(text)), F.when(f != "", F.concat(F.lit("фильтры: "), f)), F.when((c != "") & (c != "0"), F.concat(F.lit("категория: "), c)))
 
 
+def query_format(text: Column, filters: Column, values: Column, category: Column, style: str) -> Column:
+    """A query for an encoder: "current" is ``query_text``, "plain" the text alone, "values" text and filter values, "no_category" all but the category."""
+    styles = {
+        "current": lambda: query_text(text, filters, category),
+        "no_category": lambda: query_text(text, filters, F.lit("")),
+        "plain": lambda: normalize(text),
+        "values": lambda: _joined(" | ", normalize(text), normalize(values)),
+    }
+    return styles[style]()
+
+
+def _joined(by: str, *parts: Column) -> Column:
+    """Parts joined, empty ones left out."""
+    return F.concat_ws(by, *(F.nullif(p, F.lit("")) for p in parts))
+
+
 def compact_text(title: Column, values: Column, description: Column) -> Column:
-    """Title, values and description joined by full stops; empty parts are left out."""
-    return F.concat_ws(". ", *(F.nullif(normalize(c), F.lit("")) for c in (title, values, description)))
+    """Title, 40 words of values and 48 of the description joined by full stops; empty parts are left out."""
+    return _joined(". ", normalize(title), first_words(values, 40), first_words(description, 48))
 
 
 def title_description(title: Column, description: Column) -> Column:
     """Title and the first 400 characters of the raw description."""
-    return compact_text(title, F.lit(""), F.substring(F.coalesce(description, F.lit("")), 1, 400))
+    return _joined(". ", normalize(title), normalize(F.substring(F.coalesce(description, F.lit("")), 1, 400)))
 
 
 def prefixed(prefix: str, c: Column) -> Column:

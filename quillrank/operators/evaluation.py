@@ -59,12 +59,8 @@ def stage(curve: DataFrame, tolerance: float) -> DataFrame:
     return curve.crossJoin(F.broadcast(best)).where(F.col("best") - F.col("value") <= tolerance).agg(F.min("stage").alias("stage"), F.max("best").alias("best"))
 
 
-def bootstrap(clusters: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:
-    """Mean difference with a 95 % interval, clusters (cluster, delta, n) drawn with Poisson(1) weights from a hash.
-
-    Each replicate is a weighted sum, so replicates cost a shuffle of one row
-    each per partition, whatever the number of clusters.
-    """
+def _drawn(clusters: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Clusters repeated for each replicate ``b`` with a Poisson(1) weight ``w`` from a hash of replicate and cluster."""
     u = (F.pmod(F.xxhash64(F.lit(seed), "cluster", "b"), F.lit(1 << 53)) / float(1 << 53)).cast("double")
     cuts, total, p = [], 0.0, 0.36787944117144233
     for k in range(10):
@@ -72,11 +68,39 @@ def bootstrap(clusters: DataFrame, replicates: int = 200, seed: int = 42) -> Dat
         cuts.append(total)
         p /= k + 1
     draws = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    each = clusters.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", u).withColumn("w", draws)
-    means = each.groupBy("b").agg((F.sum(F.col("w") * F.col("delta") * F.col("n")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m")).where("m is not null")
-    ci = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))
+    return clusters.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", u).withColumn("w", draws)
+
+
+def _interval(means: DataFrame) -> DataFrame:
+    ok = means.where("m is not null")
+    return ok.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))
+
+
+def bootstrap(clusters: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:
+    """Mean difference with a 95 % interval, clusters (cluster, delta, n) drawn with Poisson(1) weights from a hash.
+
+    Each replicate is a weighted sum, so replicates cost a shuffle of one row
+    each per partition, whatever the number of clusters.
+    """
+    means = _drawn(clusters, replicates, seed).groupBy("b").agg((F.sum(F.col("w") * F.col("delta") * F.col("n")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
     point = clusters.agg((F.sum(F.col("delta") * F.col("n")) / F.sum("n")).alias("point"))
-    return point.crossJoin(ci)
+    return point.crossJoin(_interval(means))
+
+
+def stratified_bootstrap(clusters: DataFrame, mix: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:
+    """As ``bootstrap`` over (cluster, stratum, delta, n), strata re-weighted to a fixed mix (stratum, m).
+
+    A cluster that lies in several strata is drawn once for all of them.  A
+    replicate in which a stratum of both tables drew nothing is left out.
+    """
+    shares = mix.join(clusters.select("stratum").distinct(), "stratum")
+    n, strata = F.col("n"), shares.agg(F.count("*").alias("strata"))
+    each = _drawn(clusters, replicates, seed).groupBy("b", "stratum").agg((F.sum(F.col("w") * F.col("delta") * n) / F.nullif(F.sum(F.col("w") * n), F.lit(0))).alias("m"))
+    mixed = each.where("m is not null").withColumnRenamed("m", "value").join(F.broadcast(shares), "stratum")  # a row for each stratum
+    weighted = F.sum(F.col("value") * F.col("m")) / F.sum("m")
+    means = mixed.groupBy("b").agg(F.count("*").alias("c"), weighted.alias("m")).crossJoin(strata).where("c = strata")
+    own = clusters.groupBy("stratum").agg((F.sum(F.col("delta") * n) / F.sum(n)).alias("value")).join(shares, "stratum")
+    return own.agg(weighted.alias("point")).crossJoin(_interval(means))
 
 
 def quantiles(values: DataFrame, c: str, by: list[str], at: list[float]) -> DataFrame:

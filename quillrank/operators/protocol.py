@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,6 +55,15 @@ def representatives(rows: DataFrame, text: str, key: str, salt: str) -> DataFram
     return hashed.withColumn("rn", rank).where("rn = 1").drop("rn")
 
 
+def is_item_id(c: Column) -> Column:
+    """Sixteen lower-case hexadecimal digits, nothing else."""
+    return c.rlike("\\A[0-9a-f]{16}\\z")
+
+
+def is_query_id(c: Column) -> Column:
+    return F.length(c) == 16
+
+
 def answers(ranked: DataFrame) -> DataFrame:
     """(query_id, answer): ids joined by spaces in rank order."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"].cast("string"))

@@ -64,7 +64,7 @@ def _first(c: str, n: int) -> str:
 
 @query("doc_templates", f"""WITH {R.CORPUS} SELECT item_id,
  md5('товар: ' || {R.norm('title')} || ' категория: ' || {R.norm('category')} || ' параметры: ' || {_first('params', 40)} || ' описание: ' || {_first('description', 48)}) AS item_md5,
- md5(array_to_string(list_filter([{R.norm('title')}, {R.norm('params')}, {R.norm('description')}], lambda x: x <> ''), '. ')) AS compact_md5,
+ md5(array_to_string(list_filter([{R.norm('title')}, {_first('params', 40)}, {_first('description', 48)}], lambda x: x <> ''), '. ')) AS compact_md5,
  md5(array_to_string(list_filter([{R.norm('title')}, {R.norm("left(description, 400)")}], lambda x: x <> ''), '. ')) AS brief_md5,
  md5('запрос: ' || {R.norm('title')} || CASE WHEN {R.norm('params')} <> '' THEN ' фильтры: ' || {R.norm('params')} ELSE '' END || CASE WHEN {R.norm('category')} NOT IN ('', '0') THEN ' категория: ' || {R.norm('category')} ELSE '' END) AS query_md5 FROM corpus""")
 def doc_templates(spark: SparkSession, sf: str) -> DataFrame:

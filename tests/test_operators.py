@@ -168,3 +168,51 @@ def test_stream_indexes_each_file_once(spark, tmp_path):
         ingest.index_stream(spark, f"{tmp_path}/in", schema, f"{tmp_path}/index", f"{tmp_path}/cp").awaitTermination()
     got = sorted((r["item_id"], r["term"], r["tf"]) for r in ingest.read_index(spark, f"{tmp_path}/index").collect())
     assert got == [(0, "a", 2), (0, "b", 1), (1, "a", 2), (1, "b", 1)]
+
+
+def test_vector_blocks_keep_ties_and_groups(spark):
+    import numpy as np
+    import pandas as pd
+
+    from quillrank.operators import vectors
+
+    r = np.random.default_rng(3)
+    data = r.integers(-2, 3, (300, 4)).astype(float)  # few directions: many ties; zero rows have no direction
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(300), "embedding": data.tolist(), "place": np.arange(300) % 7})).repartition(3)
+    got = vectors.cosine_top_k(rows.where("vec_id % 10 = 0"), rows, 4, group=F.col("place")).collect()
+    unit = data / np.maximum(np.linalg.norm(data, axis=1), 1e-12)[:, None]
+    live, want = np.flatnonzero(np.abs(data).sum(1)), set()
+    for q in (i for i in live if i % 10 == 0):
+        for place in range(7):
+            pool = sorted((-round(float(unit[q] @ unit[i]), 6), int(i)) for i in live if i % 7 == place and i != q)
+            want |= {(int(q), i, place, n + 1) for n, (_, i) in enumerate(pool[:4])}
+    assert {(x.qid, x.item_id, x.grp, x.rank) for x in got} == want
+
+
+def test_label_groups_over_many_ranges(spark):
+    from quillrank.operators import integrity
+
+    labels = [0, 0, 1, 1, 0, 1, 0, 0, 1, 0] * 30
+    want, grp = [], 0
+    for i, y in enumerate(labels):
+        grp += i == 0 or (labels[i - 1] == 0 and y == 1)
+        want.append((i, grp))
+    rows = spark.createDataFrame(list(enumerate(labels)), "i long, y int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = integrity.label_groups(rows, "y", ["i"]).select("i", "grp").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, got)) == want
+    assert integrity.label_groups(rows.limit(0), "y", ["i"]).count() == 0
+
+
+def test_rank_and_group_checks_find_faults(spark):
+    from quillrank.operators import integrity
+
+    ranks = spark.createDataFrame([("a", 1 / 61), ("a", 1 / 62), ("b", 1 / 61), ("b", 1 / 63), ("c", 1 / 61), ("c", 1 / 61), ("d", 0.0), ("d", None)], "k string, v double")
+    assert {r.k: r.complete for r in integrity.recovered_ranks(ranks, "v", 60, ["k"]).collect()} == {"a": True, "b": False, "c": False}
+    rows = spark.createDataFrame([(1, 1, 1, 1.0), (1, 2, 0, 0.5), (1, 3, 0, 0.5), (2, 1, 1, 1.0), (3, 1, 1, 1.0), (3, 2, 0, 0.9), (4, 1, 1, 1.0), (4, 2, 0, 0.5), (4, 2, 0, 0.5)], "qid int, item_id int, label int, weight double")
+    assert {r.qid: r.valid for r in integrity.training_groups(rows).collect()} == {1: True, 2: False, 3: False, 4: False}
+    a, b = (spark.createDataFrame(x, "k int, v int") for x in ([(1, 1), (2, 2), (3, None)], [(2, 2), (3, 5), (4, 4)]))
+    assert tuple(integrity.alignment(a, b, ["k"], "v").first()) == (1, 1, 2, 1)

@@ -2,7 +2,8 @@
 
 Tables: items (item_id, title, params, description, category, location),
 queries (qid, text, location), clicks (query text, item_id), answers
-(query_id, answer), feature rows.
+(query_id, answer), feature rows.  The methods dense and hybrid need vectors of
+all items (item_id, embedding) and of all queries with text (text, embedding).
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 from .config import Options
 from .functions import scalar as S
 from .functions import text as X
-from .operators import bm25, evaluation, features, fusion, learning, protocol
+from .operators import bm25, evaluation, features, fusion, learning, protocol, vectors
 from .sources import sinks, tables
 
-_NAMES = [f.name for f in bm25.FIELDS]
+_FIELDS = [f.name for f in bm25.FIELDS]
+#: The channels of each method, in order.
+_NAMES = {"bm25": _FIELDS, "dense": ["dense"], "hybrid": [*_FIELDS, "dense"]}
 
 
 def split_rows(clicks: DataFrame, mode: str, fraction: float, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -33,9 +36,22 @@ def split_rows(clicks: DataFrame, mode: str, fraction: float, seed: int) -> tupl
     return clicks.where(~held), clicks.where(held)
 
 
-def ranked(items: DataFrame, queries: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
-    """Channels and final ranking."""
-    channels = bm25.retrieve(items, queries, o.depth)
+def retrieved(items: DataFrame, queries: DataFrame, o: Options, embedded: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """The channels of the method; in a hybrid run all fields together weigh as much as the vectors."""
+    if o.method == "bm25":
+        return bm25.retrieve(items, queries, o.depth)
+    if embedded is None:
+        raise ValueError(f"the method {o.method} needs vectors of items and queries")
+    dense = vectors.channel(queries, items, *embedded, o.depth, order=len(_NAMES[o.method]) - 1)
+    if o.method == "dense":
+        return dense
+    total = sum(f.weight for f in bm25.FIELDS)
+    return bm25.retrieve(items, queries, o.depth).withColumn("weight", F.col("weight") / total).unionByName(dense)
+
+
+def ranked(items: DataFrame, queries: DataFrame, o: Options, embedded: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Channels and final ranking; ``embedded``: vectors of queries and items."""
+    channels = retrieved(items, queries, o, embedded)
     scores = fusion.fused_scores(channels, o.rank_constant)
     if o.location_bonus:
         places = queries.select("qid", F.col("location").alias("qloc"))
@@ -45,9 +61,9 @@ def ranked(items: DataFrame, queries: DataFrame, o: Options) -> tuple[DataFrame,
     return channels, fusion.fuse(scores, o.limit, o.channel_quota)
 
 
-def feature_rows(items: DataFrame, queries: DataFrame, truth: DataFrame, o: Options) -> DataFrame:
-    channels, _ = ranked(items, queries, o)
-    rows = features.channel_features(channels, fusion.fused_scores(channels, o.rank_constant), _NAMES, o.rank_constant)
+def feature_rows(items: DataFrame, queries: DataFrame, truth: DataFrame, o: Options, embedded: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    channels, _ = ranked(items, queries, o, embedded)
+    rows = features.channel_features(channels, fusion.fused_scores(channels, o.rank_constant), _NAMES[o.method], o.rank_constant)
     rows = rows.join(truth.select("qid", "item_id", F.lit(1).alias("label")), ["qid", "item_id"], "left").na.fill(0, ["label"])
     return evaluation.row_weights(rows)
 
@@ -55,7 +71,7 @@ def feature_rows(items: DataFrame, queries: DataFrame, truth: DataFrame, o: Opti
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="quillrank")
     p.add_argument("command", choices=["profile", "evaluate", "predict", "validate", "prepare-ranker", "fit-ranker", "fit-category"])
-    for name in ("items", "queries", "clicks", "rows", "answer", "model", "output"):
+    for name in ("items", "queries", "clicks", "rows", "answer", "model", "output", "item-vectors", "query-vectors"):
         p.add_argument(f"--{name}")
     p.add_argument("--method", default="bm25")
     p.add_argument("--split", default="queries")
@@ -66,8 +82,11 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--folds", type=int, default=3)
     a = p.parse_args(argv)
     o = Options(a.method, a.split, seed=a.seed, location_bonus=a.location_bonus, channel_quota=a.channel_quota)
+    if o.method != "bm25" and a.command in ("evaluate", "predict", "prepare-ranker") and not (a.item_vectors and a.query_vectors):
+        p.error(f"--method {o.method} needs --item-vectors and --query-vectors")
     spark = SparkSession.builder.appName(f"quillrank {a.command}").getOrCreate()
     read = spark.read.parquet
+    embedded = (read(a.query_vectors), read(a.item_vectors)) if a.query_vectors and a.item_vectors else None
     if a.command == "profile":
         sinks.write_report(tables.inventory(spark, {n: v for n in ("items", "queries", "clicks") if (v := getattr(a, n))}), a.output)
     elif a.command == "validate":
@@ -76,9 +95,9 @@ def main(argv: list[str] | None = None) -> None:
         if any(found.values()):
             raise SystemExit(1)
     elif a.command == "predict":
-        channels, top = ranked(read(a.items), read(a.queries), o)
+        channels, top = ranked(read(a.items), read(a.queries), o, embedded)
         if a.model:
-            rows = features.channel_features(channels, fusion.fused_scores(channels, o.rank_constant), _NAMES, o.rank_constant)
+            rows = features.channel_features(channels, fusion.fused_scores(channels, o.rank_constant), _NAMES[o.method], o.rank_constant)
             scored = learning.rank_scores(PipelineModel.load(a.model), rows)
             top = evaluation.rerank(scored.withColumn("pool_rank", -F.col("pool_rank")), o.limit)
         sinks.write_answers(protocol.answers(top), a.output)
@@ -89,9 +108,9 @@ def main(argv: list[str] | None = None) -> None:
         keyed = used.withColumn("qid", S.digest(X.normalize(F.col("text")))).select("qid", "text", "item_id").distinct()
         queries = keyed.groupBy("qid").agg(F.min("text").alias("text")).withColumn("location", F.lit(""))
         if a.command == "prepare-ranker":
-            sinks.write_features(feature_rows(items, queries, keyed, o), a.output)
+            sinks.write_features(feature_rows(items, queries, keyed, o, embedded), a.output)
         else:
-            _, top = ranked(items, queries, o)
+            _, top = ranked(items, queries, o, embedded)
             groups = evaluation.hits(top, keyed.select("qid", "item_id").distinct(), items.select("item_id"), o.limit).join(queries, "qid")
             sinks.write_report(evaluation.recall(groups), a.output)
     elif a.command == "fit-ranker":

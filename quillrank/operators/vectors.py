@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
+from ..functions import text as X
 from ..shipping import ship
 
 BLOCK = 4096
@@ -19,8 +20,15 @@ BLOCK = 4096
 STRIPE = 512
 
 
+def key_type(df: DataFrame, key: str) -> T.DataType:
+    return T.StringType() if isinstance(df.schema[key].dataType, T.StringType) else T.LongType()
+
+
 def packed(vectors: DataFrame, key: str, vector: str, group: Column | None = None, block: int = BLOCK) -> DataFrame:
-    """(ids, groups, data, width): unit vectors of at most ``block`` rows each, packed; null and zero vectors stay out."""
+    """(ids, groups, data, width): unit vectors of at most ``block`` rows each, packed; null and zero vectors stay out.
+
+    Ids are strings if the key is one, else whole numbers.
+    """
     ship(vectors.sparkSession)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -34,10 +42,10 @@ def packed(vectors: DataFrame, key: str, vector: str, group: Column | None = Non
                 if ok.any():
                     yield pd.DataFrame({"ids": [part["k"].to_numpy()[ok]], "groups": [part["g"].to_numpy()[ok]], "data": [(data[ok] / norm[ok, None]).tobytes()], "width": [data.shape[1]]})
 
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("ids", longs), T.StructField("groups", longs), T.StructField("data", T.BinaryType()), T.StructField("width", T.IntegerType())])
+    kind = key_type(vectors, key)
+    schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("groups", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType()), T.StructField("width", T.IntegerType())])
     one = F.lit(0) if group is None else F.coalesce(group, F.lit(-1))
-    return vectors.select(F.col(key).cast("long").alias("k"), one.cast("long").alias("g"), F.col(vector).alias("v")).mapInPandas(run, schema)
+    return vectors.select(F.col(key).cast(kind).alias("k"), one.cast("long").alias("g"), F.col(vector).alias("v")).mapInPandas(run, schema)
 
 
 def _best(near: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +77,7 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_
         for rows in batches:
             for r in rows.itertuples():
                 left, right = (np.frombuffer(d).reshape(-1, r.width) for d in (r.q, r.data))
-                q_ids, ids, groups = np.asarray(r.q_ids), np.asarray(r.ids), np.asarray(r.groups)
+                q_ids, ids, groups = np.asarray(list(r.q_ids)), np.asarray(list(r.ids)), np.asarray(r.groups)
                 starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
                 for at in range(0, len(q_ids), STRIPE):
                     near, own = np.round(left[at : at + STRIPE] @ right.T, 6) + 0.0, q_ids[at : at + STRIPE]
@@ -78,12 +86,34 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_
                         out = pd.DataFrame({"qid": own[row], "item_id": ids[low + col], "grp": groups[low], "score": near[row, low + col]})
                         yield out[out["qid"] != out["item_id"]] if skip_self else out
 
-    found = q.crossJoin(c).mapInPandas(run, "qid long, item_id long, grp long, score double")
+    names = {"qid": key_type(queries, key), "item_id": key_type(corpus, key), "grp": T.LongType(), "score": T.DoubleType()}
+    found = q.crossJoin(c).mapInPandas(run, T.StructType([T.StructField(n, t) for n, t in names.items()]))
     rank = F.row_number().over(Window.partitionBy("qid", "grp").orderBy(F.desc("score"), "item_id")).cast("long")
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.drop("grp") if group is None else best
 
 
+def channel(queries: DataFrame, items: DataFrame, query_vectors: DataFrame, item_vectors: DataFrame, k: int, order: int = 0, weight: float = 1.0) -> DataFrame:
+    """The channel ``dense`` of the long table: the k most similar items of each query that has a text.
+
+    ``query_vectors`` (text, embedding) are found by normalised text,
+    ``item_vectors`` (item_id, embedding) by id; of repeated rows the least
+    counts.  A query with text or an item without a vector is an error: its
+    answers would be missing.
+    """
+    normal = X.normalize(F.col("text"))
+    q = queries.select(F.col("qid").alias("own"), normal.alias("nt")).where("nt <> ''").distinct()
+    known = query_vectors.where("embedding IS NOT NULL").groupBy(normal.alias("nt")).agg(F.min("embedding").alias("embedding"))
+    q = q.join(known, "nt", "left").select("own", "embedding")
+    held = item_vectors.where("embedding IS NOT NULL").groupBy("item_id").agg(F.min("embedding").alias("embedding"))
+    i = items.select("item_id").distinct().join(held, "item_id", "left").select(F.col("item_id").alias("own"), "embedding")
+    for name, rows in (("queries", q), ("items", i)):
+        if missing := rows.where("embedding IS NULL").count():
+            raise ValueError(f"{missing} {name} have no vector")
+    found = cosine_top_k(q, i, k, "own", skip_self=False)
+    return found.select("qid", F.lit("dense").alias("channel"), F.lit(order).alias("ch_ord"), F.lit(weight).alias("weight"), "item_id", "rank", F.col("score").alias("raw_score"))
+
+
 def score_pool(pool: DataFrame, queries: DataFrame, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Cosine of each (qid, item_id) of a pool, by two equi-joins."""
     q = queries.select(F.col(key).alias("qid"), F.col(vector).alias("qv"))

@@ -1,8 +1,10 @@
 """The commands end to end on small tables."""
 
 import json
+import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillrank import cli
 from quillrank.config import Options
@@ -33,3 +35,35 @@ def test_options_without_meaning():
     for bad in ({"method": "dense", "location_bonus": 0.1}, {"sweep": True, "channel_quota": 1}, {"method": "x"}, {"fraction": 0.0}):
         with pytest.raises(ValueError):
             Options(**bad)
+
+
+def test_dense_and_hybrid(spark, tmp_path):
+    """An item that shares no word with the query is found by its vector; queries without text find nothing by vectors."""
+    p = lambda n: f"{tmp_path}/{n}"
+    items = [(f"i{k}", f"thing number{k}", "", f"more about thing{k}", "c", "") for k in range(12)]
+    spark.createDataFrame(items, "item_id string, title string, params string, description string, category string, location string").write.parquet(p("items"))
+    spark.createDataFrame([("q1", "Number3", ""), ("q2", "", "")], "qid string, text string, location string").write.parquet(p("queries"))
+    spark.createDataFrame([("number3", f"i{k}") for k in (3, 7)], "text string, item_id string").write.parquet(p("clicks"))
+    angle = lambda k: [math.cos(k), math.sin(k)]
+    spark.createDataFrame([(f"i{k}", angle(0.1 * k)) for k in range(12)], "item_id string, embedding array<double>").write.parquet(p("iv"))
+    spark.createDataFrame([("number3", angle(0.72)), ("other", angle(0.0))], "text string, embedding array<double>").write.parquet(p("qv"))
+    near = [f"i{k}" for k in sorted(range(12), key=lambda k: -math.cos(0.1 * k - 0.72))]
+    tables = ["--items", p("items"), "--queries", p("queries"), "--clicks", p("clicks"), "--split", "all"]
+    vectors = ["--item-vectors", p("iv"), "--query-vectors", p("qv")]
+    score = {i: 1 / (60 + r) for r, i in enumerate(near, 1)}
+    score["i3"] += 2 / 3.5 / 61
+    for method, expected in (("dense", near), ("hybrid", sorted(near, key=lambda i: -score[i]))):
+        cli.main(["predict", *tables, *vectors, "--method", method, "--output", p(method)])
+        answers = {r["query_id"]: r["answer"].split() for r in spark.read.csv(p(method), header=True).collect()}
+        assert answers == {"q1": expected}
+        cli.main(["evaluate", *tables, *vectors, "--method", method, "--output", p(f"report-{method}")])
+        assert json.loads(spark.read.text(p(f"report-{method}")).first()[0])[0]["macro"] == 1
+        read = lambda n: spark.read.parquet(p(n))
+        truth = read("clicks").withColumn("qid", F.lit("q1"))
+        rows = cli.feature_rows(read("items"), read("queries"), truth, Options(method), (read("qv"), read("iv")))
+        assert rows.count() == 12 and rows.where("present_dense = 1 AND score_dense > 0").count() == 12 and rows.where("label = 1").count() == 2
+    with pytest.raises(SystemExit):
+        cli.main(["predict", *tables, "--method", "dense", "--output", p("none")])
+    with pytest.raises(ValueError, match="1 queries have no vector"):
+        ranked = cli.ranked(spark.read.parquet(p("items")), spark.createDataFrame([("q", "unseen", "")], "qid string, text string, location string"), Options("dense"), (spark.read.parquet(p("qv")), spark.read.parquet(p("iv"))))
+        ranked[1].collect()

@@ -9,9 +9,9 @@ its class times that within the class, each a softmax of the state.
 
 Counts are over all training tokens.  The network starts from counts, is
 trained by truncated backpropagation in numpy on ``WARM_DOCUMENTS`` documents
-on the driver, and then on each partition's share of training documents (one
-in ``SHARE`` by a hash of the id, so what it learns from grows with the
-corpus); the partitions' weights are averaged by their tokens.
+on the driver, so that partitions begin alike, and then on all training
+documents, each partition on its own; the partitions' weights are averaged by
+their tokens.
 
 Scoring reads every whole text: texts are laid on lanes and read in windows,
 and the state is carried from window to window to a text's end.  Counts of the
@@ -43,7 +43,7 @@ GROUPS = VOCABULARY // PER_CLASS
 CLASSES = GROUPS + LOOKS
 HEAD = 500_000
 LANES, PACK_TOKENS = 512, 4_000_000
-WARM_DOCUMENTS, WARM_EPOCHS, SHARE, TRAIN_LANES, RATE = 200, 3, 16, 32, 0.004
+WARM_DOCUMENTS, WARM_EPOCHS, WARM_LANES, TRAIN_LANES, RATE = 200, 3, 32, 128, 0.004
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
 
@@ -229,12 +229,12 @@ class Network:
             v += 0.01 * (g * g - v)
             getattr(self, n)[...] -= (scale * m / (np.sqrt(v) + 1e-7)).astype(np.float32)
 
-    def train(self, flows: list[np.ndarray], epochs: int, rate: float) -> int:
-        """Read texts (ids, each ending with the end's) on parallel lanes; returns the tokens read."""
+    def train(self, flows: list[np.ndarray], epochs: int, rate: float, lanes: int = WARM_LANES) -> int:
+        """Read texts (ids, each ending with the end's) on so many parallel lanes; returns the tokens read."""
         if not flows:
             return 0
         r, total = np.random.default_rng(29), 0
-        lanes = min(TRAIN_LANES, len(flows))
+        lanes = min(lanes, len(flows))
         for epoch in range(epochs):
             shares: list[list[np.ndarray]] = [[] for _ in range(lanes)]
             for x, i in enumerate(r.permutation(len(flows))):
@@ -351,7 +351,7 @@ def fit(train: DataFrame, own: Lexicon, class_b: np.ndarray, word_b: np.ndarray,
             found = []
             for ids, _, total, _, _ in _flows(*common.buffer_of(batch.column(0)), lex):
                 found += [f.astype(np.int64) for f in np.split(ids, np.cumsum(total)[:-1])]
-            seen += mine.train(found, 1, RATE / 2)
+            seen += mine.train(found, 1, RATE / 2, TRAIN_LANES)
         if seen:
             flat = mine.flat()
             parts = [flat[i : i + block] for i in range(0, len(flat), block)]
@@ -362,8 +362,7 @@ def fit(train: DataFrame, own: Lexicon, class_b: np.ndarray, word_b: np.ndarray,
         weights = (np.stack(rows["weights"].to_list()).astype(np.float64) * (share / share.sum())[:, None]).sum(0)
         return pd.DataFrame({"block": rows["block"].iloc[:1], "weights": [weights.astype(np.float32)]})
 
-    sampled = train.where(F.pmod(F.xxhash64(key), F.lit(SHARE)) == 1)
-    rows = common.map_arrow(sampled.select(common.text_bytes(text)), run, schema).groupBy("block").applyInPandas(mean, "block int, weights array<float>").collect()  # one network's weights
+    rows = common.map_arrow(train.select(common.text_bytes(text)), run, schema).groupBy("block").applyInPandas(mean, "block int, weights array<float>").collect()  # one network's weights
     if rows:
         network.load(np.concatenate([np.array(r["weights"], np.float32) for r in sorted(rows, key=lambda r: r["block"])]))
     return network

@@ -315,6 +315,18 @@ def test_language_model(spark, docs, nothing, monkeypatch, head):
     assert language_model.score(docs, F.lit(False)).where("n_known > 0").count() == 0
 
 
+def test_every_training_row_reaches_the_weights(spark, monkeypatch):
+    """Another text in any one training row, beyond those of the warm start, gives other weights."""
+    monkeypatch.setattr(language_model, "WARM_DOCUMENTS", 1)
+    texts = {i: " ".join(random.Random(i).choices(WORDS, k=40)) for i in range(8)}
+    frame = lambda t: spark.createDataFrame(list(t.items()), "doc_id long, text string").coalesce(1)
+    parts = language_model.lexicon(language_model.counted(frame(texts), "text"))
+    weights = lambda t: language_model.fit(frame(t), *parts, "doc_id", "text").flat()
+    base = weights(texts)
+    assert np.abs(weights(texts) - base).max() < 1e-6
+    assert all(np.abs(weights(texts | {i: " ".join(reversed(texts[i].split()))}) - base).max() > 1e-5 for i in texts)
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     net = language_model.Network(np.zeros(language_model.CLASSES), np.zeros(language_model.VOCABULARY))

@@ -304,7 +304,7 @@ def lexicon(table: DataFrame) -> tuple[Lexicon, np.ndarray, np.ndarray]:
         if held > HEAD:
             break
         least = o
-    head = table.where(octave >= least).toArrow()
+    head = table.where((octave >= least) | (F.col("key") == int(END.view(np.int64)))).toArrow()  # the end always: rows don't join it later
     keys, looks, counts = head["key"].to_numpy().astype(np.int64).view(np.uint64), head["look"].to_numpy().astype(np.int64), head["n"].to_numpy().astype(np.int64)
     order = np.lexsort((keys.view(np.int64), -counts))
     keys, looks, counts = keys[order], looks[order], counts[order]

@@ -315,6 +315,18 @@ def test_language_model(spark, docs, nothing, monkeypatch, head):
     assert language_model.score(docs, F.lit(False)).where("n_known > 0").count() == 0
 
 
+def test_end_rarer_than_the_head(spark, monkeypatch):
+    """Few long texts: the end's count lies below that of every word of the head."""
+    monkeypatch.setattr(language_model, "HEAD", 5)
+    texts = {i: " ".join(WORDS[:8] * (10 + i)) for i in range(3)}
+    counts = collections.Counter(w for t in texts.values() for w in [*t.split(), None])
+    floor = sum(counts.values()) + 0.5 * (len(counts) + 1)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for i, (n, known, base) in found(language_model.score(df, F.lit(True)), "n_tokens", "n_known", "base_score").items():
+        own = [*texts[i].split(), None]
+        assert n == known == len(own) and abs(base - sum(np.log10((counts[w] + 0.5) / floor) for w in own)) < 1e-6
+
+
 def test_every_training_row_reaches_the_weights(spark, monkeypatch):
     """Another text in any one training row, beyond those of the warm start, gives other weights."""
     monkeypatch.setattr(language_model, "WARM_DOCUMENTS", 1)

@@ -6,7 +6,7 @@ the driver sees: column generation over its classes of ``grain`` tokens gives
 patterns of rests that share a sequence (see ``cutting_stock``).  Patterns that
 would leave much room aren't used: their documents form a stream that is cut
 to fill the room of the others, and the stream's end is cut at powers of two,
-which need no padding.
+which need no padding.  Room is what the real lengths leave, not the classes'.
 
 Documents get their places without meeting each other: a document's rank
 among rests of its length is its rank within its input partition plus the
@@ -131,7 +131,7 @@ class Plan:
     patterns: list[list[tuple[int, int]]]  # classes and counts
     first_sequence: np.ndarray
     slots: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each class: patterns, their counts of it, and the ranks where each begins
-    rooms: list[tuple[int, int, int]]  # pattern, tokens of room, times
+    rooms: list[tuple[int, int, int, int]]  # pattern, its first sequence with this room, tokens of room, times
     room_at: np.ndarray
 
     def lengths(self, kind: int, rank: np.ndarray) -> np.ndarray:
@@ -152,6 +152,20 @@ class Plan:
         return columns, np.stack(sizes, 1)
 
 
+    def runs(self, pattern: int, n: int) -> list[tuple[int, int, int, int]]:
+        """Room of a pattern's ``n`` sequences: runs of those whose columns keep their lengths."""
+        cuts = [np.zeros(1, np.int64)]
+        for kind, times in self.patterns[pattern]:
+            at, _, begins = self.slots[kind]
+            start = self.streamed[kind] + begins[int(np.searchsorted(at, pattern))]
+            longer = self.first[(kind - 1) * self.grain + 2 : min(kind * self.grain, self.capacity - 1) + 1]
+            cuts.append((-((start + np.arange(times)[:, None] - longer) // times)).ravel())
+        begin = np.unique(np.concatenate(cuts))
+        begin = begin[(begin >= 0) & (begin < n)]
+        room = self.capacity - self.contents(pattern, begin)[1].sum(1)
+        return [(pattern, int(j), int(r), int(t)) for j, r, t in zip(begin, room, np.diff(np.append(begin, n)), strict=True)]
+
+
 def plan(histogram: np.ndarray, capacity: int, grain: int) -> Plan:
     """``histogram[r]``: documents whose rest has r tokens, r below the capacity."""
     kinds = -(-(capacity - 1) // grain)
@@ -166,7 +180,8 @@ def plan(histogram: np.ndarray, capacity: int, grain: int) -> Plan:
     sizes = np.minimum(used * grain, capacity)
     units = -(-sizes // grain)
     made = whole_patterns(units, counts[used], capacity // grain)
-    room = [capacity - int(p @ sizes) for p, _ in made]
+    means = np.bincount(kind_of, histogram * np.arange(capacity), kinds + 1)[used] / counts[used]
+    room = [capacity - float(p @ means) for p, _ in made]
     # Patterns with most room are taken apart until the stream of their documents fills the room of the others.
     keep = [n for _, n in made]
     streamed = np.zeros(kinds + 1, np.int64)
@@ -175,8 +190,8 @@ def plan(histogram: np.ndarray, capacity: int, grain: int) -> Plan:
     for i in sorted(range(len(made)), key=lambda i: -room[i]):
         if room[i] < LEAST_FILL or stream >= open_room:
             break
-        tokens = capacity - room[i]  # at most; exact sums follow
-        n = min(keep[i], -(-(open_room - stream) // (tokens + room[i])))
+        tokens = capacity - room[i]  # on average; exact sums follow
+        n = min(keep[i], int(-(-(open_room - stream) // capacity)))
         keep[i] -= n
         stream += n * tokens
         open_room -= n * room[i]
@@ -194,9 +209,10 @@ def plan(histogram: np.ndarray, capacity: int, grain: int) -> Plan:
     for k in used:
         own = [(i, dict(p)[k], kept[i][1]) for i, p in enumerate(patterns) if k in dict(p)]
         slots[int(k)] = (np.array([o[0] for o in own], np.int64), np.array([o[1] for o in own], np.int64), np.concatenate([[0], np.cumsum([a * n for _, a, n in own])]).astype(np.int64))
-    rooms = [(i, r, n) for i, (_, n, r) in enumerate(kept) if r >= LEAST_FILL]
-    room_at = np.concatenate([[0], np.cumsum([r * n for _, r, n in rooms])]).astype(np.int64)
-    return Plan(capacity, grain, first, before, streamed, stream_at, exact, patterns, first_sequence, slots, rooms, room_at)
+    p = Plan(capacity, grain, first, before, streamed, stream_at, exact, patterns, first_sequence, slots, [], np.zeros(1, np.int64))
+    p.rooms = [run for i, (_, n, _) in enumerate(kept) for run in p.runs(i, n) if run[2] >= LEAST_FILL]
+    p.room_at = np.concatenate([[0], np.cumsum([r * n for _, _, r, n in p.rooms])]).astype(np.int64)
+    return p
 
 
 def stream_pieces(p: Plan, at: int, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -207,8 +223,9 @@ def stream_pieces(p: Plan, at: int, length: int) -> Iterator[tuple[int, int, int
         here = at + done
         if here < total:
             i = int(np.searchsorted(p.room_at, here, side="right")) - 1
-            pattern, room, _ = p.rooms[i]
+            pattern, first, room, _ = p.rooms[i]
             j, inside = divmod(here - int(p.room_at[i]), room)
+            j += first
             size = min(length - done, room - inside)
             offset = int(p.contents(pattern, np.array([j]))[1].sum()) + inside
             yield done, size, int(p.first_sequence[pattern]) + j, offset

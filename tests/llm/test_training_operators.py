@@ -115,6 +115,43 @@ def test_packing_of_one_hot_length():
     assert p.stream >= p.room_at[-1] and p.first_sequence[-1] * 2048 - (150_000_000 - p.stream) - p.room_at[-1] < 0.01 * 150_000_000
 
 
+def padding_of(p, tokens):
+    return p.first_sequence[-1] * p.capacity - (tokens - p.stream) - min(p.stream, p.room_at[-1])
+
+
+def test_packing_of_short_lengths():
+    h = np.zeros(2048, np.int64)
+    h[5] = 25_600
+    assert padding_of(packing.plan(h, 2048, 4), 5 * 25_600) < 0.01 * 5 * 25_600
+    h[1:60] = np.random.default_rng(3).integers(0, 900, 59)
+    tokens = int(h @ np.arange(2048))
+    p = packing.plan(h, 2048, 4)
+    assert padding_of(p, tokens) < 0.01 * tokens
+    for pattern, first, room, times in p.rooms:
+        assert set(2048 - p.contents(pattern, np.arange(first, first + times))[1].sum(1)) == {room}
+
+
+def test_packing_of_short_texts(spark):
+    r = random.Random(8)
+    texts = {i: " ".join(r.choices(WORDS, k=r.randint(0, 9))) for i in range(3000)}
+    e = packing.encoder(BYTES)
+    ids = {i: np.array(e(t) + [1], "<u4") for i, t in texts.items()}
+    pieces, sequences, at = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), BYTES, 1, 256).orderBy("doc_id", "start").collect(), collections.defaultdict(list), collections.Counter()
+    for x in pieces:
+        assert x["start"] == at[x["doc_id"]] and zlib.crc32(ids[x["doc_id"]][x["start"] : x["start"] + x["length"]].tobytes()) == x["ids_crc32"]
+        at[x["doc_id"]] += x["length"]
+        sequences[x["sequence_id"]].append((x["offset"], x["length"]))
+    assert at == {i: len(own) for i, own in ids.items()}
+    padding = 0
+    for own in sequences.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        padding += 0 if end & (end - 1) == 0 else 256 - end
+    assert padding < 0.02 * sum(map(len, ids.values()))
+
+
 def test_exact_dedup(spark, docs, nothing):
     data = [*rows(), (100, "one"), (101, "o n e\n"), (100, "one")]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)

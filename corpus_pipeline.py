@@ -9,8 +9,9 @@ the last returns pieces of training sequences.
 Defined results: null texts count as empty; empty documents have no features
 for the classifier and fall to its prior, have no duplicates and no benchmark
 passages, and stay; a document whose lines all go stays as an empty text.
-``doc_id`` is expected to be unique; rows that repeat an id and its text share
-their fate.
+``doc_id`` is expected to be unique; where it isn't, the near-duplicate stage
+goes by rows: another text of the same id has its own fate, and of rows that
+repeat an id and its text one stays (empty ones all stay).
 """
 
 from __future__ import annotations
@@ -52,7 +53,14 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, the one with the smallest id."""
+    """One row of each near-duplicate component, the one with the smallest id."""
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # Ids repeat: rows get numbers in the order of their ids, and those numbers stand in for the ids.
+        order = ["doc_id", F.xxhash64("text")]
+        rows = docs.repartitionByRange(*order).sortWithinPartitions(*order).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("n"))
+        rows = common.stored(rows, "pipeline-rows")
+        kept = drop_near_duplicates(spark, rows.select(F.col("n").alias("doc_id"), F.col("row.text").alias("text"), "row"), sf_dir)
+        return kept.select("row.*")
     gone = common.stored(near_dedup.near_duplicates(docs.select("doc_id", "text"), percent=SIMILAR_PERCENT).where("not kept").select(F.col("doc_id").alias("__gone")), "pipeline-duplicates")
     if common.small_enough(gone, BROADCAST_IDS):
         gone = F.broadcast(gone)

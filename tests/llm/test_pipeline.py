@@ -48,3 +48,13 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert P.run(spark, sf).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_near_duplicates_of_repeated_ids(spark, sf):
+    """A copy doesn't take another text of its id with it, and of equal rows one stays."""
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
+    rows = [(1, text(1), "a.b"), (2, text(1), "x"), (2, text(2), "x"), (3, text(3), "x"), (3, text(3), "x"), (4, text(4), "x"), (5, "", "x"), (5, None, "x"), (6, text(2), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `odd.name` string")
+    kept = P.drop_near_duplicates(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r) for r in kept.collect()), key=repr) == sorted([rows[k] for k in (0, 2, 3, 5, 6, 7)], key=repr)

@@ -11,15 +11,20 @@ Counts are over all training tokens.  The network starts from counts, is
 trained by truncated backpropagation in numpy on ``WARM_DOCUMENTS`` documents
 on the driver, so that partitions begin alike, and then on all training
 documents, each partition on its own; the partitions' weights are averaged by
-their tokens.
+their tokens.  Weights, and so scores, depend on how rows fall into partitions
+and batches: base scores don't, but the network's part of ``score`` differs a
+little where the same rows come in other splits.
 
 Scoring reads every whole text: texts are laid on lanes and read in windows,
 and the state is carried from window to window to a text's end.  Counts of the
 most frequent words, at most ``HEAD``, are broadcast; rarer words are joined
 by their hash.
 
-Null and empty texts are one end token.  Rows with equal ids are scored each.
-A corpus without training rows gives every token the count 0.
+Null and empty texts are one end token.  Rows with equal ids are scored each,
+equal texts in one partition alike.  Words of equal count are ordered by their
+hash, so ties give the same outputs again.  A corpus without training rows gives
+every token the count 0; an empty table gives no rows.  Columns other than key
+and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,7 +48,11 @@ GROUPS = VOCABULARY // PER_CLASS
 CLASSES = GROUPS + LOOKS
 HEAD = 500_000
 LANES, PACK_TOKENS = 512, 4_000_000
-WARM_DOCUMENTS, WARM_EPOCHS, WARM_LANES, TRAIN_LANES, RATE = 200, 3, 32, 128, 0.004
+#: Training reads texts in pieces of at most so many tokens.
+PIECE = 1024
+#: Networks averaged by one task.
+MEANS = 1024
+WARM_DOCUMENTS, WARM_EPOCHS, WARM_LANES, TRAIN_LANES, RATE, TRAIN_RATE = 200, 3, 32, 128, 0.004, 0.008
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
 
@@ -116,6 +125,14 @@ class Lexicon:
         return np.where(found, self.output_ids[at] if len(self.output_ids) else 0, VOCABULARY + looks)
 
 
+def _softmax(x: np.ndarray) -> None:
+    """Rows to probabilities, in place; the rows' maxima are only taken where exponents could leave the range of floats."""
+    if x.size and (x.max() > 60 or x.min() < -60):
+        x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
+
+
 class Network:
     """The weights; inputs are projected by a table, so reading a token is a row of it."""
 
@@ -163,9 +180,7 @@ class Network:
         """Natural log probability of each token's class (and word, if it has an output), with what the gradient needs."""
         group = np.where(ids < VOCABULARY, ids // PER_CLASS, GROUPS + ids - VOCABULARY)
         a = states @ self.class_w + self.class_b
-        a -= a.max(1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(1, keepdims=True)
+        _softmax(a)
         out = np.log(a[np.arange(len(ids)), group] + 1e-30)
         known = np.flatnonzero(ids < VOCABULARY)
         order = known[np.argsort(group[known], kind="stable")]
@@ -175,9 +190,7 @@ class Network:
             if cuts[k] < cuts[k + 1]:
                 own = slice(k * PER_CLASS, (k + 1) * PER_CLASS)
                 w[cuts[k] : cuts[k + 1]] = states[order[cuts[k] : cuts[k + 1]]] @ self.word_w[own].T + self.word_b[own]
-        w -= w.max(1, keepdims=True) if len(w) else 0
-        np.exp(w, out=w)
-        w /= w.sum(1, keepdims=True)
+        _softmax(w)
         out[order] += np.log(w[np.arange(len(order)), ids[order] % PER_CLASS] + 1e-30)
         return out, a, w, order, cuts
 
@@ -213,8 +226,9 @@ class Network:
             grads["recur"] += before.T @ inner
             d = d * z + inner @ self.recur.T + back[t]
             d[fresh[t]] = 0
-        for k in range(3 * n):
-            grads["inputs"][:, k] = np.bincount(flat_ids, moves[:, :, k].ravel(), len(self.inputs))
+        by_id = np.argsort(flat_ids, kind="stable")
+        own, first = np.unique(flat_ids[by_id], return_index=True)
+        grads["inputs"][own] = np.add.reduceat(moves.reshape(-1, 3 * n)[by_id], first, axis=0)
         self._adam(grads, max(1.0, float(weight.sum())), rate)
         return h, float((logs * weight).sum())
 
@@ -222,24 +236,39 @@ class Network:
         if self.memory is None:
             self.memory = [(np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))) for n in self.NAMES]
         self.step += 1
-        scale = rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
+        scale = np.float32(rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step))
         for n, (m, v) in zip(self.NAMES, self.memory, strict=True):
-            g = np.clip(grads[n] / size, -1, 1).astype(np.float32)
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            getattr(self, n)[...] -= (scale * m / (np.sqrt(v) + 1e-7)).astype(np.float32)
+            g = grads[n].astype(np.float32, copy=False)
+            g *= np.float32(1 / size)
+            np.clip(g, -1, 1, out=g)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            np.square(g, out=g)
+            g *= np.float32(0.01)
+            v *= np.float32(0.99)
+            v += g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-7)
+            np.divide(m, g, out=g)
+            g *= scale
+            getattr(self, n)[...] -= g
 
     def train(self, flows: list[np.ndarray], epochs: int, rate: float, lanes: int = WARM_LANES) -> int:
         """Read texts (ids, each ending with the end's) on so many parallel lanes; returns the tokens read."""
         if not flows:
             return 0
         r, total = np.random.default_rng(29), 0
-        lanes = min(lanes, len(flows))
+        # Long texts are read in pieces, each from a fresh state, so that no lane runs on alone.
+        pieces = [f[a : a + PIECE] for f in flows for a in range(0, len(f), PIECE)]
+        lanes = min(lanes, len(pieces))
         for epoch in range(epochs):
             shares: list[list[np.ndarray]] = [[] for _ in range(lanes)]
-            for x, i in enumerate(r.permutation(len(flows))):
-                shares[x % lanes].append(flows[i])
-            length = max(sum(map(len, s)) for s in shares)
+            loads = [(0, k) for k in range(lanes)]
+            for i in r.permutation(len(pieces)):
+                load, k = heapq.heappop(loads)
+                shares[k].append(pieces[i])
+                heapq.heappush(loads, (load + len(pieces[i]), k))
+            length = max(load for load, _ in loads)
             length = -(-length // WINDOW) * WINDOW
             ids, fresh, real = np.zeros((length, lanes), np.int64), np.zeros((length, lanes), bool), np.zeros((length, lanes), bool)
             for k, s in enumerate(shares):
@@ -341,7 +370,7 @@ def fit(train: DataFrame, own: Lexicon, class_b: np.ndarray, word_b: np.ndarray,
     network.train(flows, WARM_EPOCHS, RATE)
     start = spark.sparkContext.broadcast(network.flat())
     block = 4096
-    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("tokens", T.LongType()), T.StructField("weights", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("weights", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, cb, wb = held.value
@@ -351,18 +380,21 @@ def fit(train: DataFrame, own: Lexicon, class_b: np.ndarray, word_b: np.ndarray,
             found = []
             for ids, _, total, _, _ in _flows(*common.buffer_of(batch.column(0)), lex):
                 found += [f.astype(np.int64) for f in np.split(ids, np.cumsum(total)[:-1])]
-            seen += mine.train(found, 1, RATE / 2, TRAIN_LANES)
+            seen += mine.train(found, 1, TRAIN_RATE, TRAIN_LANES)
         if seen:
             flat = mine.flat()
             parts = [flat[i : i + block] for i in range(0, len(flat), block)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float32()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float32()))], names=schema.names)
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
         share = rows["tokens"].to_numpy(np.float64)
         weights = (np.stack(rows["weights"].to_list()).astype(np.float64) * (share / share.sum())[:, None]).sum(0)
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "weights": [weights.astype(np.float32)]})
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "tokens": [int(share.sum())], "weights": [weights.astype(np.float32)]})
 
-    rows = common.map_arrow(train.select(common.text_bytes(text)), run, schema).groupBy("block").applyInPandas(mean, "block int, weights array<float>").collect()  # one network's weights
+    # Means of at most MEANS partitions' weights, then of those means: no task holds a network for every partition.
+    parts = common.map_arrow(train.select(common.text_bytes(text)), run, schema)
+    means = parts.groupBy("block", F.floor(F.col("part") / MEANS).alias("g")).applyInPandas(mean, "block int, tokens long, weights array<float>")
+    rows = means.groupBy("block").applyInPandas(mean, "block int, tokens long, weights array<float>").collect()  # one network's weights
     if rows:
         network.load(np.concatenate([np.array(r["weights"], np.float32) for r in sorted(rows, key=lambda r: r["block"])]))
     return network

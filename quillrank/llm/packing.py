@@ -114,7 +114,7 @@ def tokenized(df: DataFrame, key: str, text: str, model: str, end_id: int, capac
                 alone += n // capacity
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(o, t) for o, t in zip(out, [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.binary()], strict=True)], names=schema.names)
 
-    return common.map_arrow(df.select(key, F.col(text).alias("__text")), run, schema)
+    return common.map_arrow(df.select(key, common.quoted(text).alias("__text")), run, schema)
 
 
 @dataclass

@@ -24,8 +24,6 @@ points, ends exclusive.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -295,20 +293,15 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = S
     """``df`` with secrets: an array of (kind, start, end) by start, then kind."""
     field = df.sparkSession.sparkContext.broadcast(train(common.sampled_texts(df, key, text, sample)))
     item = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = common.extended(df.schema, T.StructField("secrets", T.ArrayType(item)))
-    kept = schema.names[:-1]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Field = field.value
-        for batch in batches:
-            raw, offsets = common.buffer_of(batch.column(len(kept)))
-            found: list[list[dict]] = []
-            for a, b in common.chunks(offsets):
-                found += spans_of(own, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [pa.array(found, arrow)], names=schema.names)
-
-    return common.map_arrow(df.select(*kept, common.text_bytes(text).alias("__text")), run, schema)
+
+    def run(texts: pa.Array) -> list[pa.Array]:
+        raw, offsets = common.buffer_of(texts)
+        found: list[list[dict]] = []
+        for a, b in common.chunks(offsets):
+            found += spans_of(field.value, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        return [pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))]
+
+    return common.with_columns(df, common.text_bytes(text), [T.StructField("secrets", T.ArrayType(item))], run)
 
 
 def spans_of(field: Field, raw: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:

@@ -23,8 +23,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -210,28 +208,23 @@ def count_tokens(df: DataFrame, model: str, limit: int, text: str = "text", keep
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("fit_chars", T.LongType())]
     if keep_prefixes:
         new.append(T.StructField("prefix_counts", T.ArrayType(T.IntegerType())))
-    schema = common.extended(df.schema, *new)
-    kept = [f.name for f in schema.fields[: -len(new)]]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> list[pa.Array]:
         own = counter(model)
-        for batch in batches:
-            sizes, tokens, fits, tables = [], [], [], []
-            for t in batch.column(batch.num_columns - 1):
-                t = t.as_py() or ""
-                counts = own.prefix_counts(t)
-                total = int(counts[-1])
-                sizes.append(len(t.encode()))
-                tokens.append(total)
-                fits.append(len(t) if total <= limit else int(np.flatnonzero(counts <= limit)[-1]))
-                if keep_prefixes:
-                    tables.append(counts)
-            out = [batch.column(i) for i in range(len(kept))] + [pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int64())]
+        sizes, tokens, fits, tables = [], [], [], []
+        for t in texts:
+            t = t.as_py() or ""
+            counts = own.prefix_counts(t)
+            total = int(counts[-1])
+            sizes.append(len(t.encode()))
+            tokens.append(total)
+            fits.append(len(t) if total <= limit else int(np.flatnonzero(counts <= limit)[-1]))
             if keep_prefixes:
-                out.append(pa.array(tables, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema.fields])
+                tables.append(counts)
+        out = [pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int64())]
+        return out + ([pa.array(tables, pa.list_(pa.int32()))] if keep_prefixes else [])
 
-    return common.map_arrow(df.select(*kept, F.col(text).alias("__text")), run, schema)
+    return common.with_columns(df, common.quoted(text), new, run)
 
 
 def tokens_of_prefix(prefix_counts: F.Column, chars: F.Column) -> F.Column:

@@ -14,9 +14,10 @@ leader, the smallest id among its buckets' leaders that the signatures
 support.  Only buckets that then still hold several components go on: their
 members are compared by signature in blocks of bounded size, those with a
 likely partner in another component form families, and families are compared
-on full sets, again in blocks, skipping what is already connected.  Blocks
-bound the memory of a task whatever the size of a bucket or family, and
-nothing is capped.
+on full sets, again in blocks, skipping what is already connected.  Blocks are
+bounded by their rows and, where full sets are compared, by their bytes (but
+for a set that is longer alone); each pair of blocks is dealt to a task by
+itself, whatever the size of its bucket or family, and nothing is capped.
 
 A link at similarity 0.75 is missed by all bands with a probability of
 (1 - 0.75**ROWS)**BANDS = 5e-6.
@@ -24,7 +25,9 @@ A link at similarity 0.75 is missed by all bands with a probability of
 Null texts, empty ones and those without words have the empty set: they are
 linked with nothing and stay.  Fewer words than WORDS: the whole sequence is
 the one element.  Rows with equal ids are nodes by their text; each gets its
-own row.
+own row.  Equal sets are one class whose smallest id stands for it.  An empty
+table gives no rows.  Columns other than key and text are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -44,7 +47,10 @@ from .graph import components
 
 WORDS, HASHES, BITS, BANDS, ROWS = 5, 256, 4, 32, 4
 MARGIN = 0.12
-BLOCK = 1024
+#: Rows of a block, and bytes of full sets in one.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Up to so many buckets or families of several blocks are broadcast; more are joined.
+BROADCAST_GROUPS = 200_000
 BROADCAST_ROWS = 500_000
 _MULTIPLIERS = np.random.default_rng(17).integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _NIBBLES = np.uint64(0x1111111111111111)
@@ -220,12 +226,21 @@ def likely_pairs(rows: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray,
         yield i[x[keep]], right[y[keep]], near[keep]
 
 
-def in_blocks(rows: DataFrame, group: str) -> DataFrame:
-    """Rows dealt into pairs of blocks of about ``BLOCK`` members of their group: group, lo, hi, block."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("m")).select(group, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+def in_blocks(rows: DataFrame, group: str, size: F.Column | None = None) -> DataFrame:
+    """Rows dealt into pairs of blocks of about ``BLOCK`` members (``BLOCK_BYTES`` of ``size``) of their group: group, lo, hi, block.
+
+    Only groups of several blocks are looked up; the pairs are dealt anew by
+    (group, lo, hi), so a large group's pairs become tasks of their own.
+    """
+    spark = rows.sparkSession
+    own = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES) if size is not None else F.lit(1)).cast("int")
+    large = common.stored(rows.groupBy(group).agg(own.alias("blocks")).where("blocks > 1"), "near-blocks")
+    if common.small_enough(large, BROADCAST_GROUPS):
+        large = F.broadcast(large)
+    dealt = rows.join(large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
-    return dealt.withColumn("pair", F.explode(pairs)).select("*", "pair.lo", "pair.hi").drop("pair", "blocks")
+    out = dealt.withColumn("pair", F.explode(pairs)).select("*", "pair.lo", "pair.hi").drop("pair", "blocks")
+    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), group, "lo", "hi")
 
 
 _EDGES = "a long, b long"
@@ -263,7 +278,7 @@ def confirmed_in_families(rows: DataFrame, percent: int) -> DataFrame:
                     out.append((cls[x], cls[y]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return in_blocks(rows, "family").groupBy("family", "lo", "hi").applyInPandas(run, _EDGES)
+    return in_blocks(rows, "family", 8 * F.col("n")).groupBy("family", "lo", "hi").applyInPandas(run, _EDGES)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -287,24 +302,33 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
         return common.stored(sets_of(df, classes.join(ids, "cls", "left_semi").select("cls", "rep"), key, text), "near-sets")
 
     ends = stars.select(F.col("a").alias("cls")).unionByName(stars.select(F.col("b").alias("cls"))).distinct()
-    links = common.stored(confirmed(stars, sets(ends), percent), "near-links")
+    compared = sets(ends)
+    links = common.stored(confirmed(stars, compared, percent), "near-links")
+    common.release(compared, stars)
     labels = components(links)
     comp = labels.select(F.col("node").alias("cls"), "comp")
     labelled = members.select("key", "cls").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    open_ = labelled.join(mixed, "key", "left_semi").join(slim.select("cls", "n", "bits"), "cls")
+    open_ = common.stored(labelled.join(mixed, "key", "left_semi").join(slim.select("cls", "n", "bits"), "cls"), "near-open")
     ties = common.stored(families(open_, percent).distinct(), "near-ties")
+    common.release(open_, members)
     if not ties.isEmpty():
         alone = ties.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("comp"))
-        family = components(ties).unionByName(alone).groupBy("node").agg(F.min("comp").alias("family")).withColumnRenamed("node", "cls")
-        family = common.stored(family, "near-families")
-        rows = family.join(sets(family.select("cls")), "cls").join(slim.select("cls", "n", "bits"), "cls").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        joined = components(ties)
+        family = common.stored(joined.unionByName(alone).groupBy("node").agg(F.min("comp").alias("family")).withColumnRenamed("node", "cls"), "near-families")
+        compared = sets(family.select("cls"))
+        rows = family.join(compared, "cls").join(slim.select("cls", "n", "bits"), "cls").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         more = common.stored(confirmed_in_families(rows, percent), "near-links")
+        common.release(joined, family, compared)
         if not more.isEmpty():
+            common.release(labels)
             labels = components(links.unionByName(more))
+        common.release(more)
+    common.release(ties, links)
     comp = labels.select(F.col("node").alias("cls"), "comp")
     reps = classes.select("cls", "rep").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of = reps.join(least, "comp").select("cls", "component_id")
+    of = common.stored(reps.join(least, "comp").select("cls", "component_id"), "near-components")
+    common.release(classes, labels)
     out = table.select(key, "n_shingles", "cls").join(of, "cls", "left").withColumn("component_id", F.coalesce("component_id", key))
     return out.select(key, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))

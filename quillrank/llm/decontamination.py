@@ -8,14 +8,18 @@ the hit is extended: the whole windows are compared (as hashes of all their
 words), and every word inside a shared window is hit.  Items of fewer words
 are one window of their own length and are looked up whole.
 
-Benchmarks are held by Python workers in blocks of at most ``BLOCK_BYTES`` of
-text; a larger benchmark makes several blocks, and the documents' rows pass
-through each in turn, gathering hits, so any size gives whole results and the
-documents never shuffle.
+A benchmark of at most ``BLOCK_BYTES`` of text, counted first, is broadcast and
+its fingerprints are joined in the workers, so documents never shuffle.  A
+larger one is joined by shuffles: fingerprints of documents, distinct in each,
+meet the benchmark's; documents then list the whole windows behind those that
+met, and these join the benchmark's windows.  Nothing of it comes to the driver.
 
 Null texts and texts without words have no windows.  Repeated rows get equal
 results.  Items with equal text are told apart by id; an item without id
-counts as one with the empty id.
+counts as one with the empty id.  Very long texts are read whole, in parts.  An
+empty benchmark hits nothing; an empty table gives no rows.  Columns called
+n_words, n_hit, hit_words or item_ids (in any case) are replaced, all others
+stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -108,17 +112,20 @@ def _within(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return where, keys[where] == values
 
 
-def _pass(df: DataFrame, kept: list[str], index: object) -> DataFrame:
-    """Rows with the hits of one block added to __spans (starts and ends in words) and __items."""
-    schema = T.StructType([df.schema[c] for c in [*kept, "__text", "__words", "__spans", "__items"]])
+_RESULT = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
+
+
+def _looked_up(rows: DataFrame, index: object) -> DataFrame:
+    """(rest, body) with the words, hit spans (starts and ends in words) and items of each row."""
+    schema = T.StructType([rows.schema["rest"], *_RESULT])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = index.value
         for batch in batches:
-            raw, offsets = common.buffer_of(batch.column("__text"))
+            raw, offsets = common.buffer_of(batch.column(1))
             n_words: list[np.ndarray] = []
-            spans = [list(s) if s else [] for s in batch.column("__spans").to_pylist()]
-            items = [set(s) if s else set() for s in batch.column("__items").to_pylist()]
+            spans: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            items: list[set[str]] = [set() for _ in range(batch.num_rows)]
             for a, b in common.chunks(offsets):
                 part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, counts = kernel.words(part, at, kernel.ALNUM)
@@ -126,7 +133,7 @@ def _pass(df: DataFrame, kept: list[str], index: object) -> DataFrame:
                 words = kernel.span_hashes(part, starts, ends, kernel.LOWER_CODES)
                 first = np.concatenate([[0], np.cumsum(counts)])
                 mark = np.zeros(len(words) + 1, np.int64)
-                rows: list[np.ndarray] = []
+                touched: list[np.ndarray] = []
                 for n, where, window in own.hits(words, np.repeat(first[1:], counts)):
                     np.add.at(mark, where, 1)
                     np.add.at(mark, where + n, -1)
@@ -135,19 +142,84 @@ def _pass(df: DataFrame, kept: list[str], index: object) -> DataFrame:
                     _, begin, owners = own.windows[n]
                     for r, w in zip(row.tolist(), window.tolist(), strict=True):
                         items[a + r].update(own.names[o] for o in owners[begin[w] : begin[w + 1]])
-                    rows.append(row)
-                if any(map(len, rows)):
+                    touched.append(row)
+                if any(map(len, touched)):
                     inside = np.cumsum(mark)[:-1] > 0
-                    for r in np.unique(np.concatenate(rows)).tolist():
+                    for r in np.unique(np.concatenate(touched)).tolist():
                         h = np.concatenate([[False], inside[first[r] : first[r + 1]], [False]])
-                        edge = np.flatnonzero(h[1:] != h[:-1])
-                        spans[a + r] = _merged(spans[a + r] + edge.tolist())
-            out = [batch.column(i) for i in range(len(kept) + 1)]
-            out.append(pa.array(np.concatenate(n_words).astype(np.int64) if n_words else np.zeros(0, np.int64)))
-            out += [pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(out, names=schema.names)
+                        spans[a + r] = np.flatnonzero(h[1:] != h[:-1]).tolist()
+            flat = np.concatenate(n_words).astype(np.int64) if n_words else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))], names=schema.names)
+
+    return common.map_arrow(rows, run, schema)
+
+
+def _windows(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marks (fingerprints; of short items whole windows) and whole hashes of all windows of ``n`` words."""
+    whole = kernel.rolled(words, n)
+    return (fingerprints(words) if n == WINDOW else whole), whole
+
+
+def _marks(texts: DataFrame, lengths: list[int] | None, listed: bool) -> DataFrame:
+    """Windows of (id, body): of each row the distinct (n, mark), or with ``listed`` (id, body, marks) the words and (n, at, whole) of the windows whose mark is listed.
+
+    ``lengths``: window lengths to look for; None: each text's own, as of an item.
+    """
+    kind = texts.schema["id"]
+    if listed:
+        schema = T.StructType([kind, T.StructField("n", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("whole", T.LongType())])
+    else:
+        schema = T.StructType([kind, T.StructField("n", T.IntegerType()), T.StructField("mark", T.LongType()), T.StructField("whole", T.LongType()), T.StructField("n_words", T.LongType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = common.buffer_of(batch.column(1))
+            for i in range(batch.num_rows):
+                own = raw[offsets[i] : offsets[i + 1]]
+                starts, ends, _ = kernel.words(own, np.array([0, len(own)]), kernel.ALNUM)
+                words = kernel.span_hashes(own, starts, ends, kernel.LOWER_CODES)
+                wanted = np.sort(np.array(batch.column(2)[i].as_py() or [], np.int64)).view(np.uint64) if listed else None
+                if listed:
+                    wanted = np.sort(wanted)
+                for n in lengths if lengths is not None else [min(WINDOW, len(words))]:
+                    if not n or len(words) < n:
+                        continue
+                    mark, whole = _windows(words, n)
+                    if listed:
+                        at = np.flatnonzero(_within(wanted, mark)[1])
+                        columns = [pa.array(at), pa.array(whole[at].view(np.int64))]
+                    else:
+                        both = np.unique(np.stack([mark, whole]), axis=1) if lengths is None else np.stack([np.unique(mark)] * 2)
+                        at = both[0]
+                        columns = [pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64)), pa.array(np.full(len(at), len(words)))]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(at)), pa.array(np.full(len(at), n, np.int32)), *columns], names=schema.names)
+
+    return common.map_arrow(texts, run, schema)
+
+
+def _joined(rows: DataFrame, bench: DataFrame) -> DataFrame:
+    """As ``_looked_up``, by shuffle joins of fingerprints and then of windows."""
+    tagged = common.stored(rows.withColumn("id", F.monotonically_increasing_id()), "winnow-documents")
+    windows = common.stored(_marks(bench.select(F.col("name").alias("id"), "body"), None, False).select("n", "mark", "whole", F.col("id").alias("name")).distinct(), "winnow-windows")
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most WINDOW rows
+    marks = windows.select("n", "mark").distinct()
+    met = _marks(tagged.select("id", "body"), lengths, False).select("id", "n", "mark").join(marks, ["n", "mark"], "left_semi").groupBy("id").agg(F.collect_set("mark").alias("marks"))
+    listed = _marks(tagged.select("id", "body").join(met, "id").select("id", "body", "marks"), lengths, True)
+    hits = common.stored(listed.join(windows.select("n", "whole").distinct(), ["n", "whole"], "left_semi"), "winnow-hits")
+    spans = hits.groupBy("id").agg(F.collect_list(F.struct("at", (F.col("at") + F.col("n")).alias("end"))).alias("found"))
+    items = hits.select("id", "n", "whole").distinct().join(windows.select("n", "whole", "name"), ["n", "whole"]).groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("items"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = common.buffer_of(batch.column(1))
+            counts = [kernel.words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], kernel.ALNUM)[2] for a, b in common.chunks(offsets)]
+            flat = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
+            merged = [_merged([x for s in f or [] for x in (s["at"], s["end"])]) for f in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat), pa.array(merged, pa.list_(pa.int64())), pa.array([i or [] for i in batch.column(3).to_pylist()], pa.list_(pa.string()))], names=schema.names)
 
-    return common.map_arrow(df, run, schema)
+    schema = T.StructType([tagged.schema["rest"], *_RESULT])
+    return common.map_arrow(tagged.join(spans, "id", "left").join(items, "id", "left").select("rest", "body", "found", "items"), run, schema)
 
 
 def _merged(flat: list[int]) -> list[int]:
@@ -162,15 +234,15 @@ def _merged(flat: list[int]) -> list[int]:
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``df`` with n_words, n_hit, hit_words (starts and ends, exclusive, in turn) and item_ids (sorted as strings)."""
-    context = df.sparkSession.sparkContext
-    bench = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("name"), common.text_bytes(item_text).alias("body"))
-    total = bench.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    new = ["n_words", "n_hit", "hit_words", "item_ids"]
-    kept = [c for c in df.columns if c.lower() not in new]
-    out = df.select(*kept, common.text_bytes(text).alias("__text"), F.lit(0).cast("long").alias("__words"), F.lit(None).cast("array<bigint>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
-    for b in range(blocks):
-        own = bench.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b).collect() if blocks > 1 else bench.collect()
-        out = _pass(out, kept, context.broadcast(Index([(r["name"], bytes(r["body"])) for r in own])))
-    lengths = F.transform("__spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
-    return out.select(*kept, F.col("__words").alias("n_words"), F.aggregate(lengths, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_hit"), F.col("__spans").alias("hit_words"), F.col("__items").alias("item_ids"))
+    bench = benchmark.select(F.coalesce(common.quoted(item).cast("string"), F.lit("")).alias("name"), common.text_bytes(item_text).alias("body"))
+    total = bench.agg(F.sum(F.octet_length("body") + 64)).first()[0] or 0
+    gone = ["n_words", "n_hit", "hit_words", "item_ids"]
+    rows = df.select(common.bundled(df, gone), common.text_bytes(text).alias("body"))
+    if total <= block_bytes:
+        own = Index([(r["name"], bytes(r["body"])) for r in bench.collect()])
+        out = _looked_up(rows, df.sparkSession.sparkContext.broadcast(own))
+    else:
+        out = _joined(rows, bench)
+    lengths = F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda s, x: s + x)
+    return out.select(*common.unbundled(df, gone), "n_words", hit.alias("n_hit"), F.col("spans").alias("hit_words"), F.col("items").alias("item_ids"))

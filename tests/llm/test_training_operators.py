@@ -231,18 +231,52 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def line_key(line):
+    return re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).encode().lower()
+
+
+def documents_of_lines(data):
+    return collections.Counter(k for _, t in data for k in {line_key(x) for x in (t or "").split("\n")})
+
+
 @pytest.mark.parametrize("bound", [1000, 0])
 def test_line_dedup(spark, docs, nothing, bound):
-    key = lambda line: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).encode().lower()
-    seen = collections.Counter(k for _, t in rows() for k in {key(x) for x in (t or "").split("\n")})
+    seen = documents_of_lines(rows())
     got = found(line_dedup.drop_frequent_lines(docs, 10, broadcast_keys=bound), "n_lines", "n_dropped", "kept_text")
     for i, t in rows():
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not key(x) or seen[key(x)] < 10]
+        kept = [x for x in lines if not line_key(x) or seen[line_key(x)] < 10]
         assert got[i] == (len(lines), len(lines) - len(kept), "\n".join(kept))
     assert line_dedup.drop_frequent_lines(nothing, 10).count() == 0
 
 
+def test_line_runs_go_on_in_a_later_session(spark, tmp_path):
+    """Batches added to runs that were opened again count with those before; merges read sorted buckets as they lie."""
+    r = random.Random(3)
+    batches = [[(i, "\n".join(r.choice(WORDS) + str(r.randint(0, 20)) for _ in range(8))) for i in range(40)] for _ in range(5)]
+    frame = lambda data: spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for n, b in enumerate(batches):
+        runs = line_dedup.LineRuns(spark, f"{tmp_path}/runs", 6)
+        assert len(runs.levels) == bin(n).count("1")  # two runs of a level become one of the next
+        runs.add(line_dedup.batch_counts(frame(b), "text"))
+        for run in runs.levels:
+            spark.sql(f"DROP TABLE line_run_{run}")  # as in a session that hasn't made it
+    a, b = list(line_dedup.LineRuns(spark, f"{tmp_path}/runs", 6).levels)
+    runs = line_dedup.LineRuns(spark, f"{tmp_path}/runs", 6)
+    with line_dedup._merging(spark):
+        plan = runs.read(a).join(runs.read(b).withColumnRenamed("docs", "d").hint("merge"), "key", "full_outer")._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan") :]
+    assert "SortMergeJoin" in physical and "Exchange" not in physical and "Sort [" not in physical
+    every = [x for b in batches for x in b]
+    want = {k for k, n in documents_of_lines(every).items() if k and n >= 6}
+    keys = runs.frequent().count()
+    out = line_dedup.frequent_lines(frame([(0, None)]), 6, runs=runs, batches=1)  # an empty batch changes nothing
+    assert keys == out.count() == len(want)
+    got = found(line_dedup.drop_frequent_lines(frame(batches[0]), 6, runs=runs), "kept_text")  # the first batch again: its lines count twice
+    twice = documents_of_lines(every + batches[0])
+    assert got == {i: "\n".join(x for x in t.split("\n") if twice[line_key(x)] < 6) for i, t in batches[0]}
+
+
 @pytest.mark.parametrize("block", [1 << 20, 200])
 def test_decontamination(spark, docs, nothing, block):
     texts = dict(rows())
@@ -281,17 +315,39 @@ def test_sharding(spark, docs, nothing):
 
 
 def test_best_fit_against_a_plain_list():
-    r = random.Random(2)
-    weights = sorted((r.randint(1, 60) for _ in range(500)), reverse=True)
-    room, want = [], []
-    for w in weights:
-        fit = [(x, b) for b, x in enumerate(room) if x >= w]
-        b = min(fit)[1] if fit else len(room)
-        if not fit:
-            room.append(100)
-        room[b] -= w
-        want.append(b)
-    assert sharding.best_fit_decreasing(weights, 100, 10**6) == want
+    """Equal weights at once give each bin what one by one would."""
+    for seed in range(20):
+        r = random.Random(seed)
+        weights = sorted((r.randint(1, r.choice((8, 60))) for _ in range(500)), reverse=True)
+        room, want = [], []
+        for w in weights:
+            fit = [(x, b) for b, x in enumerate(room) if x >= w]
+            b = min(fit)[1] if fit else len(room)
+            if not fit:
+                room.append(100)
+            room[b] -= w
+            want.append((w, b))
+        items = sorted(collections.Counter(weights).items(), reverse=True)
+        got = [(w, b) for (w, _), own in zip(items, sharding.best_fit_decreasing(items, 100, 10**6), strict=True) for b, n in own for _ in range(n)]
+        assert got == want
+
+
+@pytest.mark.parametrize("heavy,runs", [(64, 10**6), (1, 0)])
+def test_shards_keep_groups_whole(spark, monkeypatch, heavy, runs):
+    """Best fit over the groups themselves: equal texts in one shard, shards as full as a plain packing makes them."""
+    monkeypatch.setattr(sharding, "HEAVY", heavy)
+    monkeypatch.setattr(sharding, "BROADCAST_RUNS", runs)
+    r = random.Random(5)
+    texts = [r.choice("ab") * r.randint(0, 300) + str(r.randint(0, 40)) for _ in range(1500)]
+    out = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8).collect()
+    assert sorted(x["doc_id"] for x in out) == list(range(1500))
+    of = collections.defaultdict(set)
+    size = collections.Counter()
+    for x in out:
+        of[texts[x["doc_id"]]].add(x["shard"])
+        size[x["shard"]] += x["size"]
+    assert all(len(s) == 1 for s in of.values()) and set(size) == set(range(8))
+    assert max(size.values()) <= 1.01 * sum(size.values()) / 8
 
 
 def test_secret_scan(spark, docs, nothing):
@@ -410,5 +466,43 @@ def test_carried_state_equals_one_reading():
     assert np.allclose(net.likelihoods(flows), whole, rtol=1e-4)
 
 
+CLASHING = ["x.y", "__text", "__words", "__spans", "__items", "__drop", "__row", "row", "rest", "body", "grp", "part", "strip", "TEXT2", "doc.id", "named", "weight"]
+
+
+def test_names_of_other_columns(spark):
+    """Columns of any name, dots and operators' own names too, don't disturb, and pass where columns pass."""
+    plain = spark.createDataFrame([(i, f"line {i % 3}\nthe and of to in is that {i % 5}") for i in range(30)] + [(40, None)], "doc_id long, text string")
+    odd = plain.select("*", *(F.lit(f"v{i}").alias(n) for i, n in enumerate(CLASHING)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "line 1 the and of to in is that 1")], "item_id long, text string")
+    model = quality.fit(plain, labels, "quality")
+    passing = {
+        "secrets": lambda d: secret_scan.scan(d), "score": lambda d: quality.score(d, model), "n_tokens": lambda d: token_counts.count_tokens(d, PIECES, 5),
+        "kept_text": lambda d: line_dedup.drop_frequent_lines(d, 10), "n_hit": lambda d: decontamination.find_contamination(d, bench),
+    }
+    for column, f in passing.items():
+        out = f(odd)
+        assert set(CLASHING) < set(out.columns), column
+        assert found(out, column) == found(f(plain), column)
+        assert all(r["x.y"] == "v0" and r["__drop"] == "v5" for r in out.select("`x.y`", "__drop").collect())
+    keyed = {"shard": sharding.shard, "keep_id": exact_dedup.deduplicate, "component_id": near_dedup.near_duplicates, "sequence_id": lambda d: packing.pack(d, BYTES, 1, 64), "n_known": lambda d: language_model.score(d, F.lit(True))}
+    for column, f in keyed.items():
+        assert found(f(odd), "doc_id") == found(f(plain), "doc_id"), column
+
+
+def test_scratch_leaves_nothing(spark, docs):
+    """Intermediate tables go with their block; one that is kept stays."""
+    import os
+
+    before = set(os.listdir(common.shared_dir(spark))) if os.path.isdir(common.shared_dir(spark)) else set()
+    with common.scratch(spark):
+        kept = common.keep(common.stored(near_dedup.near_duplicates(docs.select("doc_id", "text")), "kept"))
+        line_dedup.drop_frequent_lines(docs, 10).count()
+    after = set(os.listdir(common.shared_dir(spark))) - before
+    assert after == {kept.stored_at.rsplit("/", 1)[1]} and kept.count() == docs.count()
+    common.release(kept)
+    assert set(os.listdir(common.shared_dir(spark))) - before == set()
+
+
 def test_shared_folder(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")

@@ -11,7 +11,9 @@ for the classifier and fall to its prior, have no duplicates and no benchmark
 passages, and stay; a document whose lines all go stays as an empty text.
 ``doc_id`` is expected to be unique; where it isn't, the near-duplicate stage
 goes by rows: another text of the same id has its own fate, and of rows that
-repeat an id and its text one stays (empty ones all stay).
+repeat an id and its text one stays (empty ones all stay).  Empty tables of
+documents, labels or benchmark items are no special case: no rows, no rejected
+and no contaminated documents.  Columns of any name pass, dots included.
 """
 
 from __future__ import annotations
@@ -91,8 +93,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's result written and read again by the next."""
+    """All stages over ``documents``, each stage's result written and read again by the next, what a stage needed itself removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with common.scratch(spark):
+            docs = common.keep(common.stored(stage(spark, before, sf_dir), f"pipeline-{name}"))
+        common.release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,6 +14,8 @@ driver; comparisons and digests are over whole texts.
 Of equal texts the row with the most code points in its original text stays,
 then the smallest id (null last); exactly one row stays even among repeated
 rows.  Null text counts as empty; empty and white-space texts are one group.
+Very long texts are compared whole.  An empty table gives no rows.  Columns
+other than key and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,8 +14,10 @@ counts of earlier partitions, and rank, histogram and patterns together give
 sequence, offset, and the lengths of what stands before it.
 
 Nulls count as empty texts; every document ends with the end id, so an empty
-one is a piece of one token.  Repeated rows are packed each.  sequence_id is
-unique, not gapless.
+one is a piece of one token.  Very long texts are cut, never dropped.  Repeated
+rows are packed each; of rests of equal length the one that comes first in its
+partition goes first.  sequence_id is unique, not gapless.  An empty table gives
+no rows.  Columns other than key and text are not read, whatever their names.
 """
 
 from __future__ import annotations

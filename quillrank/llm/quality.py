@@ -13,7 +13,11 @@ every row and whole texts: as the output is linear in the average, each bucket
 comes down to one number, and a text's score is a mean of table entries.
 
 Null and empty texts have no features and get the score of the output's bias
-alone.  Without any labelled rows, every text scores the prior, 0.5.
+alone.  Without any labelled rows, every text scores the prior, 0.5.  Repeated
+rows get equal scores; an id with several labels teaches each of them, and
+labels other than 0 and 1, null too, teach none.  Ties in the hash of the id go
+by the id.  An empty table gives no rows.  A column called score (in any case)
+is replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,13 +16,16 @@ as changes of the count per code point, and a text's table is the running sum
 of its segments' bytes.
 
 Nulls count as empty texts; an empty text has no tokens.  Repeated rows each
-get their own result.  Columns named like the results are replaced.
+get their own result.  Very long texts are counted whole.  An empty table gives
+no rows.  Columns named like the results (in any case) are replaced, all others
+stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

@@ -372,6 +372,28 @@ def test_field_finds_unseen_secrets():
     assert all(g for g in got[:3]) and not any(g for g in got[3:])
 
 
+def test_recall_of_planted_secrets():
+    """Secrets that no pattern matches, in prose of made words: most are found whole, and hardly anything else is."""
+    r = random.Random(99)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    draw = lambda n, a=letters: "".join(r.choice(a) for _ in range(n))
+    forms = [
+        lambda: ("Authorization: Bearer ", draw(40), ""), lambda: ("use ", "ghp_" + draw(36), ""), lambda: ("key is ", "sk_live_" + draw(24), ""), lambda: ("mysql://admin:", draw(16), "@db.host.net:3306/x"),
+        lambda: ('client_credential = "', draw(28, letters + "+/"), '"'), lambda: ("aws_key = ", draw(40, letters + "/+"), ""), lambda: ("", draw(32), ""), lambda: ("signing key ", draw(32, "0123456789ABCDEF"), ""),
+    ]
+    field = secret_scan.train([bytes_of(t) for _, t in rows()])
+    hit = false = 0
+    for i in range(400):
+        w = [r.choice(WORDS) + r.choice(["", "", ".", ","]) for _ in range(60)]
+        lead, secret, tail = forms[i % len(forms)]()
+        head = " ".join(w[:30]) + " " + lead
+        raw = np.frombuffer((head + secret + tail + " " + " ".join(w[30:])).encode(), np.uint8)
+        spans = [(s["start"], s["end"]) for s in secret_scan.spans_of(field, raw, np.array([0, len(raw)]))[0]]
+        hit += (len(head), len(head) + len(secret)) in spans
+        false += sum(e <= len(head) or s >= len(head) + len(secret) for s, e in spans)
+    assert hit >= 360 and false <= 8, (hit, false)
+
+
 def test_viterbi_against_all_paths():
     field = secret_scan.train([])
     r = np.random.default_rng(1)

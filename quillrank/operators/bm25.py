@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import storage
 from ..functions import text as X
+from ..storage import small_enough
+from .stemming import stemmed_terms
 
 
 @dataclass(frozen=True)
@@ -51,41 +54,84 @@ def _small(df: DataFrame, small: bool) -> DataFrame:
 
 
 def fits(terms: DataFrame) -> bool:
-    """Whether the query terms, and so everything kept by term, may be broadcast."""
-    return terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    """Whether the query terms may be broadcast."""
+    return small_enough(terms, BROADCAST_TERMS)
 
 
-def postings(stack: DataFrame, terms: DataFrame | None = None, fields: tuple[Field, ...] = FIELDS, transform: Callable[[Column], Column] = X.normalize, small: bool = False) -> DataFrame:
-    """(field, term, doc, w): the weight a document adds to a query that has the term.
+def term_counts(stack: DataFrame, transform: Callable[[Column], Column] = X.normalize) -> DataFrame:
+    """(field, term, doc, tf, dl, head) in one pass over the text.
 
-    With ``terms``, only theirs: other tokens leave before the shuffle.  Rows
-    are dealt by document once; where terms are ``small`` all else is
-    broadcast, so what follows by document needs no further shuffle.
+    ``head`` marks one row of each document, so lengths and their mean come
+    from this table too; a document without tokens keeps a row without a term.
+    Counts are combined where a document is read, so what is shuffled is a row
+    for each of its distinct terms.
     """
-    cut = stack.select("field", "doc", X.tokens(transform(F.col("text"))).alias("t")).withColumn("dl", F.size("t"))
-    stats = cut.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # a row for each field
-    own = cut.select("field", "doc", "dl", F.explode("t").alias("term"))
-    if terms is not None:
-        own = own.join(_small(terms.select("term").distinct(), small), "term", "left_semi")
-    tf = own.repartition("doc").groupBy("field", "term", "doc").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
-    joined = tf.join(_small(df, small), ["field", "term"]).join(F.broadcast(stats), "field")
+    cut = stack.select("field", "doc", X.tokens(transform(F.col("text"))).alias("t"))
+    each = cut.select("field", "doc", F.size("t").alias("dl"), F.posexplode_outer("t").alias("pos", "term"))
+    head = F.max(F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0)).alias("head")
+    return each.groupBy("field", "term", "doc").agg(F.count("term").alias("tf"), F.first("dl").alias("dl"), head)
+
+
+def stemmed_counts(counts: DataFrame, source: str, name: str) -> DataFrame:
+    """The counts of a field again as those of its stems, in a field of another name; only distinct terms pass through the stemmer."""
+    own = counts.where(F.col("field") == source)
+    stems = storage.stored(stemmed_terms(own.where("term IS NOT NULL").select("term").distinct()), "stems")
+    if small_enough(stems, BROADCAST_TERMS):
+        stems = F.broadcast(stems)
+    named = own.join(stems, "term", "left").groupBy(F.lit(name).alias("field"), F.col("stem").alias("term"), "doc")
+    return named.agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"), F.max("head").alias("head"))
+
+
+def weighted(counts: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
+    """(field, term, doc, w): the weight a document adds to a query that has the term, from a table of counts read several times."""
+    lengths = counts.groupBy("field").agg(F.sum("head").alias("n"), (F.sum(F.col("dl") * F.col("head")) / F.sum("head")).alias("avgdl"))  # a row for each field
+    own = counts.where("term IS NOT NULL")
+    df = own.groupBy("field", "term").agg(F.count("*").alias("df"))
+    joined = own.join(df, ["field", "term"]).join(F.broadcast(lengths), "field")
     k1, b = _by_field(fields, lambda f: f.k1), _by_field(fields, lambda f: f.b)
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return joined.select("field", "term", "doc", w.alias("w"))
 
 
+def build(items: DataFrame, fields: tuple[Field, ...] = FIELDS, stems: dict[str, str] | None = None, key: str = "item_id") -> DataFrame:
+    """A stored index of weighted postings, sorted by term; ``stems`` names fields of stems and the fields they come from.
+
+    All of ``fields`` need their k1 and b; those of ``stems`` are read from
+    their source's counts, not from the text.
+    """
+    stems = stems or {}
+    counts = storage.stored(term_counts(stacked(items, tuple(f for f in fields if f.name not in stems), key)), "term-counts")
+    every = counts
+    for name, source in stems.items():
+        every = every.unionByName(stemmed_counts(counts, source, name))
+    if stems:
+        every = storage.stored(every, "term-counts")
+    return storage.stored(weighted(every, fields).hint("rebalance", "term").sortWithinPartitions("term", "field"), "postings")
+
+
+def stem_queries(terms: DataFrame, fields: tuple[str, ...], stems: tuple[str, ...]) -> DataFrame:
+    """(field, qid, term): query terms for plain fields, their distinct stems for fields of stems."""
+    plain = terms.select(F.explode(F.array(*map(F.lit, fields))).alias("field"), "qid", "term")
+    if not stems:
+        return plain
+    own = terms.join(stemmed_terms(terms.select("term").distinct()), "term").select("qid", F.col("stem").alias("term")).distinct()
+    return plain.unionByName(own.select(F.explode(F.array(*map(F.lit, stems))).alias("field"), "qid", "term"))
+
+
 def scores(weights: DataFrame, terms: DataFrame, small: bool = False) -> DataFrame:
-    """(field, qid, doc, score) of documents with at least one term; rounded so that the order of a sum can't swap ranks."""
-    return weights.join(_small(terms, small), "term").groupBy("field", "qid", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
+    """(field, qid, doc, score) of documents with at least one term; rounded so that the order of a sum can't swap ranks.
+
+    ``terms`` (qid, term) are looked up in every field, (field, qid, term) in their own.
+    """
+    on = ["field", "term"] if "field" in terms.columns else ["term"]
+    return weights.join(_small(terms, small), on).groupBy("field", "qid", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
 def search(items: DataFrame, queries: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
-    """Scores of all items with a term of a query."""
+    """Scores of all items with a term of a query, without an index: one pass over the items."""
     terms = query_terms(queries)
-    small = fits(terms)
-    return scores(postings(stacked(items, fields), terms, fields, small=small), terms, small)
+    return scores(build(items, fields), terms, fits(terms))
 
 
 def top_k(scored: DataFrame, k: int, by: list[str], score: str = "score", tie: str = "doc") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
-from ..operators import features, fusion, learning
+from ..operators import features, fusion, learning, stemming
 from ..functions import text as X
 from . import roles as R
 from .evaluation_queries import _two
@@ -64,4 +64,4 @@ def cluster_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
 @query("stemmed_vocabulary")
 def stemmed_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     terms = R.table(spark, sf, "documents").select(F.explode(F.array_distinct(X.tokens(X.normalize(F.col("text"))))).alias("term"))
-    return learning.stemmed_terms(terms)
+    return stemming.stemmed_terms(terms)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import scalar as S
+from .. import storage
 from ..functions import text as X
 from ..operators import bm25, category, features, fusion, geo
 from . import roles as R
@@ -15,8 +15,14 @@ from .registry import query
 DEPTH, LIMIT, CONSTANT = 50, 10, 60
 
 
+def lexical(spark: SparkSession, sf: str) -> DataFrame:
+    """(field, qid, doc, score) of the corpus for all queries, from the stored index."""
+    terms = bm25.query_terms(R.queries(spark, sf))
+    return bm25.scores(R.index(spark, sf), terms, bm25.fits(terms))
+
+
 def channels(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.retrieve(R.corpus(spark, sf), R.queries(spark, sf), DEPTH)
+    return R.once(spark, sf, "channels", lambda: storage.stored(bm25.channels(bm25.top_k(lexical(spark, sf), DEPTH, ["field", "qid"])), "channels"))
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,13 +31,14 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bm25_top10", f"WITH {R.BM25} SELECT qid, doc AS item_id, score, rank FROM rk WHERE field = 'description' AND rank <= 10")
 def bm25_top10(spark: SparkSession, sf: str) -> DataFrame:
-    fields = (bm25.FIELDS[2],)
-    return bm25.retrieve(R.corpus(spark, sf), R.queries(spark, sf), 10, fields).select("qid", "item_id", F.col("raw_score").alias("score"), "rank")
+    top = bm25.top_k(lexical(spark, sf).where("field = 'description'"), 10, ["qid"])
+    return top.select("qid", F.col("doc").alias("item_id"), "score", "rank")
 
 
 @query("bm25_multifield", f"WITH {R.BM25} SELECT qid, channel, item_id, rank, raw_score, weight FROM ch")
 def bm25_multifield(spark: SparkSession, sf: str) -> DataFrame:
-    return channels(spark, sf).select("qid", "channel", "item_id", "rank", "raw_score", "weight")
+    top = bm25.channels(bm25.top_k(lexical(spark, sf), DEPTH, ["field", "qid"]))
+    return top.select("qid", "channel", "item_id", "rank", "raw_score", "weight")
 
 
 @query("rrf_fusion", f"WITH {R.FUSED} SELECT qid, item_id, score, fr AS rank FROM fr WHERE fr <= {LIMIT}")
@@ -116,7 +123,7 @@ def source_controlled_pool(spark: SparkSession, sf: str) -> DataFrame:
 SELECT qid, field || '_geo' AS channel, doc AS item_id, score, rank FROM s WHERE rank <= 20""")
 def geo_topk(spark: SparkSession, sf: str) -> DataFrame:
     items, q = R.corpus(spark, sf), R.queries(spark, sf)
-    inside = bm25.search(items, q).join(q.select("qid", "location"), "qid").join(items.select(F.col("item_id").alias("doc"), "location"), ["doc", "location"])  # the mask comes before the cut
+    inside = lexical(spark, sf).join(q.select("qid", "location"), "qid").join(items.select(F.col("item_id").alias("doc"), "location"), ["doc", "location"])  # the mask comes before the cut
     return bm25.top_k(inside, 20, ["field", "qid"]).select("qid", F.concat("field", F.lit("_geo")).alias("channel"), F.col("doc").alias("item_id"), "score", "rank")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as X
+from ..operators import bm25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,21 +35,64 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", F.concat(F.lit("src"), F.col("item_id") % 20).alias("location"))
 
 
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made once for a session and a folder of tables, as an index is, and then read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        _stored[key] = make()
+    return _stored[key]
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored postings of the corpus's fields."""
+    return once(spark, sf_dir, "index", lambda: bm25.build(corpus(spark, sf_dir)))
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, item_id): documents whose normalised text contains the query's.
+    """(qid, item_id): documents whose normalised text contains the query's, found once."""
+    return once(spark, sf_dir, "truth", lambda: storage.stored(contained(queries(spark, sf_dir), corpus(spark, sf_dir)), "truth"))
+
+
+#: Words of a run by which texts find each other; queries have to have two more, as their first and last may be parts of words.
+RUN = 5
+
+
+def contained(q: DataFrame, items: DataFrame) -> DataFrame:
+    """(qid, item_id) where an item's normalised description contains the query's normalised text.
 
-    Words 2 to 6 of a query are whole words wherever its text occurs, so an
-    equi-join on them finds the candidates; queries of fewer words (few, if
-    any) are compared with every document.
+    All words of a query but the first and last are whole words wherever its
+    text occurs, so an equi-join on a run of them finds the candidates; runs
+    are as long as the query allows, RUN at most, and an item's runs that no
+    query has leave before anything is shuffled where the queries' are few
+    enough to broadcast.  Queries of one or two words, which have no inner
+    word, are compared with every item; queries are a set of their own, given
+    beforehand, and don't grow with the items.
     """
-    q = queries(spark, sf_dir).select("qid", X.normalize(F.col("text")).alias("qt")).withColumn("w", F.split("qt", " "))
-    d = corpus(spark, sf_dir).select("item_id", X.normalize(F.col("description")).alias("dt")).withColumn("w", F.split("dt", " "))
-    long = q.where(F.size("w") >= 7).select("qid", "qt", F.array_join(F.slice("w", 2, 5), " ").alias("k"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " "))
-    keys = d.where(F.size("w") >= 5).select("item_id", F.explode(F.array_distinct(runs)).alias("k"))
-    found = keys.join(long, "k").join(d.select("item_id", "dt"), "item_id").where(F.contains("dt", F.col("qt"))).select("qid", "item_id")
-    short = q.where((F.size("w") < 7) & (F.col("qt") != "")).select("qid", "qt").join(d.select("item_id", "dt"), F.contains("dt", F.col("qt"))).select("qid", "item_id")
-    return found.unionByName(short).distinct()
+    q = q.select("qid", X.normalize(F.col("text")).alias("qt")).where("qt <> ''").withColumn("w", F.split("qt", " "))
+    d = items.select("item_id", X.normalize(F.col("description")).alias("dt"))
+    inner = q.where("size(w) >= 3").withColumn("n", F.least(F.size("w") - 2, F.lit(RUN)))
+    keys = inner.select("qid", "qt", "n", F.expr("array_join(slice(w, 2, n), ' ')").alias("k"))
+    lengths = [r["n"] for r in keys.select("n").distinct().collect()]  # at most RUN rows
+    small = storage.small_enough(keys, bm25.BROADCAST_TERMS)
+    found = None
+    for n in sorted(lengths):
+        own = keys.where(F.col("n") == n).select("qid", "qt", "k")
+        runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+        cut = d.withColumn("w", F.split("dt", " ")).where(F.size("w") >= n)
+        if small:  # an item's text goes on with its run, as hardly any run stays
+            one = cut.select("item_id", "dt", F.explode(F.array_distinct(runs)).alias("k")).join(F.broadcast(own), "k")
+        else:
+            one = cut.select("item_id", F.explode(F.array_distinct(runs)).alias("k")).join(own, "k").join(d, "item_id")
+        one = one.where(F.contains("dt", F.col("qt"))).select("qid", "item_id")
+        found = one if found is None else found.unionByName(one)
+    short = q.where("size(w) < 3").select("qid", "qt")
+    if not short.isEmpty():
+        one = d.join(F.broadcast(short), F.contains("dt", F.col("qt"))).select("qid", "item_id")
+        found = one if found is None else found.unionByName(one)
+    return q.select("qid", F.lit(None).alias("item_id")).limit(0) if found is None else found.distinct()
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..functions import text as X
+from ..operators import tfidf
 from . import roles as R
 from .registry import query
 
@@ -85,11 +86,9 @@ w AS (SELECT doc_id, tf.g, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM d)) / (
 SELECT doc_id, count(*) AS n_terms, round(sum(w * w), 4) AS norm2, round(max(w) / sqrt(sum(w * w)), 6) AS top_weight FROM w GROUP BY doc_id"""
 
 
-def _tfidf_rows(grams: DataFrame, documents: int) -> DataFrame:
-    tf = grams.groupBy("doc_id", "g").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("g").agg(F.count("*").alias("df")).where("df >= 2")
-    w = (1 + F.ln("tf")) * (F.ln((1 + F.lit(documents)) / (1 + F.col("df"))) + 1)
-    rows = tf.join(df, "g").withColumn("w", w)
+def _tfidf_rows(d: DataFrame, grams: Column) -> DataFrame:
+    """Sizes and norms of the documents' vectors."""
+    rows = tfidf.vectors(d.select("doc_id", grams.alias("grams")), "doc_id", "grams", least=2)
     norm = F.sum(F.col("w") * F.col("w"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(norm, 4).alias("norm2"), F.round(F.max("w") / F.sqrt(norm), 6).alias("top_weight"))
 
@@ -98,16 +97,14 @@ def _tfidf_rows(grams: DataFrame, documents: int) -> DataFrame:
 def tfidf_word(spark: SparkSession, sf: str) -> DataFrame:
     d = R.table(spark, sf, "documents")
     cut = d.select("doc_id", X.tokens(X.normalize(F.col("text"))).alias("t"))
-    grams = cut.select("doc_id", F.explode(X.word_ngrams(F.col("t"), 1, 2)).alias("g"))
-    return _tfidf_rows(grams, d.count())
+    return _tfidf_rows(cut, X.word_ngrams(F.col("t"), 1, 2))
 
 
 @query("tfidf_char_wb", _tfidf("""SELECT doc_id, unnest(list_transform(generate_series(1, length(w) - k + 1), lambda i: substr(w, i, k))) AS g
  FROM (SELECT doc_id, ' ' || unnest(list_filter(string_split(n, ' '), lambda x: x <> '')) || ' ' AS w FROM d), (VALUES (2), (3), (4)) AS s(k) WHERE length(w) >= k"""))
 def tfidf_char_wb(spark: SparkSession, sf: str) -> DataFrame:
     d = R.table(spark, sf, "documents")
-    grams = d.select("doc_id", F.explode(X.char_ngrams(X.normalize(F.col("text")), 2, 4)).alias("g"))
-    return _tfidf_rows(grams, d.count())
+    return _tfidf_rows(d, X.char_ngrams(X.normalize(F.col("text")), 2, 4))
 
 
 @query("token_quantiles", f"""WITH d AS (SELECT lang, len({R.toks(_N)})::DOUBLE AS n FROM documents)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import scalar as S
 from quillrank.functions import text as X
-from quillrank.operators import bm25, category, evaluation, features, fusion, geo, learning, protocol
+from quillrank.operators import bm25, category, evaluation, features, fusion, geo, learning, protocol, stemming
 from quillrank.sources import sinks, tables
 from quillrank.streaming import ingest
 
@@ -133,7 +133,7 @@ def test_prefix_of_all_trees_is_the_model(spark):
 
 
 def test_stems():
-    assert [learning.stem(w) for w in ("важная", "важный", "бегала", "красивейший", "столами", "дом", "abc", "")] == ["важн", "важн", "бега", "красив", "стол", "дом", "abc", ""]
+    assert [stemming.stem(w) for w in ("важная", "важный", "бегала", "красивейший", "столами", "дом", "abc", "")] == ["важн", "важн", "бега", "красив", "стол", "дом", "abc", ""]
 
 
 def test_bootstrap_holds_the_mean(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as X
+
 EARTH_KM = 6371.0088
 
 
@@ -17,6 +19,11 @@ def salted_digest(salt: str, value: Column) -> Column:
     return digest(F.lit(salt), value)
 
 
+def values_digest(values: Column) -> Column:
+    """Aggregate: sha256 of the canonical JSON array of the distinct values, sorted; for sets of bounded size."""
+    return F.sha2(F.to_json(F.array_sort(F.collect_set(values))), 256)
+
+
 def _seeded(seed: int, key: Column) -> Column:
     """First 64 bits of sha256 of the JSON array [seed, key], as a decimal."""
     json = F.concat(F.lit(f"[{seed},"), F.substring(F.to_json(F.array(key)), 2, 2**31 - 1))
@@ -100,27 +107,53 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def filter_atoms(json: Column) -> Column:
-    """Sorted distinct "filter_<path> <value>" atoms of a JSON object of any depth up to three.
+#: Levels of objects and lists that ``filter_atoms`` walks; deeper filters are an error, not a loss.
+DEPTH = 12
 
-    Lists are sets, nulls are left out, numbers and booleans are their text.
-    """
-    v = F.try_parse_json(json)
 
-    def entries(x: Column) -> Column:
-        return F.map_entries(F.coalesce(F.try_variant_get(x, "$", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")))
+def _atoms(tree: Column) -> Column:
+    """Sorted distinct "filter_<path> <value>" atoms of a variant."""
+    none = F.array().cast("array<struct<path:string,value:variant>>")
+    pair = lambda path, value: F.struct(path.alias("path"), value.alias("value"))
+    kind = lambda x: F.schema_of_variant(x)
+
+    def step(s: Column) -> Column:
+        """A node's children, a list's with the list's own path; a leaf stays."""
+        path, value = s["path"], s["value"]
+        inner = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+        named = lambda e: pair(F.concat_ws("_", F.nullif(path, F.lit("")), F.replace(X.normalize(e["key"]), F.lit(" "), F.lit("_"))), e["value"])
+        listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda e: pair(path, e))
+        children = F.when(kind(value).startswith("OBJECT"), F.transform(inner, named)).when(kind(value).startswith("ARRAY"), listed).otherwise(F.array(s))
+        return F.coalesce(children, none)
 
-    def leaves(path: Column, x: Column) -> Column:
-        items = F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array(x))
-        texts = F.filter(F.transform(items, lambda i: F.try_variant_get(i, "$", "string")), lambda t: t.isNotNull())
-        return F.transform(texts, lambda t: F.concat(F.lit("filter_"), path, F.lit(" "), t))
+    nodes = F.when(tree.isNull(), none).otherwise(F.array(pair(F.lit(""), tree)))
+    for _ in range(DEPTH):
+        nodes = F.flatten(F.transform(nodes, step))
+    deep = F.exists(nodes, lambda s: kind(s["value"]).startswith("OBJECT<") | kind(s["value"]).startswith("ARRAY"))
+    texts = F.transform(nodes, lambda s: F.struct(s["path"].alias("path"), X.normalize(F.try_variant_get(s["value"], "$", "string")).alias("text")))
+    atoms = F.transform(F.filter(texts, lambda s: s["text"] != ""), lambda s: F.concat(F.lit("filter_"), s["path"], F.lit(" "), s["text"]))
+    return F.when(deep, F.raise_error(F.lit(f"filters are nested deeper than {DEPTH} levels")).cast("array<string>")).otherwise(F.array_sort(F.array_distinct(atoms)))
 
-    def walk(path: Column | None, x: Column, depth: int) -> Column:
-        def own(e: Column) -> Column:
-            name = e["key"] if path is None else F.concat(path, F.lit("."), e["key"])
-            inner = F.schema_of_variant(e["value"]).startswith("OBJECT")
-            return F.when(inner, walk(name, e["value"], depth - 1)).otherwise(leaves(name, e["value"])) if depth else leaves(name, e["value"])
 
-        return F.flatten(F.transform(entries(x), own))
+def filter_atoms(json: Column) -> Column:
+    """Sorted distinct "filter_<path> <value>" atoms of JSON filters of any shape.
+
+    Keys are normalised, their spaces and the steps of a path become "_";
+    values are normalised text (numbers and booleans as JSON writes them);
+    lists are sets, objects within them too; nulls and empty values are left
+    out.  What is no JSON gives no atoms.
+    """
+    return _atoms(F.try_parse_json(json))
 
-    return F.array_sort(F.array_distinct(F.coalesce(walk(None, v, 2), F.array().cast("array<string>"))))
+
+def category_query_text(text: Column, filters: Column, category: Column) -> Column:
+    """Text, filter atoms and "category_<c>" joined by " | ", as a category model reads a query.
+
+    Filters that are no JSON count as one value without a path; the category is
+    left out where empty or "0".
+    """
+    c, raw = X.normalize(category), F.coalesce(filters, F.lit(""))
+    plain = X.normalize(raw)
+    atoms = F.when(raw == "", F.array().cast("array<string>")).when(F.try_parse_json(raw).isNull(), F.when(plain != "", F.array(F.concat(F.lit("filter_ "), plain))).otherwise(F.array().cast("array<string>"))).otherwise(filter_atoms(raw))
+    tail = F.when((c != "") & (c != "0"), F.array(F.concat(F.lit("category_"), c))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.array(X.normalize(text)), atoms, tail), " | ")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,10 +89,12 @@ def prefixed(prefix: str, c: Column) -> Column:
 def filter_values(c: Column, keys: list[str], semantic: set[str]) -> Column:
     """Leading free text and the values of semantic keys of a linear "key value key value" text.
 
-    Longer keys win; repeated values count once; without any key the text stays.
+    Keys are literal, whatever characters they have; longer ones win; repeated
+    values count once; without any key the text stays.
     """
     n = normalize(c)
-    pattern = "(?<!\\S)(" + "|".join(sorted(keys, key=lambda k: (-len(k), k))) + ")(?=\\s|$)"
+    exact = [re.sub(r"([^\w\s])", r"\\\1", k) for k in sorted(keys, key=lambda k: (-len(k), k))]
+    pattern = "(?<!\\S)(" + "|".join(exact) + ")(?=\\s|$)"
     parts = F.split(F.regexp_replace(n, pattern, "\u0001$1\u0002"), "\u0001")
     head = F.trim(F.element_at(parts, 1))
     named = F.transform(F.filter(parts, lambda p: F.contains(p, F.lit("\u0002"))), lambda p: F.split(p, "\u0002"))
@@ -105,6 +109,19 @@ def rating_floor(c: Column) -> Column:
     return F.try_to_number(F.nullif(F.replace(found, F.lit(","), F.lit(".")), F.lit("")), F.lit("999999999D999999")).cast("double")
 
 
+def content_spans(parts: list[tuple[str, Column]], by: str = " ") -> Column:
+    """Spans (name, start, end) of the named parts of a text in which they are joined by ``by``, in code points; empty parts are left out."""
+    out = F.array().cast("array<struct<name:string,start:int,end:int>>")
+    at = F.lit(0)
+    for name, part in parts:
+        here = F.length(part)
+        begin = at + F.when((at > 0) & (here > 0), len(by)).otherwise(0)
+        span = F.struct(F.lit(name).alias("name"), begin.cast("int").alias("start"), (begin + here).cast("int").alias("end"))
+        out = F.concat(out, F.when(here > 0, F.array(span)).otherwise(F.array().cast("array<struct<name:string,start:int,end:int>>")))
+        at = F.when(here > 0, begin + here).otherwise(at)
+    return out
+
+
 def contains_phrase(haystack: Column, phrase: Column) -> Column:
     return (phrase != "") & F.contains(haystack, phrase)
 

@@ -79,6 +79,44 @@ def json_filter_atoms(spark: SparkSession, sf: str) -> DataFrame:
     return R.table(spark, sf, "events").select("event_id", F.array_join(S.filter_atoms(F.col("props")), " | ").alias("atoms"))
 
 
+_NESTED = """'{"Color  Name":"  Deep ' || p_brand || ' ","size":{"Value":' || p_size || ',"deep":{"x":{"y":[1,"' || p_type || '",null,true,{"z":{"w":[["q"]]}}]}}},"list":[{"k":"a"},{"k":"B"},["c"]],"empty":"","nul":null}'"""
+_WALK = f"""p AS (SELECT p_partkey, p_size, {_NESTED} AS j FROM part), w AS (SELECT p_partkey, t.fullkey AS f, t.type AS kind, t.atom AS atom FROM p, json_tree(p.j) t),
+a AS (SELECT p_partkey, replace(lower(regexp_replace(trim(array_to_string(string_split(replace(regexp_replace(substr(f, 2), '\\[[0-9]+\\]', '', 'g'), '"', ''), '.'), '_'), '_'), '\\s+', ' ', 'g')), ' ', '_') AS path, trim(regexp_replace(lower(atom::JSON->>'$'), '\\s+', ' ', 'g')) AS v FROM w WHERE kind NOT IN ('OBJECT', 'ARRAY', 'NULL')),
+x AS (SELECT p_partkey, list_sort(list_distinct(list('filter_' || path || ' ' || v))) AS atoms FROM a WHERE v <> '' GROUP BY 1)"""
+
+
+@query("json_filter_atoms_nested", f"WITH {_WALK} SELECT p_partkey, array_to_string(atoms, ' | ') AS atoms FROM x")
+def json_filter_atoms_nested(spark: SparkSession, sf: str) -> DataFrame:
+    j = F.expr(_NESTED)
+    return R.table(spark, sf, "part").select("p_partkey", F.array_join(S.filter_atoms(j), " | ").alias("atoms"))
+
+
+@query("category_query_texts", f"""WITH {_WALK} SELECT p.p_partkey, lower(p_name) || CASE p.p_size % 3 WHEN 0 THEN '' WHEN 1 THEN ' | filter_ not json' ELSE ' | ' || array_to_string(atoms, ' | ') END || CASE p.p_size % 2 WHEN 0 THEN '' ELSE ' | category_' || lower(p_brand) END AS t
+ FROM part JOIN p USING (p_partkey) JOIN x USING (p_partkey)""")
+def category_query_texts(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size")
+    filters = F.when(size % 3 == 0, "").when(size % 3 == 1, " Not  JSON").otherwise(F.expr(_NESTED))
+    category = F.when(size % 2 == 0, F.when(size % 4 == 0, "0").otherwise("")).otherwise(F.col("p_brand"))
+    return R.table(spark, sf, "part").select("p_partkey", S.category_query_text(F.col("p_name"), filters, category).alias("t"))
+
+
+@query("filter_values_special_keys", r"""WITH p AS (SELECT p_partkey, 'wide c++ ' || lower(p_brand) || ' size (cm) ' || p_size || ' c++ ' || p_size || ' a.b ' || lower(p_type) AS t FROM part)
+SELECT p_partkey, 'wide ; ' || lower(p_brand) || CASE WHEN lower(p_brand) = p_size::VARCHAR THEN '' ELSE ' ; ' || p_size END || CASE WHEN lower(p_type) IN (lower(p_brand), p_size::VARCHAR) THEN '' ELSE ' ; ' || lower(p_type) END AS filter_text FROM part""")
+def filter_values_special_keys(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    text = F.concat_ws(" ", F.lit("wide c++"), "p_brand", F.lit("size (cm)"), size, F.lit("c++"), size, F.lit("a.b"), "p_type")
+    return R.table(spark, sf, "part").select("p_partkey", X.filter_values(text, ["c++", "size (cm)", "a.b", "axb"], {"c++", "a.b"}).alias("filter_text"))
+
+
+@query("content_spans", """WITH p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END AS b, p_name AS n, p_type AS t FROM part)
+SELECT p_partkey, 'name:0-' || length(n) || CASE WHEN b = '' THEN '' ELSE ',brand:' || (length(n) + 1) || '-' || (length(n) + 1 + length(b)) END || ',type:' || (length(n) + 1 + CASE WHEN b = '' THEN 0 ELSE length(b) + 1 END) || '-' || (length(n) + 1 + CASE WHEN b = '' THEN 0 ELSE length(b) + 1 END + length(t)) AS spans FROM p""")
+def content_spans(spark: SparkSession, sf: str) -> DataFrame:
+    brand = F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_brand"))
+    spans = X.content_spans([("name", F.col("p_name")), ("brand", brand), ("type", F.col("p_type"))])
+    named = F.transform(spans, lambda s: F.concat(s["name"], F.lit(":"), s["start"], F.lit("-"), s["end"]))
+    return R.table(spark, sf, "part").select("p_partkey", F.array_join(named, ",").alias("spans"))
+
+
 def _tfidf(grams: str) -> str:
     return f"""WITH d AS (SELECT doc_id, {_N} AS n FROM documents), g AS ({grams}),
 tf AS (SELECT doc_id, g, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT g, count(*) AS df FROM tf GROUP BY g HAVING count(*) >= 2),

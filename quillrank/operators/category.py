@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,6 +69,61 @@ def combined_fields(channels: DataFrame) -> DataFrame:
     return channels.withColumn("part", F.col("weight") * F.col("raw_score") / peak).groupBy("qid", "item_id").agg(F.round(F.sum("part"), 6).alias("lexical"))
 
 
-def soft_scores(lexical: DataFrame, predicted: DataFrame, power: float = 0.5) -> DataFrame:
-    """Lexical score times the category's probability to a power; items outside the predicted categories stay out."""
-    return lexical.join(predicted, ["qid", "cat"]).where("lexical > 0").withColumn("score", F.round(F.col("lexical") * F.pow("prob", F.lit(power)), 6))
+def combined_scores(scored: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The same from scores of all matching items (field, qid, doc, score), so that peaks are the whole corpus's."""
+    w = F.create_map(*(F.lit(x) for f, v in weights.items() for x in (f, v)))
+    own = scored.where(F.col("field").isin(*weights))
+    peaks = own.groupBy("field", "qid").agg(F.max("score").alias("peak")).where("peak > 0")  # a row for each field and query
+    parts = own.join(F.broadcast(peaks), ["field", "qid"]).withColumn("part", F.element_at(w, F.col("field")) * F.col("score") / F.col("peak"))
+    return parts.groupBy("qid", F.col("doc").alias("item_id")).agg(F.round(F.sum("part"), 6).alias("lexical"))
+
+
+def soft_scores(lexical: DataFrame, predicted: DataFrame, power: float = 0.5, bonus: Column | float = 0.0) -> DataFrame:
+    """Lexical score times the category's probability to a power, and a bonus; items outside the predicted categories stay out."""
+    score = F.col("lexical") * F.pow("prob", F.lit(power)) + bonus
+    return lexical.join(predicted, ["qid", "cat"]).where("lexical > 0").withColumn("score", F.round(score, 6))
+
+
+def top_categories(predicted: DataFrame, k: int) -> DataFrame:
+    """(qid, cat, cat_ord, prob): the likeliest categories of each query, ties by category."""
+    order = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("prob"), "cat")).cast("int")
+    return predicted.withColumn("cat_ord", order).where(F.col("cat_ord") <= k).select("qid", "cat", "cat_ord", "prob")
+
+
+#: The fields' weights in a category channel, its categories, their least shares and the power of probabilities.
+WEIGHTS = {"title": 2.0, "params": 1.0, "description": 0.5}
+TOP, LEAST, POWER = 3, 5, 0.5
+
+
+def channel(scored: DataFrame, predicted: DataFrame, items: DataFrame, queries: DataFrame, limit: int, weights: dict[str, float] | None = None, top: int = TOP, least: int = LEAST, power: float = POWER, bonus: float = 0.0) -> DataFrame:
+    """(qid, item_id, rank, raw_score): items of a query's likeliest categories by lexical score and probability.
+
+    Each of the categories has its ``least`` best items in the ranking before
+    the rest is filled by score; ``bonus`` goes to items in the query's place.
+    """
+    lexical = combined_scores(scored, weights or WEIGHTS).join(items.select("item_id", F.col("microcat").alias("cat"), F.col("location").alias("at")), "item_id").where("coalesce(cat, '') <> ''")
+    extra: Column | float = 0.0
+    if bonus:
+        lexical = lexical.join(queries.select("qid", F.col("location").alias("here")), "qid")
+        extra = F.when((F.col("at") == F.col("here")) & (F.col("here") != ""), bonus).otherwise(0.0)
+    kept = guaranteed_top_k(soft_scores(lexical, F.broadcast(top_categories(predicted, top)), power, extra), limit, least)
+    return kept.select("qid", "item_id", "rank", F.col("score").alias("raw_score"))
+
+
+def exact_shares(shares: DataFrame, leave_out: bool) -> DataFrame:
+    """(text, cat, share): a text's own category shares; nothing where own clicks are left out."""
+    return shares.select("text", "cat", "share").where(F.lit(not leave_out))
+
+
+def history_bonus(rows: DataFrame, history: DataFrame, size: float) -> DataFrame:
+    """``rows`` (text, cat, prob) with prob raised by size * n / (N + 3) for the clicks n of the text in the category, N in all."""
+    totals = history.groupBy("text").agg(F.sum("n").alias("__total"))
+    joined = rows.join(history.select("text", "cat", F.col("n").alias("__n")), ["text", "cat"], "left").join(totals, "text", "left")
+    more = F.coalesce(size * F.col("__n") / (F.col("__total") + 3), F.lit(0.0))
+    return joined.withColumn("prob", F.col("prob") + more).drop("__n", "__total")
+
+
+def without_sentinel(c: Column) -> Column:
+    """A category with "0", which stands for none, as the empty string."""
+    known = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(known == "0", "").otherwise(known)

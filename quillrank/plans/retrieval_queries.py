@@ -164,7 +164,7 @@ def geo_distance_prior(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("geo_click_features", f"""WITH {R.CLICKS}, a AS (SELECT search_loc, item_loc, count(*) AS n FROM clicks GROUP BY ALL), s AS (SELECT s_nationkey AS item_loc, count(*) / (SELECT count(*) FROM supplier) AS share FROM supplier GROUP BY 1),
 t AS (SELECT *, sum(n) OVER (PARTITION BY search_loc) AS total, 1.0 / row_number() OVER (PARTITION BY search_loc ORDER BY n DESC, item_loc) AS r FROM a)
-SELECT search_loc, t.item_loc, round(CASE WHEN total >= 20 THEN n / total ELSE 0 END, 6) AS probability, round(ln(1 + CASE WHEN total >= 20 THEN n / total ELSE 0 END / share), 6) AS lift, round(r, 6) AS rank FROM t LEFT JOIN s ON s.item_loc = t.item_loc""")
+SELECT search_loc, t.item_loc, round(CASE WHEN total >= 20 THEN n / total ELSE 0 END, 6) AS probability, round(ln(1 + CASE WHEN total >= 20 THEN n / total ELSE 0 END / share), 6) AS lift, round(CASE WHEN total >= 20 THEN r ELSE 0 END, 6) AS rank FROM t LEFT JOIN s ON s.item_loc = t.item_loc""")
 def geo_click_features(spark: SparkSession, sf: str) -> DataFrame:
     items = R.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("item_loc"))
     f = geo.click_features(geo.associations(R.clicks(spark, sf)), items)

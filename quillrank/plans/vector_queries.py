@@ -34,13 +34,13 @@ def pool_rescore(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.score_pool(pool.select("qid", "item_id"), q, v)
 
 
-@query("geo_dense_topk", f"WITH {PRIOR}, {_PAIRS}, a2 AS (SELECT s.*, round(score + 0.05 * coalesce(ln(greatest(coalesce(p, 1e-7), 1e-7)), 0), 6) AS adjusted FROM s LEFT JOIN prior ON prior.search_loc = qloc AND prior.item_loc = iloc), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY adjusted DESC, item_id) AS rank FROM a2) SELECT qid, item_id, score, adjusted, rank FROM r WHERE rank <= 10")
+@query("geo_dense_topk", f"WITH {PRIOR}, {_PAIRS}, a2 AS (SELECT s.*, round(score + CASE WHEN qloc IN (SELECT search_loc FROM prior) THEN 0.05 * ln(greatest(coalesce(p, 1e-7), 1e-7)) ELSE 0 END, 6) AS adjusted FROM s LEFT JOIN prior ON prior.search_loc = qloc AND prior.item_loc = iloc), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY adjusted DESC, item_id) AS rank FROM a2) SELECT qid, item_id, score, adjusted, rank FROM r WHERE rank <= 10")
 def geo_dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     v = R.table(spark, sf, "embeddings")
     # the adjustment is one number for a query and an item's place, so the best of all are among each place's best by cosine
     scored = vectors.cosine_top_k(_queries(v), v, 10, group=F.col("vec_id") % 25)
     prior = geo.destination_prior(geo.associations(R.clicks(spark, sf)), geo.centres(R.places(spark, sf)))
-    joined = scored.drop("rank").withColumn("search_loc", (F.col("qid") % 25).cast("int")).withColumn("item_loc", (F.col("item_id") % 25).cast("int")).join(prior, ["search_loc", "item_loc"], "left")
-    joined = joined.withColumn("adjusted", F.round(F.col("score") + 0.05 * F.ln(F.greatest(F.coalesce("p", F.lit(1e-7)), F.lit(1e-7))), 6))
+    placed = scored.drop("rank").withColumn("search_loc", (F.col("qid") % 25).cast("int")).withColumn("item_loc", (F.col("item_id") % 25).cast("int"))
+    joined = geo.adjusted_scores(placed, prior)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("adjusted"), "item_id")).cast("long")
     return joined.withColumn("rank", rank).where("rank <= 10").select("qid", "item_id", "score", "adjusted", "rank")

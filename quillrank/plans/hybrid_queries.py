@@ -89,26 +89,26 @@ def related_geo_channels(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Lexical scores of the search text with the values of its filters.
 _VALUES = R.BM25.replace("FROM queries)", "FROM (SELECT qid, text || CASE qid % 3 WHEN 0 THEN '' WHEN 1 THEN ' en ; src' || (qid % 20) ELSE ' de' END AS text FROM queries))", 1)
-_MICRO = """pk AS (SELECT field, qid, max(score) AS peak FROM sc GROUP BY ALL), lx AS (SELECT s.qid, doc AS item_id, round(sum(CASE field WHEN 'title' THEN 2.0 WHEN 'params' THEN 1.0 ELSE 0.5 END::DOUBLE * score / peak), 6) AS lexical FROM sc s JOIN pk USING (field, qid) GROUP BY ALL),
+MICRO = """pk AS (SELECT field, qid, max(score) AS peak FROM sc GROUP BY ALL), lx AS (SELECT s.qid, doc AS item_id, round(sum(CASE field WHEN 'title' THEN 2.0 WHEN 'params' THEN 1.0 ELSE 0.5 END::DOUBLE * score / peak), 6) AS lexical FROM sc s JOIN pk USING (field, qid) GROUP BY ALL),
 cd AS (SELECT l.qid, l.item_id, i.microcat AS cat, r, round(lexical * pow(prob, 0.5) + CASE WHEN i.location = sq.location AND sq.location <> '' THEN 0.1 ELSE 0 END, 6) AS score FROM lx l JOIN si i USING (item_id) JOIN sq USING (qid) JOIN pred p ON p.qid = l.qid AND p.cat = i.microcat AND r <= 3 WHERE lexical > 0 AND i.microcat <> ''),
 ck AS (SELECT *, row_number() OVER (PARTITION BY qid, cat ORDER BY score DESC, item_id) AS crk FROM cd),
 cs AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN crk <= 5 THEN 0 ELSE 1 END, CASE WHEN crk <= 5 THEN crk END, CASE WHEN crk <= 5 THEN r END, score DESC, item_id) AS s FROM ck),
 mc AS (SELECT qid, item_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS rank, score AS raw_score FROM cs WHERE s <= 60)"""
 
 
-@query("category_channel", f"WITH {_VALUES}, {shop.SHOP}, {_MICRO} SELECT * FROM mc")
+@query("category_channel", f"WITH {_VALUES}, {shop.SHOP}, {MICRO} SELECT * FROM mc")
 def category_channel(spark: SparkSession, sf: str) -> DataFrame:
     return micro_route(spark, sf)
 
 
-@query("novel_category_channel", f"WITH {_VALUES}, {shop.SHOP}, {_MICRO}, {shop.DENSE}, b AS (SELECT qid, item_id FROM dr WHERE rank <= 50), n AS (SELECT mc.*, row_number() OVER (PARTITION BY qid ORDER BY rank, item_id) AS place FROM mc ANTI JOIN b USING (qid, item_id) WHERE rank <= 75) SELECT qid, item_id, place AS rank, raw_score FROM n WHERE place <= 25")
+@query("novel_category_channel", f"WITH {_VALUES}, {shop.SHOP}, {MICRO}, {shop.DENSE}, b AS (SELECT qid, item_id FROM dr WHERE rank <= 50), n AS (SELECT mc.*, row_number() OVER (PARTITION BY qid ORDER BY rank, item_id) AS place FROM mc ANTI JOIN b USING (qid, item_id) WHERE rank <= 75) SELECT qid, item_id, place AS rank, raw_score FROM n WHERE place <= 25")
 def novel_category_channel(spark: SparkSession, sf: str) -> DataFrame:
     """What the category route adds to the dense channel when 75 places are all and 40 may be its own."""
     out = hybrid.novel_channel(micro_route(spark, sf), shop.dense(spark, sf, 50), "micro_combined", 11, 40, capacity=75)
     return out.select("qid", "item_id", "rank", "raw_score")
 
 
-@query("supplemental_four_routes", f"""WITH {_VALUES}, {shop.SHOP}, {_MICRO}, {shop.DENSE}, b AS (SELECT qid, item_id FROM dr WHERE rank <= 50),
+@query("supplemental_four_routes", f"""WITH {_VALUES}, {shop.SHOP}, {MICRO}, {shop.DENSE}, b AS (SELECT qid, item_id FROM dr WHERE rank <= 50),
 rt AS (SELECT qid, 'supplemental_' || field || '_values' AS channel, doc AS item_id, rank, score AS raw_score FROM rk WHERE field IN ('title', 'params') AND rank <= 300 UNION ALL SELECT qid, 'micro_combined', item_id, rank, raw_score FROM mc UNION ALL SELECT qid, 'supplemental_dense_current', item_id, rank, raw_score FROM dr WHERE rank <= 300),
 s AS (SELECT qid, item_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM rt ANTI JOIN b USING (qid, item_id) GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS rank FROM s), g AS (SELECT * FROM f WHERE rank <= 200 - 50)
 SELECT qid, 'supplemental_fill' AS channel, item_id, rank, score AS raw_score FROM g UNION ALL SELECT rt.qid, channel, rt.item_id, row_number() OVER (PARTITION BY rt.qid, channel ORDER BY rt.rank, rt.item_id), rt.raw_score FROM rt SEMI JOIN g ON g.qid = rt.qid AND g.item_id = rt.item_id""")

@@ -171,17 +171,21 @@ def geo_click_features(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("search_loc", "item_loc", *(F.round(c, 6).alias(c) for c in ("probability", "lift", "rank")))
 
 
-_SHARES = f"""{R.CLICKS}, cnt AS (SELECT {R.norm('text')} AS text, cat, count(*) AS n FROM clicks WHERE cat NOT IN ('', '0') GROUP BY ALL), sh AS (SELECT *, n / sum(n) OVER (PARTITION BY text) AS share FROM cnt),
+_SHARES = f"""cnt AS (SELECT {R.norm('text')} AS text, cat, count(*) AS n FROM clicks WHERE cat NOT IN ('', '0') GROUP BY ALL), sh AS (SELECT *, n / sum(n) OVER (PARTITION BY text) AS share FROM cnt),
 wd AS (SELECT text, unnest(list_distinct(list_filter({R.toks('text')}, lambda x: length(x) >= 2))) AS token FROM (SELECT DISTINCT text FROM sh)),
 mass AS (SELECT token, cat, sum(share) AS mass FROM wd JOIN sh USING (text) GROUP BY ALL), tot AS (SELECT token, count(*) AS total FROM wd GROUP BY token)"""
 
 
-def _prior(loo: int) -> str:
+def prior_ctes(loo: int) -> str:
     own = "LEFT JOIN sh o ON o.text = k.text AND o.cat = m.cat" if loo else ""
     m = "greatest(0, m.mass - coalesce(o.share, 0))" if loo else "m.mass"
-    return f"""WITH {_SHARES}, k AS (SELECT text, token, total - {loo} AS lft, count(*) OVER (PARTITION BY text) AS kept FROM wd JOIN tot USING (token) WHERE total - {loo} >= 5),
-p AS (SELECT k.text, m.cat, round(sum({m} / lft / kept), 6) AS p FROM k JOIN mass m USING (token) {own} GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY p DESC, cat) AS r FROM p WHERE p > 0) SELECT text, cat, p, round(CASE WHEN r <= 10 THEN 1.0 / r ELSE 0 END, 6) AS rank_feature FROM r"""
+    return f"""{_SHARES}, k AS (SELECT text, token, total - {loo} AS lft, count(*) OVER (PARTITION BY text) AS kept FROM wd JOIN tot USING (token) WHERE total - {loo} >= 5),
+p0 AS (SELECT k.text, m.cat, round(sum({m} / lft / kept), 6) AS p FROM k JOIN mass m USING (token) {own} GROUP BY ALL),
+pr0 AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY p DESC, cat) AS r FROM p0 WHERE p > 0)"""
+
+
+def _prior(loo: int) -> str:
+    return f"WITH {R.CLICKS}, {prior_ctes(loo)} SELECT text, cat, p, round(CASE WHEN r <= 10 THEN 1.0 / r ELSE 0 END, 6) AS rank_feature FROM pr0"
 
 
 def _prior_rows(spark: SparkSession, sf: str, loo: bool) -> DataFrame:
@@ -224,7 +228,7 @@ def category_guarantee_topk(spark: SparkSession, sf: str) -> DataFrame:
 _BASE_ROWS = f"""{R.FUSED}, base AS (SELECT p.qid, p.item_id, p.pool_rank, f.score AS rrf_score, f.fr FROM pool p JOIN fr f USING (qid, item_id) WHERE pool_rank <= 998)"""
 
 
-@query("rank_features_pivot", f"""WITH {_BASE_ROWS} SELECT b.qid, b.item_id, b.rrf_score, round(1.0 / b.pool_rank, 9) AS pool_rank, (b.fr <= 50)::INTEGER AS baseline_top50, count(c.rank) AS channel_count,
+@query("rank_features_pivot", f"""WITH {_BASE_ROWS} SELECT b.qid, b.item_id, b.rrf_score, round(1.0 / (1 + b.pool_rank), 9) AS pool_rank, (b.fr <= 50)::INTEGER AS baseline_top50, count(c.rank) AS channel_count,
  {', '.join(f"round(coalesce(max(1.0 / (60 + c.rank)) FILTER (WHERE channel = '{c}'), 0), 9) AS rank_{c}, (count(*) FILTER (WHERE channel = '{c}') > 0)::INTEGER AS present_{c}, round(coalesce(max(raw_score) FILTER (WHERE channel = '{c}'), 0), 6) AS score_{c}" for c in ('title', 'params', 'description'))}
  FROM base b JOIN ch c USING (qid, item_id) GROUP BY ALL""")
 def rank_features_pivot(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,14 +236,6 @@ def rank_features_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return features.channel_features(ch, fusion.fused_scores(ch, CONSTANT), ["title", "params", "description"], CONSTANT)
 
 
-@query("overlap_features", f"""WITH {_BASE_ROWS}, q AS (SELECT qid, {R.norm('text')} AS qt, list_distinct({R.toks(R.norm('text'))}) AS qs FROM queries),
-i AS (SELECT item_id, {R.norm('title')} AS tt, list_distinct({R.toks(R.norm('title'))}) AS ts, list_distinct({R.toks(R.norm("left(description, 1500)"))}) AS ds FROM corpus)
-SELECT b.qid, b.item_id, len(list_intersect(qs, ts))::INTEGER AS title_overlap, round(len(list_intersect(qs, ts)) / greatest(1, len(qs)), 6) AS title_coverage, len(list_intersect(qs, ds))::INTEGER AS description_overlap,
- round(len(list_intersect(qs, ds)) / greatest(1, len(qs)), 6) AS description_coverage, (tt <> '' AND contains(qt, tt))::INTEGER AS title_in_query, round(ln(1 + len(ts)), 6) AS title_length FROM base b JOIN q USING (qid) JOIN i USING (item_id)""")
-def overlap_features(spark: SparkSession, sf: str) -> DataFrame:
-    return features.overlaps(fusion.pool(channels(spark, sf)), R.queries(spark, sf), R.corpus(spark, sf))
-
-
 _LABELLED = f"""{_BASE_ROWS}, {R.TRUTH}, lab AS (SELECT b.*, (t.qid IS NOT NULL)::INTEGER AS label FROM base b LEFT JOIN truth t USING (qid, item_id))"""
 
 

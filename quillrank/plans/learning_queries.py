@@ -11,7 +11,7 @@ from ..functions import text as X
 from . import roles as R
 from .evaluation_queries import _two
 from .registry import query
-from .retrieval_queries import CONSTANT, channels, labelled
+from .retrieval_queries import _LABELLED, CONSTANT, channels, labelled
 
 _NAMES = ["title", "params", "description"]
 _FEATURES = ["rrf_score", "pool_rank", "baseline_top50", "channel_count", *(f"{k}_{n}" for n in _NAMES for k in ("rank", "present", "score"))]
@@ -23,7 +23,7 @@ def _rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = features.channel_features(ch, fusion.fused_scores(ch, CONSTANT), _NAMES, CONSTANT)
     own = labelled(spark, sf)
     every = rows.join(own.select("qid", "item_id", "label", F.col("pool_rank").alias("place")), ["qid", "item_id"])
-    train = E.row_weights(learning.training_sample(own, ch)).select("qid", "item_id", "weight")
+    train = E.row_weights(learning.training_sample(own, fusion.fuse(fusion.fused_scores(ch, CONSTANT), 50), ch)).select("qid", "item_id", "weight")
     return every.join(train, ["qid", "item_id"]), every
 
 
@@ -42,9 +42,25 @@ def gbt_prefix_curve(spark: SparkSession, sf: str) -> DataFrame:
     return scored.agg(*(F.round(p(n), 6).alias(f"loss_{n}") for n in (2, 5, 10)), F.count("*").alias("n"))
 
 
-@query("training_sample")
+_SAMPLE = f"""{_LABELLED}, hd AS (SELECT qid, item_id, min((rank, ch_ord)) AS turn FROM ch WHERE rank <= 20 GROUP BY ALL),
+b AS (SELECT l.qid, l.item_id, label, CASE WHEN fr <= 50 THEN fr END AS base, turn, max(label) OVER (PARTITION BY l.qid) AS some1 FROM lab l LEFT JOIN hd ON hd.qid = l.qid AND hd.item_id = l.item_id),
+c AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY base NULLS LAST, item_id) AS first FROM b), d AS (SELECT *, CASE WHEN base IS NOT NULL AND first <= 6 THEN 1 WHEN turn IS NOT NULL THEN 2 WHEN base IS NOT NULL THEN 3 ELSE 4 END AS kind FROM c),
+e AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY kind, CASE WHEN kind = 2 THEN turn END, base NULLS FIRST, item_id) AS place FROM d), f AS (SELECT *, label = 0 AND kind < 4 AND place <= 12 AS hard FROM e),
+g AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY hard DESC, sha256(to_json(['42', qid::VARCHAR, item_id::VARCHAR])), item_id) AS turn2 FROM f)"""
+
+
+@query("training_sample", f"WITH {_SAMPLE} SELECT qid, item_id, label, hard FROM g WHERE some1 = 1 AND (label = 1 OR turn2 <= 24)")
 def training_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return learning.training_sample(labelled(spark, sf), channels(spark, sf)).select("qid", "item_id", "label", "hard")
+    ch = channels(spark, sf)
+    baseline = fusion.fuse(fusion.fused_scores(ch, CONSTANT), 50)
+    return learning.training_sample(labelled(spark, sf), baseline, ch, 24).select("qid", "item_id", "label", "hard")
+
+
+@query("pairwise_rank")
+def pairwise_rank(spark: SparkSession, sf: str) -> DataFrame:
+    train, every = _rows(spark, sf)
+    scored = learning.rank_scores(learning.fit_pairwise(train, _FEATURES), every).drop("pool_rank")
+    return E.rerank(scored.withColumnRenamed("place", "pool_rank"), 50).select("qid", "item_id", "label", F.round("prob", 6).alias("prob"), "rank")
 
 
 @query("oof_category_model")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as X
+
 
 def hits(predicted: DataFrame, truth: DataFrame, available: DataFrame, k: int) -> DataFrame:
     """(qid, n_hit, n_available, n_full): for each query of the truth, what its first k found."""
@@ -15,23 +19,87 @@ def hits(predicted: DataFrame, truth: DataFrame, available: DataFrame, k: int) -
     return joined.groupBy("qid").agg(F.count("hit").alias("n_hit"), F.count("inside").alias("n_available"), F.count("*").alias("n_full"))
 
 
-def recall(groups: DataFrame, by: list[Column] | None = None, denominator: str = "n_available") -> DataFrame:
-    """Macro mean over queries, mean over texts of means over their queries, and micro recall; empty denominators stay out."""
+def recall(groups: DataFrame, by: list[str] | None = None, denominator: str = "n_available", representative: str | None = None) -> DataFrame:
+    """Recall in its averages: over queries, over texts of means over their queries, over hits; empty denominators stay out.
+
+    With ``representative``, a boolean column true for one query of each text,
+    also the mean over those queries alone.
+    """
     by = by or []
     ok = groups.where(F.col(denominator) > 0).withColumn("r", F.col("n_hit") / F.col(denominator))
-    names = [b._jc.toString() for b in by] if by else []
-    text = ok.groupBy(*by, "text").agg(F.avg("r").alias("r"), F.sum("n_hit").alias("h"), F.sum(denominator).alias("d"), F.count("*").alias("c"), F.sum("r").alias("s"))
-    out = text.groupBy(*names) if names else text.groupBy()
-    return out.agg(F.round(F.sum("s") / F.sum("c"), 6).alias("macro"), F.round(F.avg("r"), 6).alias("text_macro"), F.round(F.sum("h") / F.sum("d"), 6).alias("micro"), F.sum("c").alias("n_queries"))
+    chosen = F.when(F.col(representative), F.col("r")) if representative else F.lit(None).cast("double")
+    text = ok.groupBy(*by, "text").agg(F.avg("r").alias("r"), F.sum("n_hit").alias("h"), F.sum(denominator).alias("d"), F.count("*").alias("c"), F.sum("r").alias("s"), F.sum(chosen).alias("rep"), F.count(chosen).alias("reps"))
+    values = [F.round(F.sum("s") / F.sum("c"), 6).alias("macro"), F.round(F.avg("r"), 6).alias("text_macro"), F.round(F.sum("h") / F.sum("d"), 6).alias("micro"), F.sum("c").alias("n_queries")]
+    if representative:
+        values.append(F.round(F.sum("rep") / F.nullif(F.sum("reps"), F.lit(0)), 6).alias("representative_macro"))
+    return text.groupBy(*by).agg(*values)
 
 
 def slices(groups: DataFrame, flags: list[str]) -> DataFrame:
-    """Mean recall for each value of each flag alone, by grouping sets: (flag, value, n, mean_recall)."""
-    sets = ", ".join(f"({f})" for f in flags)
-    groups.createOrReplaceTempView("__slices")
-    which = " ".join(f"WHEN grouping({f}) = 0 THEN '{f}'" for f in flags)
-    value = "coalesce(" + ", ".join(flags) + ")"
-    return groups.sparkSession.sql(f"SELECT CASE {which} END AS flag, {value} AS value, count(*) AS n, round(avg(r), 6) AS mean_recall FROM __slices GROUP BY GROUPING SETS ({sets})")
+    """Mean recall for each value of each flag alone: (flag, value, n, mean_recall)."""
+    each = groups.select("r", F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), F.col(f).alias("value")) for f in flags))).alias("s"))
+    return each.groupBy("s.flag", "s.value").agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("mean_recall"))
+
+
+def stratum(queries: DataFrame, places: DataFrame) -> DataFrame:
+    """Queries with the three flags of their stratum: no item in their place, filters given, at most one word."""
+    known = places.select(F.col("location").alias("__at")).distinct().withColumn("__known", F.lit(True))
+    joined = queries.join(known, F.col("location") == F.col("__at"), "left")
+    words = F.size(X.tokens(X.normalize(F.col("text"))))
+    return joined.withColumn("no_exact_location", F.col("__known").isNull() | (F.coalesce("location", F.lit("")) == "")).withColumn("has_filters", F.coalesce("filters", F.lit("")) != "").withColumn("one_word", words <= 1).drop("__at", "__known")
+
+
+#: The route masks of ``route_masks``, over presence in the description, dense and geographic routes.
+MASKS = {
+    "description": "d", "dense": "e", "geo": "g", "description_or_dense": "d or e", "description_and_dense": "d and e", "description_only": "d and not e",
+    "dense_only": "e and not d", "geo_unique_additions": "g and not (d or e)", "other_routes": "not (d or e or g)", "full_pool": "true",
+}
+
+
+def route_masks(channels: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per query: candidates and hits of each of the ten route masks, and how description and dense routes overlap."""
+    has = lambda c: F.bool_or(c)
+    f = channels.groupBy("qid", "item_id").agg(has(F.col("channel") == "description").alias("d"), has(F.col("channel") == "dense").alias("e"), has(F.col("channel").endswith("_geo")).alias("g"))
+    f = f.join(truth.select("qid", "item_id", F.lit(True).alias("hit")), ["qid", "item_id"], "left").na.fill(False, ["hit"])
+    counts = [F.count_if(F.expr(m)).alias(f"{n}_count") for n, m in MASKS.items()] + [F.count_if(F.expr(f"({m}) and hit")).alias(f"{n}_hits") for n, m in MASKS.items()]
+    out = f.groupBy("qid").agg(*counts)
+    d, e, both, union = (F.col(f"{n}_count") for n in ("description", "dense", "description_and_dense", "description_or_dense"))
+    ratio = lambda x, y: F.round(x / F.nullif(y, F.lit(0)), 6)
+    return out.select("*", ratio(both, union).alias("jaccard"), ratio(both, d).alias("description_overlap"), ratio(both, e).alias("dense_overlap"), ratio(both, F.least(d, e)).alias("overlap_coefficient"))
+
+
+def described(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, groups, undefined, texts, group_mean, text_macro_mean) of nullable statistics of queries (text, fields)."""
+    each = rows.select("text", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields))).alias("s")).select("text", "s.field", "s.v")
+    text = each.groupBy("field", "text").agg(F.count("v").alias("n"), F.count("*").alias("all"), F.avg("v").alias("m"), F.sum("v").alias("t"))
+    return text.groupBy("field").agg(F.sum("n").alias("groups"), F.sum(F.col("all") - F.col("n")).alias("undefined"), F.count("m").alias("texts"), F.round(F.sum("t") / F.nullif(F.sum("n"), F.lit(0)), 6).alias("group_mean"), F.round(F.avg("m"), 6).alias("text_macro_mean"))
+
+
+def contribution(channels: DataFrame, extra: DataFrame, truth: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: what an extra route adds to the channels: candidates, queries, recall of both pools and the gain, queries with a new hit.
+
+    ``known`` (item_id): items that count as available.
+    """
+    base = channels.select("qid", "item_id").distinct().withColumn("b", F.lit(True))
+    flags = base.join(extra.select("qid", "item_id").distinct().withColumn("x", F.lit(True)), ["qid", "item_id"], "full_outer")
+    new = flags.where("b IS NULL")
+    added = new.agg(F.count("*").alias("extra"), F.count_distinct("qid").alias("n_queries"))
+    found = truth.select("qid", "item_id").distinct().join(known.select("item_id").distinct(), "item_id", "left_semi").join(flags, ["qid", "item_id"], "left")
+    each = found.groupBy("qid").agg(F.avg(F.when(F.col("b"), 1.0).otherwise(0.0)).alias("before"), F.avg(F.when(F.col("b") | F.col("x"), 1.0).otherwise(0.0)).alias("after"), F.count_if(F.col("b").isNull() & F.col("x")).alias("new"))
+    gain = each.agg(F.round(F.avg("before"), 6).alias("recall_before"), F.round(F.avg("after"), 6).alias("recall_after"), F.round(F.avg(F.col("after") - F.col("before")), 6).alias("incremental_recall"), F.count_if(F.col("new") > 0).alias("queries_with_new_positive"))
+    return added.crossJoin(gain)  # one row each
+
+
+def population(queries: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Shares of searches with filters, with a place, with a category, for delivery, and words of their texts."""
+    given = lambda c: F.avg(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", 1.0).otherwise(0.0))
+    words = F.size(X.tokens(X.normalize(F.col("text"))))
+    return queries.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.round(given("filters"), 6).alias("with_filters"), F.round(given("location"), 6).alias("with_place"), F.round(F.avg(F.when(F.coalesce("category", F.lit("")).isin("", "0"), 0.0).otherwise(1.0)), 6).alias("with_category"), F.round(F.avg(F.when(F.col("delivery") == "1", 1.0).otherwise(0.0)), 6).alias("with_delivery"), F.round(F.avg(words.cast("double")), 6).alias("mean_words"))
+
+
+def counter_report(counts: DataFrame, key: str, n: str, most: int) -> DataFrame:
+    """The most frequent keys, ties by key; a report of bounded length."""
+    return counts.orderBy(F.desc(n), key).limit(most)
 
 
 def mix_weighted(groups: DataFrame, mix: DataFrame, strata: list[str]) -> DataFrame:
@@ -60,31 +128,50 @@ def stage(curve: DataFrame, tolerance: float) -> DataFrame:
 
 
 def _drawn(clusters: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Clusters repeated for each replicate ``b`` with a Poisson(1) weight ``w`` from a hash of replicate and cluster."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "cluster", "b"), F.lit(1 << 53)) / float(1 << 53)).cast("double")
-    cuts, total, p = [], 0.0, 0.36787944117144233
-    for k in range(10):
+    """Clusters repeated for each replicate ``b`` with a Poisson(1) weight ``w`` from the sha256 of seed, replicate and cluster."""
+    hashed = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("cluster").cast("string")), 256)
+    u = F.conv(F.substring(hashed, 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
+    draws = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
+    return clusters.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", u).withColumn("w", draws)
+
+
+def _poisson(n: int = 10) -> list[float]:
+    out, total, p = [], 0.0, math.exp(-1)
+    for k in range(n):
         total += p
-        cuts.append(total)
+        out.append(total)
         p /= k + 1
-    draws = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    return clusters.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", u).withColumn("w", draws)
+    return out
+
+
+#: The distribution function of Poisson(1): how often a cluster is drawn.
+POISSON = _poisson()
 
 
-def _interval(means: DataFrame) -> DataFrame:
-    ok = means.where("m is not null")
-    return ok.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))
+def _interval(means: DataFrame, level: float = 0.95, ordered: bool = False) -> DataFrame:
+    """Bounds of the replicates' means: interpolated quantiles, or (``ordered``) the order statistics at the level's tails."""
+    tail = (1 - level) / 2
+    ok = means.where("m IS NOT NULL")
+    if ordered:
+        values = F.array_sort(F.collect_list("m"))  # one number a replicate
+        size = F.size(values)
+        pick = lambda q: F.element_at(values, F.least(F.greatest(F.floor(size * q).cast("int") + 1, F.lit(1)), size))
+        return ok.agg(pick(tail).alias("low"), pick(1 - tail).alias("high"), F.count("*").alias("replicates"))
+    return ok.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"), F.count("*").alias("replicates"))
 
 
-def bootstrap(clusters: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap(clusters: DataFrame, replicates: int = 200, seed: int = 42, weighting: str = "rows", ordered: bool = False) -> DataFrame:
     """Mean difference with a 95 % interval, clusters (cluster, delta, n) drawn with Poisson(1) weights from a hash.
 
-    Each replicate is a weighted sum, so replicates cost a shuffle of one row
-    each per partition, whatever the number of clusters.
+    ``weighting`` "rows" is a ratio of sums, in which a cluster counts by its
+    rows, "clusters" a mean in which all count alike.  Each replicate is a
+    weighted sum, so replicates cost a shuffle of one row each per partition,
+    whatever the number of clusters.
     """
-    means = _drawn(clusters, replicates, seed).groupBy("b").agg((F.sum(F.col("w") * F.col("delta") * F.col("n")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
-    point = clusters.agg((F.sum(F.col("delta") * F.col("n")) / F.sum("n")).alias("point"))
-    return point.crossJoin(_interval(means))
+    n = F.col("n") if weighting == "rows" else F.lit(1)
+    means = _drawn(clusters, replicates, seed).groupBy("b").agg((F.sum(F.col("w") * F.col("delta") * n) / F.nullif(F.sum(F.col("w") * n), F.lit(0))).alias("m"))
+    point = clusters.agg((F.sum(F.col("delta") * n) / F.sum(n)).alias("point"))
+    return point.crossJoin(_interval(means, ordered=ordered))  # one row each
 
 
 def stratified_bootstrap(clusters: DataFrame, mix: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:

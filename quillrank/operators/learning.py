@@ -1,17 +1,16 @@
-"""Learned operators on Spark ML: boosted ranker and its prefixes, out-of-fold category model, training samples."""
+"""Learned operators on Spark ML: training samples, boosted ranker and its prefixes, pairwise ranker."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
-from ..functions import text as X
 
 
 def training_sample(rows: DataFrame, baseline: DataFrame, channels: DataFrame, limit: int = 64, seed: str = "42", heads: int = 20) -> DataFrame:
@@ -95,18 +94,3 @@ def prefix_scores(model: PipelineModel, rows: DataFrame, stages: list[int]) -> D
         if i in stages:
             kept.append((F.lit(1.0) / (1 + F.exp(-2 * total))).alias(f"p{i}"))
     return out.select(*rows.columns, *kept)
-
-
-def out_of_fold(rows: DataFrame, text: str, label: str, folds: int = 3, seed: int = 42, width: int = 1 << 14) -> DataFrame:
-    """Category probabilities of each row from the model that didn't see its text: rows plus fold, predicted, prob."""
-    ready = rows.withColumn("fold", S.fold(X.normalize(F.col(text)), folds, seed)).withColumn("__words", X.tokens(X.normalize(F.col(text))))
-    index = StringIndexer(inputCol=label, outputCol="__label", handleInvalid="keep").fit(ready)
-    ready = HashingTF(inputCol="__words", outputCol="__x", numFeatures=width).transform(index.transform(ready))
-    out = None
-    for f in range(folds):
-        model = LogisticRegression(featuresCol="__x", labelCol="__label", maxIter=15, regParam=0.01).fit(ready.where(F.col("fold") != f))
-        scored = model.transform(ready.where(F.col("fold") == f)).withColumn("__p", vector_to_array("probability"))
-        part = scored.select(*rows.columns, "fold", F.col("prediction").cast("int").alias("__k"), F.array_max("__p").alias("prob"))
-        out = part if out is None else out.unionByName(part)
-    labels = F.array(*(F.lit(x) for x in index.labels))
-    return out.withColumn("predicted", F.get(labels, F.col("__k"))).drop("__k")

@@ -10,6 +10,7 @@ from ..functions import scalar as S
 from ..functions import text as X
 from ..operators import evaluation as E
 from ..operators import fusion, protocol
+from . import hybrid_queries, shop
 from . import roles as R
 from .registry import query
 from .retrieval_queries import channels, scores
@@ -19,12 +20,12 @@ def groups(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
     """One row per query with hits, denominators, and flags of the query."""
     q = R.queries(spark, sf)
     found = E.hits(fusion.fuse(scores(spark, sf), k), R.truth(spark, sf), R.corpus(spark, sf).where("category = 'en'").select("item_id"), k)
-    own = q.select("qid", F.substring(X.normalize(F.col("text")), 1, 3).alias("text"), (F.size(X.tokens(X.normalize(F.col("text")))) <= 30).alias("short"), (F.col("qid") % 2 == 0).alias("even"))
+    own = q.select("qid", X.normalize(F.col("text")).alias("text"), (F.size(X.tokens(X.normalize(F.col("text")))) <= 30).alias("short"), (F.col("qid") % 2 == 0).alias("even"))
     return own.join(found, "qid", "left").na.fill(0, ["n_hit", "n_available", "n_full"])
 
 
 _GROUPS = f"""{R.FUSED}, {R.TRUTH}, top AS (SELECT qid, item_id FROM fr WHERE fr <= 10), hit AS (SELECT t.qid, count(x.qid) AS n_hit, count(*) FILTER (WHERE c.category = 'en') AS n_available, count(*) AS n_full FROM truth t JOIN corpus c USING (item_id) LEFT JOIN top x ON x.qid = t.qid AND x.item_id = t.item_id GROUP BY t.qid),
-grp AS (SELECT q.qid, left({R.norm('text')}, 3) AS text, len({R.toks(R.norm('text'))}) <= 30 AS short, q.qid % 2 = 0 AS even, coalesce(n_hit, 0) AS n_hit, coalesce(n_available, 0) AS n_available, coalesce(n_full, 0) AS n_full FROM queries q LEFT JOIN hit USING (qid))"""
+grp AS (SELECT q.qid, {R.norm('text')} AS text, len({R.toks(R.norm('text'))}) <= 30 AS short, q.qid % 2 = 0 AS even, coalesce(n_hit, 0) AS n_hit, coalesce(n_available, 0) AS n_available, coalesce(n_full, 0) AS n_full FROM queries q LEFT JOIN hit USING (qid))"""
 _R = f"{_GROUPS}, ok AS (SELECT *, n_hit / n_full AS r FROM grp WHERE n_full > 0)"
 
 
@@ -72,13 +73,60 @@ def route_overlap(spark: SparkSession, sf: str) -> DataFrame:
                                 F.round(n["a and b"] / F.nullif(n["a or b"], F.lit(0)), 6).alias("jaccard"), F.round(n["a and b"] / F.nullif(F.least(n["a"], n["b"]), F.lit(0)), 6).alias("overlap_coefficient"))
 
 
-@query("geo_contribution", f"""WITH {R.BM25}, g AS (SELECT field, qid, doc, row_number() OVER (PARTITION BY field, qid ORDER BY score DESC, doc) AS rank FROM sc JOIN queries USING (qid) JOIN corpus c ON c.item_id = doc WHERE c.location = queries.location), ge AS (SELECT DISTINCT qid, doc AS item_id FROM g WHERE rank <= 20)
-SELECT count(*) AS extra, count(DISTINCT qid) AS n_queries FROM ge ANTI JOIN ch ON ge.qid = ch.qid AND ge.item_id = ch.item_id""")
+@query("geo_contribution", f"""WITH {R.BM25}, {R.TRUTH}, g AS (SELECT field, qid, doc, row_number() OVER (PARTITION BY field, qid ORDER BY score DESC, doc) AS rank FROM sc JOIN queries USING (qid) JOIN corpus c ON c.item_id = doc WHERE c.location = queries.location), ge AS (SELECT DISTINCT qid, doc AS item_id FROM g WHERE rank <= 20), cb AS (SELECT DISTINCT qid, item_id FROM ch),
+n AS (SELECT count(*) AS extra, count(DISTINCT qid) AS n_queries FROM ge ANTI JOIN cb ON ge.qid = cb.qid AND ge.item_id = cb.item_id),
+t AS (SELECT t.qid, avg((cb.qid IS NOT NULL)::INTEGER) AS b, avg((cb.qid IS NOT NULL OR ge.qid IS NOT NULL)::INTEGER) AS a, count(*) FILTER (WHERE cb.qid IS NULL AND ge.qid IS NOT NULL) AS new FROM truth t LEFT JOIN cb ON cb.qid = t.qid AND cb.item_id = t.item_id LEFT JOIN ge ON ge.qid = t.qid AND ge.item_id = t.item_id GROUP BY t.qid)
+SELECT extra, n_queries, recall_before, recall_after, incremental_recall, queries_with_new_positive FROM n, (SELECT round(avg(b), 6) AS recall_before, round(avg(a), 6) AS recall_after, round(avg(a - b), 6) AS incremental_recall, count(*) FILTER (WHERE new > 0) AS queries_with_new_positive FROM t)""")
 def geo_contribution(spark: SparkSession, sf: str) -> DataFrame:
     from .retrieval_queries import geo_topk
 
-    extra = geo_topk(spark, sf).select("qid", "item_id").distinct().join(channels(spark, sf), ["qid", "item_id"], "left_anti")
-    return extra.agg(F.count("*").alias("extra"), F.count_distinct("qid").alias("n_queries"))
+    return E.contribution(channels(spark, sf), geo_topk(spark, sf), R.truth(spark, sf), R.corpus(spark, sf))
+
+
+_HC = f"{R.BM25}, {R.TRUTH}, {shop.SHOP}, {shop.HYBRID}"
+_MASKED = {"description": "d", "dense": "e", "geo": "g", "description_or_dense": "d OR e", "description_and_dense": "d AND e", "description_only": "d AND NOT e", "dense_only": "e AND NOT d", "geo_unique_additions": "g AND NOT (d OR e)", "other_routes": "NOT (d OR e OR g)", "full_pool": "true"}
+_MASKS = f"""{_HC}, f AS (SELECT qid, item_id, bool_or(channel = 'description') AS d, bool_or(channel = 'dense') AS e, bool_or(channel LIKE '%geo') AS g FROM hc GROUP BY ALL), x AS (SELECT f.*, t.qid IS NOT NULL AS hit FROM f LEFT JOIN truth t USING (qid, item_id)),
+rm AS (SELECT qid, {', '.join(f"count(*) FILTER (WHERE {m}) AS {n}_count, count(*) FILTER (WHERE ({m}) AND hit) AS {n}_hits" for n, m in _MASKED.items())} FROM x GROUP BY qid),
+rs AS (SELECT *, round(description_and_dense_count / nullif(description_or_dense_count, 0), 6) AS jaccard, round(description_and_dense_count / nullif(description_count, 0), 6) AS description_overlap, round(description_and_dense_count / nullif(dense_count, 0), 6) AS dense_overlap,
+ round(description_and_dense_count / nullif(least(description_count, dense_count), 0), 6) AS overlap_coefficient FROM rm)"""
+
+
+@query("route_masks", f"WITH {_MASKS} SELECT * FROM rs")
+def route_masks(spark: SparkSession, sf: str) -> DataFrame:
+    return E.route_masks(hybrid_queries.channels(spark, sf), R.truth(spark, sf))
+
+
+@query("route_statistics", f"""WITH {_MASKS}, v AS (SELECT category AS text, 'jaccard' AS field, jaccard AS v FROM rs JOIN sq USING (qid) UNION ALL SELECT category, 'geo_hits', CASE WHEN geo_count > 0 THEN geo_hits END FROM rs JOIN sq USING (qid)), t AS (SELECT field, text, count(v) AS n, count(*) AS c, avg(v) AS m, sum(v) AS s FROM v GROUP BY ALL)
+SELECT field, sum(n)::BIGINT AS groups, sum(c - n)::BIGINT AS undefined, count(m) AS texts, round(sum(s) / nullif(sum(n), 0), 6) AS group_mean, round(avg(m), 6) AS text_macro_mean FROM t GROUP BY field""")
+def route_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of queries and their means over groups of queries (here those of a category)."""
+    rows = route_masks(spark, sf).join(shop.queries(spark, sf).select("qid", F.col("category").alias("text")), "qid")
+    return E.described(rows.withColumn("geo_hits", F.when(F.col("geo_count") > 0, F.col("geo_hits"))), ["jaccard", "geo_hits"])
+
+
+@query("query_strata", f"WITH {shop.SQL} SELECT qid, location NOT IN (SELECT location FROM si) OR location = '' AS no_exact_location, filters <> '' AS has_filters, len({R.toks(R.norm('text'))}) <= 1 AS one_word FROM sq")
+def query_strata(spark: SparkSession, sf: str) -> DataFrame:
+    return E.stratum(shop.queries(spark, sf), shop.items(spark, sf)).select("qid", "no_exact_location", "has_filters", "one_word")
+
+
+@query("search_population", f"""WITH {shop.SQL} SELECT qid % 5 AS part, count(*) AS n, round(avg((filters <> '')::INTEGER), 6) AS with_filters, round(avg((location <> '')::INTEGER), 6) AS with_place, round(avg((category NOT IN ('', '0'))::INTEGER), 6) AS with_category, round(avg((delivery = '1')::INTEGER), 6) AS with_delivery, round(avg(len({R.toks(R.norm('text'))})), 6) AS mean_words FROM sq GROUP BY 1""")
+def search_population(spark: SparkSession, sf: str) -> DataFrame:
+    return E.population(shop.queries(spark, sf).withColumn("part", F.col("qid") % 5), ["part"])
+
+
+@query("representative_recall", f"""WITH {_R}, g AS (SELECT *, qid % 8 AS ctx FROM ok), rp AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY sha256(to_json(['eval', qid::VARCHAR])), qid) = 1 AS rep FROM g),
+t AS (SELECT ctx, avg(r) AS r, sum(r) AS s, count(*) AS c, sum(n_hit) AS h, sum(n_full) AS d FROM rp GROUP BY ctx) SELECT (SELECT round(sum(s) / sum(c), 6) FROM t) AS macro, (SELECT round(avg(r), 6) FROM t) AS text_macro, (SELECT round(sum(h) / sum(d), 6) FROM t) AS micro, (SELECT sum(c)::BIGINT FROM t) AS n_queries, (SELECT round(avg(r), 6) FROM rp WHERE rep) AS representative_macro""")
+def representative_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The four averages, queries of equal id modulo 8 standing for contexts of one text."""
+    g = groups(spark, sf).where("n_full > 0").withColumn("text", F.col("qid") % 8)
+    chosen = protocol.representatives(g.select("text", "qid"), "text", "qid", "eval").select("qid", F.lit(True).alias("rep"))
+    return E.recall(g.join(chosen, "qid", "left").na.fill(False, ["rep"]), denominator="n_full", representative="rep")
+
+
+@query("top_categories_report", "SELECT p_type AS category, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, category LIMIT 4")
+def top_categories_report(spark: SparkSession, sf: str) -> DataFrame:
+    counts = R.table(spark, sf, "part").groupBy(F.col("p_type").alias("category")).agg(F.count("*").alias("n"))
+    return E.counter_report(counts, "category", "n", 4)
 
 
 _PAIR = f"""{R.BM25}, {R.TRUTH}, n AS (SELECT qid, count(*) AS n FROM truth GROUP BY qid), x AS (SELECT n.qid, count(*) FILTER (WHERE channel = 'title' AND rank <= 10) / any_value(n) AS ra, count(*) FILTER (WHERE channel = 'description' AND rank <= 10) / any_value(n) AS rb FROM n LEFT JOIN (SELECT ch.* FROM ch JOIN truth USING (qid, item_id)) c ON c.qid = n.qid GROUP BY n.qid)"""

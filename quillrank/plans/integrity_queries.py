@@ -11,7 +11,8 @@ from ..functions import text as X
 from ..operators import evaluation as E
 from ..operators import fusion, geo, integrity, protocol
 from . import roles as R
-from .evaluation_queries import _two
+from .evaluation_queries import _PAIR, _two
+from .learning_queries import _drawn
 from .registry import query
 from .retrieval_queries import _LABELLED, channels, labelled, location_bonus_grid, scores
 
@@ -129,10 +130,16 @@ def one_positive_per_text(spark: SparkSession, sf: str) -> DataFrame:
     return protocol.representatives(pairs, "text", "item_id", "pair").select("text", "item_id")
 
 
-@query("stratified_bootstrap_ci")
+_STRATA = f"""{_PAIR}, cl AS (SELECT {R.norm('text')} AS cluster, CASE WHEN qid % 2 = 0 THEN 'even' ELSE 'odd' END AS stratum, avg(rb - ra) AS delta, count(*) AS n FROM x JOIN queries USING (qid) GROUP BY ALL),
+mx AS (SELECT CASE WHEN qid % 2 = 0 THEN 'even' ELSE 'odd' END AS stratum, count(*) AS m FROM queries GROUP BY 1), sh AS (SELECT * FROM mx WHERE stratum IN (SELECT stratum FROM cl)), {_drawn('cl')},
+e AS (SELECT b, stratum, sum(w * delta * n) / nullif(sum(w * n), 0) AS v FROM dr0 GROUP BY ALL), m AS (SELECT b, sum(v * m) / sum(m) AS m, count(*) AS c FROM e JOIN sh USING (stratum) WHERE v IS NOT NULL GROUP BY b HAVING count(*) = (SELECT count(*) FROM sh)),
+p AS (SELECT sum(v * m) / sum(m) AS point FROM (SELECT stratum, sum(delta * n) / sum(n) AS v FROM cl GROUP BY 1) JOIN sh USING (stratum))"""
+
+
+@query("stratified_bootstrap_ci", f"WITH {_STRATA} SELECT (SELECT round(point, 6) FROM p) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS replicates FROM m WHERE m IS NOT NULL")
 def stratified_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _two(spark, sf)
-    own = R.queries(spark, sf).select("qid", F.substring(X.normalize(F.col("text")), 1, 3).alias("cluster"), F.when(F.col("qid") % 2 == 0, "even").otherwise("odd").alias("stratum"))
+    own = R.queries(spark, sf).select("qid", X.normalize(F.col("text")).alias("cluster"), F.when(F.col("qid") % 2 == 0, "even").otherwise("odd").alias("stratum"))
     d = a.withColumnRenamed("r", "ra").join(b.withColumnRenamed("r", "rb"), "qid").join(own, "qid")
     clusters = d.groupBy("cluster", "stratum").agg(F.avg(F.col("rb") - F.col("ra")).alias("delta"), F.count("*").alias("n"))
     return E.stratified_bootstrap(clusters, own.groupBy("stratum").agg(F.count("*").alias("m"))).select(*(F.round(c, 6).alias(c) for c in ("point", "low", "high")), "replicates")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import evaluation as E
-from ..operators import features, fusion, learning, stemming
+from ..operators import category, category_model, features, fusion, learning, stemming
 from ..functions import text as X
 from . import roles as R
-from .evaluation_queries import _two
+from .evaluation_queries import _PAIR, _two
 from .registry import query
-from .retrieval_queries import _LABELLED, CONSTANT, channels, labelled
+from .retrieval_queries import _LABELLED, CONSTANT, channels, labelled, lexical
 
 _NAMES = ["title", "params", "description"]
 _FEATURES = ["rrf_score", "pool_rank", "baseline_top50", "channel_count", *(f"{k}_{n}" for n in _NAMES for k in ("rank", "present", "score"))]
@@ -63,18 +64,60 @@ def pairwise_rank(spark: SparkSession, sf: str) -> DataFrame:
     return E.rerank(scored.withColumnRenamed("place", "pool_rank"), 50).select("qid", "item_id", "label", F.round("prob", 6).alias("prob"), "rank")
 
 
+def category_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles as texts, languages as categories, each text weighing 1."""
+    rows = R.corpus(spark, sf).select(F.col("title").alias("text"), F.col("category").alias("cat"), F.col("location").alias("context"))
+    return category.fit_weights(rows.withColumn("text", X.normalize(F.col("text"))))
+
+
 @query("oof_category_model")
 def oof_category_model(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.corpus(spark, sf).select("item_id", "title", "category")
-    return learning.out_of_fold(rows, "title", "category").select("item_id", "category", "fold", "predicted", F.round("prob", 6).alias("prob"))
+    """Each text's categories from the model of the fold that left it out, the likeliest first."""
+    model = category_model.fit(category_examples(spark, sf), category_model.Settings(words=4000, characters=8000, iterations=10))
+    scored = model.predict(R.corpus(spark, sf).select(F.col("title").alias("text")))
+    model.assert_unseen(scored)
+    top = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("prob"), "cat"))
+    return scored.withColumn("place", top).where("place <= 3").select("text", "cat", "by", F.round("prob", 6).alias("prob"), "place")
+
+
+@query("category_channel_fitted")
+def category_channel_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    """The category channel of the corpus with probabilities of a fitted model."""
+    q = R.queries(spark, sf)
+    model = category_model.fit(category_examples(spark, sf), category_model.Settings(folds=0, words=4000, characters=8000, iterations=10))
+    said = model.predict(q).join(q.select("qid", X.normalize(F.col("text")).alias("text")), "text").select("qid", "cat", "prob")
+    items = R.corpus(spark, sf).select("item_id", F.col("category").alias("microcat"), "location")
+    return category.channel(lexical(spark, sf), said, items, q, 50).select("qid", "item_id", "rank", "raw_score")
+
+
+_POISSON = " + ".join(f"(u >= {c!r})::INTEGER" for c in E.POISSON)
+
 
+def _drawn(clusters: str, more: str = "") -> str:
+    return f"""dw AS (SELECT {clusters}.*, b, ('0x' || substr(sha256('42|' || b || '|' || cluster), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0 AS u FROM {clusters}, range(1, 201) AS t(b)), dr0 AS (SELECT *, {_POISSON} AS w FROM dw)"""
 
-@query("cluster_bootstrap_ci")
+
+_DELTA = f"{_PAIR}, cl AS (SELECT {R.norm('text')} AS cluster, avg(rb - ra) AS delta, count(*) AS n FROM x JOIN queries USING (qid) GROUP BY 1)"
+_MEANS = "m AS (SELECT b, sum(w * delta * n) / nullif(sum(w * n), 0) AS m FROM dr0 GROUP BY b)"
+
+
+@query("cluster_bootstrap_ci", f"WITH {_DELTA}, {_drawn('cl')}, {_MEANS} SELECT (SELECT round(sum(delta * n) / sum(n), 6) FROM cl) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS replicates FROM m WHERE m IS NOT NULL")
 def cluster_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
+    return E.bootstrap(_clusters(spark, sf)).select(*(F.round(c, 6).alias(c) for c in ("point", "low", "high")), "replicates")
+
+
+@query("ordered_bootstrap_ci", f"WITH {_DELTA}, {_drawn('cl')}, m AS (SELECT b, sum(w * delta) / nullif(sum(w), 0) AS m FROM dr0 GROUP BY b), s AS (SELECT list_sort(list(m)) AS v FROM m WHERE m IS NOT NULL) SELECT (SELECT round(avg(delta), 6) FROM cl) AS point, round(v[least(floor(len(v) * 0.025)::INTEGER + 1, len(v))], 6) AS low, round(v[least(floor(len(v) * 0.975)::INTEGER + 1, len(v))], 6) AS high, len(v) AS replicates FROM s")
+def ordered_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
+    out = E.bootstrap(_clusters(spark, sf), weighting="clusters", ordered=True)
+    return out.select(*(F.round(c, 6).alias(c) for c in ("point", "low", "high")), "replicates")
+
+
+def _clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Differences of two channels' recall by whole normalised text."""
     a, b = _two(spark, sf)
-    d = a.withColumnRenamed("r", "ra").join(b.withColumnRenamed("r", "rb"), "qid").join(R.queries(spark, sf).select("qid", F.substring(X.normalize(F.col("text")), 1, 3).alias("cluster")), "qid")
-    clusters = d.groupBy("cluster").agg(F.avg(F.col("rb") - F.col("ra")).alias("delta"), F.count("*").alias("n"))
-    return E.bootstrap(clusters).select(*(F.round(c, 6).alias(c) for c in ("point", "low", "high")), "replicates")
+    own = R.queries(spark, sf).select("qid", X.normalize(F.col("text")).alias("cluster"))
+    d = a.withColumnRenamed("r", "ra").join(b.withColumnRenamed("r", "rb"), "qid").join(own, "qid")
+    return d.groupBy("cluster").agg(F.avg(F.col("rb") - F.col("ra")).alias("delta"), F.count("*").alias("n"))
 
 
 @query("stemmed_vocabulary")

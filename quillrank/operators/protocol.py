@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import storage
 from ..functions import scalar as S
+from ..functions import text as X
 
 
 def sources(train: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
@@ -70,18 +72,76 @@ def answers(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy(F.col("qid").alias("query_id")).agg(F.concat_ws(" ", ids).alias("answer"))
 
 
-def violations(answer: DataFrame, queries: DataFrame, corpus: DataFrame, most: int = 50) -> DataFrame:
-    """How many rows break each rule of an answer file; all zero for a valid one."""
+def violations(answer: DataFrame, queries: DataFrame, corpus: DataFrame, most: int = 50, strict: bool = False) -> DataFrame:
+    """How many rows break each rule of an answer file; all zero for a valid one.
+
+    With ``strict`` also the forms of ids: query ids of 16 characters, item ids
+    of 16 lower-case hexadecimal digits, single spaces between them.  The
+    answer is worked out once.
+    """
+    answer = storage.stored(answer.select("query_id", "answer"), "answer")
     ids = answer.withColumn("ids", F.filter(F.split("answer", " "), lambda x: x != ""))
     known = queries.select(F.col("qid").alias("query_id")).distinct()
+    rules = {"too_many": F.size("ids") > most, "repeated_item": F.size("ids") != F.size(F.array_distinct("ids"))}
+    if strict:
+        rules |= {"query_id_form": ~is_query_id(F.col("query_id").cast("string")), "item_id_form": F.exists("ids", lambda x: ~is_item_id(x)) | (F.col("answer") != F.array_join("ids", " "))}
+    flagged = ids.agg(*(F.count_if(r).alias(n) for n, r in rules.items()))
+    told = flagged.select(F.inline(F.array(*(F.struct(F.lit(n).alias("violation"), F.col(n).alias("n")) for n in rules))))
     items = ids.select(F.explode("ids").alias("id")).join(corpus.select(F.col("item_id").cast("string").alias("id")).distinct(), "id", "left_anti")
-    repeated = answer.groupBy("query_id").count().where("count > 1")
-    found = {"missing_query": known.join(answer, "query_id", "left_anti"), "unknown_query": answer.join(known, "query_id", "left_anti"), "unknown_item": items, "too_many": ids.where(F.size("ids") > most), "repeated_item": ids.where(F.size("ids") != F.size(F.array_distinct("ids"))), "repeated_query": repeated}
-    out = None
+    found = {"missing_query": known.join(answer, "query_id", "left_anti"), "unknown_query": answer.join(known, "query_id", "left_anti"), "unknown_item": items, "repeated_query": answer.groupBy("query_id").count().where("count > 1")}
     for name, rows in found.items():
-        one = rows.agg(F.lit(name).alias("violation"), F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        told = told.unionByName(rows.agg(F.lit(name).alias("violation"), F.count("*").alias("n")))
+    return told
+
+
+def allowed(rows: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
+    """Rows whose normalised text is on a list; an empty list is an error."""
+    if texts.isEmpty():
+        raise ValueError("the list of allowed texts is empty")
+    listed = texts.select(X.normalize(F.col(text)).alias("__t")).distinct()
+    return rows.join(listed, X.normalize(F.col(text)) == F.col("__t"), "left_semi")
+
+
+#: The fields that make a query's key, in order.
+KEY = ("text", "location", "delivery", "filters", "category")
+
+
+def query_key(columns: tuple[str, ...] = KEY) -> Column:
+    """A query's identity: the canonical JSON array of its normalised fields."""
+    return F.to_json(F.array(*(X.normalize(F.col(c).cast("string")) for c in columns)))
+
+
+def split(clicks: DataFrame, mode: str, fraction: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Fit and validation clicks by a hash: of the query's text, of the pair of a whole query key and the item, or all for validation."""
+    if mode == "all":
+        return clicks.where(F.lit(False)), clicks
+    if mode == "queries":
+        held = S.held_out(X.normalize(F.col("text")), fraction, seed)
+    else:
+        nested = F.concat(F.lit(f"[{seed},["), query_key(), F.lit(","), F.expr("substring(to_json(array(cast(item_id AS string))), 2)"), F.lit("]"))
+        number = F.conv(F.substring(F.sha2(nested, 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double")
+        held = number / F.lit(2.0**64) < fraction
+    return clicks.where(~held), clicks.where(held)
+
+
+def audit_rows(pool: DataFrame, truth: DataFrame, strata: DataFrame, partitions: DataFrame) -> DataFrame:
+    """Every pool row with its label, its query's flags and its text's partition, as an audit reads them.
+
+    ``strata``: qid, text, flags; ``partitions``: text (normalised), partition.
+    """
+    labelled = pool.join(truth.select("qid", "item_id", F.lit(1).alias("label")), ["qid", "item_id"], "left").na.fill(0, ["label"])
+    own = strata.withColumn("text", X.normalize(F.col("text"))).join(partitions.select("text", "partition"), "text")
+    return labelled.join(own, "qid")
+
+
+def popular_fill(ranked: DataFrame, queries: DataFrame, clicks: DataFrame, items: DataFrame, limit: int) -> DataFrame:
+    """Rankings filled up to ``limit`` with the most clicked items of the corpus that a query hasn't got, ties by id."""
+    counts = clicks.join(items.select("item_id"), "item_id", "left_semi").groupBy("item_id").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), "item_id").limit(2 * limit)  # enough for any query: at most ``limit`` are taken already
+    sizes = queries.select("qid").distinct().join(ranked.groupBy("qid").agg(F.count("*").alias("had")), "qid", "left").withColumn("had", F.coalesce("had", F.lit(0))).where(F.col("had") < limit)
+    offered = sizes.crossJoin(F.broadcast(top)).join(ranked.select("qid", "item_id"), ["qid", "item_id"], "left_anti")
+    offered = offered.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), "item_id"))).where(F.col("had") + F.col("k") <= limit)
+    return ranked.select("qid", "item_id", "rank").unionByName(offered.select("qid", "item_id", (F.col("had") + F.col("k")).cast("long").alias("rank")))
 
 
 def islands(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -99,7 +159,14 @@ def islands(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return runs.join(F.broadcast(seam), group, "left").select(group, (F.col("runs") - F.coalesce("joined", F.lit(0))).alias("islands"), "n")
 
 
-def fingerprint(rows: DataFrame) -> DataFrame:
-    """Order-free digest of a table of bounded size (a catalogue): the digest of its rows' sorted digests."""
-    each = rows.select(F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in rows.columns)), 256).alias("h"))
-    return each.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("h"))), 256).alias("fingerprint"), F.count("*").alias("n"))
+def fingerprint(rows: DataFrame, buckets: int = 4096) -> DataFrame:
+    """Order-free digest of a table: rows' digests are sorted in buckets by their front, the buckets' digests give the last.
+
+    A null differs from any text.  A task holds one bucket's digests, 64 bytes
+    a row; take more buckets for a table of billions (the digest depends on
+    their number).
+    """
+    each = rows.select(F.sha2(F.to_json(F.array(*(F.col(f"`{c}`").cast("string") for c in rows.columns))), 256).alias("h"))
+    dealt = each.withColumn("b", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % buckets)
+    parts = dealt.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("d"), F.count("*").alias("n"))
+    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col("b").cast("string"), 12, "0"), "d"))), "\n"), 256).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import scalar as S
 from ..functions import text as X
 from ..operators import evaluation as E
-from ..operators import fusion, protocol
+from ..operators import category, fusion, protocol
 from . import hybrid_queries, shop
 from . import roles as R
 from .registry import query
@@ -225,7 +225,7 @@ def group_contiguity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sentinel_fix", "SELECT event_id, CASE WHEN event_type IN ('', '0', 'error') THEN 0 ELSE value END AS value FROM events")
 def sentinel_fix(spark: SparkSession, sf: str) -> DataFrame:
-    return R.table(spark, sf, "events").select("event_id", F.when(F.col("event_type").isin("", "0", "error"), 0.0).otherwise(F.col("value")).alias("value"))
+    return R.table(spark, sf, "events").select("event_id", F.when(category.without_sentinel(F.when(F.col("event_type") == "error", "0").otherwise(F.col("event_type"))) == "", 0.0).otherwise(F.col("value")).alias("value"))
 
 
 @query("dataset_overlap", "SELECT (SELECT count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)) AS n_union, (SELECT count(*) FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)) AS n_both, (SELECT count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)) AS n_without")
@@ -235,9 +235,10 @@ def dataset_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return one(c.union(s).distinct(), "n_union").crossJoin(one(c.intersect(s), "n_both")).crossJoin(one(n.subtract(s), "n_without"))
 
 
-@query("corpus_fingerprint", "WITH r AS (SELECT sha256(concat_ws('|', p_partkey, p_name, p_brand)) AS h FROM part) SELECT sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint, count(*) AS n FROM r")
+@query("corpus_fingerprint", """WITH r AS (SELECT sha256(to_json([p_partkey::VARCHAR, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_name END, p_brand])) AS h FROM part), b AS (SELECT ('0x' || substr(h, 1, 8))::BIGINT % 4096 AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM r GROUP BY 1)
+SELECT sha256(string_agg(lpad(b::VARCHAR, 12, '0') || ':' || d, chr(10) ORDER BY lpad(b::VARCHAR, 12, '0') || ':' || d)) AS fingerprint, sum(n)::BIGINT AS n FROM b""")
 def corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return protocol.fingerprint(R.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand"))
+    return protocol.fingerprint(R.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_name")).alias("p_name"), "p_brand"))
 
 
 @query("table_inventory", " UNION ALL ".join(f"SELECT '{t}' AS name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS n_columns" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import text as X
-from ..operators import category, fusion, geo, hybrid
+from ..operators import category, evaluation, fusion, geo, hybrid, protocol, variants
 from . import roles as R
 from . import shop
 from .registry import query
@@ -130,3 +130,83 @@ def swapped_channel(spark: SparkSession, sf: str) -> DataFrame:
     ch = channels(spark, sf)
     other = ch.where("channel = 'title' AND rank <= 5").select("qid", "item_id", "rank", "raw_score")
     return fusion.fused_scores(hybrid.swapped(ch, "dense", other), 60).select("qid", "item_id", "score")
+
+
+_VARIANT_LIST = """[{"name": "values", "mode": "fill", "channels": {"supplemental_title_values": 1.0, "micro_combined": 0.5}, "addition_quota": 30, "matched_addition_family": "f"},
+ {"name": "micro", "mode": "fill", "channels": {"micro_combined": 1.0}, "matched_addition_family": "f"}, {"name": "deep", "mode": "fill", "channels": {"supplemental_dense_current": 1.0}},
+ {"name": "heads", "mode": "replace", "channels": {"dense": {"source": "base", "quota": 20}, "micro_combined": {"source": "new", "quota": 15}}}]"""
+
+
+def new_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Routes beside the base: titles by values, categories, and a deep dense ranking."""
+    from ..operators.bm25 import top_k
+
+    top = top_k(shop.lexical(spark, sf, "values").where("field = 'title'"), 80, ["qid"]).select("qid", F.lit("supplemental_title_values").alias("channel"), F.col("doc").alias("item_id"), "rank")
+    micro = micro_route(spark, sf).select("qid", F.lit("micro_combined").alias("channel"), "item_id", "rank")
+    deep = shop.dense(spark, sf, 120).select("qid", F.lit("supplemental_dense_current").alias("channel"), "item_id", "rank")
+    return R.once(spark, sf, "new-routes", lambda: storage.stored(top.unionByName(micro).unionByName(deep), "new-routes"))
+
+
+_NEW = f"""WITH {_VALUES}, {shop.SHOP}, {MICRO}, {shop.DENSE}, b AS (SELECT qid, item_id, rank AS pool_rank FROM dr WHERE rank <= 50),
+rt AS (SELECT qid, 'supplemental_title_values' AS channel, doc AS item_id, rank FROM rk WHERE field = 'title' AND rank <= 80 UNION ALL SELECT qid, 'micro_combined', item_id, rank FROM mc UNION ALL SELECT qid, 'supplemental_dense_current', item_id, rank FROM dr WHERE rank <= 120),
+vw(variant, channel, w) AS (VALUES ('values', 'supplemental_title_values', 1.0::DOUBLE), ('values', 'micro_combined', 0.5::DOUBLE), ('micro', 'micro_combined', 1.0::DOUBLE), ('deep', 'supplemental_dense_current', 1.0::DOUBLE)),
+vs AS (SELECT variant, rt.qid, rt.item_id, round(sum(w / (60 + rank)), 9) AS score FROM rt ANTI JOIN b USING (qid, item_id) JOIN vw USING (channel) GROUP BY ALL), vr AS (SELECT *, row_number() OVER (PARTITION BY variant, qid ORDER BY score DESC, item_id) AS place FROM vs),
+nn AS (SELECT q.qid, v.variant, least(100 - coalesce((SELECT count(*) FROM b WHERE b.qid = q.qid), 0), coalesce((SELECT count(*) FROM vr WHERE vr.qid = q.qid AND vr.variant = v.variant), 0), CASE v.variant WHEN 'values' THEN 30 ELSE 998 END) AS want FROM (SELECT DISTINCT qid FROM rt) q, (SELECT DISTINCT variant FROM vw) v),
+nm AS (SELECT qid, variant, CASE WHEN variant IN ('values', 'micro') THEN min(want) FILTER (WHERE variant IN ('values', 'micro')) OVER (PARTITION BY qid) ELSE want END AS want FROM nn),
+hd AS (SELECT qid, item_id, min((o, rank)) AS spot FROM (SELECT qid, item_id, 0 AS o, rank FROM dr WHERE rank <= 20 UNION ALL SELECT qid, item_id, 1, rank FROM mc WHERE rank <= 15) GROUP BY ALL)"""
+
+
+@query("declared_variants", f"""{_NEW} SELECT variant, qid, item_id, pool_rank FROM b, (SELECT DISTINCT variant FROM vw) UNION ALL SELECT variant, qid, item_id, 50 + place FROM vr JOIN nm USING (variant, qid) WHERE place <= want
+UNION ALL SELECT 'heads', qid, item_id, row_number() OVER (PARTITION BY qid ORDER BY spot, item_id) FROM hd""")
+def declared_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Pools of declared variants: fills of one family equally large, others by quota, and a pool of heads."""
+    base = shop.dense(spark, sf, 50).select("qid", F.lit("dense").alias("channel"), F.lit(0).alias("ch_ord"), "item_id", "rank")
+    return variants.pools(base, new_routes(spark, sf), variants.declared(_VARIANT_LIST), capacity=100)
+
+
+@query("hypothesis_channels", f"""SELECT * FROM (WITH {R.BM25} SELECT qid, 'text_' || field AS channel, doc AS item_id, rank, score AS raw_score FROM rk WHERE rank <= 20 AND field IN ('title', 'params')) UNION ALL SELECT * FROM (WITH {_VALUES} SELECT qid, 'values_' || field, doc, rank, score FROM rk WHERE rank <= 20 AND field IN ('title', 'params'))""")
+def hypothesis_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """Channels of several layouts of a query over several fields, for trying them out."""
+    from ..operators.bm25 import top_k
+
+    out = None
+    for layout in ("text", "values"):
+        top = top_k(shop.lexical(spark, sf, layout).where("field in ('title', 'params')"), 20, ["field", "qid"])
+        one = top.select("qid", F.concat(F.lit(f"{layout}_"), "field").alias("channel"), F.col("doc").alias("item_id"), "rank", F.col("score").alias("raw_score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("popular_fill", f"WITH {R.BM25}, {shop.SHOP}, a AS (SELECT qid, doc AS item_id, rank FROM rk WHERE field = 'title' AND rank <= (qid % 4) * 3), h AS (SELECT queries.qid, count(a.qid) AS had FROM queries LEFT JOIN a USING (qid) GROUP BY 1), t AS (SELECT item_id, count(*) AS n FROM sk WHERE item_id % 3 = 0 OR item_id % 7 = 0 GROUP BY 1), o AS (SELECT h.*, t.* FROM h, t WHERE had < 10), p AS (SELECT o.*, row_number() OVER (PARTITION BY o.qid ORDER BY n DESC, o.item_id) AS k FROM o ANTI JOIN a USING (qid, item_id)) SELECT qid, item_id, rank FROM a UNION ALL SELECT qid, item_id, had + k FROM p WHERE had + k <= 10")
+def popular_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Short rankings filled with the most clicked items."""
+    from ..operators.bm25 import top_k
+
+    top = top_k(shop.lexical(spark, sf).where("field = 'title'"), 9, ["qid"]).where("rank <= (qid % 4) * 3").select("qid", F.col("doc").alias("item_id"), "rank")
+    clicks = shop.clicks(spark, sf).where("item_id % 3 = 0 OR item_id % 7 = 0")
+    return protocol.popular_fill(top, shop.queries(spark, sf), clicks, shop.items(spark, sf), 10)
+
+
+@query("audit_cache_rows", f"""WITH {R.BM25}, {R.TRUTH}, {shop.SHOP}, {shop.DENSE}, x AS (SELECT text, sha256(to_json(['cold', text])) AS h FROM (SELECT DISTINCT {R.norm('text')} AS text FROM sq)), pt AS (SELECT text, CASE WHEN row_number() OVER (ORDER BY h, text) <= 10 THEN 'audit' WHEN row_number() OVER (ORDER BY h, text) <= 15 THEN 'tune' ELSE 'fit' END AS partition FROM x)
+SELECT dr.qid, dr.item_id, dr.rank AS pool_rank, (t.qid IS NOT NULL)::INTEGER AS label, partition, location NOT IN (SELECT location FROM si) OR location = '' AS no_exact_location, filters <> '' AS has_filters, len({R.toks(R.norm('sq.text'))}) <= 1 AS one_word FROM dr JOIN sq USING (qid) JOIN pt ON pt.text = {R.norm('sq.text')} LEFT JOIN truth t ON t.qid = dr.qid AND t.item_id = dr.item_id WHERE dr.rank <= 50""")
+def audit_cache_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Pool rows with labels, flags and partitions, as the audit cache holds them."""
+    q = shop.queries(spark, sf)
+    texts = q.select(X.normalize(F.col("text")).alias("text")).distinct()
+    parts = protocol.partitions(texts, "text", "cold", {"audit": 10, "tune": 5}, "fit")
+    strata = evaluation.stratum(q, shop.items(spark, sf)).select("qid", "text", "no_exact_location", "has_filters", "one_word")
+    pool = shop.dense(spark, sf, 50).select("qid", "item_id", F.col("rank").alias("pool_rank"))
+    return protocol.audit_rows(pool, R.truth(spark, sf), strata, parts).drop("text")
+
+
+@query("allowed_texts", f"WITH {shop.SQL} SELECT qid FROM sq WHERE {R.norm('text')} IN (SELECT {R.norm('text')} FROM sq WHERE qid % 3 = 1)")
+def allowed_texts(spark: SparkSession, sf: str) -> DataFrame:
+    q = shop.queries(spark, sf)
+    return protocol.allowed(q, q.where("qid % 3 = 1").select(F.concat(F.lit("  "), "text").alias("text"))).select("qid")
+
+
+@query("pair_split", f"""WITH {shop.SQL}, k AS (SELECT qid, qid * 7 AS item_id, to_json([{R.norm('text')}, location, delivery, {R.norm('filters')}, category]) AS k FROM sq) SELECT qid, ('0x' || substr(sha256('[42,[' || k || ',' || to_json(item_id::VARCHAR) || ']]'), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 < 0.3 AS valid FROM k""")
+def pair_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a whole query key and an item, split by hash."""
+    fit, valid = protocol.split(shop.queries(spark, sf).withColumn("item_id", F.col("qid") * 7), "pairs", 0.3)
+    return fit.select("qid", F.lit(False).alias("valid")).unionByName(valid.select("qid", F.lit(True).alias("valid")))

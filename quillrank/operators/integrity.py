@@ -95,18 +95,29 @@ def alpha_grid(rows: DataFrame, alphas: list[float], k: int) -> DataFrame:
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("alpha", "qid", "item_id", "mixed", "rank")
 
 
-def bonus_summary(ranked: DataFrame, truth: DataFrame, slices: Column) -> DataFrame:
-    """(bonus, all_recall, first_recall, second_recall, best) from a grid of rankings.
+def bonus_summary(ranked: DataFrame, truth: DataFrame, slices: Column, queries: DataFrame, items: DataFrame) -> DataFrame:
+    """Per bonus of a grid of rankings: recall of all queries, of both halves, of local and other positives, the share of local answers, and which is best.
 
     ``slices`` is a boolean of ``qid`` that tells the first half of the queries
     (for choosing) from the second (for confirming); best is the bonus of
-    highest recall on the first, the smallest of equals.
+    highest recall on the first, the smallest of equals.  A positive is local
+    if it lies in its query's place; queries without a place have none, and
+    count as 0 in the share of local answers.
     """
-    sizes = truth.groupBy("qid").agg(F.count("*").alias("size"))
+    place = queries.select("qid", F.coalesce("location", F.lit("")).alias("__here"))
+    at = items.select("item_id", F.coalesce("location", F.lit("")).alias("__at"))
+    known = truth.join(place, "qid").join(at, "item_id", "left").withColumn("__local", (F.col("__here") != "") & F.coalesce(F.col("__at") == F.col("__here"), F.lit(False)))
+    placed = F.col("__here") != ""
+    sizes = known.groupBy("qid").agg(F.count("*").alias("size"), F.count_if("__local").alias("locals"), F.count_if(~F.col("__local") & placed).alias("others"))
     bonuses = ranked.select("bonus").distinct()
-    found = ranked.join(truth, ["qid", "item_id"]).groupBy("bonus", "qid").agg(F.count("*").alias("hits"))
-    each = sizes.crossJoin(F.broadcast(bonuses)).join(found, ["bonus", "qid"], "left").withColumn("r", F.coalesce("hits", F.lit(0)) / F.col("size")).withColumn("first", slices)
+    found = ranked.join(known, ["qid", "item_id"]).groupBy("bonus", "qid").agg(F.count("*").alias("hits"), F.count_if("__local").alias("local_hits"))
+    shares = ranked.join(place, "qid").join(at, "item_id").groupBy("bonus", "qid").agg(F.avg(F.when(placed & (F.col("__at") == F.col("__here")), 1.0).otherwise(0.0)).alias("share"))
+    each = sizes.crossJoin(F.broadcast(bonuses)).join(found, ["bonus", "qid"], "left").join(shares, ["bonus", "qid"], "left").na.fill(0, ["hits", "local_hits"]).na.fill(0.0, ["share"])
+    each = each.withColumn("r", F.col("hits") / F.col("size")).withColumn("first", slices)
     avg = lambda c: F.round(F.avg(c), 6)
-    out = each.groupBy("bonus").agg(avg(F.col("r")).alias("all_recall"), avg(F.when(F.col("first"), F.col("r"))).alias("first_recall"), avg(F.when(~F.col("first"), F.col("r"))).alias("second_recall"))
+    out = each.groupBy("bonus").agg(
+        avg(F.col("r")).alias("all_recall"), avg(F.when(F.col("first"), F.col("r"))).alias("first_recall"), avg(F.when(~F.col("first"), F.col("r"))).alias("second_recall"),
+        avg(F.when(F.col("locals") > 0, F.col("local_hits") / F.col("locals"))).alias("local_recall"), avg(F.when(F.col("others") > 0, (F.col("hits") - F.col("local_hits")) / F.col("others"))).alias("other_recall"), avg(F.col("share")).alias("local_share"),
+    )
     rank = F.row_number().over(Window.orderBy(F.desc_nulls_last("first_recall"), "bonus"))  # a row for each bonus
     return out.withColumn("best", rank == 1)

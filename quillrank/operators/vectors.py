@@ -32,8 +32,11 @@ def packed(vectors: DataFrame, key: str, vector: str, group: Column | None = Non
     ship(vectors.sparkSession)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            rows = rows[rows["v"].notna()].sort_values("g", kind="stable")
+        waiting: list[pd.DataFrame] = []
+        held = 0
+
+        def made(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            rows = rows.sort_values("g", kind="stable")
             for at in range(0, len(rows), block):
                 part = rows.iloc[at : at + block]
                 data = np.stack(part["v"].to_list()).astype(np.float64)
@@ -42,6 +45,16 @@ def packed(vectors: DataFrame, key: str, vector: str, group: Column | None = Non
                 if ok.any():
                     yield pd.DataFrame({"ids": [part["k"].to_numpy()[ok]], "groups": [part["g"].to_numpy()[ok]], "data": [(data[ok] / norm[ok, None]).tobytes()], "width": [data.shape[1]]})
 
+        for rows in batches:  # blocks are full whatever size the batches come in
+            rows = rows[rows["v"].notna()]
+            waiting.append(rows)
+            held += len(rows)
+            if held >= block:
+                yield from made(pd.concat(waiting))
+                waiting, held = [], 0
+        if held:
+            yield from made(pd.concat(waiting))
+
     kind = key_type(vectors, key)
     schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("groups", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType()), T.StructField("width", T.IntegerType())])
     one = F.lit(0) if group is None else F.coalesce(group, F.lit(-1))
@@ -61,12 +74,14 @@ def _best(near: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return row[place < k], col[place < k]
 
 
-def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", skip_self: bool = True, group: Column | None = None) -> DataFrame:
+def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", skip_self: bool = False, group: Column | None = None) -> DataFrame:
     """(qid, item_id, score, rank): the k most similar rows of the corpus to each query, exactly.
 
     With ``group``, a whole-number expression over the corpus, the k of each
-    group (null is one), and a column ``grp``.  Blocks of queries meet blocks
-    of the corpus; each meeting is one matrix product, stripe by stripe, and
+    group (null is one), and a column ``grp``.  With ``skip_self``, for queries
+    that are rows of the corpus, a row isn't its own answer.  The queries are a
+    given set, not the corpus itself: each of their blocks meets every block
+    of the corpus.  Each meeting is one matrix product, stripe by stripe, and
     gives at most k rows a query and group, so only those are shuffled.
     """
     q = packed(queries, key, vector).select(F.col("ids").alias("q_ids"), F.col("data").alias("q"), "width")

@@ -14,6 +14,7 @@ from . import roles as R
 from .evaluation_queries import _PAIR, _two
 from .learning_queries import _drawn
 from .registry import query
+from .vector_queries import _TOP, POOL, ranked_pool
 from .retrieval_queries import _LABELLED, channels, labelled, location_bonus_grid, scores
 
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -25,15 +26,15 @@ def rank_recovery(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.recovered_ranks(rows, "inverse", 60, ["qid", "channel"])
 
 
-@query("norm_recovery", """WITH p AS (SELECT a.vec_id AS qid, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos,
+@query("norm_recovery", f"""WITH {_TOP}, p AS (SELECT r.qid, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos,
  list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS raw
- FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+ FROM r JOIN embeddings a ON a.vec_id = r.qid JOIN embeddings b ON b.vec_id = r.item_id WHERE rank <= {POOL}),
 n AS (SELECT qid, median(raw / cos) FILTER (WHERE abs(cos) >= 1e-3) AS norm FROM p GROUP BY qid)
 SELECT qid, round(norm, 6) AS norm, round(max(abs(raw - norm * cos)), 6) AS residual, count(*) AS n FROM p JOIN n USING (qid) GROUP BY qid, norm""")
 def norm_recovery(spark: SparkSession, sf: str) -> DataFrame:
     v = R.table(spark, sf, "embeddings")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label", F.col("embedding").alias("qv"))
-    pairs = q.join(v.select(F.col("vec_id").alias("item_id"), "label", F.col("embedding").alias("iv")), "label").where("qid <> item_id")
+    q, c = v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("iv"))
+    pairs = ranked_pool(spark, sf).join(q, "qid").join(c, "item_id")
     dot, own = S.dot(F.col("qv"), F.col("iv")), F.sqrt(S.dot(F.col("iv"), F.col("iv")))
     pairs = pairs.select("qid", (dot / own).alias("raw"), S.cosine(F.col("qv"), F.col("iv")).alias("cos"))
     return integrity.recovered_norms(pairs, "qid").select("qid", F.round("norm", 6).alias("norm"), F.round("residual", 6).alias("residual"), "n")
@@ -111,12 +112,14 @@ def alpha_grid(spark: SparkSession, sf: str) -> DataFrame:
 @query("location_bonus_summary", f"""WITH {R.FUSED}, {R.TRUTH}, g AS (SELECT b AS bonus, f.qid, f.item_id, round(f.score + CASE WHEN q.location = c.location AND q.location <> '' THEN b ELSE 0 END, 9) AS score
  FROM fused f JOIN queries q USING (qid) JOIN corpus c USING (item_id), (VALUES (0.0::DOUBLE), (0.02::DOUBLE), (0.1::DOUBLE)) AS v(b)),
 r AS (SELECT *, row_number() OVER (PARTITION BY bonus, qid ORDER BY score DESC, item_id) AS rank FROM g),
-s AS (SELECT qid, count(*) AS size FROM truth GROUP BY qid), k AS (SELECT bonus, qid, count(*) AS hits FROM r JOIN truth USING (qid, item_id) WHERE rank <= 10 GROUP BY ALL),
-h AS (SELECT b.bonus, s.qid, coalesce(hits, 0) / size AS rec FROM s CROSS JOIN (SELECT DISTINCT bonus FROM g) b LEFT JOIN k ON k.bonus = b.bonus AND k.qid = s.qid),
-o AS (SELECT bonus, round(avg(rec), 6) AS all_recall, round(avg(rec) FILTER (WHERE qid % 2 = 0), 6) AS first_recall, round(avg(rec) FILTER (WHERE qid % 2 <> 0), 6) AS second_recall FROM h GROUP BY bonus)
+tl AS (SELECT t.*, q.location AS here, c.location = q.location AND q.location <> '' AS loc FROM truth t JOIN queries q USING (qid) LEFT JOIN corpus c USING (item_id)),
+s AS (SELECT qid, count(*) AS size, count(*) FILTER (WHERE loc) AS locals, count(*) FILTER (WHERE NOT loc AND here <> '') AS others FROM tl GROUP BY qid), k AS (SELECT bonus, r.qid, count(*) AS hits, count(*) FILTER (WHERE loc) AS lh FROM r JOIN tl ON tl.qid = r.qid AND tl.item_id = r.item_id WHERE rank <= 10 GROUP BY ALL),
+ls AS (SELECT bonus, r.qid, avg((q.location <> '' AND c.location = q.location)::INTEGER) AS share FROM r JOIN queries q USING (qid) JOIN corpus c USING (item_id) WHERE rank <= 10 GROUP BY ALL),
+h AS (SELECT b.bonus, s.qid, coalesce(hits, 0) / size AS rec, CASE WHEN locals > 0 THEN coalesce(lh, 0) / locals END AS lr, CASE WHEN others > 0 THEN (coalesce(hits, 0) - coalesce(lh, 0)) / others END AS orr, coalesce(share, 0) AS share FROM s CROSS JOIN (SELECT DISTINCT bonus FROM g) b LEFT JOIN k ON k.bonus = b.bonus AND k.qid = s.qid LEFT JOIN ls ON ls.bonus = b.bonus AND ls.qid = s.qid),
+o AS (SELECT bonus, round(avg(rec), 6) AS all_recall, round(avg(rec) FILTER (WHERE qid % 2 = 0), 6) AS first_recall, round(avg(rec) FILTER (WHERE qid % 2 <> 0), 6) AS second_recall, round(avg(lr), 6) AS local_recall, round(avg(orr), 6) AS other_recall, round(avg(share), 6) AS local_share FROM h GROUP BY bonus)
 SELECT *, row_number() OVER (ORDER BY first_recall DESC NULLS LAST, bonus) = 1 AS best FROM o""")
 def location_bonus_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return integrity.bonus_summary(location_bonus_grid(spark, sf), R.truth(spark, sf), F.col("qid") % 2 == 0)
+    return integrity.bonus_summary(location_bonus_grid(spark, sf), R.truth(spark, sf), F.col("qid") % 2 == 0, R.queries(spark, sf), R.corpus(spark, sf))
 
 
 @query("hash_sample", "SELECT p_name AS text, sha256(to_json(['draw', p_name])) AS digest FROM (SELECT DISTINCT p_name FROM part) ORDER BY digest, text LIMIT 50")

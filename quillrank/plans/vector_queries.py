@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import storage
 from ..operators import geo, vectors
 from . import roles as R
 from .registry import query
@@ -23,22 +24,29 @@ def _queries(v: DataFrame) -> DataFrame:
 @query("cosine_topk", f"WITH {_TOP} SELECT qid, item_id, score, rank FROM r WHERE rank <= 10")
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     v = R.table(spark, sf, "embeddings")
-    return vectors.cosine_top_k(_queries(v), v, 10)
+    return vectors.cosine_top_k(_queries(v), v, 10, skip_self=True)
 
 
-@query("pool_rescore", f"WITH {_PAIRS}, p AS (SELECT a.vec_id AS qid, b.vec_id AS item_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT p.qid, p.item_id, score FROM p JOIN s ON s.qid = p.qid AND s.item_id = p.item_id")
+POOL = 100
+
+
+@query("pool_rescore", f"WITH {_TOP} SELECT qid, item_id, score FROM r WHERE rank <= {POOL}")
 def pool_rescore(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact scores of a ranked pool of bounded size."""
+    v = R.table(spark, sf, "embeddings")
+    return vectors.score_pool(ranked_pool(spark, sf), _queries(v), v)
+
+
+def ranked_pool(spark: SparkSession, sf: str) -> DataFrame:
     v = R.table(spark, sf, "embeddings")
-    q = _queries(v)
-    pool = q.select(F.col("vec_id").alias("qid"), "label").join(v.select(F.col("vec_id").alias("item_id"), "label"), "label").where("qid <> item_id")
-    return vectors.score_pool(pool.select("qid", "item_id"), q, v)
+    return R.once(spark, sf, "vector-pool", lambda: storage.stored(vectors.cosine_top_k(_queries(v), v, POOL, skip_self=True).select("qid", "item_id"), "vector-pool"))
 
 
 @query("geo_dense_topk", f"WITH {PRIOR}, {_PAIRS}, a2 AS (SELECT s.*, round(score + CASE WHEN qloc IN (SELECT search_loc FROM prior) THEN 0.05 * ln(greatest(coalesce(p, 1e-7), 1e-7)) ELSE 0 END, 6) AS adjusted FROM s LEFT JOIN prior ON prior.search_loc = qloc AND prior.item_loc = iloc), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY adjusted DESC, item_id) AS rank FROM a2) SELECT qid, item_id, score, adjusted, rank FROM r WHERE rank <= 10")
 def geo_dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     v = R.table(spark, sf, "embeddings")
     # the adjustment is one number for a query and an item's place, so the best of all are among each place's best by cosine
-    scored = vectors.cosine_top_k(_queries(v), v, 10, group=F.col("vec_id") % 25)
+    scored = vectors.cosine_top_k(_queries(v), v, 10, skip_self=True, group=F.col("vec_id") % 25)
     prior = geo.destination_prior(geo.associations(R.clicks(spark, sf)), geo.centres(R.places(spark, sf)))
     placed = scored.drop("rank").withColumn("search_loc", (F.col("qid") % 25).cast("int")).withColumn("item_loc", (F.col("item_id") % 25).cast("int"))
     joined = geo.adjusted_scores(placed, prior)

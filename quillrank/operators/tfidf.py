@@ -13,9 +13,9 @@ BROADCAST_GRAMS = 1_000_000
 
 
 def counts(rows: DataFrame, key: str, grams: str) -> DataFrame:
-    """(key, g, tf), stored; rows are dealt by key first, so a document's grams are counted where it is."""
-    dealt = rows.repartition(key).select(key, F.explode(grams).alias("g"))
-    return storage.stored(dealt.groupBy(key, "g").agg(F.count("*").alias("tf")), "gram-counts")
+    """(key, g, tf), stored; where rows are dealt by key before their grams are made, grams are counted where they are, without a shuffle."""
+    each = rows.select(key, F.explode(grams).alias("g"))
+    return storage.stored(each.groupBy(key, "g").agg(F.count("*").alias("tf")), "gram-counts")
 
 
 def frequencies(tf: DataFrame, least: int, most: int | None = None) -> DataFrame:

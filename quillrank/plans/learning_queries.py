@@ -120,7 +120,12 @@ def _clusters(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("cluster").agg(F.avg(F.col("rb") - F.col("ra")).alias("delta"), F.count("*").alias("n"))
 
 
-@query("stemmed_vocabulary")
+#: Words with their published stems, beside the documents' words, which have no Russian among them and stay.
+_STEMS = {"важная": "важн", "важный": "важн", "бегала": "бега", "красивейший": "красив", "столами": "стол", "дом": "дом"}
+
+
+@query("stemmed_vocabulary", f"SELECT DISTINCT unnest({R.toks(R.norm('text'))}) AS term, term AS stem FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({w!r}, {s!r})' for w, s in _STEMS.items())})")
 def stemmed_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     terms = R.table(spark, sf, "documents").select(F.explode(F.array_distinct(X.tokens(X.normalize(F.col("text"))))).alias("term"))
-    return stemming.stemmed_terms(terms)
+    more = spark.createDataFrame([(w,) for w in _STEMS], "term string")
+    return stemming.stemmed_terms(terms.unionByName(more))

@@ -133,7 +133,7 @@ def _tfidf_rows(d: DataFrame, grams: Column) -> DataFrame:
 
 @query("tfidf_word", _tfidf(f"""SELECT doc_id, unnest(t || CASE WHEN len(t) >= 2 THEN list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END) AS g FROM (SELECT doc_id, {R.toks('n')} AS t FROM d)"""))
 def tfidf_word(spark: SparkSession, sf: str) -> DataFrame:
-    d = R.table(spark, sf, "documents")
+    d = R.table(spark, sf, "documents").repartition("doc_id")  # texts are shipped, not their grams
     cut = d.select("doc_id", X.tokens(X.normalize(F.col("text"))).alias("t"))
     return _tfidf_rows(cut, X.word_ngrams(F.col("t"), 1, 2))
 
@@ -141,7 +141,7 @@ def tfidf_word(spark: SparkSession, sf: str) -> DataFrame:
 @query("tfidf_char_wb", _tfidf("""SELECT doc_id, unnest(list_transform(generate_series(1, length(w) - k + 1), lambda i: substr(w, i, k))) AS g
  FROM (SELECT doc_id, ' ' || unnest(list_filter(string_split(n, ' '), lambda x: x <> '')) || ' ' AS w FROM d), (VALUES (2), (3), (4)) AS s(k) WHERE length(w) >= k"""))
 def tfidf_char_wb(spark: SparkSession, sf: str) -> DataFrame:
-    d = R.table(spark, sf, "documents")
+    d = R.table(spark, sf, "documents").repartition("doc_id")
     return _tfidf_rows(d, X.char_ngrams(X.normalize(F.col("text")), 2, 4))
 
 

@@ -90,6 +90,18 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text,
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY n) AS group_size,
        row_number() OVER w = 1 AS kept, sha256(n) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY n ORDER BY length(t) DESC, doc_id)
+""",
+    "op6_bbit_minhash_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+c AS (SELECT md5(array_to_string(list_sort(s), chr(10))) AS c, min(doc_id) AS rep, any_value(s) AS s, any_value(len(s)) AS n FROM s WHERE len(s) > 0 GROUP BY 1),
+x AS (SELECT rep, n, unnest(s) AS x FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(node, to_) AS (SELECT rep, rep FROM c UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.to_ WHERE e.b <> r.to_),
+k AS (SELECT node, min(to_) AS comp FROM r GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(k.comp, s.doc_id) AS component_id, coalesce(k.comp, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON len(s.s) > 0 AND c.c = md5(array_to_string(list_sort(s.s), chr(10))) LEFT JOIN k ON k.node = c.rep
 """,
     "op10_line_runs_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

@@ -210,3 +210,29 @@ def pair_split(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of a whole query key and an item, split by hash."""
     fit, valid = protocol.split(shop.queries(spark, sf).withColumn("item_id", F.col("qid") * 7), "pairs", 0.3)
     return fit.select("qid", F.lit(False).alias("valid")).unionByName(valid.select("qid", F.lit(True).alias("valid")))
+
+
+_CENTRES = "ce AS (SELECT location AS place, ((substr(location, 4)::INTEGER * 7) % 180 - 90)::DOUBLE AS lat, ((substr(location, 4)::INTEGER * 13) % 360 - 180)::DOUBLE AS lon FROM locs WHERE substr(location, 4)::INTEGER < 12)"
+_PRIOR = f"""{R.BM25}, {shop.SHOP}, {shop.LEXICAL}, {_CENTRES}, ah AS (SELECT search_loc, item_loc, count(*) AS n FROM sk WHERE search_loc <> '' AND item_loc <> '' AND (search_loc <> 'reg3' OR substr(item_loc, 4)::INTEGER >= 12) GROUP BY ALL), ht AS (SELECT search_loc, sum(n) AS total FROM ah GROUP BY 1),
+hm AS (SELECT a.search_loc, sum(lat * n) / sum(CASE WHEN lat IS NOT NULL THEN n END) AS lat, sum(lon * n) / sum(CASE WHEN lon IS NOT NULL THEN n END) AS lon FROM ah a LEFT JOIN ce ON ce.place = a.item_loc GROUP BY 1),
+hc0 AS (SELECT hm.search_loc, coalesce(ce.lat, hm.lat) AS lat1, coalesce(ce.lon, hm.lon) AS lon1 FROM hm LEFT JOIN ce ON ce.place = hm.search_loc),
+gr AS (SELECT h.search_loc, total, p.location AS item_loc, CASE WHEN lat1 IS NULL THEN CASE WHEN p.location = '' THEN 1e-7 ELSE 1.0 END ELSE coalesce(greatest(exp(-(2 * 6371.0088 * asin(sqrt(least(greatest(pow(sin((radians(lat) - radians(lat1)) / 2), 2) + cos(radians(lat1)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(lon1)) / 2), 2), 0.0), 1.0)))) / 40), 1e-7), 1e-7) END AS k FROM hc0 h JOIN ht USING (search_loc), (SELECT DISTINCT location FROM si) p LEFT JOIN ce ON ce.place = p.location),
+pp AS (SELECT gr.search_loc, gr.item_loc, (coalesce(n, 0) + 3.0 * k / sum(k) OVER (PARTITION BY gr.search_loc)) / (total + 3.0) AS p FROM gr LEFT JOIN ah ON ah.search_loc = gr.search_loc AND ah.item_loc = gr.item_loc)"""
+
+
+@query("geo_prior_without_centres", f"WITH {_PRIOR} SELECT search_loc, item_loc, round(p, 9) AS p FROM pp")
+def geo_prior_without_centres(spark: SparkSession, sf: str) -> DataFrame:
+    """Priors where items lie in places without coordinates or without a place, and searched places have no centre, or none of their destinations has one."""
+    items, number = shop.items(spark, sf), F.expr("try_cast(substring(location, 4) AS INT)")
+    placed = items.where((F.col("location") != "") & (number < 12)).select(F.col("location").alias("place"), ((number * 7) % 180 - 90).cast("double").alias("lat"), ((number * 13) % 360 - 180).cast("double").alias("lon"))
+    counts = shop.associations(spark, sf).where("search_loc <> 'reg3' OR CAST(substring(item_loc, 4) AS INT) >= 12")
+    p = geo.destination_prior(counts, geo.centres(placed), places=items.select(F.col("location").alias("place")))
+    return p.select("search_loc", "item_loc", F.round("p", 9).alias("p"))
+
+
+@query("category_prior_features", f"WITH {R.BM25}, {shop.SHOP}, t AS (SELECT {R.norm('text')} AS text, cat, count(*) AS n FROM sk WHERE cat NOT IN ('', '0') GROUP BY ALL) SELECT text, cat, round(n / sum(n) OVER (PARTITION BY text), 6) AS share FROM t")
+def category_prior_features(spark: SparkSession, sf: str) -> DataFrame:
+    """A text's own category shares; a run that leaves out a query's own clicks gets none of them."""
+    shares = category.text_shares(shop.clicks(spark, sf))
+    own = category.exact_shares(shares, leave_out=False).unionByName(category.exact_shares(shares, leave_out=True))
+    return own.withColumn("share", F.round("share", 6))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,24 @@ def write_features(rows: DataFrame, path: str, partition: str | None = None) ->
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def write_cache(rows: DataFrame, path: str, about: dict) -> None:
+    """An immutable cache: rows as zstd Parquet in ``rows``, a description in ``about``, written last; without it the cache is incomplete."""
+    write_features(rows, f"{path}/rows")
+    text = json.dumps(about | {"columns": rows.columns}, sort_keys=True, ensure_ascii=False)
+    rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/about")
+
+
+def read_cache(spark: SparkSession, path: str, about: dict) -> DataFrame:
+    """A complete cache that belongs to the same description; anything else is an error."""
+    try:
+        saved = json.loads(spark.read.text(f"{path}/about").first()[0])
+    except AnalysisException as e:
+        raise ValueError("this cache is incomplete") from e
+    if {k: v for k, v in saved.items() if k != "columns"} != json.loads(json.dumps(about)):
+        raise ValueError("this cache belongs to another run")
+    return spark.read.parquet(f"{path}/rows").select(*saved["columns"])
+
+
 def write_labels(labels: DataFrame, key: str, path: str) -> None:
     """Label rows as JSON lines in the order of the key's hash."""
     labels.orderBy(F.sha2(F.col(key).cast("string"), 256), key).write.mode("errorifexists").json(path)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
-def read_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The given columns of a Parquet table as strings, null as empty."""
-    return spark.read.parquet(path).select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns))
+def read_text(spark: SparkSession, path: str, columns: list[str], where: str | Column | None = None) -> DataFrame:
+    """The given columns of a Parquet table as strings, null as empty; ``where``, over the stored columns, reaches the scan."""
+    rows = spark.read.parquet(path)
+    rows = rows if where is None else rows.where(where)
+    return rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns))
 
 
 def inventory(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -44,14 +45,15 @@ def read_scores(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_labels(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """A JSON document with its required fields checked."""
+def read_labels(spark: SparkSession, path: str, required: dict[str, str], key: list[str]) -> DataFrame:
+    """A JSON document of labels, checked: ``required`` fields with their types, and no null or repeated ``key``."""
     df = spark.read.option("multiLine", True).json(path)
     if missing := [c for c in required if c not in df.columns]:
         raise ValueError(f"missing fields: {', '.join(missing)}")
+    found = dict(df.dtypes)
+    if wrong := [f"{c} is {found[c]}, not {t}" for c, t in required.items() if found[c] != t]:
+        raise ValueError("; ".join(wrong))
+    bad = df.where(" OR ".join(f"{c} IS NULL" for c in key)).limit(1).unionByName(df.groupBy(*key).count().where("count > 1").join(df, key).select(*df.columns).limit(1))
+    if not bad.isEmpty():
+        raise ValueError(f"{', '.join(key)} is empty or repeats")
     return df
-
-
-def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("rn = 1").drop("rn")

@@ -77,7 +77,8 @@ def test_token_counts(docs, nothing):
 
 def test_encoder_equals_tokenizers():
     e = packing.encoder(BYTES)
-    for c in range(0x3000):
+    later = [c for c in range(0x3000, 0x20000, 5) if not 0xD800 <= c < 0xE000]  # Kana, Han, Hangul and what follows
+    for c in [*range(0x3000), *later]:
         x = chr(c)
         s = f"a{x}1{x}.{x} {x}b {x}{x}\n{x}"
         assert e(s) == e.exact.encode(s, add_special_tokens=False).ids, hex(c)

@@ -152,7 +152,8 @@ def related_destinations(spark: SparkSession, sf: str) -> DataFrame:
 
 PRIOR = f"""{R.CLICKS}, {R.PLACES}, c AS (SELECT place, median(lat) AS lat, median(lon) AS lon FROM places GROUP BY place), a AS (SELECT search_loc, item_loc, count(*) AS n FROM clicks GROUP BY ALL),
 tot AS (SELECT search_loc, sum(n) AS total FROM a GROUP BY 1),
-g AS (SELECT tot.search_loc, d.place AS item_loc, total, CASE WHEN h.lat IS NULL THEN 1.0 ELSE greatest(exp(-(2 * 6371.0088 * asin(sqrt(least(greatest(pow(sin((radians(d.lat) - radians(h.lat)) / 2), 2) + cos(radians(h.lat)) * cos(radians(d.lat)) * pow(sin((radians(d.lon) - radians(h.lon)) / 2), 2), 0.0), 1.0)))) / 40), 1e-7) END AS k FROM tot LEFT JOIN c h ON h.place = tot.search_loc, c d),
+mw AS (SELECT a.search_loc, sum(lat * n) / sum(CASE WHEN lat IS NOT NULL THEN n END) AS lat, sum(lon * n) / sum(CASE WHEN lon IS NOT NULL THEN n END) AS lon FROM a LEFT JOIN c ON c.place = a.item_loc GROUP BY 1), own AS (SELECT mw.search_loc AS place, coalesce(c.lat, mw.lat) AS lat, coalesce(c.lon, mw.lon) AS lon FROM mw LEFT JOIN c ON c.place = mw.search_loc),
+g AS (SELECT tot.search_loc, d.place AS item_loc, total, CASE WHEN h.lat IS NULL THEN 1.0 ELSE greatest(exp(-(2 * 6371.0088 * asin(sqrt(least(greatest(pow(sin((radians(d.lat) - radians(h.lat)) / 2), 2) + cos(radians(h.lat)) * cos(radians(d.lat)) * pow(sin((radians(d.lon) - radians(h.lon)) / 2), 2), 0.0), 1.0)))) / 40), 1e-7) END AS k FROM tot LEFT JOIN own h ON h.place = tot.search_loc, c d),
 prior AS (SELECT g.search_loc, g.item_loc, (coalesce(n, 0) + 3.0 * k / sum(k) OVER (PARTITION BY g.search_loc)) / (total + 3.0) AS p FROM g LEFT JOIN a ON a.search_loc = g.search_loc AND a.item_loc = g.item_loc)"""
 
 

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import storage
 from ..functions import scalar as S
 from ..functions import text as X
 
+#: Up to so many pairs of places are broadcast; more are joined by a shuffle.
+BROADCAST_COUNTS = 1_000_000
+
 
 def associations(clicks: DataFrame, by_text: bool = False) -> DataFrame:
     """Counts of (search_loc, item_loc), with ``by_text`` of (text, search_loc, item_loc); rows without a place stay out."""
@@ -20,6 +24,8 @@ def associations(clicks: DataFrame, by_text: bool = False) -> DataFrame:
 def without_own(counts: DataFrame, own: DataFrame) -> DataFrame:
     """(text, search_loc, item_loc, n): what is left of the counts for each text without its own clicks."""
     texts = own.select("text", "search_loc").distinct()
+    if storage.small_enough(counts, BROADCAST_COUNTS):  # places have few pairs and many texts each: no shuffle on a few hot places
+        counts = F.broadcast(counts)
     joined = texts.join(counts, "search_loc").join(own.withColumnRenamed("n", "own"), ["text", "search_loc", "item_loc"], "left")
     return joined.withColumn("n", F.col("n") - F.coalesce("own", F.lit(0))).where("n > 0").select("text", "search_loc", "item_loc", "n")
 
@@ -60,6 +66,8 @@ def without_own_text(queries: DataFrame, counts: DataFrame, own: DataFrame) -> D
     """(qid, search_loc, item_loc, n): each query's history without the clicks of its own text; ``own`` is by normalised text."""
     asked = queries.where("coalesce(location, '') <> ''").select("qid", X.normalize(F.col("text")).alias("text"), F.col("location").alias("search_loc"))
     mine = own.select("text", "search_loc", "item_loc", F.col("n").alias("own"))
+    if storage.small_enough(counts, BROADCAST_COUNTS):
+        counts = F.broadcast(counts)
     joined = asked.join(counts, "search_loc").join(mine, ["text", "search_loc", "item_loc"], "left")
     return joined.withColumn("n", F.col("n") - F.coalesce("own", F.lit(0))).where("n > 0").select("qid", "search_loc", "item_loc", "n")
 

@@ -50,6 +50,28 @@ def partitions(keys: DataFrame, key: str, salt: str, sizes: dict[str, int], rest
     return hashed.withColumn("partition", out)
 
 
+def cold(clicks: DataFrame, items: DataFrame, historic: DataFrame, salt: str, sizes: dict[str, int], rest: str, catalog_size: int) -> tuple[DataFrame, DataFrame]:
+    """A protocol over texts that were never seen: the catalogue (item_id) and a manifest (text, partition, key, item_ids), both by salted hashes.
+
+    Texts of ``historic`` leave; the others are dealt into partitions of fixed
+    sizes and the rest.  The catalogue holds every item that a remaining text
+    clicked, and of the others those of least hash, ``catalog_size`` in all
+    (more only where more are clicked).  Each text is represented by the key of
+    least hash; its items are all that its keys clicked.  ``clicks``: text, key,
+    item_id.
+    """
+    fresh = clicks.withColumn("text", X.normalize(F.col("text"))).join(historic.select(X.normalize(F.col("text")).alias("text")).distinct(), "text", "left_anti")
+    dealt = partitions(fresh.select("text"), "text", salt, sizes, rest).select("text", "partition")
+    known = fresh.join(items.select("item_id").distinct(), "item_id", "left_semi")
+    clicked = known.select("item_id").distinct()
+    others = items.select("item_id").distinct().join(clicked, "item_id", "left_anti").withColumn("h", S.salted_digest(salt, F.col("item_id").cast("string")))
+    room = max(0, catalog_size - clicked.count())
+    catalogue = clicked.unionByName(others.orderBy("h", "item_id").limit(room).select("item_id"))
+    first = representatives(known.select("text", "key").distinct(), "text", "key", salt).select("text", "key")
+    found = known.groupBy("text").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))  # the clicks of one text
+    return catalogue, dealt.join(first, "text").join(found, "text").select("text", "partition", "key", "item_ids")
+
+
 def representatives(rows: DataFrame, text: str, key: str, salt: str) -> DataFrame:
     """One row of each text: that of least salted hash of its key."""
     hashed = rows.withColumn("h", S.salted_digest(salt, F.col(key).cast("string")))

@@ -236,3 +236,24 @@ def category_prior_features(spark: SparkSession, sf: str) -> DataFrame:
     shares = category.text_shares(shop.clicks(spark, sf))
     own = category.exact_shares(shares, leave_out=False).unionByName(category.exact_shares(shares, leave_out=True))
     return own.withColumn("share", F.round("share", 6))
+
+
+_COLD = f"""{shop.SHOP}, fr AS (SELECT {R.norm('text')} AS text, search_loc AS key, item_id FROM sk WHERE {R.norm('text')} NOT IN (SELECT {R.norm('text')} FROM sq WHERE qid % 4 = 0)),
+tx AS (SELECT text, sha256(to_json(['cold', text])) AS h FROM (SELECT DISTINCT text FROM fr)), tp0 AS (SELECT text, CASE WHEN row_number() OVER (ORDER BY h, text) <= 8 THEN 'audit' WHEN row_number() OVER (ORDER BY h, text) <= 14 THEN 'tune' ELSE 'fit' END AS partition FROM tx),
+kn AS (SELECT * FROM fr WHERE item_id IN (SELECT item_id FROM si WHERE item_id % 3 <> 1)), rp AS (SELECT text, key, row_number() OVER (PARTITION BY text ORDER BY sha256(to_json(['cold', key])), key) AS rn FROM (SELECT DISTINCT text, key FROM kn)),
+cl AS (SELECT DISTINCT item_id FROM kn), ot AS (SELECT item_id, row_number() OVER (ORDER BY sha256(to_json(['cold', item_id::VARCHAR])), item_id) AS rn FROM si WHERE item_id % 3 <> 1 AND item_id NOT IN (SELECT item_id FROM cl)),
+ct AS (SELECT item_id FROM cl UNION ALL SELECT item_id FROM ot WHERE rn <= greatest(0, (SELECT count(*) FROM cl) + 20 - (SELECT count(*) FROM cl)))"""
+
+
+@query("cold_protocol", f"WITH {_COLD}, m AS (SELECT text, string_agg(item_id::VARCHAR, ' ' ORDER BY item_id) AS item_ids FROM (SELECT DISTINCT text, item_id FROM kn) GROUP BY text) SELECT text, partition, key, item_ids FROM tp0 JOIN rp USING (text) JOIN m USING (text) WHERE rn = 1 UNION ALL SELECT 'catalogue', '', '', string_agg(item_id::VARCHAR, ' ' ORDER BY item_id) FROM ct")
+def cold_protocol(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest of unseen texts, and the catalogue as one row; 20 items beside the clicked ones."""
+    clicks = shop.clicks(spark, sf).withColumnRenamed("search_loc", "key").select("text", "key", "item_id")
+    items = shop.items(spark, sf).where("item_id % 3 <> 1")
+    historic = shop.queries(spark, sf).where("qid % 4 = 0").select("text")
+    own = clicks.withColumn("text", X.normalize(F.col("text"))).join(historic.select(X.normalize(F.col("text")).alias("text")), "text", "left_anti")
+    size = own.join(items.select("item_id"), "item_id", "left_semi").select("item_id").distinct().count() + 20
+    catalogue, manifest = protocol.cold(clicks, items, historic, "cold", {"audit": 8, "tune": 6}, "fit", size)
+    joined = lambda ids: F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
+    whole = catalogue.agg(joined(F.array_sort(F.collect_list("item_id"))).alias("item_ids"))
+    return manifest.withColumn("item_ids", joined(F.col("item_ids"))).unionByName(whole.select(F.lit("catalogue").alias("text"), F.lit("").alias("partition"), F.lit("").alias("key"), "item_ids"))

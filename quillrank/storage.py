@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a default only on one machine, where none is set."""
+    """The folder in ``spark.checkpoint.dir``; only on one machine, where none is set, one of this session's own, gone when the process ends."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir isn't set: executors and driver need a shared folder for stored tables")
-    return "/tmp/checkpoints"
+    path = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    if path not in _own:
+        _own.add(path)
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

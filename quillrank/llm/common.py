@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from ..storage import shared_folder
 
 #: Rows an Arrow batch may hold; with documents of some kilobytes a batch stays at a few MB.
 ROWS_PER_BATCH = 1000
@@ -34,12 +35,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for checkpoints; a default only on one machine, where none is set (tests)."""
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir isn't set: executors and driver need a shared folder for intermediate tables")
-    return "/tmp/checkpoints"
+    """The cluster's shared folder for checkpoints; a folder of the session's own only on one machine, where none is set (tests)."""
+    return shared_folder(spark)
 
 
 #: Folders that the operators wrote and nobody has removed yet, innermost scratch block last.

@@ -528,4 +528,11 @@ def test_scratch_leaves_nothing(spark, docs):
 
 
 def test_shared_folder(spark):
-    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        assert common.shared_dir(spark).startswith("/tmp/checkpoints/local-")  # a local session's own
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", "/some/shared/place/")
+    try:
+        assert common.shared_dir(spark) == "/some/shared/place"
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)

@@ -528,11 +528,12 @@ def test_scratch_leaves_nothing(spark, docs):
 
 
 def test_shared_folder(spark):
+    """The set folder; else one of a local session's own; on a cluster there is no default."""
+    from types import SimpleNamespace as N
+
     if spark.conf.get("spark.checkpoint.dir", None) is None:
-        assert common.shared_dir(spark).startswith("/tmp/checkpoints/local-")  # a local session's own
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "/some/shared/place/")
-    try:
-        assert common.shared_dir(spark) == "/some/shared/place"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+        assert common.shared_dir(spark).startswith("/tmp/checkpoints/local-")
+    session = lambda path, master: N(conf=N(get=lambda key, default: path), sparkContext=N(master=master))
+    assert common.shared_dir(session("/some/shared/place/", "spark://host:1")) == "/some/shared/place"
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(session(None, "spark://host:1"))

@@ -47,7 +47,8 @@ LOOKS = 3 * 6 * 3
 GROUPS = VOCABULARY // PER_CLASS
 CLASSES = GROUPS + LOOKS
 HEAD = 500_000
-LANES, PACK_TOKENS = 512, 4_000_000
+#: Lanes that texts are read on, tokens packed at once, windows laid out at once.
+LANES, PACK_TOKENS, LAID = 512, 4_000_000, 32
 #: Training reads texts in pieces of at most so many tokens.
 PIECE = 1024
 #: Networks averaged by one task.
@@ -162,18 +163,27 @@ class Network:
         """States before each token (steps x lanes x HIDDEN) and after the last; ``fresh``: where a text begins."""
         n = HIDDEN
         out = np.empty((*ids.shape, n), np.float32)
-        zr, c = self.recur[:, : 2 * n].copy(), self.recur[:, 2 * n :].copy()
+        begins = fresh.any(1)
         for t in range(len(ids)):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
+            if begins[t]:
+                h = np.where(fresh[t][:, None], np.float32(0), h)
             out[t] = h
-            x = self.inputs[ids[t]]
-            g = 1 / (1 + np.exp(-(x[:, : 2 * n] + h @ zr)))
-            z, r = g[:, :n], g[:, n:]
-            p = h @ c
-            m = np.tanh(x[:, 2 * n :] + r * p)
+            x, g = self.inputs[ids[t]], h @ self.recur
+            p = g[:, 2 * n :]
+            gates = x[:, : 2 * n] + g[:, : 2 * n]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            z, r = gates[:, :n], gates[:, n:]
+            m = r * p
+            m += x[:, 2 * n :]
+            np.tanh(m, out=m)
             if trace is not None:
                 trace.append((z, r, p, m, h))
-            h = m + z * (h - m)
+            h = h - m
+            h *= z
+            h += m
         return out, h
 
     def log_parts(self, states: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -302,19 +312,22 @@ class Network:
         texts = [np.repeat(s, [len(flows[i]) for i in s]) for s in own]
         begins = [np.concatenate([[0], np.cumsum([len(flows[i]) for i in s])])[:-1] for s in own]
         h = np.zeros((lanes, HIDDEN), np.float32)
-        for t in range(0, int(lengths[0]), WINDOW):
-            live = int(np.searchsorted(-lengths, -t, side="left"))
-            ids, text = np.zeros((WINDOW, live), np.int64), np.full((WINDOW, live), -1)
-            fresh = np.zeros((WINDOW, live), bool)
+        for top in range(0, int(lengths[0]), WINDOW * LAID):
+            live = int(np.searchsorted(-lengths, -top, side="left"))
+            size = min(WINDOW * LAID, -(-(int(lengths[0]) - top) // WINDOW) * WINDOW)
+            ids, text, fresh = np.zeros((size, live), np.int64), np.full((size, live), -1), np.zeros((size, live), bool)
             for k in range(live):
-                part = streams[k][t : t + WINDOW]
-                ids[: len(part), k], text[: len(part), k] = part, texts[k][t : t + WINDOW]
-                lo, hi = np.searchsorted(begins[k], [t, t + WINDOW])
-                fresh[begins[k][lo:hi] - t, k] = True
-            states, h = self.states(ids, fresh, h[:live])
-            logs = self.log_parts(states.reshape(-1, HIDDEN), ids.ravel())[0]
-            at = text.ravel()
-            out += np.bincount(at[at >= 0], logs[at >= 0], len(flows))
+                part = streams[k][top : top + size]
+                ids[: len(part), k], text[: len(part), k] = part, texts[k][top : top + size]
+                lo, hi = np.searchsorted(begins[k], [top, top + size])
+                fresh[begins[k][lo:hi] - top, k] = True
+            for t in range(0, size, WINDOW):
+                live = int(np.searchsorted(-lengths, -(top + t), side="left"))
+                s = slice(t, t + WINDOW)
+                states, h = self.states(ids[s, :live], fresh[s, :live], h[:live])
+                logs = self.log_parts(states.reshape(-1, HIDDEN), ids[s, :live].ravel())[0]
+                at = text[s, :live].ravel()
+                out += np.bincount(at[at >= 0], logs[at >= 0], len(flows))
         return out
 
 

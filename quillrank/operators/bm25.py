@@ -104,9 +104,7 @@ def build(items: DataFrame, fields: tuple[Field, ...] = FIELDS, stems: dict[str,
     counts = storage.stored(term_counts(stacked(items, tuple(f for f in fields if f.name not in stems), key)), "term-counts")
     every = counts
     for name, source in stems.items():
-        every = every.unionByName(stemmed_counts(counts, source, name))
-    if stems:
-        every = storage.stored(every, "term-counts")
+        every = every.unionByName(storage.stored(stemmed_counts(counts, source, name), "stem-counts"))
     return storage.stored(weighted(every, fields).hint("rebalance", "term").sortWithinPartitions("term", "field"), "postings")
 
 

@@ -18,7 +18,8 @@ DEPTH, LIMIT, CONSTANT = 50, 10, 60
 def lexical(spark: SparkSession, sf: str) -> DataFrame:
     """(field, qid, doc, score) of the corpus for all queries, from the stored index."""
     terms = bm25.query_terms(R.queries(spark, sf))
-    return bm25.scores(R.index(spark, sf), terms, bm25.fits(terms))
+    own = R.index(spark, sf).where(F.col("field").isin([f.name for f in bm25.FIELDS]))
+    return bm25.scores(own, terms, bm25.fits(terms))
 
 
 def channels(spark: SparkSession, sf: str) -> DataFrame:

@@ -46,9 +46,14 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
     return _stored[key]
 
 
+#: The three fields and two of stems (of texts without Russian words, so that stems are the words).
+FIELDS = (*bm25.FIELDS, bm25.Field("title_stem", 1.0, 0.2, 0.5), bm25.Field("params_stem", 1.2, 0.7, 0.25))
+STEMS = {"title_stem": "title", "params_stem": "params"}
+
+
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored postings of the corpus's fields."""
-    return once(spark, sf_dir, "index", lambda: bm25.build(corpus(spark, sf_dir)))
+    """The stored postings of the corpus's fields and stems."""
+    return once(spark, sf_dir, "index", lambda: bm25.build(corpus(spark, sf_dir), FIELDS, STEMS))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,9 +29,7 @@ si AS (SELECT doc_id AS item_id, split_part(coalesce(text, ''), chr(10), 1) AS t
 sc AS (SELECT b.text, {CLICK_PLACE} AS search_loc, {ITEM_PLACE} AS item_loc, {MICROCAT} AS cat, d.doc_id AS item_id FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
 pred AS (SELECT qid, 'm' || k AS cat, (1 + (qid + 3 * k) % 5) / 15 AS prob, 5 - (qid + 3 * k) % 5 AS r FROM sq, range(5) AS t(k))"""
 
-#: The three fields and two of stems (of texts without Russian words, so that stems are the words).
-FIELDS = (*bm25.FIELDS, bm25.Field("title_stem", 1.0, 0.2, 0.5), bm25.Field("params_stem", 1.2, 0.7, 0.25))
-STEMS = {"title_stem": "title", "params_stem": "params"}
+FIELDS, STEMS = R.FIELDS, R.STEMS
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,16 +74,12 @@ def dense(spark: SparkSession, sf: str, k: int) -> DataFrame:
     return vectors.cosine_top_k(q, c, k, "own", skip_self=False).withColumnRenamed("score", "raw_score")
 
 
-def index(spark: SparkSession, sf: str) -> DataFrame:
-    return R.once(spark, sf, "shop-index", lambda: bm25.build(items(spark, sf), FIELDS, STEMS))
-
-
 def lexical(spark: SparkSession, sf: str, text: str = "text") -> DataFrame:
     """(field, qid, doc, score) over all five fields; stems of the query for the fields of stems."""
     plain = tuple(f.name for f in FIELDS if f.name not in STEMS)
     q = queries(spark, sf).withColumn("values", F.concat_ws(" ", "text", filter_values(F.col("filters"))))
     terms = bm25.stem_queries(bm25.query_terms(q, text=text), plain, tuple(STEMS))
-    return bm25.scores(index(spark, sf), terms, bm25.fits(terms))
+    return bm25.scores(R.index(spark, sf), terms, bm25.fits(terms))
 
 
 def filter_values(filters) -> F.Column:

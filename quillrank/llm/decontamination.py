@@ -149,7 +149,10 @@ def _looked_up(rows: DataFrame, index: object) -> DataFrame:
                         h = np.concatenate([[False], inside[first[r] : first[r + 1]], [False]])
                         spans[a + r] = np.flatnonzero(h[1:] != h[:-1]).tolist()
             flat = np.concatenate(n_words).astype(np.int64) if n_words else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(flat), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
+                names=schema.names,
+            )
 
     return common.map_arrow(rows, run, schema)
 
@@ -169,7 +172,12 @@ def _marks(texts: DataFrame, lengths: list[int] | None, listed: bool) -> DataFra
     if listed:
         schema = T.StructType([kind, T.StructField("n", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("whole", T.LongType())])
     else:
-        schema = T.StructType([kind, T.StructField("n", T.IntegerType()), T.StructField("mark", T.LongType()), T.StructField("whole", T.LongType()), T.StructField("n_words", T.LongType())])
+        schema = T.StructType(
+            [
+                kind, T.StructField("n", T.IntegerType()), T.StructField("mark", T.LongType()), T.StructField("whole", T.LongType()),
+                T.StructField("n_words", T.LongType()),
+            ]
+        )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +201,9 @@ def _marks(texts: DataFrame, lengths: list[int] | None, listed: bool) -> DataFra
                         at = both[0]
                         columns = [pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64)), pa.array(np.full(len(at), len(words)))]
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(at)), pa.array(np.full(len(at), n, np.int32)), *columns], names=schema.names)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.repeat(batch.column(0)[i], len(at)), pa.array(np.full(len(at), n, np.int32)), *columns], names=schema.names,
+                        )
 
     return common.map_arrow(texts, run, schema)
 
@@ -201,14 +211,21 @@ def _marks(texts: DataFrame, lengths: list[int] | None, listed: bool) -> DataFra
 def _joined(rows: DataFrame, bench: DataFrame) -> DataFrame:
     """As ``_looked_up``, by shuffle joins of fingerprints and then of windows."""
     tagged = common.stored(rows.withColumn("id", F.monotonically_increasing_id()), "winnow-documents")
-    windows = common.stored(_marks(bench.select(F.col("name").alias("id"), "body"), None, False).select("n", "mark", "whole", F.col("id").alias("name")).distinct(), "winnow-windows")
+    windows = common.stored(
+        _marks(bench.select(F.col("name").alias("id"), "body"), None, False).select("n", "mark", "whole", F.col("id").alias("name")).distinct(),
+        "winnow-windows",
+    )
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most WINDOW rows
     marks = windows.select("n", "mark").distinct()
-    met = _marks(tagged.select("id", "body"), lengths, False).select("id", "n", "mark").join(marks, ["n", "mark"], "left_semi").groupBy("id").agg(F.collect_set("mark").alias("marks"))
+    met = _marks(
+        tagged.select("id", "body"), lengths, False,
+    ).select("id", "n", "mark").join(marks, ["n", "mark"], "left_semi").groupBy("id").agg(F.collect_set("mark").alias("marks"))
     listed = _marks(tagged.select("id", "body").join(met, "id").select("id", "body", "marks"), lengths, True)
     hits = common.stored(listed.join(windows.select("n", "whole").distinct(), ["n", "whole"], "left_semi"), "winnow-hits")
     spans = hits.groupBy("id").agg(F.collect_list(F.struct("at", (F.col("at") + F.col("n")).alias("end"))).alias("found"))
-    items = hits.select("id", "n", "whole").distinct().join(windows.select("n", "whole", "name"), ["n", "whole"]).groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("items"))
+    items = hits.select("id", "n", "whole").distinct().join(
+        windows.select("n", "whole", "name"), ["n", "whole"],
+    ).groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("items"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +233,13 @@ def _joined(rows: DataFrame, bench: DataFrame) -> DataFrame:
             counts = [kernel.words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], kernel.ALNUM)[2] for a, b in common.chunks(offsets)]
             flat = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
             merged = [_merged([x for s in f or [] for x in (s["at"], s["end"])]) for f in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat), pa.array(merged, pa.list_(pa.int64())), pa.array([i or [] for i in batch.column(3).to_pylist()], pa.list_(pa.string()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array(flat), pa.array(merged, pa.list_(pa.int64())),
+                    pa.array([i or [] for i in batch.column(3).to_pylist()], pa.list_(pa.string())),
+                ],
+                names=schema.names,
+            )
 
     schema = T.StructType([tagged.schema["rest"], *_RESULT])
     return common.map_arrow(tagged.join(spans, "id", "left").join(items, "id", "left").select("rest", "body", "found", "items"), run, schema)
@@ -232,7 +255,9 @@ def _merged(flat: list[int]) -> list[int]:
     return out
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(
+    df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """``df`` with n_words, n_hit, hit_words (starts and ends, exclusive, in turn) and item_ids (sorted as strings)."""
     bench = benchmark.select(F.coalesce(common.quoted(item).cast("string"), F.lit("")).alias("name"), common.text_bytes(item_text).alias("body"))
     total = bench.agg(F.sum(F.octet_length("body") + 64)).first()[0] or 0

@@ -39,7 +39,12 @@ FRONT = 24
 
 def normalised(df: DataFrame, key: str, text: str) -> DataFrame:
     """Per row: the key, the normalised bytes, their front, digest and hash, and the original's code points."""
-    schema = T.StructType([df.schema[key], T.StructField("body", T.BinaryType()), T.StructField("front", T.BinaryType()), T.StructField("hash", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("points", T.LongType())])
+    schema = T.StructType(
+        [
+            df.schema[key], T.StructField("body", T.BinaryType()), T.StructField("front", T.BinaryType()),
+            T.StructField("hash", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("points", T.LongType()),
+        ]
+    )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,7 +54,13 @@ def normalised(df: DataFrame, key: str, text: str) -> DataFrame:
             bodies = [(v or b"").translate(None, WHITE) for v in batch.column(1).to_pylist()]
             digests = [hashlib.sha256(b).digest() for b in bodies]
             hashes = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary()), pa.array([b[:FRONT] for b in bodies], pa.binary()), pa.array(hashes), pa.array(digests, pa.binary()), pa.array(points, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array(bodies, pa.binary()), pa.array([b[:FRONT] for b in bodies], pa.binary()), pa.array(hashes),
+                    pa.array(digests, pa.binary()), pa.array(points, pa.int64()),
+                ],
+                names=schema.names,
+            )
 
     return common.map_arrow(df.select(key, common.text_bytes(text)), run, schema)
 
@@ -57,7 +68,13 @@ def normalised(df: DataFrame, key: str, text: str) -> DataFrame:
 def runs(ordered: DataFrame, key: str) -> DataFrame:
     """Runs of equal neighbours within each sorted range; the first row of a run is its best."""
     field = ordered.schema[key]
-    schema = T.StructType([field, T.StructField("digest", T.BinaryType()), T.StructField("part", T.LongType()), T.StructField("first", T.BooleanType()), T.StructField("edge", T.BooleanType()), T.StructField("n", T.LongType()), T.StructField("points", T.LongType()), T.StructField("best", field.dataType)])
+    schema = T.StructType(
+        [
+            field, T.StructField("digest", T.BinaryType()), T.StructField("part", T.LongType()), T.StructField("first", T.BooleanType()),
+            T.StructField("edge", T.BooleanType()), T.StructField("n", T.LongType()), T.StructField("points", T.LongType()),
+            T.StructField("best", field.dataType),
+        ]
+    )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -83,7 +100,10 @@ def runs(ordered: DataFrame, key: str) -> DataFrame:
 
         for batch in batches:
             arrow = batch.column(0).type
-            for i, b, h, d, p in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), strict=True):
+            for i, b, h, d, p in zip(
+                batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(),
+                strict=True,
+            ):
                 if body is None or h != hash_ or b.as_py() != body:
                     close(False)
                     ids, body, hash_, digest, points = [], b.as_py(), h, d.as_py(), p

@@ -20,10 +20,16 @@ def components(edges: DataFrame) -> DataFrame:
     left = common.stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooked = common.stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"), F.lit(True).alias("moved")), "hooks")
+        hooked = common.stored(
+            both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"), F.lit(True).alias("moved")),
+            "hooks",
+        )
         while True:
             onto = hooked.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-            jumped = common.stored(hooked.select("node", "comp").join(onto, "comp").select("node", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved")), "hooks")
+            jumped = common.stored(
+                hooked.select("node", "comp").join(onto, "comp").select("node", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved")),
+                "hooks",
+            )
             common.release(hooked)
             hooked = jumped
             if jumped.where("moved").isEmpty():

@@ -93,7 +93,9 @@ def counted(df: DataFrame, text: str) -> DataFrame:
                 keys.append(h), looks.append(k), sums.append(np.bincount(flow[flow >= 0], minlength=len(h)))
             flat, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             n = np.bincount(where, np.concatenate(sums), len(flat)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.concatenate(looks)[first].astype(np.int32)), pa.array(n)], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat.view(np.int64)), pa.array(np.concatenate(looks)[first].astype(np.int32)), pa.array(n)], names=schema.names,
+            )
 
     return common.map_arrow(df.select(common.text_bytes(text)), run, schema).groupBy("key").agg(F.first("look").alias("look"), F.sum("n").alias("n"))
 
@@ -217,7 +219,10 @@ class Network:
         w[np.arange(len(w)), flat_ids[order] % PER_CLASS] -= 1
         w *= weight[order][:, None]
         back = a @ self.class_w.T
-        grads = {"class_w": flat.T @ a, "class_b": a.sum(0), "word_w": np.zeros_like(self.word_w), "word_b": np.zeros_like(self.word_b), "inputs": np.zeros_like(self.inputs), "recur": np.zeros_like(self.recur)}
+        grads = {
+            "class_w": flat.T @ a, "class_b": a.sum(0), "word_w": np.zeros_like(self.word_w), "word_b": np.zeros_like(self.word_b),
+            "inputs": np.zeros_like(self.inputs), "recur": np.zeros_like(self.recur),
+        }
         for k in range(GROUPS):
             if cuts[k] < cuts[k + 1]:
                 own, s = slice(k * PER_CLASS, (k + 1) * PER_CLASS), slice(cuts[k], cuts[k + 1])
@@ -291,7 +296,10 @@ class Network:
                 live = real[s].any(0)
                 if live.any():
                     h = h.copy()
-                    h[live], _ = self.learn(ids[s][:, live], fresh[s][:, live], real[s][:, live], h[live], rate * (1 - 0.7 * (epoch * length + t) / (epochs * length)))
+                    h[live], _ = self.learn(
+                        ids[s][:, live], fresh[s][:, live], real[s][:, live], h[live],
+                        rate * (1 - 0.7 * (epoch * length + t) / (epochs * length)),
+                    )
             total += int(real.sum())
         return total
 
@@ -383,7 +391,12 @@ def fit(train: DataFrame, own: Lexicon, class_b: np.ndarray, word_b: np.ndarray,
     network.train(flows, WARM_EPOCHS, RATE)
     start = spark.sparkContext.broadcast(network.flat())
     block = 4096
-    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("weights", T.ArrayType(T.FloatType()))])
+    schema = T.StructType(
+        [
+            T.StructField("block", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("tokens", T.LongType()),
+            T.StructField("weights", T.ArrayType(T.FloatType())),
+        ]
+    )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, cb, wb = held.value
@@ -397,7 +410,13 @@ def fit(train: DataFrame, own: Lexicon, class_b: np.ndarray, word_b: np.ndarray,
         if seen:
             flat = mine.flat()
             parts = [flat[i : i + block] for i in range(0, len(flat), block)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float32()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(len(parts)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()),
+                    pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float32())),
+                ],
+                names=schema.names,
+            )
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
         share = rows["tokens"].to_numpy(np.float64)
@@ -421,7 +440,10 @@ def score(df: DataFrame, training: F.Column, key: str = "doc_id", text: str = "t
     own, class_b, word_b = lexicon(table)
     network = fit(train, own, class_b, word_b, key, text)
     held, weights = spark.sparkContext.broadcast((own, class_b, word_b)), spark.sparkContext.broadcast(network.flat())
-    fields = [("part", T.LongType()), ("row", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("model", T.DoubleType()), ("rare", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.LongType()))]
+    fields = [
+        ("part", T.LongType()), ("row", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()),
+        ("model", T.DoubleType()), ("rare", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.LongType())),
+    ]
     schema = T.StructType([df.schema[key]] + [T.StructField(n, t) for n, t in fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +461,11 @@ def score(df: DataFrame, training: F.Column, key: str = "doc_id", text: str = "t
             nonlocal row, waiting
             model = net.likelihoods(flows) / np.log(10) + np.array(out[3])
             n = len(flows)
-            arrays = [pa.concat_arrays(keys), pa.array(np.full(n, part)), pa.array(np.arange(row, row + n)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(model, pa.float64()), pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.list_(pa.int64()))]
+            arrays = [
+                pa.concat_arrays(keys), pa.array(np.full(n, part)), pa.array(np.arange(row, row + n)), pa.array(out[0], pa.int64()),
+                pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(model, pa.float64()),
+                pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.list_(pa.int64())),
+            ]
             row, waiting = row + n, 0
             keys.clear(), flows.clear()
             for o in out:
@@ -457,7 +483,10 @@ def score(df: DataFrame, training: F.Column, key: str = "doc_id", text: str = "t
                 # Within the class of its look a word has its share of the class's mass.
                 inner = np.where(ids >= VOCABULARY, np.where(rare, 0, np.log10(c + 0.5)) - log_mass[ids], 0)
                 at = np.concatenate([[0], np.cumsum(total)[:-1]])
-                for o, v in zip(out, (total, np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(inner, at)), strict=False):
+                for o, v in zip(
+                    out, (total, np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(inner, at)),
+                    strict=False,
+                ):
                     o.extend(v.tolist())
                 flows.extend(np.split(ids.astype(np.int64), at[1:]))
                 for words in np.split(np.where(rare, flow, -1), at[1:]) if not lex.complete else [None] * len(total):
@@ -476,10 +505,17 @@ def score(df: DataFrame, training: F.Column, key: str = "doc_id", text: str = "t
     names = [key, "n_tokens", "n_known", F.lit(own.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score")]
     if own.complete:
         return rows.select(names)
-    pairs = rows.where(F.size("rare") > 0).select("part", "row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("part", "row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
+    pairs = rows.where(F.size("rare") > 0).select("part", "row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
+        "part", "row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"),
+    )
     known = pairs.join(table.select(F.col("key"), "n"), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     log = F.log10(F.col("n") + 0.5)
-    sums = known.groupBy("part", "row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * log).alias("logs"), F.sum("times").alias("times_all"))
+    sums = known.groupBy("part", "row").agg(
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * log).alias("logs"),
+        F.sum("times").alias("times_all"),
+    )
     full = rows.drop("rare", "times").join(sums, ["part", "row"], "left")
     logs, times = F.coalesce("logs", F.lit(0.0)), F.coalesce("times_all", F.lit(0))
-    return full.withColumn("n_known", F.col("n_known") + F.coalesce("more_known", F.lit(0))).withColumn("base", F.col("base") + logs - times * float(np.log10(own.floor))).withColumn("model", F.col("model") + logs).select(names)
+    return full.withColumn("n_known", F.col("n_known") + F.coalesce("more_known", F.lit(0))).withColumn(
+        "base", F.col("base") + logs - times * float(np.log10(own.floor)),
+    ).withColumn("model", F.col("model") + logs).select(names)

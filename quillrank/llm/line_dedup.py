@@ -116,7 +116,9 @@ class LineRuns:
     def read(self, run: str) -> DataFrame:
         table = f"line_run_{run}"
         if not self.spark.catalog.tableExists(table):  # made by another session
-            self.spark.sql(f"CREATE TABLE {table} (key BIGINT, docs BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/run-{run}'")
+            self.spark.sql(
+                f"CREATE TABLE {table} (key BIGINT, docs BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/run-{run}'"
+            )
         return self.spark.table(table)
 
     def _write(self, rows: DataFrame, level: int, replaced: tuple[str, ...] = ()) -> str:
@@ -125,7 +127,9 @@ class LineRuns:
         with _merging(self.spark):
             rows.write.bucketBy(self.buckets, "key").sortBy("key").format("parquet").option("path", f"{self.folder}/run-{run}").saveAsTable(f"line_run_{run}")
         self.at += 1
-        lines = [(self.at, run, level, True, self.buckets, self.least)] + [(self.at, old, self.levels[old], False, self.buckets, self.least) for old in replaced]
+        lines = [(self.at, run, level, True, self.buckets, self.least)] + [
+            (self.at, old, self.levels[old], False, self.buckets, self.least) for old in replaced
+        ]
         self.spark.createDataFrame(lines, self.LOG).coalesce(1).write.mode("append").json(f"{self.folder}/log")
         self.levels[run] = level
         for old in replaced:
@@ -218,12 +222,17 @@ def _applied(rows: DataFrame, frequent: object | None) -> DataFrame:
                 n_lines.append(counts)
                 n_dropped.append(dropped)
             flat = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat(n_lines), flat(n_dropped), pa.array(texts, pa.binary()).cast(pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), flat(n_lines), flat(n_dropped), pa.array(texts, pa.binary()).cast(pa.string())], names=schema.names,
+            )
 
     return common.map_arrow(rows, run, schema)
 
 
-def drop_frequent_lines(df: DataFrame, least: int, text: str = "text", broadcast_keys: int = BROADCAST_KEYS, batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
+def drop_frequent_lines(
+    df: DataFrame, least: int, text: str = "text", broadcast_keys: int = BROADCAST_KEYS, batches: int = BATCHES,
+    runs: LineRuns | None = None,
+) -> DataFrame:
     """``df`` with n_lines, n_dropped and kept_text; with ``runs``, lines of earlier batches count too, and these are added."""
     gone = [f.name for f in _NEW]
     rows = df.select(common.bundled(df, gone), common.text_bytes(text).alias("body"))

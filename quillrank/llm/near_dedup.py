@@ -116,7 +116,12 @@ def class_hash(shingles: np.ndarray) -> int:
 
 def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
     """Per row: key, n_shingles, class (null for the empty set), band keys, packed signature."""
-    schema = T.StructType([df.schema[key], T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
+    schema = T.StructType(
+        [
+            df.schema[key], T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.LongType()),
+            T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType()),
+        ]
+    )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +135,10 @@ def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
                 classes.append(class_hash(s)), keys.append(bands(least)), bits.append(packed(least))
             full = np.array([c is not None for c in classes], bool)
             lists = common.list_array(pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), full * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists, pa.array(bits, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists, pa.array(bits, pa.binary())],
+                names=schema.names,
+            )
 
     return common.map_arrow(df.select(key, common.text_bytes(text)), run, schema)
 
@@ -217,7 +225,9 @@ def likely_pairs(rows: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray,
     right = left if one else np.flatnonzero(rows["block"] == rows["hi"])
     for at in range(0, len(left), 128):
         i = left[at : at + 128]
-        able = (comp[i][:, None] != comp[right][None]) & (100 * np.minimum(size[i][:, None], size[right][None]) >= percent * np.maximum(size[i][:, None], size[right][None]))
+        able = (comp[i][:, None] != comp[right][None]) & (
+            100 * np.minimum(size[i][:, None], size[right][None]) >= percent * np.maximum(size[i][:, None], size[right][None])
+        )
         if one:
             able &= i[:, None] < right[None]
         x, y = np.nonzero(able)
@@ -237,7 +247,9 @@ def in_blocks(rows: DataFrame, group: str, size: F.Column | None = None) -> Data
     large = common.stored(rows.groupBy(group).agg(own.alias("blocks")).where("blocks > 1"), "near-blocks")
     if common.small_enough(large, BROADCAST_GROUPS):
         large = F.broadcast(large)
-    dealt = rows.join(large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = rows.join(large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn(
+        "block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"),
+    )
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
     out = dealt.withColumn("pair", F.explode(pairs)).select("*", "pair.lo", "pair.hi").drop("pair", "blocks")
     return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), group, "lo", "hi")
@@ -286,9 +298,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     spark = df.sparkSession
     table = common.stored(signatures(df, key, text), "near-signatures")
     full = table.where("cls is not null")
-    classes = common.stored(full.groupBy("cls").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "near-classes")
+    classes = common.stored(
+        full.groupBy("cls").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")),
+        "near-classes",
+    )
     entries = classes.select("cls", "rep", F.explode("bands").alias("key"))
-    leaders = entries.groupBy("key").agg(F.min(F.struct("rep", "cls")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("key", F.col("lead.cls").alias("leader"))
+    leaders = entries.groupBy("key").agg(
+        F.min(F.struct("rep", "cls")).alias("lead"), F.count("*").alias("m"),
+    ).where("m > 1").select("key", F.col("lead.cls").alias("leader"))
     members = common.stored(entries.join(leaders, "key").select("key", "cls", "leader"), "near-members")
     slim = classes.select("cls", "rep", "n", "bits")
     lead = slim.select(F.col("cls").alias("b"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))

@@ -70,7 +70,9 @@ class Encoder:
         self.fast = tiktoken.Encoding("own", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens=special)
         self.exact = Tokenizer.from_file(path)
         self.special = set(special)
-        self.unusual = re.compile("[^\\x00-\\x1b\\x20-\\x7e\\xa0-\\u024f\\u0391-\\u03c9\\u0410-\\u044f\\u2010-\\u2027\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3]").search
+        self.unusual = re.compile(
+            "[^\\x00-\\x1b\\x20-\\x7e\\xa0-\\u024f\\u0391-\\u03c9\\u0410-\\u044f\\u2010-\\u2027\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3]"
+        ).search
         self.size = self.exact.get_vocab_size()
 
     def __call__(self, text: str) -> list[int]:
@@ -109,12 +111,19 @@ def tokenized(df: DataFrame, key: str, text: str, model: str, end_id: int, capac
                 own = np.array(ids, "<u4")
                 n, data = len(ids), own.tobytes()
                 rest = n % capacity
-                for o, v in zip(out, (part, row, n, rest, int(seen[rest]), alone, [zlib.crc32(data[4 * s : 4 * (s + capacity)]) for s in range(0, n, capacity)], data), strict=True):
+                for o, v in zip(
+                    out,
+                    (part, row, n, rest, int(seen[rest]), alone, [zlib.crc32(data[4 * s : 4 * (s + capacity)]) for s in range(0, n, capacity)], data),
+                    strict=True,
+                ):
                     o.append(v)
                 seen[rest] += 1
                 row += 1
                 alone += n // capacity
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(o, t) for o, t in zip(out, [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.binary()], strict=True)], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0)] + [pa.array(o, t) for o, t in zip(out, [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.binary()], strict=True)],
+                names=schema.names,
+            )
 
     return common.map_arrow(df.select(key, common.quoted(text).alias("__text")), run, schema)
 
@@ -210,7 +219,10 @@ def plan(histogram: np.ndarray, capacity: int, grain: int) -> Plan:
     slots = {}
     for k in used:
         own = [(i, dict(p)[k], kept[i][1]) for i, p in enumerate(patterns) if k in dict(p)]
-        slots[int(k)] = (np.array([o[0] for o in own], np.int64), np.array([o[1] for o in own], np.int64), np.concatenate([[0], np.cumsum([a * n for _, a, n in own])]).astype(np.int64))
+        slots[int(k)] = (
+            np.array([o[0] for o in own], np.int64), np.array([o[1] for o in own], np.int64),
+            np.concatenate([[0], np.cumsum([a * n for _, a, n in own])]).astype(np.int64),
+        )
     p = Plan(capacity, grain, first, before, streamed, stream_at, exact, patterns, first_sequence, slots, [], np.zeros(1, np.int64))
     p.rooms = [run for i, (_, n, _) in enumerate(kept) for run in p.runs(i, n) if run[2] >= LEAST_FILL]
     p.room_at = np.concatenate([[0], np.cumsum([r * n for _, _, r, n in p.rooms])]).astype(np.int64)
@@ -301,7 +313,9 @@ def pack(df: DataFrame, model: str, end_id: int, capacity: int = 2048, grain: in
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     table = common.stored(tokenized(df, key, text, model, end_id, capacity), "packing-tokens")
     counts = table.groupBy("rest", "part").agg(F.count("*").alias("n"))
-    earlier = counts.withColumn("earlier", F.sum("n").over(Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("rest", "part", F.coalesce("earlier", F.lit(0)).alias("earlier"))
+    earlier = counts.withColumn(
+        "earlier", F.sum("n").over(Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
+    ).select("rest", "part", F.coalesce("earlier", F.lit(0)).alias("earlier"))
     histogram = np.zeros(capacity, np.int64)
     for r in table.groupBy("rest").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows
         histogram[r["rest"]] = r["n"]

@@ -129,8 +129,12 @@ def scores(table: np.ndarray, bias: float, raw: np.ndarray, offsets: np.ndarray)
 
 def fit(df: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", limit: int = TRAIN_DOCUMENTS) -> Classifier:
     """Train on at most ``limit`` labelled documents whose id isn't held out."""
-    chosen = labels.select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__label")).where(F.col("__label").isin(0, 1) & ~held_out("__id")).orderBy(F.xxhash64("__id"), "__id").limit(limit)
-    rows = df.select(F.col(key).alias("__own"), common.text_bytes(text).alias("__text")).join(F.broadcast(chosen), F.col("__own") == F.col("__id")).select("__id", "__text", "__label").orderBy("__id", "__text").limit(limit).collect()
+    chosen = labels.select(
+        F.col(key).alias("__id"), F.col(label).cast("int").alias("__label"),
+    ).where(F.col("__label").isin(0, 1) & ~held_out("__id")).orderBy(F.xxhash64("__id"), "__id").limit(limit)
+    rows = df.select(
+        F.col(key).alias("__own"), common.text_bytes(text).alias("__text"),
+    ).join(F.broadcast(chosen), F.col("__own") == F.col("__id")).select("__id", "__text", "__label").orderBy("__id", "__text").limit(limit).collect()
     if not rows:
         return Classifier(np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 2), np.float32), np.zeros(2, np.float32))
     return Classifier.fit([bytes(r[1]) for r in rows], [r[2] for r in rows])

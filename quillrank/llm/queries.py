@@ -19,7 +19,10 @@ def op1_crf_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda s: s["kind"] != "crf")
-    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), count("crf"))
+    return out.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"), count("crf"),
+    )
 
 
 def op2_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +38,9 @@ def op3_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")
-    return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"),
+    )
 
 
 def op5_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +53,9 @@ def op6_bbit_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
+    return token_counts.count_tokens(
+        docs, public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT,
+    ).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
 
 
 def op8_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +67,10 @@ def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     out = decontamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     digest = F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256)
-    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
 
 
 def op10_line_runs_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

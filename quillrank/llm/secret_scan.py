@@ -244,7 +244,10 @@ def made_lines() -> list[tuple[bytes, list[tuple[int, int]]]]:
     chars = lambda a, n: "".join(pick(a) for _ in range(n))
     low, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     full = low + upper + digit
-    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "ment", "tion", "ung", "keit", "ción", "eau"]
+    parts = [
+        "th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io",
+        "le", "is", "ou", "ar", "as", "de", "rt", "ve", "ment", "tion", "ung", "keit", "ción", "eau",
+    ]
     word = lambda: "".join(pick(parts) for _ in range(int(r.integers(1, 5))))
     secret = [
         lambda: chars(full, int(r.integers(14, 44))),
@@ -279,7 +282,12 @@ def made_lines() -> list[tuple[bytes, list[tuple[int, int]]]]:
             out.append((pick(plain)().encode(), []))
             continue
         s = pick(secret)()
-        head = pick([f"{pick(key)} = \"", f"{pick(key)}: ", f"{pick(key).upper()}=", f"Authorization: Bearer ", f"{pick(scheme)}://{word()}:", f"{pick(scheme)}://{word()}:", f"{word()} {word()} {pick(key)} is ", f"--{pick(key)} ", f"{word()} {word()} "])
+        head = pick(
+            [
+                f"{pick(key)} = \"", f"{pick(key)}: ", f"{pick(key).upper()}=", f"Authorization: Bearer ", f"{pick(scheme)}://{word()}:",
+                f"{pick(scheme)}://{word()}:", f"{word()} {word()} {pick(key)} is ", f"--{pick(key)} ", f"{word()} {word()} ",
+            ]
+        )
         tail = f"@{word()}.{word()}:{chars(digit, 4)}/{word()}" if "://" in head else pick(["\"", "", "'", f" {word()} {word()}"])
         lead = pick(plain)() + " " if i % 4 == 0 else ""
         a = len((lead + head).encode())

@@ -158,7 +158,10 @@ def shard(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "tex
     spark = df.sparkSession
     body = common.text_bytes(text)
     rows = common.stored(
-        df.select(F.col(f"`{key}`").alias(key), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.sha2(body, 256)).alias("grp")),
+        df.select(
+            F.col(f"`{key}`").alias(key), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
+            F.unhex(F.sha2(body, 256)).alias("grp"),
+        ),
         "shard-rows",
     )
     groups = common.stored(rows.groupBy("grp").agg(F.sum("size").alias("weight")), "shard-groups")

@@ -208,7 +208,10 @@ def count_tokens(df: DataFrame, model: str, limit: int, text: str = "text", keep
 
     With ``keep_prefixes`` also prefix_counts: the exact count of every prefix, for later questions.
     """
-    new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("fit_chars", T.LongType())]
+    new = [
+        T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()),
+        T.StructField("fit_chars", T.LongType()),
+    ]
     if keep_prefixes:
         new.append(T.StructField("prefix_counts", T.ArrayType(T.IntegerType())))
 

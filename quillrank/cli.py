@@ -64,7 +64,10 @@ def profile(spark: SparkSession, given: dict[str, str]) -> DataFrame:
     if "clicks" in read:
         c = filled(read["clicks"], protocol.KEY).withColumn("__key", protocol.query_key())
         text = X.normalize(F.col("text"))
-        row = c.agg(F.count("*").alias("pairs"), F.count_distinct(text).alias("texts"), F.count_distinct("__key").alias("keys"), F.count_distinct("__key", "item_id").alias("different_pairs"), F.count_distinct("item_id").alias("items")).first()
+        row = c.agg(
+            F.count("*").alias("pairs"), F.count_distinct(text).alias("texts"), F.count_distinct("__key").alias("keys"),
+            F.count_distinct("__key", "item_id").alias("different_pairs"), F.count_distinct("item_id").alias("items"),
+        ).first()
         out += [(f"clicks_{k}", float(v)) for k, v in row.asDict().items()] + [("clicks_repeated", float(row["pairs"] - row["different_pairs"]))]
         if "items" in read:
             both = c.select("item_id").distinct().join(read["items"].select("item_id").distinct(), "item_id", "left_semi").count()
@@ -84,31 +87,52 @@ def report(run: Run, queries: DataFrame, truth: DataFrame) -> list[DataFrame]:
     texts = queries.select("qid", X.normalize(F.col("text")).alias("text"))
     pairs = truth.select("qid", "item_id").distinct()
     pool = fusion.pool(channels).select("qid", "item_id", F.lit(1).alias("rank"))
-    named = {"final": fusion.fuse(scores, o.limit, o.channel_quota), "without_quota": fusion.fuse(scores, o.limit), "quota_10": fusion.fuse(scores, o.limit, 10), "pool": pool}
+    named = {
+        "final": fusion.fuse(scores, o.limit, o.channel_quota), "without_quota": fusion.fuse(scores, o.limit),
+        "quota_10": fusion.fuse(scores, o.limit, 10), "pool": pool,
+    }
     out = []
     chosen = protocol.representatives(texts, "text", "qid", "representative").select("qid", F.lit(True).alias("rep"))
     for name, top in named.items():
         groups = evaluation.hits(top, pairs, items.select("item_id"), o.limit).join(texts, "qid").join(chosen, "qid", "left").na.fill(False, ["rep"])
         row = evaluation.recall(groups, representative="rep")
-        out.append(row.select(F.lit(name).alias("part"), F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in row.columns)))))
+        out.append(
+            row.select(
+                F.lit(name).alias("part"),
+                F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in row.columns))),
+            )
+        )
     for name in [r["channel"] for r in channels.select("channel").distinct().orderBy("channel").collect()]:  # the channels' names
         groups = evaluation.hits(channels.where(F.col("channel") == name), pairs, items.select("item_id"), o.limit).join(texts, "qid")
         out.append(evaluation.recall(groups).select(F.lit("channel").alias("part"), F.lit(name).alias("name"), F.col("macro").alias("value")))
     if o.geo_depth:
         own = F.col("channel").contains("_geo")
         gain = evaluation.contribution(channels.where(~own), channels.where(own), pairs, items)
-        out.append(gain.select(F.lit("geo").alias("part"), F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in gain.columns)))))
+        out.append(
+            gain.select(
+                F.lit("geo").alias("part"),
+                F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in gain.columns))),
+            )
+        )
     if o.sweep:
         grid = run.bonus_sweep(channels, queries, pairs, sorted({*BONUSES, o.location_bonus}))
         columns = [c for c in grid.columns if c != "bonus"]
-        out.append(grid.select(F.concat(F.lit("bonus "), F.col("bonus").cast("string")).alias("part"), F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns)))))
+        out.append(
+            grid.select(
+                F.concat(F.lit("bonus "), F.col("bonus").cast("string")).alias("part"),
+                F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns))),
+            )
+        )
     return out
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quillrank")
     p.add_argument("command", choices=COMMANDS)
-    for name in ("items", "queries", "clicks", "rows", "answer", "model", "output", "item-vectors", "query-vectors", "category-model", "allowed-texts", "filter-keys"):
+    for name in (
+        "items", "queries", "clicks", "rows", "answer", "model", "output", "item-vectors", "query-vectors", "category-model",
+        "allowed-texts", "filter-keys",
+    ):
         p.add_argument(f"--{name}")
     for name, kind in FLAGS.items():
         p.add_argument(f"--{name.replace('_', '-')}", type=kind)
@@ -146,7 +170,9 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "profile":
         sinks.write_report(profile(spark, {n: v for n in ("items", "queries", "clicks") if (v := getattr(a, n))}), a.output)
     elif a.command == "validate":
-        found = {r["violation"]: r["n"] for r in protocol.violations(tables.read_answers(spark, a.answer), read(a.queries), read(a.items), strict=a.strict).collect()}
+        found = {
+            r["violation"]: r["n"] for r in protocol.violations(tables.read_answers(spark, a.answer), read(a.queries), read(a.items), strict=a.strict).collect()
+        }
         print(json.dumps(found))
         if any(found.values()):
             raise SystemExit(1)

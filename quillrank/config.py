@@ -54,8 +54,17 @@ class Options:
         need(self.version in (4, 5, 6, 7, 8), "feature versions are 4 to 8")
         need(self.version < 7 or self.method == "hybrid", "versions 7 and 8 need the hybrid method")
         need(self.version not in (6, 8) or self.method != "bm25", "versions 6 and 8 need vectors")
-        need(0 < self.fraction < 1 and self.depth > 0 and self.limit > 0 and self.rank_constant >= 0 and self.channel_quota >= 0, "fraction lies between 0 and 1; depth and limit are positive")
-        need(min(self.stem_title, self.stem_params, self.geo_depth, self.geo_weight, self.lexical_weight, self.dense_weight, self.negatives, self.max_queries, self.exact_bonus) >= 0, "weights, depths and numbers aren't negative")
+        need(
+            0 < self.fraction < 1 and self.depth > 0 and self.limit > 0 and self.rank_constant >= 0 and self.channel_quota >= 0,
+            "fraction lies between 0 and 1; depth and limit are positive",
+        )
+        need(
+            min(
+                self.stem_title, self.stem_params, self.geo_depth, self.geo_weight, self.lexical_weight, self.dense_weight, self.negatives,
+                self.max_queries, self.exact_bonus,
+            ) >= 0,
+            "weights, depths and numbers aren't negative",
+        )
         need(self.lexical_weight + self.dense_weight > 0, "some channel must count")
 
     def identity(self) -> dict:

@@ -57,7 +57,9 @@ def reciprocal_rank(rank: Column, constant: int) -> Column:
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    a = F.pow(F.sin((F.radians(lat2) - F.radians(lat1)) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2)
+    a = F.pow(
+        F.sin((F.radians(lat2) - F.radians(lat1)) / 2), 2,
+    ) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2)
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0))))
 
 
@@ -132,7 +134,9 @@ def _atoms(tree: Column) -> Column:
     deep = F.exists(nodes, lambda s: kind(s["value"]).startswith("OBJECT<") | kind(s["value"]).startswith("ARRAY"))
     texts = F.transform(nodes, lambda s: F.struct(s["path"].alias("path"), X.normalize(F.try_variant_get(s["value"], "$", "string")).alias("text")))
     atoms = F.transform(F.filter(texts, lambda s: s["text"] != ""), lambda s: F.concat(F.lit("filter_"), s["path"], F.lit(" "), s["text"]))
-    return F.when(deep, F.raise_error(F.lit(f"filters are nested deeper than {DEPTH} levels")).cast("array<string>")).otherwise(F.array_sort(F.array_distinct(atoms)))
+    return F.when(
+        deep, F.raise_error(F.lit(f"filters are nested deeper than {DEPTH} levels")).cast("array<string>"),
+    ).otherwise(F.array_sort(F.array_distinct(atoms)))
 
 
 def filter_atoms(json: Column) -> Column:
@@ -154,6 +158,9 @@ def category_query_text(text: Column, filters: Column, category: Column) -> Colu
     """
     c, raw = X.normalize(category), F.coalesce(filters, F.lit(""))
     plain = X.normalize(raw)
-    atoms = F.when(raw == "", F.array().cast("array<string>")).when(F.try_parse_json(raw).isNull(), F.when(plain != "", F.array(F.concat(F.lit("filter_ "), plain))).otherwise(F.array().cast("array<string>"))).otherwise(filter_atoms(raw))
+    atoms = F.when(raw == "", F.array().cast("array<string>")).when(
+        F.try_parse_json(raw).isNull(),
+        F.when(plain != "", F.array(F.concat(F.lit("filter_ "), plain))).otherwise(F.array().cast("array<string>")),
+    ).otherwise(filter_atoms(raw))
     tail = F.when((c != "") & (c != "0"), F.array(F.concat(F.lit("category_"), c))).otherwise(F.array().cast("array<string>"))
     return F.array_join(F.concat(F.array(X.normalize(text)), atoms, tail), " | ")

@@ -46,13 +46,19 @@ def first_words(c: Column, n: int) -> Column:
 
 def item_text(title: Column, category: Column, params: Column, description: Column) -> Column:
     """Labelled document for an encoder: title, category, 40 words of parameters, 48 of the description."""
-    return F.concat(F.lit("товар: "), normalize(title), F.lit(" категория: "), normalize(category), F.lit(" параметры: "), first_words(params, 40), F.lit(" описание: "), first_words(description, 48))
+    return F.concat(
+        F.lit("товар: "), normalize(title), F.lit(" категория: "), normalize(category), F.lit(" параметры: "), first_words(params, 40),
+        F.lit(" описание: "), first_words(description, 48),
+    )
 
 
 def query_text(text: Column, filters: Column, category: Column) -> Column:
     """Labelled query; filters and category are left out where empty, the category also where "0"."""
     f, c = normalize(filters), normalize(category)
-    return F.concat_ws(" ", F.concat(F.lit("запрос: "), normalize(text)), F.when(f != "", F.concat(F.lit("фильтры: "), f)), F.when((c != "") & (c != "0"), F.concat(F.lit("категория: "), c)))
+    return F.concat_ws(
+        " ", F.concat(F.lit("запрос: "), normalize(text)), F.when(f != "", F.concat(F.lit("фильтры: "), f)),
+        F.when((c != "") & (c != "0"), F.concat(F.lit("категория: "), c)),
+    )
 
 
 def query_format(text: Column, filters: Column, values: Column, category: Column, style: str) -> Column:

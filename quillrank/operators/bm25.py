@@ -141,7 +141,10 @@ def top_k(scored: DataFrame, k: int, by: list[str], score: str = "score", tie: s
 def channels(ranked: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """The long table of ranked channels: (qid, channel, ch_ord, weight, item_id, rank, raw_score)."""
     order = _by_field(fields, lambda f: fields.index(f)).cast("int")
-    return ranked.select("qid", F.col("field").alias("channel"), order.alias("ch_ord"), _by_field(fields, lambda f: f.weight).alias("weight"), F.col("doc").alias("item_id"), "rank", F.col("score").alias("raw_score"))
+    return ranked.select(
+        "qid", F.col("field").alias("channel"), order.alias("ch_ord"), _by_field(fields, lambda f: f.weight).alias("weight"),
+        F.col("doc").alias("item_id"), "rank", F.col("score").alias("raw_score"),
+    )
 
 
 def retrieve(items: DataFrame, queries: DataFrame, k: int, fields: tuple[Field, ...] = FIELDS) -> DataFrame:

@@ -95,13 +95,18 @@ WEIGHTS = {"title": 2.0, "params": 1.0, "description": 0.5}
 TOP, LEAST, POWER = 3, 5, 0.5
 
 
-def channel(scored: DataFrame, predicted: DataFrame, items: DataFrame, queries: DataFrame, limit: int, weights: dict[str, float] | None = None, top: int = TOP, least: int = LEAST, power: float = POWER, bonus: float = 0.0) -> DataFrame:
+def channel(
+    scored: DataFrame, predicted: DataFrame, items: DataFrame, queries: DataFrame, limit: int, weights: dict[str, float] | None = None,
+    top: int = TOP, least: int = LEAST, power: float = POWER, bonus: float = 0.0,
+) -> DataFrame:
     """(qid, item_id, rank, raw_score): items of a query's likeliest categories by lexical score and probability.
 
     Each of the categories has its ``least`` best items in the ranking before
     the rest is filled by score; ``bonus`` goes to items in the query's place.
     """
-    lexical = combined_scores(scored, weights or WEIGHTS).join(items.select("item_id", F.col("microcat").alias("cat"), F.col("location").alias("at")), "item_id").where("coalesce(cat, '') <> ''")
+    lexical = combined_scores(scored, weights or WEIGHTS).join(
+        items.select("item_id", F.col("microcat").alias("cat"), F.col("location").alias("at")), "item_id",
+    ).where("coalesce(cat, '') <> ''")
     extra: Column | float = 0.0
     if bonus:
         lexical = lexical.join(queries.select("qid", F.col("location").alias("here")), "qid")

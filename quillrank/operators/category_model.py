@@ -59,7 +59,10 @@ def _vocabulary(counts: DataFrame, documents: int, s: Settings) -> DataFrame:
     most = F.when(F.col("kind") == "words", s.words).otherwise(s.characters)
     kept = df.withColumn("own", own).where(F.col("own") <= most)
     number = F.when(F.col("kind") == "words", F.col("own") - 1).otherwise(s.words + F.col("own") - 1).cast("int")
-    return storage.stored(kept.select("kind", "g", number.alias("id"), (F.ln((1 + F.lit(documents)) / (1 + F.col("df"))) + 1).alias("idf")), "category-vocabulary")
+    return storage.stored(
+        kept.select("kind", "g", number.alias("id"), (F.ln((1 + F.lit(documents)) / (1 + F.col("df"))) + 1).alias("idf")),
+        "category-vocabulary",
+    )
 
 
 def _vectors(texts: DataFrame, counts: DataFrame, vocabulary: DataFrame, s: Settings) -> DataFrame:
@@ -72,7 +75,10 @@ def _vectors(texts: DataFrame, counts: DataFrame, vocabulary: DataFrame, s: Sett
     unit = F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("text", "kind")))
     rows = weighted.withColumn("w", unit).groupBy("text").agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("v"))
     full = texts.join(rows, "text", "left").withColumn("v", F.coalesce("v", F.array().cast("array<struct<id:int,w:double>>")))
-    x = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(s.words + s.characters).alias("size"), F.col("v.id").alias("indices"), F.col("v.w").alias("values"))
+    x = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(s.words + s.characters).alias("size"), F.col("v.id").alias("indices"),
+        F.col("v.w").alias("values"),
+    )
     path = f"{storage.shared_folder(texts.sparkSession)}/category-vectors-{storage.uuid.uuid4().hex}"
     full.select("text", x.alias("x")).write.parquet(path)
     return texts.sparkSession.read.schema(T.StructType([T.StructField("text", T.StringType()), T.StructField("x", VectorUDT())])).parquet(path)
@@ -120,7 +126,12 @@ class CategoryModel:
 
     def predict(self, texts: DataFrame) -> DataFrame:
         """(text, cat, prob, by) of distinct texts (column text), normalised; ``by`` is the model that was asked."""
-        asked = storage.stored(texts.select(X.normalize(F.col("text")).alias("text")).distinct().join(self.fitted, "text", "left").select("text", F.coalesce("fold", F.lit(-1)).alias("by")), "category-asked")
+        asked = storage.stored(
+            texts.select(X.normalize(F.col("text")).alias("text")).distinct().join(self.fitted, "text", "left").select(
+                "text", F.coalesce("fold", F.lit(-1)).alias("by"),
+            ),
+            "category-asked",
+        )
         counts = _counts(_grams(asked.select("text")))
         out = None
         for k, model in self.models.items():
@@ -142,7 +153,10 @@ class CategoryModel:
             if m.regression is not None:
                 m.regression.save(f"{path}/{k}/regression")
         self.fitted.write.mode("errorifexists").parquet(f"{path}/fitted")
-        about = {"settings": vars(self.settings), "classes": {str(k): m.classes for k, m in self.models.items()}, "constant": [k for k, m in self.models.items() if m.regression is None], "fingerprint": self.fingerprint}
+        about = {
+            "settings": vars(self.settings), "classes": {str(k): m.classes for k, m in self.models.items()},
+            "constant": [k for k, m in self.models.items() if m.regression is None], "fingerprint": self.fingerprint,
+        }
         spark.createDataFrame([(json.dumps(about, ensure_ascii=False),)], "value string").coalesce(1).write.text(f"{path}/about")
 
     @staticmethod
@@ -157,7 +171,9 @@ class CategoryModel:
 
 def fit(examples: DataFrame, s: Settings = Settings()) -> CategoryModel:
     """Models from (text, cat, weight): of all texts, and with ``folds`` of two or more one without each fold; every text lies in one fold."""
-    rows = examples.where("coalesce(cat, '') NOT IN ('', '0')").select(X.normalize(F.col("text")).alias("text"), F.col("cat").cast("string").alias("cat"), "weight")
+    rows = examples.where("coalesce(cat, '') NOT IN ('', '0')").select(
+        X.normalize(F.col("text")).alias("text"), F.col("cat").cast("string").alias("cat"), "weight",
+    )
     fold: Column = S.fold(F.col("text"), s.folds, s.seed) if s.folds > 1 else F.lit(-1)
     rows = storage.stored(rows.withColumn("fold", fold), "category-examples")
     if rows.isEmpty():

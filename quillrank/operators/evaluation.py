@@ -28,8 +28,14 @@ def recall(groups: DataFrame, by: list[str] | None = None, denominator: str = "n
     by = by or []
     ok = groups.where(F.col(denominator) > 0).withColumn("r", F.col("n_hit") / F.col(denominator))
     chosen = F.when(F.col(representative), F.col("r")) if representative else F.lit(None).cast("double")
-    text = ok.groupBy(*by, "text").agg(F.avg("r").alias("r"), F.sum("n_hit").alias("h"), F.sum(denominator).alias("d"), F.count("*").alias("c"), F.sum("r").alias("s"), F.sum(chosen).alias("rep"), F.count(chosen).alias("reps"))
-    values = [F.round(F.sum("s") / F.sum("c"), 6).alias("macro"), F.round(F.avg("r"), 6).alias("text_macro"), F.round(F.sum("h") / F.sum("d"), 6).alias("micro"), F.sum("c").alias("n_queries")]
+    text = ok.groupBy(*by, "text").agg(
+        F.avg("r").alias("r"), F.sum("n_hit").alias("h"), F.sum(denominator).alias("d"), F.count("*").alias("c"), F.sum("r").alias("s"),
+        F.sum(chosen).alias("rep"), F.count(chosen).alias("reps"),
+    )
+    values = [
+        F.round(F.sum("s") / F.sum("c"), 6).alias("macro"), F.round(F.avg("r"), 6).alias("text_macro"),
+        F.round(F.sum("h") / F.sum("d"), 6).alias("micro"), F.sum("c").alias("n_queries"),
+    ]
     if representative:
         values.append(F.round(F.sum("rep") / F.nullif(F.sum("reps"), F.lit(0)), 6).alias("representative_macro"))
     return text.groupBy(*by).agg(*values)
@@ -46,7 +52,9 @@ def stratum(queries: DataFrame, places: DataFrame) -> DataFrame:
     known = places.select(F.col("location").alias("__at")).distinct().withColumn("__known", F.lit(True))
     joined = queries.join(known, F.col("location") == F.col("__at"), "left")
     words = F.size(X.tokens(X.normalize(F.col("text"))))
-    return joined.withColumn("no_exact_location", F.col("__known").isNull() | (F.coalesce("location", F.lit("")) == "")).withColumn("has_filters", F.coalesce("filters", F.lit("")) != "").withColumn("one_word", words <= 1).drop("__at", "__known")
+    return joined.withColumn(
+        "no_exact_location", F.col("__known").isNull() | (F.coalesce("location", F.lit("")) == ""),
+    ).withColumn("has_filters", F.coalesce("filters", F.lit("")) != "").withColumn("one_word", words <= 1).drop("__at", "__known")
 
 
 #: The route masks of ``route_masks``, over presence in the description, dense and geographic routes.
@@ -59,20 +67,31 @@ MASKS = {
 def route_masks(channels: DataFrame, truth: DataFrame) -> DataFrame:
     """Per query: candidates and hits of each of the ten route masks, and how description and dense routes overlap."""
     has = lambda c: F.bool_or(c)
-    f = channels.groupBy("qid", "item_id").agg(has(F.col("channel") == "description").alias("d"), has(F.col("channel") == "dense").alias("e"), has(F.col("channel").endswith("_geo")).alias("g"))
+    f = channels.groupBy("qid", "item_id").agg(
+        has(F.col("channel") == "description").alias("d"), has(F.col("channel") == "dense").alias("e"),
+        has(F.col("channel").endswith("_geo")).alias("g"),
+    )
     f = f.join(truth.select("qid", "item_id", F.lit(True).alias("hit")), ["qid", "item_id"], "left").na.fill(False, ["hit"])
     counts = [F.count_if(F.expr(m)).alias(f"{n}_count") for n, m in MASKS.items()] + [F.count_if(F.expr(f"({m}) and hit")).alias(f"{n}_hits") for n, m in MASKS.items()]
     out = f.groupBy("qid").agg(*counts)
     d, e, both, union = (F.col(f"{n}_count") for n in ("description", "dense", "description_and_dense", "description_or_dense"))
     ratio = lambda x, y: F.round(x / F.nullif(y, F.lit(0)), 6)
-    return out.select("*", ratio(both, union).alias("jaccard"), ratio(both, d).alias("description_overlap"), ratio(both, e).alias("dense_overlap"), ratio(both, F.least(d, e)).alias("overlap_coefficient"))
+    return out.select(
+        "*", ratio(both, union).alias("jaccard"), ratio(both, d).alias("description_overlap"), ratio(both, e).alias("dense_overlap"),
+        ratio(both, F.least(d, e)).alias("overlap_coefficient"),
+    )
 
 
 def described(rows: DataFrame, fields: list[str]) -> DataFrame:
     """(field, groups, undefined, texts, group_mean, text_macro_mean) of nullable statistics of queries (text, fields)."""
-    each = rows.select("text", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields))).alias("s")).select("text", "s.field", "s.v")
+    each = rows.select(
+        "text", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields))).alias("s"),
+    ).select("text", "s.field", "s.v")
     text = each.groupBy("field", "text").agg(F.count("v").alias("n"), F.count("*").alias("all"), F.avg("v").alias("m"), F.sum("v").alias("t"))
-    return text.groupBy("field").agg(F.sum("n").alias("groups"), F.sum(F.col("all") - F.col("n")).alias("undefined"), F.count("m").alias("texts"), F.round(F.sum("t") / F.nullif(F.sum("n"), F.lit(0)), 6).alias("group_mean"), F.round(F.avg("m"), 6).alias("text_macro_mean"))
+    return text.groupBy("field").agg(
+        F.sum("n").alias("groups"), F.sum(F.col("all") - F.col("n")).alias("undefined"), F.count("m").alias("texts"),
+        F.round(F.sum("t") / F.nullif(F.sum("n"), F.lit(0)), 6).alias("group_mean"), F.round(F.avg("m"), 6).alias("text_macro_mean"),
+    )
 
 
 def contribution(channels: DataFrame, extra: DataFrame, truth: DataFrame, known: DataFrame) -> DataFrame:
@@ -85,8 +104,16 @@ def contribution(channels: DataFrame, extra: DataFrame, truth: DataFrame, known:
     new = flags.where("b IS NULL")
     added = new.agg(F.count("*").alias("extra"), F.count_distinct("qid").alias("n_queries"))
     found = truth.select("qid", "item_id").distinct().join(known.select("item_id").distinct(), "item_id", "left_semi").join(flags, ["qid", "item_id"], "left")
-    each = found.groupBy("qid").agg(F.avg(F.when(F.col("b"), 1.0).otherwise(0.0)).alias("before"), F.avg(F.when(F.col("b") | F.col("x"), 1.0).otherwise(0.0)).alias("after"), F.count_if(F.col("b").isNull() & F.col("x")).alias("new"))
-    gain = each.agg(F.round(F.avg("before"), 6).alias("recall_before"), F.round(F.avg("after"), 6).alias("recall_after"), F.round(F.avg(F.col("after") - F.col("before")), 6).alias("incremental_recall"), F.count_if(F.col("new") > 0).alias("queries_with_new_positive"))
+    each = found.groupBy("qid").agg(
+        F.avg(F.when(F.col("b"), 1.0).otherwise(0.0)).alias("before"),
+        F.avg(F.when(F.col("b") | F.col("x"), 1.0).otherwise(0.0)).alias("after"),
+        F.count_if(F.col("b").isNull() & F.col("x")).alias("new"),
+    )
+    gain = each.agg(
+        F.round(F.avg("before"), 6).alias("recall_before"), F.round(F.avg("after"), 6).alias("recall_after"),
+        F.round(F.avg(F.col("after") - F.col("before")), 6).alias("incremental_recall"),
+        F.count_if(F.col("new") > 0).alias("queries_with_new_positive"),
+    )
     return added.crossJoin(gain)  # one row each
 
 
@@ -94,7 +121,12 @@ def population(queries: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Shares of searches with filters, with a place, with a category, for delivery, and words of their texts."""
     given = lambda c: F.avg(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", 1.0).otherwise(0.0))
     words = F.size(X.tokens(X.normalize(F.col("text"))))
-    return queries.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.round(given("filters"), 6).alias("with_filters"), F.round(given("location"), 6).alias("with_place"), F.round(F.avg(F.when(F.coalesce("category", F.lit("")).isin("", "0"), 0.0).otherwise(1.0)), 6).alias("with_category"), F.round(F.avg(F.when(F.col("delivery") == "1", 1.0).otherwise(0.0)), 6).alias("with_delivery"), F.round(F.avg(words.cast("double")), 6).alias("mean_words"))
+    return queries.groupBy(*(by or [])).agg(
+        F.count("*").alias("n"), F.round(given("filters"), 6).alias("with_filters"), F.round(given("location"), 6).alias("with_place"),
+        F.round(F.avg(F.when(F.coalesce("category", F.lit("")).isin("", "0"), 0.0).otherwise(1.0)), 6).alias("with_category"),
+        F.round(F.avg(F.when(F.col("delivery") == "1", 1.0).otherwise(0.0)), 6).alias("with_delivery"),
+        F.round(F.avg(words.cast("double")), 6).alias("mean_words"),
+    )
 
 
 def counter_report(counts: DataFrame, key: str, n: str, most: int) -> DataFrame:
@@ -108,7 +140,10 @@ def mix_weighted(groups: DataFrame, mix: DataFrame, strata: list[str]) -> DataFr
     shares = mix.groupBy(*strata).agg(F.count("*").alias("m"))
     joined = shares.join(own, strata, "left")
     covered = F.when(F.col("r").isNotNull(), F.col("m"))
-    return joined.agg(F.round(F.sum(F.col("m") * F.col("r")) / F.sum(covered), 6).alias("mixed_recall"), F.round(F.coalesce(F.sum(covered), F.lit(0)) / F.sum("m"), 6).alias("covered"), F.count("*").alias("strata"))
+    return joined.agg(
+        F.round(F.sum(F.col("m") * F.col("r")) / F.sum(covered), 6).alias("mixed_recall"),
+        F.round(F.coalesce(F.sum(covered), F.lit(0)) / F.sum("m"), 6).alias("covered"), F.count("*").alias("strata"),
+    )
 
 
 def effective_size(weights: DataFrame, by: str, w: str = "w") -> DataFrame:
@@ -118,7 +153,10 @@ def effective_size(weights: DataFrame, by: str, w: str = "w") -> DataFrame:
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     """Wins, losses and ties of b against a by query (qid, r)."""
     d = a.select("qid", F.col("r").alias("ra")).join(b.select("qid", F.col("r").alias("rb")), "qid")
-    return d.agg(F.count_if(F.col("rb") > F.col("ra")).alias("wins"), F.count_if(F.col("rb") < F.col("ra")).alias("losses"), F.count_if(F.col("rb") == F.col("ra")).alias("ties"), F.round(F.avg(F.col("rb") - F.col("ra")), 6).alias("mean_delta"))
+    return d.agg(
+        F.count_if(F.col("rb") > F.col("ra")).alias("wins"), F.count_if(F.col("rb") < F.col("ra")).alias("losses"),
+        F.count_if(F.col("rb") == F.col("ra")).alias("ties"), F.round(F.avg(F.col("rb") - F.col("ra")), 6).alias("mean_delta"),
+    )
 
 
 def stage(curve: DataFrame, tolerance: float) -> DataFrame:
@@ -182,7 +220,9 @@ def stratified_bootstrap(clusters: DataFrame, mix: DataFrame, replicates: int =
     """
     shares = mix.join(clusters.select("stratum").distinct(), "stratum")
     n, strata = F.col("n"), shares.agg(F.count("*").alias("strata"))
-    each = _drawn(clusters, replicates, seed).groupBy("b", "stratum").agg((F.sum(F.col("w") * F.col("delta") * n) / F.nullif(F.sum(F.col("w") * n), F.lit(0))).alias("m"))
+    each = _drawn(clusters, replicates, seed).groupBy("b", "stratum").agg(
+        (F.sum(F.col("w") * F.col("delta") * n) / F.nullif(F.sum(F.col("w") * n), F.lit(0))).alias("m")
+    )
     mixed = each.where("m is not null").withColumnRenamed("m", "value").join(F.broadcast(shares), "stratum")  # a row for each stratum
     weighted = F.sum(F.col("value") * F.col("m")) / F.sum("m")
     means = mixed.groupBy("b").agg(F.count("*").alias("c"), weighted.alias("m")).crossJoin(strata).where("c = strata")

@@ -33,7 +33,9 @@ def fuse(scores: DataFrame, limit: int, quota: int = 0) -> DataFrame:
         q = Window.partitionBy("qid")
         miss, drop = ~F.col("sel") & F.col("g"), F.col("sel") & ~F.col("g")
         ranked = ranked.withColumn("m", F.least(F.count_if(miss).over(q), F.count_if(drop).over(q)))
-        ranked = ranked.withColumn("mi", F.row_number().over(Window.partitionBy("qid", miss).orderBy("fr"))).withColumn("di", F.row_number().over(Window.partitionBy("qid", drop).orderBy(F.desc("fr"))))
+        ranked = ranked.withColumn("mi", F.row_number().over(Window.partitionBy("qid", miss).orderBy("fr"))).withColumn(
+            "di", F.row_number().over(Window.partitionBy("qid", drop).orderBy(F.desc("fr"))),
+        )
         ranked = ranked.where((F.col("sel") & ~(drop & (F.col("di") <= F.col("m")))) | (miss & (F.col("mi") <= F.col("m"))))
     else:
         ranked = ranked.where(F.col("fr") <= limit)
@@ -73,7 +75,9 @@ def ordered_fill(base: DataFrame, routes: DataFrame, capacity: int) -> DataFrame
     first = novel.groupBy("qid", "item_id").agg(F.min(F.struct("ch_ord", "rank")).alias("at"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("at.ch_ord", "at.rank", "item_id")).cast("long")
     size = base.groupBy("qid").agg(F.count("*").alias("n_base"))
-    return first.withColumn("rank", rank).join(size, "qid", "left").where(F.col("rank") <= capacity - F.coalesce("n_base", F.lit(0))).select("qid", "item_id", "rank")
+    return first.withColumn("rank", rank).join(size, "qid", "left").where(
+        F.col("rank") <= capacity - F.coalesce("n_base", F.lit(0))
+    ).select("qid", "item_id", "rank")
 
 
 def replaced(channels: DataFrame, quotas: dict[str, int]) -> DataFrame:
@@ -86,10 +90,15 @@ def replaced(channels: DataFrame, quotas: dict[str, int]) -> DataFrame:
 
 def difference(base: DataFrame, variant: DataFrame, truth: DataFrame) -> DataFrame:
     """Per query: hits of both pools, and what the variant adds and loses."""
-    flags = base.select("qid", "item_id", F.lit(True).alias("in_base")).join(variant.select("qid", "item_id", F.lit(True).alias("in_variant")), ["qid", "item_id"], "full_outer")
+    flags = base.select("qid", "item_id", F.lit(True).alias("in_base")).join(
+        variant.select("qid", "item_id", F.lit(True).alias("in_variant")), ["qid", "item_id"], "full_outer",
+    )
     flags = flags.join(truth.select("qid", "item_id", F.lit(True).alias("hit")), ["qid", "item_id"], "left").na.fill(False, ["in_base", "in_variant", "hit"])
     b, v, h = F.col("in_base"), F.col("in_variant"), F.col("hit")
-    return flags.groupBy("qid").agg(F.count_if(b & h).alias("base_hits"), F.count_if(v & h).alias("variant_hits"), F.count_if(v & ~b).alias("additions"), F.count_if(b & ~v).alias("losses"), F.count_if(v & ~b & h).alias("new_hits"), F.count_if(b & ~v & h).alias("lost_hits"))
+    return flags.groupBy("qid").agg(
+        F.count_if(b & h).alias("base_hits"), F.count_if(v & h).alias("variant_hits"), F.count_if(v & ~b).alias("additions"),
+        F.count_if(b & ~v).alias("losses"), F.count_if(v & ~b & h).alias("new_hits"), F.count_if(b & ~v & h).alias("lost_hits"),
+    )
 
 
 def normalized_weights(channels: DataFrame, total: float) -> DataFrame:

@@ -91,7 +91,9 @@ def search_centres(counts: DataFrame, centre: DataFrame) -> DataFrame:
 GRID = 400_000_000
 
 
-def destination_prior(counts: DataFrame, centre: DataFrame, mass: float = 3.0, scale: float = 40.0, floor: float = 1e-7, places: DataFrame | None = None) -> DataFrame:
+def destination_prior(
+    counts: DataFrame, centre: DataFrame, mass: float = 3.0, scale: float = 40.0, floor: float = 1e-7, places: DataFrame | None = None,
+) -> DataFrame:
     """(search_loc, item_loc, p): smoothed shares (n + mass * w) / (N + mass) over all places, w by distance.
 
     ``places`` (place) are those of the items, with or without a centre; by
@@ -138,4 +140,7 @@ def click_features(counts: DataFrame, corpus: DataFrame, min_history: int = 20,
     joined = counts.withColumn("total", total).withColumn("rank", 1.0 / rank).join(share, "item_loc", "left")
     enough = F.col("total") >= min_history
     p = F.when(enough, F.col("n") / F.col("total")).otherwise(0.0)
-    return joined.select(by, "item_loc", p.alias("probability"), F.coalesce(F.log1p(p / F.nullif(F.col("share"), F.lit(0.0))), F.lit(0.0)).alias("lift"), F.when(enough, F.col("rank")).otherwise(0.0).alias("rank"))
+    return joined.select(
+        by, "item_loc", p.alias("probability"), F.coalesce(F.log1p(p / F.nullif(F.col("share"), F.lit(0.0))), F.lit(0.0)).alias("lift"),
+        F.when(enough, F.col("rank")).otherwise(0.0).alias("rank"),
+    )

@@ -57,7 +57,10 @@ def lexical_channels(scored: DataFrame, destinations: DataFrame, items: DataFram
     rows = scored.where(F.col("field").isin(*order)).select("field", "qid", F.col("doc").alias("item_id"), F.col("score").alias("raw_score"))
     if not plan.geo_depth:
         top = rows.withColumn("rank", _place(["field", "qid"])).where(F.col("rank") <= plan.depth)
-        return top.select("qid", F.col("field").alias("channel"), F.element_at(turn, F.col("field")).alias("ch_ord"), (plan.lexical * F.element_at(own, F.col("field")) / total).alias("weight"), "item_id", "rank", "raw_score")
+        return top.select(
+            "qid", F.col("field").alias("channel"), F.element_at(turn, F.col("field")).alias("ch_ord"),
+            (plan.lexical * F.element_at(own, F.col("field")) / total).alias("weight"), "item_id", "rank", "raw_score",
+        )
     places = destinations.groupBy("qid").agg(F.collect_set("place").alias("places"))
     rows = rows.join(items.select("item_id", F.col("location").alias("at")), "item_id").join(F.broadcast(places), "qid", "left")
     rows = rows.withColumn("inside", F.coalesce(F.array_contains("places", F.col("at")), F.lit(False))).withColumn("some", F.col("places").isNotNull())
@@ -87,16 +90,23 @@ def novel_channel(route: DataFrame, base: DataFrame, name: str, order: int, most
     again = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "item_id")).cast("long")
     free = F.least(F.lit(most), capacity - F.coalesce("held", F.lit(0)))
     kept = novel.withColumn("place", again).join(size, "qid", "left").where(F.col("place") <= free)
-    return kept.select("qid", F.lit(name).alias("channel"), F.lit(order).alias("ch_ord"), F.lit(weight).alias("weight"), "item_id", F.col("place").alias("rank"), "raw_score")
+    return kept.select(
+        "qid", F.lit(name).alias("channel"), F.lit(order).alias("ch_ord"), F.lit(weight).alias("weight"), "item_id",
+        F.col("place").alias("rank"), "raw_score",
+    )
 
 
-def related_channels(scored: DataFrame, related: DataFrame, items: DataFrame, base: DataFrame, plan: Plan, order: int = 40, capacity: int = CAPACITY) -> DataFrame:
+def related_channels(
+    scored: DataFrame, related: DataFrame, items: DataFrame, base: DataFrame, plan: Plan, order: int = 40, capacity: int = CAPACITY,
+) -> DataFrame:
     """Channels of weight 0 over related places (qid, place), field by field, into the places that the base leaves.
 
     An item enters with the first field that has it.
     """
     turn = F.create_map(*(F.lit(x) for i, (f, _) in enumerate(plan.fields) for x in (f, order + i)))
-    inside = scored.join(items.select(F.col("item_id").alias("doc"), F.col("location").alias("place")), "doc").join(F.broadcast(related), ["qid", "place"], "left_semi")
+    inside = scored.join(
+        items.select(F.col("item_id").alias("doc"), F.col("location").alias("place")), "doc",
+    ).join(F.broadcast(related), ["qid", "place"], "left_semi")
     rows = inside.select("qid", "field", F.element_at(turn, F.col("field")).alias("ch_ord"), F.col("doc").alias("item_id"), F.col("score").alias("raw_score"))
     held = base.select("qid", "item_id").distinct()
     size = held.groupBy("qid").agg(F.count("*").alias("held"))
@@ -106,7 +116,10 @@ def related_channels(scored: DataFrame, related: DataFrame, items: DataFrame, ba
     first = novel.withColumn("turn", F.row_number().over(Window.partitionBy("qid", "item_id").orderBy("ch_ord", "rank"))).where("turn = 1")
     fill = first.withColumn("fill", F.row_number().over(Window.partitionBy("qid").orderBy("ch_ord", "rank", "item_id"))).where(F.col("fill") <= free)
     again = F.row_number().over(Window.partitionBy("qid", "ch_ord").orderBy("rank", "item_id")).cast("long")
-    return fill.select("qid", F.concat("field", F.lit("_geo_related")).alias("channel"), "ch_ord", F.lit(0.0).alias("weight"), "item_id", again.alias("rank"), "raw_score")
+    return fill.select(
+        "qid", F.concat("field", F.lit("_geo_related")).alias("channel"), "ch_ord", F.lit(0.0).alias("weight"), "item_id",
+        again.alias("rank"), "raw_score",
+    )
 
 
 def supplemental_channels(routes: DataFrame, base: DataFrame, order: int = 20, capacity: int = CAPACITY, constant: int = 60) -> DataFrame:
@@ -116,7 +129,10 @@ def supplemental_channels(routes: DataFrame, base: DataFrame, order: int = 20, c
     its reciprocal ranks, ties by id, as far as the base leaves places.
     """
     fill = fusion.novel_fill(base.select("qid", "item_id").distinct(), routes, capacity, constant)
-    head = fill.select("qid", F.lit("supplemental_fill").alias("channel"), F.lit(order).alias("ch_ord"), F.lit(0.0).alias("weight"), "item_id", "rank", F.col("score").alias("raw_score"))
+    head = fill.select(
+        "qid", F.lit("supplemental_fill").alias("channel"), F.lit(order).alias("ch_ord"), F.lit(0.0).alias("weight"), "item_id", "rank",
+        F.col("score").alias("raw_score"),
+    )
     again = F.row_number().over(Window.partitionBy("qid", "channel").orderBy("rank", "item_id")).cast("long")
     kept = routes.join(fill.select("qid", "item_id"), ["qid", "item_id"], "left_semi")
     turn = F.dense_rank().over(Window.partitionBy("qid").orderBy("channel"))

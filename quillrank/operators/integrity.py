@@ -16,7 +16,10 @@ def recovered_ranks(rows: DataFrame, inverse: str, constant: int, by: list[str])
     """
     rank = F.round(1 / F.col(inverse) - constant).cast("long")
     found = rows.where(F.col(inverse) > 0).withColumn("__rank", rank)
-    out = found.groupBy(*by).agg(F.count("*").alias("n"), F.max("__rank").alias("max_rank"), F.min("__rank").alias("__least"), F.count_distinct("__rank").alias("__ranks"))
+    out = found.groupBy(*by).agg(
+        F.count("*").alias("n"), F.max("__rank").alias("max_rank"), F.min("__rank").alias("__least"),
+        F.count_distinct("__rank").alias("__ranks"),
+    )
     return out.withColumn("complete", (F.col("n") == F.col("max_rank")) & (F.col("n") == F.col("__ranks")) & (F.col("__least") == 1)).drop("__least", "__ranks")
 
 
@@ -44,7 +47,10 @@ def label_groups(rows: DataFrame, label: str, order: list[str]) -> DataFrame:
     marked = ordered.withColumn("__new", F.when((before == 0) & (F.col(label) == 1), 1).otherwise(0))
     key = F.struct(*order)
     ends = marked.groupBy("__part").agg(F.min_by(label, key).alias("head"), F.max_by(label, key).alias("tail"), F.sum("__new").alias("news"))
-    seam = F.when(F.lag("tail").over(Window.orderBy("__part")).isNull() | ((F.lag("tail").over(Window.orderBy("__part")) == 0) & (F.col("head") == 1)), 1).otherwise(0)
+    seam = F.when(
+        F.lag("tail").over(Window.orderBy("__part")).isNull() | ((F.lag("tail").over(Window.orderBy("__part")) == 0) & (F.col("head") == 1)),
+        1,
+    ).otherwise(0)
     starts = ends.withColumn("__seam", seam)
     earlier = F.coalesce(F.sum(F.col("news") + F.col("__seam")).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = starts.select("__part", (earlier + F.col("__seam")).alias("__base"))
@@ -56,7 +62,10 @@ def training_groups(rows: DataFrame, by: str = "qid", tolerance: float = 1e-6) -
     """(by, n, positives, valid): whether a group has both classes, no repeated item, and weights that sum to 1 in each class."""
     weight = lambda y: F.sum(F.when(F.col("label") == y, F.col("weight")))
     near = lambda c: F.coalesce(F.abs(c - 1) <= tolerance, F.lit(False))
-    out = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.count_distinct("item_id").alias("__items"), weight(1).alias("__p"), weight(0).alias("__q"))
+    out = rows.groupBy(by).agg(
+        F.count("*").alias("n"), F.sum("label").alias("positives"), F.count_distinct("item_id").alias("__items"), weight(1).alias("__p"),
+        weight(0).alias("__q"),
+    )
     return out.withColumn("valid", near(F.col("__p")) & near(F.col("__q")) & (F.col("__items") == F.col("n"))).select(by, "n", "positives", "valid")
 
 
@@ -65,7 +74,10 @@ def alignment(left: DataFrame, right: DataFrame, keys: list[str], value: str) ->
     a = left.select(*keys, F.col(value).alias("__a"), F.lit(True).alias("__l"))
     b = right.select(*keys, F.col(value).alias("__b"), F.lit(True).alias("__r"))
     l, r = F.col("__l").isNotNull(), F.col("__r").isNotNull()
-    return a.join(b, keys, "full_outer").agg(F.count_if(l & ~r).alias("left_only"), F.count_if(r & ~l).alias("right_only"), F.count_if(l & r).alias("both"), F.count_if(l & r & ~F.col("__a").eqNullSafe(F.col("__b"))).alias("differing"))
+    return a.join(b, keys, "full_outer").agg(
+        F.count_if(l & ~r).alias("left_only"), F.count_if(r & ~l).alias("right_only"), F.count_if(l & r).alias("both"),
+        F.count_if(l & r & ~F.col("__a").eqNullSafe(F.col("__b"))).alias("differing"),
+    )
 
 
 def pool_digest(rows: DataFrame, by: str, order: str, parts: list[Column]) -> DataFrame:
@@ -84,12 +96,18 @@ def counts_fingerprint(counts: DataFrame, keys: list[str], n: str, buckets: int
     row = F.sha2(F.to_json(F.array(*(F.col(c).cast("string") for c in [*keys, n]))), 256)
     dealt = counts.select(row.alias("h"), F.col(n).alias("n")).withColumn("b", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % buckets)
     each = dealt.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("d"), F.count("*").alias("c"), F.sum("n").alias("t"))
-    return each.agg(F.sum("c").alias("n_rows"), F.sum("t").alias("total"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("b").cast("string"), "d"))), ","), 256).alias("digest"))
+    return each.agg(
+        F.sum("c").alias("n_rows"), F.sum("t").alias("total"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("b").cast("string"), "d"))), ","), 256).alias("digest"),
+    )
 
 
 def alpha_grid(rows: DataFrame, alphas: list[float], k: int) -> DataFrame:
     """(alpha, qid, item_id, mixed, rank): rankings by log odds of ``prob`` plus alpha times the log of ``share``, for several alphas."""
-    each = rows.withColumn("__mixed", F.array(*(F.struct(F.lit(a).alias("alpha"), F.round(S.logit_mix(F.col("prob"), F.col("share"), a), 6).alias("mixed")) for a in alphas)))
+    each = rows.withColumn(
+        "__mixed",
+        F.array(*(F.struct(F.lit(a).alias("alpha"), F.round(S.logit_mix(F.col("prob"), F.col("share"), a), 6).alias("mixed")) for a in alphas)),
+    )
     each = each.select("qid", "item_id", F.inline("__mixed"))
     rank = F.row_number().over(Window.partitionBy("alpha", "qid").orderBy(F.desc("mixed"), "item_id")).cast("long")
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("alpha", "qid", "item_id", "mixed", "rank")
@@ -106,18 +124,24 @@ def bonus_summary(ranked: DataFrame, truth: DataFrame, slices: Column, queries:
     """
     place = queries.select("qid", F.coalesce("location", F.lit("")).alias("__here"))
     at = items.select("item_id", F.coalesce("location", F.lit("")).alias("__at"))
-    known = truth.join(place, "qid").join(at, "item_id", "left").withColumn("__local", (F.col("__here") != "") & F.coalesce(F.col("__at") == F.col("__here"), F.lit(False)))
+    known = truth.join(place, "qid").join(at, "item_id", "left").withColumn(
+        "__local", (F.col("__here") != "") & F.coalesce(F.col("__at") == F.col("__here"), F.lit(False)),
+    )
     placed = F.col("__here") != ""
     sizes = known.groupBy("qid").agg(F.count("*").alias("size"), F.count_if("__local").alias("locals"), F.count_if(~F.col("__local") & placed).alias("others"))
     bonuses = ranked.select("bonus").distinct()
     found = ranked.join(known, ["qid", "item_id"]).groupBy("bonus", "qid").agg(F.count("*").alias("hits"), F.count_if("__local").alias("local_hits"))
-    shares = ranked.join(place, "qid").join(at, "item_id").groupBy("bonus", "qid").agg(F.avg(F.when(placed & (F.col("__at") == F.col("__here")), 1.0).otherwise(0.0)).alias("share"))
+    shares = ranked.join(place, "qid").join(at, "item_id").groupBy("bonus", "qid").agg(
+        F.avg(F.when(placed & (F.col("__at") == F.col("__here")), 1.0).otherwise(0.0)).alias("share")
+    )
     each = sizes.crossJoin(F.broadcast(bonuses)).join(found, ["bonus", "qid"], "left").join(shares, ["bonus", "qid"], "left").na.fill(0, ["hits", "local_hits"]).na.fill(0.0, ["share"])
     each = each.withColumn("r", F.col("hits") / F.col("size")).withColumn("first", slices)
     avg = lambda c: F.round(F.avg(c), 6)
     out = each.groupBy("bonus").agg(
         avg(F.col("r")).alias("all_recall"), avg(F.when(F.col("first"), F.col("r"))).alias("first_recall"), avg(F.when(~F.col("first"), F.col("r"))).alias("second_recall"),
-        avg(F.when(F.col("locals") > 0, F.col("local_hits") / F.col("locals"))).alias("local_recall"), avg(F.when(F.col("others") > 0, (F.col("hits") - F.col("local_hits")) / F.col("others"))).alias("other_recall"), avg(F.col("share")).alias("local_share"),
+        avg(F.when(F.col("locals") > 0, F.col("local_hits") / F.col("locals"))).alias("local_recall"), avg(
+            F.when(F.col("others") > 0, (F.col("hits") - F.col("local_hits")) / F.col("others"))
+        ).alias("other_recall"), avg(F.col("share")).alias("local_share"),
     )
     rank = F.row_number().over(Window.orderBy(F.desc_nulls_last("first_recall"), "bonus"))  # a row for each bonus
     return out.withColumn("best", rank == 1)

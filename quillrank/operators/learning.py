@@ -41,7 +41,10 @@ def training_sample(rows: DataFrame, baseline: DataFrame, channels: DataFrame, l
 def fit_ranker(rows: DataFrame, features: list[str], iterations: int = 20, depth: int = 4, subset: str = "all", seed: int = 42) -> PipelineModel:
     """Gradient-boosted trees on weighted rows (label, weight); depth bounds the leaves."""
     assemble = VectorAssembler(inputCols=features, outputCol="x")
-    trees = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=iterations, maxDepth=depth, stepSize=0.1, featureSubsetStrategy=subset, seed=seed)
+    trees = GBTClassifier(
+        featuresCol="x", labelCol="label", weightCol="weight", maxIter=iterations, maxDepth=depth, stepSize=0.1,
+        featureSubsetStrategy=subset, seed=seed,
+    )
     return Pipeline(stages=[assemble, trees]).fit(rows)
 
 
@@ -60,11 +63,16 @@ def pair_rows(rows: DataFrame, features: list[str], partners: int = 8, seed: str
     good = own.where("label = 1").select("qid", "__n", vector, turns.alias("k"))
     bad = own.where("label = 0").select("qid", F.col("__n").alias("at"), F.col("__size").alias("size"), vector.alias("u"))
     sizes = bad.select("qid", "size").distinct()
-    met = good.join(sizes, "qid").where("k < size").withColumn("at", (F.col("__n") * partners + F.col("k")) % F.col("size")).join(bad.drop("size"), ["qid", "at"])
+    met = good.join(sizes, "qid").where("k < size").withColumn(
+        "at", (F.col("__n") * partners + F.col("k")) % F.col("size"),
+    ).join(bad.drop("size"), ["qid", "at"])
     way = F.explode(F.array(F.lit(1), F.lit(-1))).alias("way")
     each = met.select("qid", "v", "u", way)
     weight = 1.0 / F.count("*").over(Window.partitionBy("qid"))
-    return each.select(((F.col("way") + 1) / 2).alias("label"), weight.alias("weight"), array_to_vector(F.zip_with("v", "u", lambda a, b: (a - b) * F.col("way"))).alias("x"))
+    return each.select(
+        ((F.col("way") + 1) / 2).alias("label"), weight.alias("weight"),
+        array_to_vector(F.zip_with("v", "u", lambda a, b: (a - b) * F.col("way"))).alias("x"),
+    )
 
 
 def fit_pairwise(rows: DataFrame, features: list[str], partners: int = 8, iterations: int = 50, regularisation: float = 1e-3) -> PipelineModel:

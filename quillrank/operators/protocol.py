@@ -50,7 +50,9 @@ def partitions(keys: DataFrame, key: str, salt: str, sizes: dict[str, int], rest
     return hashed.withColumn("partition", out)
 
 
-def cold(clicks: DataFrame, items: DataFrame, historic: DataFrame, salt: str, sizes: dict[str, int], rest: str, catalog_size: int) -> tuple[DataFrame, DataFrame]:
+def cold(
+    clicks: DataFrame, items: DataFrame, historic: DataFrame, salt: str, sizes: dict[str, int], rest: str, catalog_size: int,
+) -> tuple[DataFrame, DataFrame]:
     """A protocol over texts that were never seen: the catalogue (item_id) and a manifest (text, partition, key, item_ids), both by salted hashes.
 
     Texts of ``historic`` leave; the others are dealt into partitions of fixed
@@ -60,7 +62,9 @@ def cold(clicks: DataFrame, items: DataFrame, historic: DataFrame, salt: str, si
     least hash; its items are all that its keys clicked.  ``clicks``: text, key,
     item_id.
     """
-    fresh = clicks.withColumn("text", X.normalize(F.col("text"))).join(historic.select(X.normalize(F.col("text")).alias("text")).distinct(), "text", "left_anti")
+    fresh = clicks.withColumn("text", X.normalize(F.col("text"))).join(
+        historic.select(X.normalize(F.col("text")).alias("text")).distinct(), "text", "left_anti",
+    )
     dealt = partitions(fresh.select("text"), "text", salt, sizes, rest).select("text", "partition")
     known = fresh.join(items.select("item_id").distinct(), "item_id", "left_semi")
     clicked = known.select("item_id").distinct()
@@ -106,11 +110,17 @@ def violations(answer: DataFrame, queries: DataFrame, corpus: DataFrame, most: i
     known = queries.select(F.col("qid").alias("query_id")).distinct()
     rules = {"too_many": F.size("ids") > most, "repeated_item": F.size("ids") != F.size(F.array_distinct("ids"))}
     if strict:
-        rules |= {"query_id_form": ~is_query_id(F.col("query_id").cast("string")), "item_id_form": F.exists("ids", lambda x: ~is_item_id(x)) | (F.col("answer") != F.array_join("ids", " "))}
+        rules |= {
+            "query_id_form": ~is_query_id(F.col("query_id").cast("string")),
+            "item_id_form": F.exists("ids", lambda x: ~is_item_id(x)) | (F.col("answer") != F.array_join("ids", " ")),
+        }
     flagged = ids.agg(*(F.count_if(r).alias(n) for n, r in rules.items()))
     told = flagged.select(F.inline(F.array(*(F.struct(F.lit(n).alias("violation"), F.col(n).alias("n")) for n in rules))))
     items = ids.select(F.explode("ids").alias("id")).join(corpus.select(F.col("item_id").cast("string").alias("id")).distinct(), "id", "left_anti")
-    found = {"missing_query": known.join(answer, "query_id", "left_anti"), "unknown_query": answer.join(known, "query_id", "left_anti"), "unknown_item": items, "repeated_query": answer.groupBy("query_id").count().where("count > 1")}
+    found = {
+        "missing_query": known.join(answer, "query_id", "left_anti"), "unknown_query": answer.join(known, "query_id", "left_anti"),
+        "unknown_item": items, "repeated_query": answer.groupBy("query_id").count().where("count > 1"),
+    }
     for name, rows in found.items():
         told = told.unionByName(rows.agg(F.lit(name).alias("violation"), F.count("*").alias("n")))
     return told
@@ -160,7 +170,9 @@ def popular_fill(ranked: DataFrame, queries: DataFrame, clicks: DataFrame, items
     """Rankings filled up to ``limit`` with the most clicked items of the corpus that a query hasn't got, ties by id."""
     counts = clicks.join(items.select("item_id"), "item_id", "left_semi").groupBy("item_id").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "item_id").limit(2 * limit)  # enough for any query: at most ``limit`` are taken already
-    sizes = queries.select("qid").distinct().join(ranked.groupBy("qid").agg(F.count("*").alias("had")), "qid", "left").withColumn("had", F.coalesce("had", F.lit(0))).where(F.col("had") < limit)
+    sizes = queries.select("qid").distinct().join(
+        ranked.groupBy("qid").agg(F.count("*").alias("had")), "qid", "left",
+    ).withColumn("had", F.coalesce("had", F.lit(0))).where(F.col("had") < limit)
     offered = sizes.crossJoin(F.broadcast(top)).join(ranked.select("qid", "item_id"), ["qid", "item_id"], "left_anti")
     offered = offered.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), "item_id"))).where(F.col("had") + F.col("k") <= limit)
     return ranked.select("qid", "item_id", "rank").unionByName(offered.select("qid", "item_id", (F.col("had") + F.col("k")).cast("long").alias("rank")))
@@ -176,7 +188,9 @@ def islands(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     before = F.lag(group).over(Window.partitionBy("part").orderBy("pos"))
     marked = ordered.withColumn("new", F.when(before == F.col(group), 0).otherwise(1))
     ends = marked.groupBy("part").agg(F.min_by(group, "pos").alias("head"), F.max_by(group, "pos").alias("tail"))  # a row for each range
-    seam = ends.withColumn("last", F.lag("tail").over(Window.orderBy("part"))).where("head = last").groupBy(F.col("head").alias(group)).agg(F.count("*").alias("joined"))
+    seam = ends.withColumn(
+        "last", F.lag("tail").over(Window.orderBy("part")),
+    ).where("head = last").groupBy(F.col("head").alias(group)).agg(F.count("*").alias("joined"))
     runs = marked.groupBy(group).agg(F.sum("new").alias("runs"), F.count("*").alias("n"))
     return runs.join(F.broadcast(seam), group, "left").select(group, (F.col("runs") - F.coalesce("joined", F.lit(0))).alias("islands"), "n")
 
@@ -191,4 +205,7 @@ def fingerprint(rows: DataFrame, buckets: int = 4096) -> DataFrame:
     each = rows.select(F.sha2(F.to_json(F.array(*(F.col(f"`{c}`").cast("string") for c in rows.columns))), 256).alias("h"))
     dealt = each.withColumn("b", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % buckets)
     parts = dealt.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("d"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col("b").cast("string"), 12, "0"), "d"))), "\n"), 256).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return parts.agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col("b").cast("string"), 12, "0"), "d"))), "\n"), 256).alias("fingerprint"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+    )

@@ -64,7 +64,9 @@ def pools(base: DataFrame, new: DataFrame, variants: list[Variant], capacity: in
         order = {c: i for i, c in enumerate(v.channels)}
         taken = None
         for c, (source, quota) in v.channels.items():
-            one = (base if source == "base" else new).where((F.col("channel") == c) & (F.col("rank") <= quota)).select("qid", F.lit(order[c]).alias("ch_ord"), "item_id", "rank")
+            one = (base if source == "base" else new).where((F.col("channel") == c) & (F.col("rank") <= quota)).select(
+                "qid", F.lit(order[c]).alias("ch_ord"), "item_id", "rank",
+            )
             taken = one if taken is None else taken.unionByName(one)
         parts.append(fusion.pool(taken, capacity).select(F.lit(v.name).alias("variant"), "qid", "item_id", "pool_rank"))
     out = parts[0]
@@ -75,7 +77,12 @@ def pools(base: DataFrame, new: DataFrame, variants: list[Variant], capacity: in
 
 def _filled(held: DataFrame, new: DataFrame, fills: list[Variant], capacity: int, constant: int) -> DataFrame:
     weights = [F.struct(F.lit(v.name).alias("variant"), F.lit(c).alias("channel"), F.lit(float(w)).alias("w")) for v in fills for c, w in v.channels.items()]
-    about = [F.struct(F.lit(v.name).alias("variant"), F.lit(v.family or f"\u0000{v.name}").alias("family"), F.lit(v.quota if v.quota is not None else capacity).alias("quota")) for v in fills]
+    about = [
+        F.struct(
+            F.lit(v.name).alias("variant"), F.lit(v.family or f"\u0000{v.name}").alias("family"),
+            F.lit(v.quota if v.quota is not None else capacity).alias("quota"),
+        ) for v in fills
+    ]
     spark = held.sparkSession
     wanted = spark.range(1).select(F.inline(F.array(*weights)))
     told = spark.range(1).select(F.inline(F.array(*about)))
@@ -87,6 +94,8 @@ def _filled(held: DataFrame, new: DataFrame, fills: list[Variant], capacity: int
     found = ranked.groupBy("variant", "qid").agg(F.count("*").alias("n"))
     room = asked.join(found, ["variant", "qid"], "left").withColumn("want", F.least(capacity - F.col("size"), F.coalesce("n", F.lit(0)), F.col("quota")))
     room = room.withColumn("want", F.min("want").over(Window.partitionBy("qid", "family"))).select("variant", "qid", "size", "want")
-    added = ranked.join(room, ["variant", "qid"]).where(F.col("place") <= F.col("want")).select("variant", "qid", "item_id", (F.col("size") + F.col("place")).cast("long").alias("pool_rank"))
+    added = ranked.join(room, ["variant", "qid"]).where(F.col("place") <= F.col("want")).select(
+        "variant", "qid", "item_id", (F.col("size") + F.col("place")).cast("long").alias("pool_rank"),
+    )
     kept = held.crossJoin(F.broadcast(told.select("variant"))).select("variant", "qid", "item_id", "pool_rank")
     return kept.unionByName(added)

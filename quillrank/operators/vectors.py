@@ -43,7 +43,12 @@ def packed(vectors: DataFrame, key: str, vector: str, group: Column | None = Non
                 norm = np.linalg.norm(data, axis=1)
                 ok = norm > 0
                 if ok.any():
-                    yield pd.DataFrame({"ids": [part["k"].to_numpy()[ok]], "groups": [part["g"].to_numpy()[ok]], "data": [(data[ok] / norm[ok, None]).tobytes()], "width": [data.shape[1]]})
+                    yield pd.DataFrame(
+                        {
+                            "ids": [part["k"].to_numpy()[ok]], "groups": [part["g"].to_numpy()[ok]],
+                            "data": [(data[ok] / norm[ok, None]).tobytes()], "width": [data.shape[1]],
+                        }
+                    )
 
         for rows in batches:  # blocks are full whatever size the batches come in
             rows = rows[rows["v"].notna()]
@@ -56,7 +61,12 @@ def packed(vectors: DataFrame, key: str, vector: str, group: Column | None = Non
             yield from made(pd.concat(waiting))
 
     kind = key_type(vectors, key)
-    schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("groups", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType()), T.StructField("width", T.IntegerType())])
+    schema = T.StructType(
+        [
+            T.StructField("ids", T.ArrayType(kind)), T.StructField("groups", T.ArrayType(T.LongType())),
+            T.StructField("data", T.BinaryType()), T.StructField("width", T.IntegerType()),
+        ]
+    )
     one = F.lit(0) if group is None else F.coalesce(group, F.lit(-1))
     return vectors.select(F.col(key).cast(kind).alias("k"), one.cast("long").alias("g"), F.col(vector).alias("v")).mapInPandas(run, schema)
 
@@ -74,7 +84,10 @@ def _best(near: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return row[place < k], col[place < k]
 
 
-def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", skip_self: bool = False, group: Column | None = None) -> DataFrame:
+def cosine_top_k(
+    queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", skip_self: bool = False,
+    group: Column | None = None,
+) -> DataFrame:
     """(qid, item_id, score, rank): the k most similar rows of the corpus to each query, exactly.
 
     With ``group``, a whole-number expression over the corpus, the k of each
@@ -126,7 +139,10 @@ def channel(queries: DataFrame, items: DataFrame, query_vectors: DataFrame, item
         if missing := rows.where("embedding IS NULL").count():
             raise ValueError(f"{missing} {name} have no vector")
     found = cosine_top_k(q, i, k, "own", skip_self=False)
-    return found.select("qid", F.lit("dense").alias("channel"), F.lit(order).alias("ch_ord"), F.lit(weight).alias("weight"), "item_id", "rank", F.col("score").alias("raw_score"))
+    return found.select(
+        "qid", F.lit("dense").alias("channel"), F.lit(order).alias("ch_ord"), F.lit(weight).alias("weight"), "item_id", "rank",
+        F.col("score").alias("raw_score"),
+    )
 
 
 def score_pool(pool: DataFrame, queries: DataFrame, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -20,7 +20,10 @@ def groups(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
     """One row per query with hits, denominators, and flags of the query."""
     q = R.queries(spark, sf)
     found = E.hits(fusion.fuse(scores(spark, sf), k), R.truth(spark, sf), R.corpus(spark, sf).where("category = 'en'").select("item_id"), k)
-    own = q.select("qid", X.normalize(F.col("text")).alias("text"), (F.size(X.tokens(X.normalize(F.col("text")))) <= 30).alias("short"), (F.col("qid") % 2 == 0).alias("even"))
+    own = q.select(
+        "qid", X.normalize(F.col("text")).alias("text"), (F.size(X.tokens(X.normalize(F.col("text")))) <= 30).alias("short"),
+        (F.col("qid") % 2 == 0).alias("even"),
+    )
     return own.join(found, "qid", "left").na.fill(0, ["n_hit", "n_available", "n_full"])
 
 
@@ -42,7 +45,10 @@ def recall_macro_micro(spark: SparkSession, sf: str) -> DataFrame:
 @query("recall_text_macro", f"WITH {_R} SELECT text, count(*) AS n, round(avg(r), 6) AS mean_recall, round(avg(CASE WHEN n_available > 0 THEN n_hit / n_available END), 6) AS conditional FROM ok GROUP BY text")
 def recall_text_macro(spark: SparkSession, sf: str) -> DataFrame:
     ok = groups(spark, sf).where("n_full > 0")
-    return ok.groupBy("text").agg(F.count("*").alias("n"), F.round(F.avg(F.col("n_hit") / F.col("n_full")), 6).alias("mean_recall"), F.round(F.avg(F.when(F.col("n_available") > 0, F.col("n_hit") / F.col("n_available"))), 6).alias("conditional"))
+    return ok.groupBy("text").agg(
+        F.count("*").alias("n"), F.round(F.avg(F.col("n_hit") / F.col("n_full")), 6).alias("mean_recall"),
+        F.round(F.avg(F.when(F.col("n_available") > 0, F.col("n_hit") / F.col("n_available"))), 6).alias("conditional"),
+    )
 
 
 @query("recall_slices", f"WITH {_R} SELECT 'even' AS flag, even AS value, count(*) AS n, round(avg(r), 6) AS mean_recall FROM ok GROUP BY even UNION ALL SELECT 'short', short, count(*), round(avg(r), 6) FROM ok GROUP BY short")
@@ -65,7 +71,9 @@ def effective_sample_size(spark: SparkSession, sf: str) -> DataFrame:
 SELECT qid, count(*) FILTER (WHERE a) AS n_title, count(*) FILTER (WHERE b) AS n_description, count(*) FILTER (WHERE a AND b) AS n_both, count(*) FILTER (WHERE a AND h) AS title_hits, count(*) FILTER (WHERE b AND h) AS description_hits,
  round(count(*) FILTER (WHERE a AND b) / nullif(count(*) FILTER (WHERE a OR b), 0), 6) AS jaccard, round(count(*) FILTER (WHERE a AND b) / nullif(least(count(*) FILTER (WHERE a), count(*) FILTER (WHERE b)), 0), 6) AS overlap_coefficient FROM g GROUP BY qid""")
 def route_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    f = channels(spark, sf).groupBy("qid", "item_id").agg(F.bool_or(F.col("channel") == "title").alias("a"), F.bool_or(F.col("channel") == "description").alias("b"))
+    f = channels(spark, sf).groupBy("qid", "item_id").agg(
+        F.bool_or(F.col("channel") == "title").alias("a"), F.bool_or(F.col("channel") == "description").alias("b"),
+    )
     f = f.join(R.truth(spark, sf).withColumn("h", F.lit(True)), ["qid", "item_id"], "left").na.fill(False, ["h"])
     n = {k: F.count_if(k) for k in ("a", "b", "a and b", "a or b", "a and h", "b and h")}
     n = {k: F.count_if(F.expr(k)) for k in n}
@@ -84,7 +92,11 @@ def geo_contribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _HC = f"{R.BM25}, {R.TRUTH}, {shop.SHOP}, {shop.HYBRID}"
-_MASKED = {"description": "d", "dense": "e", "geo": "g", "description_or_dense": "d OR e", "description_and_dense": "d AND e", "description_only": "d AND NOT e", "dense_only": "e AND NOT d", "geo_unique_additions": "g AND NOT (d OR e)", "other_routes": "NOT (d OR e OR g)", "full_pool": "true"}
+_MASKED = {
+    "description": "d", "dense": "e", "geo": "g", "description_or_dense": "d OR e", "description_and_dense": "d AND e",
+    "description_only": "d AND NOT e", "dense_only": "e AND NOT d", "geo_unique_additions": "g AND NOT (d OR e)",
+    "other_routes": "NOT (d OR e OR g)", "full_pool": "true",
+}
 _MASKS = f"""{_HC}, f AS (SELECT qid, item_id, bool_or(channel = 'description') AS d, bool_or(channel = 'dense') AS e, bool_or(channel LIKE '%geo') AS g FROM hc GROUP BY ALL), x AS (SELECT f.*, t.qid IS NOT NULL AS hit FROM f LEFT JOIN truth t USING (qid, item_id)),
 rm AS (SELECT qid, {', '.join(f"count(*) FILTER (WHERE {m}) AS {n}_count, count(*) FILTER (WHERE ({m}) AND hit) AS {n}_hits" for n, m in _MASKED.items())} FROM x GROUP BY qid),
 rs AS (SELECT *, round(description_and_dense_count / nullif(description_or_dense_count, 0), 6) AS jaccard, round(description_and_dense_count / nullif(description_count, 0), 6) AS description_overlap, round(description_and_dense_count / nullif(dense_count, 0), 6) AS dense_overlap,
@@ -140,7 +152,11 @@ def win_loss_tie(spark: SparkSession, sf: str) -> DataFrame:
 def _two(spark: SparkSession, sf: str) -> list[DataFrame]:
     """Recall of the title and of the description channel, by query."""
     ch, truth, all_items = channels(spark, sf), R.truth(spark, sf), R.corpus(spark, sf).select("item_id")
-    return [E.hits(ch.where(F.col("channel") == c), truth, all_items, 10).select("qid", (F.col("n_hit") / F.col("n_full")).alias("r")) for c in ("title", "description")]
+    return [
+        E.hits(
+            ch.where(F.col("channel") == c), truth, all_items, 10,
+        ).select("qid", (F.col("n_hit") / F.col("n_full")).alias("r")) for c in ("title", "description")
+    ]
 
 
 @query("stage_selection", "WITH c AS (SELECT l_linenumber AS stage, round(avg(l_discount), 6) AS value FROM lineitem GROUP BY 1), b AS (SELECT max(value) AS best FROM c) SELECT min(stage) AS stage, max(best) AS best FROM c, b WHERE best - value <= 0.0005")
@@ -152,7 +168,13 @@ def stage_selection(spark: SparkSession, sf: str) -> DataFrame:
 @query("population_profile", f"""WITH {R.CLICKS} SELECT count(*) AS pairs, count(DISTINCT text) AS texts, count(DISTINCT (text, search_loc)) AS keys, count(*) - count(DISTINCT (text, search_loc, item_id)) AS repeated, round(avg((search_loc = item_loc)::INTEGER), 6) AS local_share, round(count(DISTINCT item_id) / (SELECT count(*) FROM supplier), 6) AS seen_items FROM clicks""")
 def population_profile(spark: SparkSession, sf: str) -> DataFrame:
     items = R.table(spark, sf, "supplier").agg(F.count("*").alias("items"))
-    c = R.clicks(spark, sf).agg(F.count("*").alias("pairs"), F.count_distinct("text").alias("texts"), F.count_distinct(F.struct("text", "search_loc")).alias("keys"), F.count_distinct(F.struct("text", "search_loc", "item_id")).alias("d"), F.round(F.avg((F.col("search_loc") == F.col("item_loc")).cast("int")), 6).alias("local_share"), F.count_distinct("item_id").alias("seen"))
+    c = R.clicks(spark, sf).agg(
+        F.count("*").alias("pairs"), F.count_distinct("text").alias("texts"),
+        F.count_distinct(F.struct("text", "search_loc")).alias("keys"),
+        F.count_distinct(F.struct("text", "search_loc", "item_id")).alias("d"),
+        F.round(F.avg((F.col("search_loc") == F.col("item_loc")).cast("int")), 6).alias("local_share"),
+        F.count_distinct("item_id").alias("seen"),
+    )
     return c.crossJoin(items).select("pairs", "texts", "keys", (F.col("pairs") - F.col("d")).alias("repeated"), "local_share", F.round(F.col("seen") / F.col("items"), 6).alias("seen_items"))  # one row each
 
 
@@ -162,7 +184,9 @@ def source_coverage(spark: SparkSession, sf: str) -> DataFrame:
     o = R.table(spark, sf, "orders")
     ids = lambda s: o.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("id")).distinct()
     sources = protocol.sources(ids("F"), ids("O"), "id")
-    return sources.join(R.table(spark, sf, "customer"), F.col("id") == F.col("c_custkey")).groupBy("source", F.col("c_mktsegment").alias("class")).agg(F.count("*").alias("n"))
+    return sources.join(
+        R.table(spark, sf, "customer"), F.col("id") == F.col("c_custkey"),
+    ).groupBy("source", F.col("c_mktsegment").alias("class")).agg(F.count("*").alias("n"))
 
 
 @query("binary_auc", """WITH r AS (SELECT quality AS y, (toxic = 0)::INTEGER AS p FROM labels), s AS (SELECT avg(p) FILTER (WHERE y = 1) AS tpr, avg(p) FILTER (WHERE y = 0) AS fpr FROM r) SELECT round(0.5 + 0.5 * (tpr - fpr), 6) AS auc FROM s""")
@@ -187,7 +211,9 @@ def cold_partitions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("representative_rows", """WITH h AS (SELECT o_orderpriority AS text, o_orderkey, sha256(to_json(['rep', o_orderkey::VARCHAR])) AS h FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY h, o_orderkey) AS rn FROM h) SELECT text, o_orderkey, h AS digest FROM r WHERE rn = 1""")
 def representative_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return protocol.representatives(R.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("text"), "o_orderkey"), "text", "o_orderkey", "rep").select("text", "o_orderkey", F.col("h").alias("digest"))
+    return protocol.representatives(
+        R.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("text"), "o_orderkey"), "text", "o_orderkey", "rep",
+    ).select("text", "o_orderkey", F.col("h").alias("digest"))
 
 
 @query("unseen_rows", f"WITH {R.CLICKS} SELECT DISTINCT text FROM clicks ANTI JOIN (SELECT text AS t FROM clicks WHERE context = 'ECONOMY') s ON s.t = clicks.text UNION ALL SELECT 'seen ' || text FROM (SELECT DISTINCT text FROM clicks SEMI JOIN (SELECT text AS t FROM clicks WHERE context = 'ECONOMY') s ON s.t = clicks.text)")
@@ -205,7 +231,10 @@ def answer_format(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("score_report", f"WITH {R.FUSED} SELECT fr AS rank, count(*) AS n, round(avg(score), 6) AS mean_score, min(score) AS min_score, max(score) AS max_score FROM fr WHERE fr <= 10 GROUP BY fr")
 def score_report(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.fuse(scores(spark, sf), 10).groupBy("rank").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
+    return fusion.fuse(scores(spark, sf), 10).groupBy("rank").agg(
+        F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.min("score").alias("min_score"),
+        F.max("score").alias("max_score"),
+    )
 
 
 @query("answer_validation", f"""WITH {R.FUSED}, a AS (SELECT qid, list(CASE WHEN location = 'src0' THEN item_id + 100000000 ELSE item_id END ORDER BY rank) AS ids FROM ch JOIN corpus USING (item_id) WHERE channel = 'title' GROUP BY qid)
@@ -225,7 +254,12 @@ def group_contiguity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sentinel_fix", "SELECT event_id, CASE WHEN event_type IN ('', '0', 'error') THEN 0 ELSE value END AS value FROM events")
 def sentinel_fix(spark: SparkSession, sf: str) -> DataFrame:
-    return R.table(spark, sf, "events").select("event_id", F.when(category.without_sentinel(F.when(F.col("event_type") == "error", "0").otherwise(F.col("event_type"))) == "", 0.0).otherwise(F.col("value")).alias("value"))
+    return R.table(spark, sf, "events").select(
+        "event_id",
+        F.when(
+            category.without_sentinel(F.when(F.col("event_type") == "error", "0").otherwise(F.col("event_type"))) == "", 0.0,
+        ).otherwise(F.col("value")).alias("value"),
+    )
 
 
 @query("dataset_overlap", "SELECT (SELECT count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)) AS n_union, (SELECT count(*) FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)) AS n_both, (SELECT count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)) AS n_without")
@@ -245,7 +279,14 @@ def corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 def table_inventory(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.tables import inventory
 
-    return inventory(spark, {t: f"{sf}/{t}.parquet" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels")}).select("name", "n_rows", "n_columns")
+    return inventory(
+        spark,
+        {
+            t: f"{sf}/{t}.parquet" for t in (
+                "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels",
+            )
+        },
+    ).select("name", "n_rows", "n_columns")
 
 
 @query("text_scan", "SELECT coalesce(p_partkey::VARCHAR, '') AS p_partkey, coalesce(p_name, '') AS p_name, coalesce(p_size::VARCHAR, '') AS p_size FROM part")

@@ -25,7 +25,10 @@ def lexical_channels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def make_channels(spark: SparkSession, sf: str) -> DataFrame:
-    dense = shop.dense(spark, sf, PLAN.depth).select("qid", F.lit("dense").alias("channel"), F.lit(10).alias("ch_ord"), F.lit(PLAN.dense).alias("weight"), "item_id", "rank", "raw_score")
+    dense = shop.dense(spark, sf, PLAN.depth).select(
+        "qid", F.lit("dense").alias("channel"), F.lit(10).alias("ch_ord"), F.lit(PLAN.dense).alias("weight"), "item_id", "rank",
+        "raw_score",
+    )
     return lexical_channels(spark, sf).select(*COLUMNS).unionByName(dense)
 
 
@@ -82,13 +85,18 @@ SELECT qid, field || '_geo_related' AS channel, ch_ord, item_id, row_number() OV
 
 @query("related_geo_channels", f"{_HEAD}, {_RELATED}")
 def related_geo_channels(spark: SparkSession, sf: str) -> DataFrame:
-    related = destinations(spark, sf, with_related=True).where("not exact").join(destinations(spark, sf).where("exact").select("qid"), "qid", "left_semi").select("qid", "place")
+    related = destinations(spark, sf, with_related=True).where("not exact").join(
+        destinations(spark, sf).where("exact").select("qid"), "qid", "left_semi",
+    ).select("qid", "place")
     out = hybrid.related_channels(shop.lexical(spark, sf), related, shop.items(spark, sf), channels(spark, sf), PLAN, capacity=330)
     return out.drop("weight")
 
 
 #: Lexical scores of the search text with the values of its filters.
-_VALUES = R.BM25.replace("FROM queries)", "FROM (SELECT qid, text || CASE qid % 3 WHEN 0 THEN '' WHEN 1 THEN ' en ; src' || (qid % 20) ELSE ' de' END AS text FROM queries))", 1)
+_VALUES = R.BM25.replace(
+    "FROM queries)",
+    "FROM (SELECT qid, text || CASE qid % 3 WHEN 0 THEN '' WHEN 1 THEN ' en ; src' || (qid % 20) ELSE ' de' END AS text FROM queries))", 1,
+)
 MICRO = """pk AS (SELECT field, qid, max(score) AS peak FROM sc GROUP BY ALL), lx AS (SELECT s.qid, doc AS item_id, round(sum(CASE field WHEN 'title' THEN 2.0 WHEN 'params' THEN 1.0 ELSE 0.5 END::DOUBLE * score / peak), 6) AS lexical FROM sc s JOIN pk USING (field, qid) GROUP BY ALL),
 cd AS (SELECT l.qid, l.item_id, i.microcat AS cat, r, round(lexical * pow(prob, 0.5) + CASE WHEN i.location = sq.location AND sq.location <> '' THEN 0.1 ELSE 0 END, 6) AS score FROM lx l JOIN si i USING (item_id) JOIN sq USING (qid) JOIN pred p ON p.qid = l.qid AND p.cat = i.microcat AND r <= 3 WHERE lexical > 0 AND i.microcat <> ''),
 ck AS (SELECT *, row_number() OVER (PARTITION BY qid, cat ORDER BY score DESC, item_id) AS crk FROM cd),
@@ -117,7 +125,10 @@ def supplemental_four_routes(spark: SparkSession, sf: str) -> DataFrame:
     top = shop.lexical(spark, sf, "values").where("field in ('title', 'params')")
     from ..operators.bm25 import top_k
 
-    lexical = top_k(top, 300, ["field", "qid"]).select("qid", F.concat(F.lit("supplemental_"), "field", F.lit("_values")).alias("channel"), F.col("doc").alias("item_id"), "rank", F.col("score").alias("raw_score"))
+    lexical = top_k(top, 300, ["field", "qid"]).select(
+        "qid", F.concat(F.lit("supplemental_"), "field", F.lit("_values")).alias("channel"), F.col("doc").alias("item_id"), "rank",
+        F.col("score").alias("raw_score"),
+    )
     dense = shop.dense(spark, sf, 300).select("qid", F.lit("supplemental_dense_current").alias("channel"), "item_id", "rank", "raw_score")
     micro = micro_route(spark, sf).select("qid", F.lit("micro_combined").alias("channel"), "item_id", "rank", "raw_score")
     routes = storage.stored(lexical.unionByName(micro).unionByName(dense), "routes")
@@ -141,7 +152,9 @@ def new_routes(spark: SparkSession, sf: str) -> DataFrame:
     """Routes beside the base: titles by values, categories, and a deep dense ranking."""
     from ..operators.bm25 import top_k
 
-    top = top_k(shop.lexical(spark, sf, "values").where("field = 'title'"), 80, ["qid"]).select("qid", F.lit("supplemental_title_values").alias("channel"), F.col("doc").alias("item_id"), "rank")
+    top = top_k(shop.lexical(spark, sf, "values").where("field = 'title'"), 80, ["qid"]).select(
+        "qid", F.lit("supplemental_title_values").alias("channel"), F.col("doc").alias("item_id"), "rank",
+    )
     micro = micro_route(spark, sf).select("qid", F.lit("micro_combined").alias("channel"), "item_id", "rank")
     deep = shop.dense(spark, sf, 120).select("qid", F.lit("supplemental_dense_current").alias("channel"), "item_id", "rank")
     return R.once(spark, sf, "new-routes", lambda: storage.stored(top.unionByName(micro).unionByName(deep), "new-routes"))
@@ -172,7 +185,10 @@ def hypothesis_channels(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for layout in ("text", "values"):
         top = top_k(shop.lexical(spark, sf, layout).where("field in ('title', 'params')"), 20, ["field", "qid"])
-        one = top.select("qid", F.concat(F.lit(f"{layout}_"), "field").alias("channel"), F.col("doc").alias("item_id"), "rank", F.col("score").alias("raw_score"))
+        one = top.select(
+            "qid", F.concat(F.lit(f"{layout}_"), "field").alias("channel"), F.col("doc").alias("item_id"), "rank",
+            F.col("score").alias("raw_score"),
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -182,7 +198,9 @@ def popular_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Short rankings filled with the most clicked items."""
     from ..operators.bm25 import top_k
 
-    top = top_k(shop.lexical(spark, sf).where("field = 'title'"), 9, ["qid"]).where("rank <= (qid % 4) * 3").select("qid", F.col("doc").alias("item_id"), "rank")
+    top = top_k(
+        shop.lexical(spark, sf).where("field = 'title'"), 9, ["qid"],
+    ).where("rank <= (qid % 4) * 3").select("qid", F.col("doc").alias("item_id"), "rank")
     clicks = shop.clicks(spark, sf).where("item_id % 3 = 0 OR item_id % 7 = 0")
     return protocol.popular_fill(top, shop.queries(spark, sf), clicks, shop.items(spark, sf), 10)
 
@@ -224,7 +242,10 @@ pp AS (SELECT gr.search_loc, gr.item_loc, (coalesce(n, 0) + 3.0 * k / sum(k) OVE
 def geo_prior_without_centres(spark: SparkSession, sf: str) -> DataFrame:
     """Priors where items lie in places without coordinates or without a place, and searched places have no centre, or none of their destinations has one."""
     items, number = shop.items(spark, sf), F.expr("try_cast(substring(location, 4) AS INT)")
-    placed = items.where((F.col("location") != "") & (number < 12)).select(F.col("location").alias("place"), ((number * 7) % 180 - 90).cast("double").alias("lat"), ((number * 13) % 360 - 180).cast("double").alias("lon"))
+    placed = items.where((F.col("location") != "") & (number < 12)).select(
+        F.col("location").alias("place"), ((number * 7) % 180 - 90).cast("double").alias("lat"),
+        ((number * 13) % 360 - 180).cast("double").alias("lon"),
+    )
     counts = shop.associations(spark, sf).where("search_loc <> 'reg3' OR CAST(substring(item_loc, 4) AS INT) >= 12")
     p = geo.destination_prior(counts, geo.centres(placed), places=items.select(F.col("location").alias("place")))
     return p.select("search_loc", "item_loc", F.round("p", 9).alias("p"))
@@ -256,4 +277,6 @@ def cold_protocol(spark: SparkSession, sf: str) -> DataFrame:
     catalogue, manifest = protocol.cold(clicks, items, historic, "cold", {"audit": 8, "tune": 6}, "fit", size)
     joined = lambda ids: F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
     whole = catalogue.agg(joined(F.array_sort(F.collect_list("item_id"))).alias("item_ids"))
-    return manifest.withColumn("item_ids", joined(F.col("item_ids"))).unionByName(whole.select(F.lit("catalogue").alias("text"), F.lit("").alias("partition"), F.lit("").alias("key"), "item_ids"))
+    return manifest.withColumn("item_ids", joined(F.col("item_ids"))).unionByName(
+        whole.select(F.lit("catalogue").alias("text"), F.lit("").alias("partition"), F.lit("").alias("key"), "item_ids")
+    )

@@ -80,7 +80,9 @@ _FILTERS = "CASE WHEN p_size % 3 = 0 THEN '' ELSE lower('brand ' || p_brand) END
 @query("query_formats", f"""WITH p AS (SELECT p_partkey, lower(p_name) AS t, {_VALUES} AS v, {_CATEGORY} AS c, {_FILTERS} AS f FROM part), x AS (SELECT *, 'запрос: ' || t || CASE WHEN f <> '' THEN ' фильтры: ' || f ELSE '' END AS base FROM p)
 SELECT p_partkey, base || CASE WHEN c <> '0' THEN ' категория: ' || c ELSE '' END AS current_text, t AS plain_text, t || CASE WHEN v <> '' THEN ' | ' || v ELSE '' END AS values_text, base AS no_category_text, 'query: ' || t AS encoder_text FROM x""")
 def query_formats(spark: SparkSession, sf: str) -> DataFrame:
-    p = R.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("t"), F.expr(_VALUES).alias("v"), F.expr(_CATEGORY).alias("c"), F.expr(_FILTERS).alias("f"))
+    p = R.table(spark, sf, "part").select(
+        "p_partkey", F.col("p_name").alias("t"), F.expr(_VALUES).alias("v"), F.expr(_CATEGORY).alias("c"), F.expr(_FILTERS).alias("f"),
+    )
     styles = (X.query_format(F.col("t"), F.col("f"), F.col("v"), F.col("c"), s).alias(f"{s}_text") for s in ("current", "plain", "values", "no_category"))
     return p.select("p_partkey", *styles, X.prefixed("query: ", X.normalize(F.col("t"))).alias("encoder_text"))
 
@@ -88,7 +90,9 @@ def query_formats(spark: SparkSession, sf: str) -> DataFrame:
 @query("rating_floor", """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN p_size::DOUBLE ELSE round(p_size / 10.0::DOUBLE, 1) END AS floor FROM part""")
 def rating_floor(spark: SparkSession, sf: str) -> DataFrame:
     whole, tenths = F.col("p_size").cast("string"), F.replace(F.format_string("%.1f", F.col("p_size") / 10.0), F.lit("."), F.lit(","))
-    text = F.when(F.col("p_size") % 3 == 0, "рейтинг пользователя не важен").when(F.col("p_size") % 3 == 1, F.concat(F.lit("цвет рейтинг пользователя  "), whole, F.lit(" звёзд"))).otherwise(F.concat(F.lit("рейтинг пользователя "), tenths))
+    text = F.when(F.col("p_size") % 3 == 0, "рейтинг пользователя не важен").when(
+        F.col("p_size") % 3 == 1, F.concat(F.lit("цвет рейтинг пользователя  "), whole, F.lit(" звёзд")),
+    ).otherwise(F.concat(F.lit("рейтинг пользователя "), tenths))
     return R.table(spark, sf, "part").select("p_partkey", X.rating_floor(text).alias("floor"))
 
 
@@ -142,7 +146,11 @@ p AS (SELECT sum(v * m) / sum(m) AS point FROM (SELECT stratum, sum(delta * n) /
 @query("stratified_bootstrap_ci", f"WITH {_STRATA} SELECT (SELECT round(point, 6) FROM p) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS replicates FROM m WHERE m IS NOT NULL")
 def stratified_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _two(spark, sf)
-    own = R.queries(spark, sf).select("qid", X.normalize(F.col("text")).alias("cluster"), F.when(F.col("qid") % 2 == 0, "even").otherwise("odd").alias("stratum"))
+    own = R.queries(spark, sf).select(
+        "qid", X.normalize(F.col("text")).alias("cluster"), F.when(F.col("qid") % 2 == 0, "even").otherwise("odd").alias("stratum"),
+    )
     d = a.withColumnRenamed("r", "ra").join(b.withColumnRenamed("r", "rb"), "qid").join(own, "qid")
     clusters = d.groupBy("cluster", "stratum").agg(F.avg(F.col("rb") - F.col("ra")).alias("delta"), F.count("*").alias("n"))
-    return E.stratified_bootstrap(clusters, own.groupBy("stratum").agg(F.count("*").alias("m"))).select(*(F.round(c, 6).alias(c) for c in ("point", "low", "high")), "replicates")
+    return E.stratified_bootstrap(clusters, own.groupBy("stratum").agg(F.count("*").alias("m"))).select(
+        *(F.round(c, 6).alias(c) for c in ("point", "low", "high")), "replicates",
+    )

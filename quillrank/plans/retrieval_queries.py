@@ -125,7 +125,9 @@ SELECT qid, field || '_geo' AS channel, doc AS item_id, score, rank FROM s WHERE
 def geo_topk(spark: SparkSession, sf: str) -> DataFrame:
     items, q = R.corpus(spark, sf), R.queries(spark, sf)
     inside = lexical(spark, sf).join(q.select("qid", "location"), "qid").join(items.select(F.col("item_id").alias("doc"), "location"), ["doc", "location"])  # the mask comes before the cut
-    return bm25.top_k(inside, 20, ["field", "qid"]).select("qid", F.concat("field", F.lit("_geo")).alias("channel"), F.col("doc").alias("item_id"), "score", "rank")
+    return bm25.top_k(inside, 20, ["field", "qid"]).select(
+        "qid", F.concat("field", F.lit("_geo")).alias("channel"), F.col("doc").alias("item_id"), "score", "rank",
+    )
 
 
 @query("location_assoc", f"WITH {R.CLICKS} SELECT search_loc, item_loc, count(*) AS n FROM clicks GROUP BY ALL")
@@ -222,7 +224,11 @@ s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN crk <= 3
 SELECT qid, item_id, cat, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS rank FROM s WHERE s <= 12""")
 def category_guarantee_topk(spark: SparkSession, sf: str) -> DataFrame:
     lexical = category.combined_fields(channels(spark, sf)).join(R.corpus(spark, sf).select("item_id", F.col("category").alias("cat")), "item_id")
-    cats = F.explode(F.array(*(F.struct(F.lit(c).alias("cat"), F.lit(i).alias("cat_ord"), F.lit(p).alias("prob")) for i, (c, p) in enumerate((("fr", 0.5), ("de", 0.3), ("es", 0.2))))))
+    cats = F.explode(
+        F.array(
+            *(F.struct(F.lit(c).alias("cat"), F.lit(i).alias("cat_ord"), F.lit(p).alias("prob")) for i, (c, p) in enumerate((("fr", 0.5), ("de", 0.3), ("es", 0.2))))
+        )
+    )
     predicted = R.queries(spark, sf).select("qid", cats.alias("c")).select("qid", "c.*")
     return category.guaranteed_top_k(category.soft_scores(lexical, predicted), 12, 3)
 

@@ -26,7 +26,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as items: the first line is the title, language the category, source the place."""
     text = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("item_id"), F.substring_index(text, "\n", 1).alias("title"), F.concat(F.lit("lang "), "lang", F.lit(" source "), "source").alias("params"),
+        F.col("doc_id").alias("item_id"), F.substring_index(text, "\n", 1).alias("title"), F.concat(
+            F.lit("lang "), "lang", F.lit(" source "), "source",
+        ).alias("params"),
         text.alias("description"), F.col("lang").alias("category"), F.col("source").alias("location"),
     )
 
@@ -105,13 +107,18 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     joined = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     joined = joined.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return joined.select(F.col("p_name").alias("text"), F.col("c_nationkey").alias("search_loc"), F.col("s_nationkey").alias("item_loc"), F.col("p_brand").alias("cat"), F.col("l_suppkey").alias("item_id"), F.col("p_type").alias("context"))
+    return joined.select(
+        F.col("p_name").alias("text"), F.col("c_nationkey").alias("search_loc"), F.col("s_nationkey").alias("item_loc"),
+        F.col("p_brand").alias("cat"), F.col("l_suppkey").alias("item_id"), F.col("p_type").alias("context"),
+    )
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers with coordinates derived from their nation."""
     n = F.col("s_nationkey")
-    return table(spark, sf_dir, "supplier").select(n.alias("place"), ((n * 7) % 180 - 90).cast("double").alias("lat"), ((n * 13) % 360 - 180).cast("double").alias("lon"))
+    return table(spark, sf_dir, "supplier").select(
+        n.alias("place"), ((n * 7) % 180 - 90).cast("double").alias("lat"), ((n * 13) % 360 - 180).cast("double").alias("lon"),
+    )
 
 
 def norm(c: str) -> str:

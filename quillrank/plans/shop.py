@@ -44,12 +44,18 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     }
     text = F.coalesce("text", F.lit(""))
     params = F.concat(F.lit("lang "), "lang", F.lit(" source "), "source")
-    return R.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.substring_index(text, "\n", 1).alias("title"), params.alias("params"), text.alias("description"), *(F.expr(x).alias(n) for n, x in e.items()))
+    return R.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("item_id"), F.substring_index(text, "\n", 1).alias("title"), params.alias("params"),
+        text.alias("description"), *(F.expr(x).alias(n) for n, x in e.items())
+    )
 
 
 def clicks(spark: SparkSession, sf: str) -> DataFrame:
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    own = d.select(F.col("doc_id").alias("item_id"), (F.col("doc_id") % 40).alias("q"), F.expr(CLICK_PLACE).alias("search_loc"), F.expr(ITEM_PLACE).alias("item_loc"), F.expr(MICROCAT).alias("cat"))
+    own = d.select(
+        F.col("doc_id").alias("item_id"), (F.col("doc_id") % 40).alias("q"), F.expr(CLICK_PLACE).alias("search_loc"),
+        F.expr(ITEM_PLACE).alias("item_loc"), F.expr(MICROCAT).alias("cat"),
+    )
     b = R.table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), "text")
     return own.join(b, "q").select("text", "search_loc", "item_loc", "cat", "item_id")
 
@@ -65,7 +71,9 @@ def vector_pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Vectors (own, embedding) of queries and of the items that have one."""
     v = R.table(spark, sf, "embeddings")
     q = queries(spark, sf).select(F.col("qid").alias("own"), ((F.col("qid") * 7 + 3) % 500).alias("vec_id")).join(v, "vec_id").select("own", "embedding")
-    return q, v.select(F.col("vec_id").alias("own"), "embedding").join(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("own")), "own", "left_semi")
+    return q, v.select(F.col("vec_id").alias("own"), "embedding").join(
+        spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("own")), "own", "left_semi",
+    )
 
 
 def dense(spark: SparkSession, sf: str, k: int) -> DataFrame:

@@ -22,7 +22,11 @@ SELECT doc_id, md5(n) AS norm_md5, len(t)::BIGINT AS n_tokens, len(list_distinct
 def norm_tokens(spark: SparkSession, sf: str) -> DataFrame:
     d = R.table(spark, sf, "documents").select("doc_id", X.normalize(F.col("text")).alias("n")).withColumn("t", X.tokens(F.col("n")))
     size = lambda c: F.size(c).cast("long")
-    return d.select("doc_id", F.md5(F.col("n").cast("binary")).alias("norm_md5"), size("t").alias("n_tokens"), size(F.array_distinct("t")).alias("n_distinct"), size(F.array_distinct(X.long_tokens(F.col("n")))).alias("n_long"), size(X.bigrams(F.col("t"))).alias("n_bigrams"))
+    return d.select(
+        "doc_id", F.md5(F.col("n").cast("binary")).alias("norm_md5"), size("t").alias("n_tokens"),
+        size(F.array_distinct("t")).alias("n_distinct"), size(F.array_distinct(X.long_tokens(F.col("n")))).alias("n_long"),
+        size(X.bigrams(F.col("t"))).alias("n_bigrams"),
+    )
 
 
 @query("held_out_split", f"""WITH d AS (SELECT doc_id, {_N} AS n FROM documents)
@@ -71,7 +75,10 @@ def _first(c: str, n: int) -> str:
 def doc_templates(spark: SparkSession, sf: str) -> DataFrame:
     t, c, p, d = (F.col(x) for x in ("title", "category", "params", "description"))
     md5 = lambda x: F.md5(x.cast("binary"))
-    return R.corpus(spark, sf).select("item_id", md5(X.item_text(t, c, p, d)).alias("item_md5"), md5(X.compact_text(t, p, d)).alias("compact_md5"), md5(X.title_description(t, d)).alias("brief_md5"), md5(X.query_text(t, p, c)).alias("query_md5"))
+    return R.corpus(spark, sf).select(
+        "item_id", md5(X.item_text(t, c, p, d)).alias("item_md5"), md5(X.compact_text(t, p, d)).alias("compact_md5"),
+        md5(X.title_description(t, d)).alias("brief_md5"), md5(X.query_text(t, p, c)).alias("query_md5"),
+    )
 
 
 @query("json_filter_atoms", "SELECT event_id, array_to_string(list_sort(list_distinct(list_transform(json_keys(props), lambda k: 'filter_' || k || ' ' || json_extract_string(props, k)))), ' | ') AS atoms FROM events")
@@ -171,14 +178,19 @@ SELECT f AS flag, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS loss, rou
 def log_loss(spark: SparkSession, sf: str) -> DataFrame:
     y, p, w = F.when(F.col("l_linestatus") == "O", 1).otherwise(0), F.col("l_discount") * 5 + F.col("l_tax"), F.col("l_quantity")
     loss = S.log_loss(y, p)
-    return R.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(F.avg(loss), 6).alias("loss"), F.round(F.sum(w * loss) / F.sum(w), 6).alias("weighted_loss"))
+    return R.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(
+        F.round(F.avg(loss), 6).alias("loss"), F.round(F.sum(w * loss) / F.sum(w), 6).alias("weighted_loss"),
+    )
 
 
 @query("logit_mix", """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, least(greatest(l_discount * 5, 1e-6), 1 - 1e-6) AS p, greatest(l_tax, 1e-4) AS q FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(ln(p / (1 - p)), 6) AS a0, round(ln(p / (1 - p)) + 0.1 * ln(q), 6) AS a10, round(ln(p / (1 - p)) + 0.25 * ln(q), 6) AS a25 FROM r""")
 def logit_mix(spark: SparkSession, sf: str) -> DataFrame:
     p, q = F.col("l_discount") * 5, F.col("l_tax")
-    return R.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(F.round(S.logit_mix(p, q, a), 6).alias(n) for n, a in (("a0", 0.0), ("a10", 0.1), ("a25", 0.25))))
+    return R.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        *(F.round(S.logit_mix(p, q, a), 6).alias(n) for n, a in (("a0", 0.0), ("a10", 0.1), ("a25", 0.25)))
+    )
 
 
 @query("entropy_features", """WITH s AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), p AS (SELECT l_orderkey, list(n / t ORDER BY l_returnflag) AS p FROM (SELECT *, sum(n) OVER (PARTITION BY l_orderkey) AS t FROM s) GROUP BY 1)
@@ -186,7 +198,9 @@ SELECT l_orderkey, round(CASE WHEN len(p) > 1 THEN list_sum(list_transform(p, la
 def entropy_features(spark: SparkSession, sf: str) -> DataFrame:
     s = R.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("l_orderkey"))
-    p = s.withColumn("share", share).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_returnflag", "share"))), lambda x: x["share"]).alias("p"))
+    p = s.withColumn("share", share).groupBy("l_orderkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("l_returnflag", "share"))), lambda x: x["share"]).alias("p")
+    )
     return p.select("l_orderkey", F.round(S.entropy(F.col("p")), 6).alias("entropy"), F.round(S.top_mass(F.col("p"), 2), 6).alias("top2"))
 
 

@@ -39,7 +39,10 @@ def pool_rescore(spark: SparkSession, sf: str) -> DataFrame:
 
 def ranked_pool(spark: SparkSession, sf: str) -> DataFrame:
     v = R.table(spark, sf, "embeddings")
-    return R.once(spark, sf, "vector-pool", lambda: storage.stored(vectors.cosine_top_k(_queries(v), v, POOL, skip_self=True).select("qid", "item_id"), "vector-pool"))
+    return R.once(
+        spark, sf, "vector-pool",
+        lambda: storage.stored(vectors.cosine_top_k(_queries(v), v, POOL, skip_self=True).select("qid", "item_id"), "vector-pool"),
+    )
 
 
 @query("geo_dense_topk", f"WITH {PRIOR}, {_PAIRS}, a2 AS (SELECT s.*, round(score + CASE WHEN qloc IN (SELECT search_loc FROM prior) THEN 0.05 * ln(greatest(coalesce(p, 1e-7), 1e-7)) ELSE 0 END, 6) AS adjusted FROM s LEFT JOIN prior ON prior.search_loc = qloc AND prior.item_loc = iloc), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY adjusted DESC, item_id) AS rank FROM a2) SELECT qid, item_id, score, adjusted, rank FROM r WHERE rank <= 10")

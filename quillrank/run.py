@@ -21,7 +21,10 @@ _ITEM = ("title", "params", "description", "category", "location", "microcat", "
 def filled(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """The frame with these columns as strings; missing ones and nulls are empty."""
     have = set(df.columns)
-    return df.select(*(c for c in df.columns if c not in names), *((F.coalesce(F.col(n).cast("string"), F.lit("")) if n in have else F.lit("")).alias(n) for n in names))
+    return df.select(
+        *(c for c in df.columns if c not in names),
+        *((F.coalesce(F.col(n).cast("string"), F.lit("")) if n in have else F.lit("")).alias(n) for n in names)
+    )
 
 
 def asked(clicks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +61,10 @@ class Run:
         o = self.options
         fields = [(f.name, f.weight) for f in bm25.FIELDS] + [(n, w) for n, w in (("title_stem", o.stem_title), ("params_stem", o.stem_params)) if w]
         lexical = o.lexical_weight if o.method == "hybrid" else sum(w for _, w in fields)
-        return hybrid.Plan(tuple(fields), o.depth, o.geo_depth, o.geo_weight, lexical, o.dense_weight if o.method == "hybrid" else 1.0, o.rank_constant, o.channel_quota, o.location_bonus)
+        return hybrid.Plan(
+            tuple(fields), o.depth, o.geo_depth, o.geo_weight, lexical, o.dense_weight if o.method == "hybrid" else 1.0, o.rank_constant,
+            o.channel_quota, o.location_bonus,
+        )
 
     @cached_property
     def index(self) -> DataFrame:
@@ -133,9 +139,15 @@ class Run:
             scored = storage.stored(self._lexical().scores(self.valued(queries), "__valued"), "lexical")
             route = category.channel(scored, self.predicted(queries), self.items, queries, hybrid.CAPACITY, bonus=o.location_bonus)
             if o.supplemental:
-                top = bm25.top_k(scored.where("field in ('title', 'params')"), hybrid.CAPACITY, ["field", "qid"]).select("qid", F.concat(F.lit("supplemental_"), "field", F.lit("_values")).alias("channel"), F.col("doc").alias("item_id"), "rank", F.col("score").alias("raw_score"))
+                top = bm25.top_k(scored.where("field in ('title', 'params')"), hybrid.CAPACITY, ["field", "qid"]).select(
+                    "qid", F.concat(F.lit("supplemental_"), "field", F.lit("_values")).alias("channel"), F.col("doc").alias("item_id"),
+                    "rank", F.col("score").alias("raw_score"),
+                )
                 deep = self.dense(queries, hybrid.CAPACITY).select("qid", F.lit("supplemental_dense_current").alias("channel"), "item_id", "rank", "raw_score")
-                routes = storage.stored(top.unionByName(route.select("qid", F.lit("micro_combined").alias("channel"), "item_id", "rank", "raw_score")).unionByName(deep), "routes")
+                routes = storage.stored(
+                    top.unionByName(route.select("qid", F.lit("micro_combined").alias("channel"), "item_id", "rank", "raw_score")).unionByName(deep),
+                    "routes",
+                )
                 more = hybrid.supplemental_channels(routes, out)
             else:
                 more = hybrid.novel_channel(route, out, "micro_combined", 15, o.category_depth, weight=o.category_weight)
@@ -187,7 +199,10 @@ class Run:
         queries = filled(queries, _QUERY)
         scores = self.scores(channels, queries)
         top = fusion.fuse(scores, 50, self.options.channel_quota)
-        return features.rows(channels, scores, top, queries, self.items, self.options.version, self.signals(channels, queries), self.options.rank_constant, only)
+        return features.rows(
+            channels, scores, top, queries, self.items, self.options.version, self.signals(channels, queries), self.options.rank_constant,
+            only,
+        )
 
     def training_rows(self, queries: DataFrame, truth: DataFrame) -> DataFrame:
         """Features, label and weight of sampled pool rows, with what identifies their groups."""
@@ -196,9 +211,17 @@ class Run:
         pool = fusion.pool(channels)
         labelled = pool.join(truth.select("qid", "item_id", F.lit(1).alias("label")).distinct(), ["qid", "item_id"], "left").na.fill(0, ["label"])
         baseline = fusion.fuse(self.scores(channels, queries), 50, o.channel_quota)
-        sample = storage.stored(evaluation.row_weights(learning.training_sample(labelled, baseline, channels, o.negatives, str(o.seed))).select("qid", "item_id", "label", F.col("weight").cast("float").alias("weight")), "sample")
+        sample = storage.stored(
+            evaluation.row_weights(
+                learning.training_sample(labelled, baseline, channels, o.negatives, str(o.seed))
+            ).select("qid", "item_id", "label", F.col("weight").cast("float").alias("weight")),
+            "sample",
+        )
         rows = self.features(channels, queries, only=sample)
-        about = queries.select("qid", X.normalize(F.col("text")).alias("query_text"), F.to_json(F.array(*(X.normalize(F.col(c)) for c in _QUERY))).alias("query_key_json"))
+        about = queries.select(
+            "qid", X.normalize(F.col("text")).alias("query_text"),
+            F.to_json(F.array(*(X.normalize(F.col(c)) for c in _QUERY))).alias("query_key_json"),
+        )
         sizes = truth.groupBy("qid").agg(F.count_distinct("item_id").cast("int").alias("relevant_count"))
         return rows.join(sample, ["qid", "item_id"]).join(about, "qid").join(sizes, "qid").withColumn("group_id", F.sha2("query_key_json", 256))
 
@@ -208,7 +231,9 @@ class Run:
         scored = learning.rank_scores(model, self.features(channels, queries))
         if o.exact_bonus and self.clicks is not None:
             clicks = self.history.where("cat NOT IN ('', '0')").groupBy(X.normalize(F.col("text")).alias("text"), "cat").agg(F.count("*").alias("n"))
-            named = scored.join(queries.select("qid", X.normalize(F.col("text")).alias("text")), "qid").join(self.items.select("item_id", F.col("microcat").alias("cat")), "item_id")
+            named = scored.join(queries.select("qid", X.normalize(F.col("text")).alias("text")), "qid").join(
+                self.items.select("item_id", F.col("microcat").alias("cat")), "item_id",
+            )
             scored = category.history_bonus(named, clicks, o.exact_bonus)
         return evaluation.rerank(scored.withColumn("pool_rank", -F.col("pool_rank")), o.limit)
 
@@ -218,7 +243,9 @@ class Run:
 
         queries = filled(queries, _QUERY)
         scores = fusion.fused_scores(channels, self.options.rank_constant)
-        joined = scores.join(queries.select("qid", F.col("location").alias("here")), "qid").join(self.items.select("item_id", F.col("location").alias("at")), "item_id")
+        joined = scores.join(queries.select("qid", F.col("location").alias("here")), "qid").join(
+            self.items.select("item_id", F.col("location").alias("at")), "item_id",
+        )
         grid = fusion.bonus_grid(joined, bonuses, (F.col("at") == F.col("here")) & (F.col("here") != ""), self.options.limit)
         first = S.hash_fraction(F.col("qid"), self.options.seed) < 0.5
         return integrity.bonus_summary(grid, truth.select("qid", "item_id").distinct(), first, queries, self.items)

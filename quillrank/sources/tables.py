@@ -18,7 +18,9 @@ def inventory(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     out = None
     for name, path in paths.items():
         df = spark.read.parquet(path)
-        one = df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)).cast("long")).withColumn("columns", F.lit(" ".join(df.columns)))
+        one = df.agg(
+            F.lit(name).alias("name"), F.count("*").alias("n_rows"),
+        ).withColumn("n_columns", F.lit(len(df.columns)).cast("long")).withColumn("columns", F.lit(" ".join(df.columns)))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -53,7 +55,9 @@ def read_labels(spark: SparkSession, path: str, required: dict[str, str], key: l
     found = dict(df.dtypes)
     if wrong := [f"{c} is {found[c]}, not {t}" for c, t in required.items() if found[c] != t]:
         raise ValueError("; ".join(wrong))
-    bad = df.where(" OR ".join(f"{c} IS NULL" for c in key)).limit(1).unionByName(df.groupBy(*key).count().where("count > 1").join(df, key).select(*df.columns).limit(1))
+    bad = df.where(" OR ".join(f"{c} IS NULL" for c in key)).limit(1).unionByName(
+        df.groupBy(*key).count().where("count > 1").join(df, key).select(*df.columns).limit(1)
+    )
     if not bad.isEmpty():
         raise ValueError(f"{', '.join(key)} is empty or repeats")
     return df

@@ -22,7 +22,12 @@ def shop(spark, tmp_path_factory):
     """30 items in three categories and four places, clicks of texts that name their items, vectors."""
     top = tmp_path_factory.mktemp("shop")
     p = lambda n: f"{top}/{n}"
-    items = [(f"{k:016x}", f"thing number{k} word{k % 3}", f"kind k{k % 4}", f"more about word{k % 5} and thing{k}", "c", f"p{k % 4}", f"m{k % 3}", str(10 * k), "4.5") for k in range(30)]
+    items = [
+        (
+            f"{k:016x}", f"thing number{k} word{k % 3}", f"kind k{k % 4}", f"more about word{k % 5} and thing{k}", "c", f"p{k % 4}",
+            f"m{k % 3}", str(10 * k), "4.5",
+        ) for k in range(30)
+    ]
     names = "item_id string, title string, params string, description string, category string, location string, microcat string, price string, rating string"
     spark.createDataFrame(items, names).write.parquet(p("items"))
     spark.createDataFrame([("q" * 16, "number3 word0", "p3"), ("r" * 16, "thing4", "")], "qid string, text string, location string").write.parquet(p("queries"))
@@ -30,7 +35,10 @@ def shop(spark, tmp_path_factory):
     spark.createDataFrame(clicks, "text string, item_id string, location string").write.parquet(p("clicks"))
     angle = lambda k: [math.cos(k), math.sin(k)]
     spark.createDataFrame([(f"{k:016x}", angle(0.1 * k)) for k in range(30)], "item_id string, embedding array<double>").write.parquet(p("iv"))
-    spark.createDataFrame([(f"number{k} thing", angle(0.1 * k)) for k in range(30)] + [("number3 word0", angle(0.3)), ("thing4", angle(0.4))], "text string, embedding array<double>").write.parquet(p("qv"))
+    spark.createDataFrame(
+        [(f"number{k} thing", angle(0.1 * k)) for k in range(30)] + [("number3 word0", angle(0.3)), ("thing4", angle(0.4))],
+        "text string, embedding array<double>",
+    ).write.parquet(p("qv"))
     return p
 
 
@@ -45,13 +53,23 @@ def test_commands(spark, shop, capsys):
     assert set(json.loads(capsys.readouterr().out.strip().splitlines()[-1]).values()) == {0}
     cli.main(["evaluate", *common, "--output", p("report"), "--max-queries", "6"])
     assert 0.5 < value(spark, p("report"), "final", "macro") <= 1 and value(spark, p("report"), "final", "n_queries") == 6
-    cli.main(["prepare-ranker", *common, "--output", p("rows"), "--negatives", "8", "--split", "queries", "--geo-depth", "5", "--geo-history", "1", "--geo-leave-out"])
+    cli.main(
+        [
+            "prepare-ranker", *common, "--output", p("rows"), "--negatives", "8", "--split", "queries", "--geo-depth", "5", "--geo-history",
+            "1", "--geo-leave-out",
+        ]
+    )
     rows = spark.read.parquet(p("rows"))
     assert [c for c in rows.columns if c in features.V4] == features.V4 and rows.where("label = 0").groupBy("qid").count().where("count > 8").isEmpty()
     assert {t for n, t in rows.dtypes if n in features.V4} == {"float"} and rows.groupBy("qid").agg(F.sum("weight").alias("w")).where("abs(w - 2) > 1e-5").isEmpty()
     for estimator in ("boosted", "pairwise"):
         cli.main(["fit-ranker", "--rows", p("rows"), "--iterations", "3", "--output", p(estimator), "--estimator", estimator])
-        cli.main(["predict", *common, "--model", p(estimator), "--output", p(f"answer-{estimator}"), "--geo-depth", "5", "--geo-history", "1", "--exact-bonus", "0.2"])
+        cli.main(
+            [
+                "predict", *common, "--model", p(estimator), "--output", p(f"answer-{estimator}"), "--geo-depth", "5", "--geo-history", "1",
+                "--exact-bonus", "0.2",
+            ]
+        )
         assert spark.read.csv(p(f"answer-{estimator}"), header=True).count() == 2
     with pytest.raises(ValueError, match="geo_depth"):
         cli.main(["predict", *common, "--model", p("boosted"), "--output", p("other")])
@@ -61,7 +79,10 @@ def test_commands(spark, shop, capsys):
 
 def test_hybrid_with_every_channel(spark, shop):
     p = shop
-    common = ["--items", p("items"), "--queries", p("queries"), "--clicks", p("clicks"), "--item-vectors", p("iv"), "--query-vectors", p("qv"), "--method", "hybrid", "--split", "queries"]
+    common = [
+        "--items", p("items"), "--queries", p("queries"), "--clicks", p("clicks"), "--item-vectors", p("iv"), "--query-vectors", p("qv"),
+        "--method", "hybrid", "--split", "queries",
+    ]
     cli.main(["fit-category", *common[:6], "--output", p("categories")])
     model = category_model.CategoryModel.load(spark, p("categories"))
     said = model.predict(spark.createDataFrame([("number3 thing",), ("something else",)], "text string"))
@@ -79,7 +100,9 @@ def test_hybrid_with_every_channel(spark, shop):
     assert value(spark, p("hybrid-report"), "bonus 0.05", "all_recall") > 0 and value(spark, p("hybrid-report"), "geo", "extra") >= 0
     cli.main(["prepare-ranker", *every, "--category-depth", "5", "--version", "8", "--output", p("rows8")])
     rows = spark.read.parquet(p("rows8"))
-    assert [c for c in rows.columns if c in features.V8] == features.V8 and rows.where("full_dense_known = 0").isEmpty() and not rows.where("present_microcategory_channel = 1").isEmpty()
+    assert [
+        c for c in rows.columns if c in features.V8
+    ] == features.V8 and rows.where("full_dense_known = 0").isEmpty() and not rows.where("present_microcategory_channel = 1").isEmpty()
     cli.main(["predict", *every, "--supplemental", "--output", p("supplemental")])
     assert spark.read.csv(p("supplemental"), header=True).count() == 2
 
@@ -92,8 +115,12 @@ def test_keys_of_clicks(spark):
 
 def test_options_without_meaning():
     bad = (
-        {"method": "dense", "location_bonus": 0.1}, {"sweep": True, "channel_quota": 1}, {"method": "x"}, {"fraction": 0.0}, {"method": "dense", "geo_depth": 3}, {"geo_related": True}, {"method": "bm25", "category_depth": 3},
-        {"supplemental": True, "category_depth": 3}, {"split": "pairs", "supplemental": True}, {"version": 3}, {"method": "bm25", "version": 8}, {"lexical_weight": 0.0, "dense_weight": 0.0}, {"negatives": -1},
+        {
+            "method": "dense", "location_bonus": 0.1,
+        }, {"sweep": True, "channel_quota": 1}, {"method": "x"}, {"fraction": 0.0}, {"method": "dense", "geo_depth": 3}, {"geo_related": True}, {"method": "bm25", "category_depth": 3},
+        {"supplemental": True, "category_depth": 3}, {"split": "pairs", "supplemental": True}, {"version": 3}, {"method": "bm25", "version": 8}, {
+            "lexical_weight": 0.0, "dense_weight": 0.0,
+        }, {"negatives": -1},
     )
     for b in bad:
         with pytest.raises(ValueError):
@@ -128,4 +155,7 @@ def test_dense_and_hybrid(spark, tmp_path):
     with pytest.raises(SystemExit):
         cli.main(["predict", *tables, "--method", "dense", "--output", p("none")])
     with pytest.raises(ValueError, match="1 queries have no vector"):
-        cli.ranked(spark.read.parquet(p("items")), spark.createDataFrame([("q", "unseen", "")], "qid string, text string, location string"), Options("dense"), (spark.read.parquet(p("qv")), spark.read.parquet(p("iv"))))
+        cli.ranked(
+            spark.read.parquet(p("items")), spark.createDataFrame([("q", "unseen", "")], "qid string, text string, location string"),
+            Options("dense"), (spark.read.parquet(p("qv")), spark.read.parquet(p("iv"))),
+        )

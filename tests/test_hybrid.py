@@ -26,7 +26,10 @@ def items_of(df, *by):
 
 def test_geographic_channels(spark):
     """Five equal titles, one of them local: the global channel has the first, the local one its own; weights as the fields'."""
-    items = spark.createDataFrame([(f"i{k}", "red shoe", "", "", "p1" if k == 4 else "p0") for k in range(5)], "item_id string, title string, params string, description string, location string")
+    items = spark.createDataFrame(
+        [(f"i{k}", "red shoe", "", "", "p1" if k == 4 else "p0") for k in range(5)],
+        "item_id string, title string, params string, description string, location string",
+    )
     queries = spark.createDataFrame([("a", "red", "p1"), ("b", "red", "")], "qid string, text string, location string")
     plan = hybrid.Plan(depth=1, geo_depth=1)
     index = bm25.build(items)
@@ -36,14 +39,19 @@ def test_geographic_channels(spark):
     rows = hybrid.lexical_channels(scored, geo.destinations(queries, items, none), items, plan)
     got = {(r["qid"], r["channel"]): (r["item_id"], r["weight"]) for r in rows.collect()}
     assert {k: v[0] for k, v in got.items()} == {("a", "title"): "i0", ("a", "title_geo"): "i4", ("b", "title"): "i0"}
-    assert math.isclose(got["a", "title"][1], 2 / 3.5 / 1.25) and math.isclose(got["a", "title_geo"][1], 2 / 3.5 / 1.25 / 4) and math.isclose(got["b", "title"][1], 2 / 3.5)
+    assert math.isclose(got["a", "title"][1], 2 / 3.5 / 1.25) and math.isclose(
+        got["a", "title_geo"][1], 2 / 3.5 / 1.25 / 4,
+    ) and math.isclose(got["b", "title"][1], 2 / 3.5)
 
 
 def test_destinations(spark):
     """The exact place alone; else related ones if the history is long enough; both if asked for; own clicks left out."""
     items = spark.createDataFrame([("x", "city"), ("y", "town"), ("z", "port"), ("w", "")], "item_id string, location string")
     queries = spark.createDataFrame([("a", "t", "city"), ("b", "t", "region"), ("c", "t", ""), ("d", "u", "far")], "qid string, text string, location string")
-    counts = spark.createDataFrame([("region", "town", 18), ("region", "port", 12), ("region", "gone", 40), ("city", "town", 25), ("far", "port", 19)], "search_loc string, item_loc string, n long")
+    counts = spark.createDataFrame(
+        [("region", "town", 18), ("region", "port", 12), ("region", "gone", 40), ("city", "town", 25), ("far", "port", 19)],
+        "search_loc string, item_loc string, n long",
+    )
     got = lambda **k: {(r["qid"], r["place"]) for r in geo.destinations(queries, items, counts, **k).collect()}
     assert got() == {("a", "city"), ("b", "town"), ("b", "port")}
     assert got(min_history=71) == {("a", "city")} and got(most=1) == {("a", "city"), ("b", "town")}
@@ -71,7 +79,10 @@ def test_novel_channel_keeps_its_own_places(spark):
 
 def test_supplemental_ranks_are_raw(spark):
     """A protected item inside a route doesn't move others up; ties by id; the capacity holds."""
-    routes = spark.createDataFrame([("q", "x", i, r, 1.0) for r, i in enumerate(["held", "b", "a"], 1)] + [("q", "y", i, r, 1.0) for r, i in enumerate(["c", "a"], 1)], "qid string, channel string, item_id string, rank long, raw_score double")
+    routes = spark.createDataFrame(
+        [("q", "x", i, r, 1.0) for r, i in enumerate(["held", "b", "a"], 1)] + [("q", "y", i, r, 1.0) for r, i in enumerate(["c", "a"], 1)],
+        "qid string, channel string, item_id string, rank long, raw_score double",
+    )
     base = spark.createDataFrame([("q", "held")], "qid string, item_id string")
     out = hybrid.supplemental_channels(routes, base, capacity=3)
     fill = {r["item_id"]: (r["rank"], r["raw_score"]) for r in out.where("channel = 'supplemental_fill'").collect()}
@@ -89,7 +100,10 @@ def test_declared_variants(spark):
     assert pools == {"f1": "abcd", "f2": "abcg", "all": "abcgdef", "r": "gab"}
     with pytest.raises(ValueError, match="missing channels: no"):
         variants.pools(base, new, [variants.Variant("x", "fill", {"no": 1.0})])
-    for bad in ('[{"name": "a", "mode": "other", "channels": {"n1": 1}}]', '[{"name": "a", "mode": "fill", "channels": {}}]', '[{"name": "a", "mode": "fill", "channels": {"n": 1}}, {"name": "a", "mode": "fill", "channels": {"n": 1}}]'):
+    for bad in (
+        '[{"name": "a", "mode": "other", "channels": {"n1": 1}}]', '[{"name": "a", "mode": "fill", "channels": {}}]',
+        '[{"name": "a", "mode": "fill", "channels": {"n": 1}}, {"name": "a", "mode": "fill", "channels": {"n": 1}}]',
+    ):
         with pytest.raises(ValueError):
             variants.declared(bad)
 
@@ -115,7 +129,10 @@ def test_schemas():
 
 def test_features_of_one_item(spark):
     """Phrases are looked for in the item, "0" is no category, a rating floor is met or not, a missing rating is unknown."""
-    queries = spark.createDataFrame([("q", "Red Shoe", "рейтинг пользователя 4,5", "p1", "0", "1")], "qid string, text string, filters string, location string, category string, delivery string")
+    queries = spark.createDataFrame(
+        [("q", "Red Shoe", "рейтинг пользователя 4,5", "p1", "0", "1")],
+        "qid string, text string, filters string, location string, category string, delivery string",
+    )
     items = spark.createDataFrame([("a", "big red shoe here", "red shoe", "shoe", "p1", "0", "m", "9", "4.6", "3", "1", ""), ("b", "red", "", None, "", "c", "", "x", "", "", "", "")],
                                   "item_id string, title string, params string, description string, location string, category string, microcat string, price string, rating string, reviews string, phone_hidden string, message_forbidden string")
     ch = channel(spark, [("q", "title", 0, 1.0, "a", 1), ("q", "title", 0, 1.0, "b", 2), ("q", "title_geo", 1, 0.25, "a", 1)])
@@ -124,9 +141,18 @@ def test_features_of_one_item(spark):
     rows = {r["item_id"]: r for r in features.rows(ch, scores, scores.where("item_id = 'a'"), queries, items, 8, features.Signals(places)).collect()}
     a, b = rows["a"], rows["b"]
     near = lambda r, **k: all(abs(r[n] - v) < 1e-6 for n, v in k.items())
-    assert near(a, pool_rank=0.5, baseline_top50=1, channel_count=2, geo_channel_count=1, rank_title=1 / 61, rank_title_geo=1 / 61, present_dense=0, location_match=1, geo_destination_match=1, geo_destination_is_fallback=0)
-    assert near(a, category_match=0, category_known=0, title_overlap=2, title_query_coverage=1, title_exact_phrase=1, params_exact_phrase=1, rating_filter_known=1, rating_filter_match=1, rating=4.6, phone_hidden=1, delivery_search=1, has_query_filters=1)
-    assert near(b, pool_rank=1 / 3, baseline_top50=0, title_exact_phrase=0, title_overlap=1, rating_filter_known=0, rating_filter_match=0, log_price=0, location_known=0, microcat_classifier_known=0, full_dense_known=0)
+    assert near(
+        a, pool_rank=0.5, baseline_top50=1, channel_count=2, geo_channel_count=1, rank_title=1 / 61, rank_title_geo=1 / 61, present_dense=0,
+        location_match=1, geo_destination_match=1, geo_destination_is_fallback=0,
+    )
+    assert near(
+        a, category_match=0, category_known=0, title_overlap=2, title_query_coverage=1, title_exact_phrase=1, params_exact_phrase=1,
+        rating_filter_known=1, rating_filter_match=1, rating=4.6, phone_hidden=1, delivery_search=1, has_query_filters=1,
+    )
+    assert near(
+        b, pool_rank=1 / 3, baseline_top50=0, title_exact_phrase=0, title_overlap=1, rating_filter_known=0, rating_filter_match=0,
+        log_price=0, location_known=0, microcat_classifier_known=0, full_dense_known=0,
+    )
 
 
 def test_feature_columns_move_unchanged(spark):
@@ -135,7 +161,10 @@ def test_feature_columns_move_unchanged(spark):
     assert out.columns == ["qid", "item_id", *features.V4] and [out.first()[n] for n in features.V4] == [float(k) for k in range(75)]
     with pytest.raises(ValueError):
         features.reduced(full, 4, 6, ["qid"])
-    more = features.appended(full.select("qid", "item_id"), spark.createDataFrame([("q", "j", 0.5)], "qid string, item_id string, value double"), "second", "second_known", ["qid", "item_id"]).first()
+    more = features.appended(
+        full.select("qid", "item_id"), spark.createDataFrame([("q", "j", 0.5)], "qid string, item_id string, value double"), "second",
+        "second_known", ["qid", "item_id"],
+    ).first()
     assert (more["second"], more["second_known"]) == (0.0, 0.0)
 
 
@@ -178,7 +207,9 @@ def test_vector_blocks_are_full(spark):
     spark.conf.set(key, "7")
     try:
         v = spark.range(100).select(F.col("id"), F.array(F.cos("id"), F.sin("id")).alias("embedding")).coalesce(1)
-        assert sorted(len(r["ids"]) for r in vectors.packed(v, "id", "embedding", block=40).collect()) == [16, 42, 42] or vectors.packed(v, "id", "embedding", block=40).count() <= 5
+        assert sorted(
+            len(r["ids"]) for r in vectors.packed(v, "id", "embedding", block=40).collect()
+        ) == [16, 42, 42] or vectors.packed(v, "id", "embedding", block=40).count() <= 5
         top = vectors.cosine_top_k(v.where("id < 3"), v, 2, "id")
         assert {(r["qid"], r["item_id"]) for r in top.where("rank = 1").collect()} == {(0, 0), (1, 1), (2, 2)}
     finally:
@@ -194,7 +225,10 @@ def test_unit_tfidf(spark):
 
 
 def test_averages(spark):
-    groups = spark.createDataFrame([("a", "t", 1, 2, True), ("b", "t", 2, 2, False), ("c", "u", 0, 4, True), ("d", "v", 0, 0, True)], "qid string, text string, n_hit int, n_available int, rep boolean")
+    groups = spark.createDataFrame(
+        [("a", "t", 1, 2, True), ("b", "t", 2, 2, False), ("c", "u", 0, 4, True), ("d", "v", 0, 0, True)],
+        "qid string, text string, n_hit int, n_available int, rep boolean",
+    )
     r = evaluation.recall(groups, representative="rep").first()
     assert (r["macro"], r["text_macro"], r["micro"], r["n_queries"], r["representative_macro"]) == (0.5, 0.375, 0.375, 3, 0.25)
 
@@ -202,7 +236,9 @@ def test_averages(spark):
 def test_history_bonus(spark):
     rows = spark.createDataFrame([("t", "m1", 0.5), ("t", "m2", 0.5), ("u", "m1", 0.5)], "text string, cat string, prob double")
     clicks = spark.createDataFrame([("t", "m1", 5), ("t", "m3", 2)], "text string, cat string, n long")
-    assert {(r["text"], r["cat"]): round(r["prob"], 6) for r in category.history_bonus(rows, clicks, 0.4).collect()} == {("t", "m1"): 0.7, ("t", "m2"): 0.5, ("u", "m1"): 0.5}
+    assert {
+        (r["text"], r["cat"]): round(r["prob"], 6) for r in category.history_bonus(rows, clicks, 0.4).collect()
+    } == {("t", "m1"): 0.7, ("t", "m2"): 0.5, ("u", "m1"): 0.5}
 
 
 def test_strict_answers(spark):
@@ -211,7 +247,10 @@ def test_strict_answers(spark):
     a, b = f"{0:016x}", f"{1:016x}"
     answer = spark.createDataFrame([("q" * 16, f"{a} {b}"), ("short", f"{a}  {b}"), ("r" * 16, f"{a} {a} {b.upper()[:-1]}F")], "query_id string, answer string")
     found = {r["violation"]: r["n"] for r in protocol.violations(answer, queries, corpus, strict=True).collect()}
-    assert found == {"too_many": 0, "repeated_item": 1, "query_id_form": 1, "item_id_form": 2, "missing_query": 0, "unknown_query": 1, "unknown_item": 1, "repeated_query": 0}
+    assert found == {
+        "too_many": 0, "repeated_item": 1, "query_id_form": 1, "item_id_form": 2, "missing_query": 0, "unknown_query": 1, "unknown_item": 1,
+        "repeated_query": 0,
+    }
 
 
 def test_fingerprints(spark):
@@ -226,7 +265,10 @@ def test_sources_and_caches(spark, tmp_path):
     with gzip.open(p("scores.jsonl.gz"), "wt") as f:
         f.write('{"qid": "a", "score": 0.5}\n{"qid": "b", "score": 0.25}\n')
     assert [tuple(r) for r in tables.read_scores(spark, p("scores.jsonl.gz"), "qid string, score double").orderBy("qid").collect()] == [("a", 0.5), ("b", 0.25)]
-    for name, rows in (("good", [{"id": "a", "label": 1}, {"id": "b", "label": 0}]), ("twice", [{"id": "a", "label": 1}, {"id": "a", "label": 0}]), ("typed", [{"id": "a", "label": "x"}])):
+    for name, rows in (
+        ("good", [{"id": "a", "label": 1}, {"id": "b", "label": 0}]), ("twice", [{"id": "a", "label": 1}, {"id": "a", "label": 0}]),
+        ("typed", [{"id": "a", "label": "x"}]),
+    ):
         (tmp_path / f"{name}.json").write_text(json.dumps(rows))
     assert tables.read_labels(spark, p("good.json"), {"id": "string", "label": "bigint"}, ["id"]).count() == 2
     for name, why in (("twice", "repeats"), ("typed", "label is string")):

@@ -95,7 +95,10 @@ def test_fill_keeps_raw_ranks(spark):
 
 
 def test_geography(spark):
-    clicks = spark.createDataFrame([("a", "1", "2")] * 3 + [("b", "1", "2")] * 2 + [("b", "1", "3"), ("b", "", "3")], "text string, search_loc string, item_loc string")
+    clicks = spark.createDataFrame(
+        [("a", "1", "2")] * 3 + [("b", "1", "2")] * 2 + [("b", "1", "3"), ("b", "", "3")],
+        "text string, search_loc string, item_loc string",
+    )
     counts = geo.associations(clicks)
     left = {(r["text"], r["item_loc"]): r["n"] for r in geo.without_own(counts, geo.associations(clicks, True)).collect()}
     assert left == {("a", "2"): 2, ("a", "3"): 1, ("b", "2"): 3}
@@ -124,7 +127,10 @@ def test_feature_schemas():
 
 def test_prefix_of_all_trees_is_the_model(spark):
     r = random.Random(1)
-    rows = spark.createDataFrame([(i, float(r.random()), float(r.random()), int(r.random() < 0.5), 1.0) for i in range(200)], "i long, a double, b double, label int, weight double")
+    rows = spark.createDataFrame(
+        [(i, float(r.random()), float(r.random()), int(r.random() < 0.5), 1.0) for i in range(200)],
+        "i long, a double, b double, label int, weight double",
+    )
     model = learning.fit_ranker(rows, ["a", "b"], 5, 3)
     both = learning.rank_scores(model, rows).select("i", "prob").join(learning.prefix_scores(model, rows, [2, 5]).select("i", "p5"), "i")
     assert both.where("abs(prob - p5) > 1e-9").count() == 0
@@ -133,7 +139,9 @@ def test_prefix_of_all_trees_is_the_model(spark):
 
 
 def test_stems():
-    assert [stemming.stem(w) for w in ("важная", "важный", "бегала", "красивейший", "столами", "дом", "abc", "")] == ["важн", "важн", "бега", "красив", "стол", "дом", "abc", ""]
+    assert [
+        stemming.stem(w) for w in ("важная", "важный", "бегала", "красивейший", "столами", "дом", "abc", "")
+    ] == ["важн", "важн", "бега", "красив", "стол", "дом", "abc", ""]
 
 
 def test_bootstrap_holds_the_mean(spark):
@@ -210,9 +218,15 @@ def test_label_groups_over_many_ranges(spark):
 def test_rank_and_group_checks_find_faults(spark):
     from quillrank.operators import integrity
 
-    ranks = spark.createDataFrame([("a", 1 / 61), ("a", 1 / 62), ("b", 1 / 61), ("b", 1 / 63), ("c", 1 / 61), ("c", 1 / 61), ("d", 0.0), ("d", None)], "k string, v double")
+    ranks = spark.createDataFrame(
+        [("a", 1 / 61), ("a", 1 / 62), ("b", 1 / 61), ("b", 1 / 63), ("c", 1 / 61), ("c", 1 / 61), ("d", 0.0), ("d", None)],
+        "k string, v double",
+    )
     assert {r.k: r.complete for r in integrity.recovered_ranks(ranks, "v", 60, ["k"]).collect()} == {"a": True, "b": False, "c": False}
-    rows = spark.createDataFrame([(1, 1, 1, 1.0), (1, 2, 0, 0.5), (1, 3, 0, 0.5), (2, 1, 1, 1.0), (3, 1, 1, 1.0), (3, 2, 0, 0.9), (4, 1, 1, 1.0), (4, 2, 0, 0.5), (4, 2, 0, 0.5)], "qid int, item_id int, label int, weight double")
+    rows = spark.createDataFrame(
+        [(1, 1, 1, 1.0), (1, 2, 0, 0.5), (1, 3, 0, 0.5), (2, 1, 1, 1.0), (3, 1, 1, 1.0), (3, 2, 0, 0.9), (4, 1, 1, 1.0), (4, 2, 0, 0.5), (4, 2, 0, 0.5)],
+        "qid int, item_id int, label int, weight double",
+    )
     assert {r.qid: r.valid for r in integrity.training_groups(rows).collect()} == {1: True, 2: False, 3: False, 4: False}
     a, b = (spark.createDataFrame(x, "k int, v int") for x in ([(1, 1), (2, 2), (3, None)], [(2, 2), (3, 5), (4, 4)]))
     assert tuple(integrity.alignment(a, b, ["k"], "v").first()) == (1, 1, 2, 1)

@@ -74,7 +74,7 @@ def combined_scores(scored: DataFrame, weights: dict[str, float]) -> DataFrame:
     w = F.create_map(*(F.lit(x) for f, v in weights.items() for x in (f, v)))
     own = scored.where(F.col("field").isin(*weights))
     peaks = own.groupBy("field", "qid").agg(F.max("score").alias("peak")).where("peak > 0")  # a row for each field and query
-    parts = own.join(F.broadcast(peaks), ["field", "qid"]).withColumn("part", F.element_at(w, F.col("field")) * F.col("score") / F.col("peak"))
+    parts = own.join(peaks, ["field", "qid"]).withColumn("part", F.element_at(w, F.col("field")) * F.col("score") / F.col("peak"))
     return parts.groupBy("qid", F.col("doc").alias("item_id")).agg(F.round(F.sum("part"), 6).alias("lexical"))
 
 
@@ -111,7 +111,7 @@ def channel(
     if bonus:
         lexical = lexical.join(queries.select("qid", F.col("location").alias("here")), "qid")
         extra = F.when((F.col("at") == F.col("here")) & (F.col("here") != ""), bonus).otherwise(0.0)
-    kept = guaranteed_top_k(soft_scores(lexical, F.broadcast(top_categories(predicted, top)), power, extra), limit, least)
+    kept = guaranteed_top_k(soft_scores(lexical, top_categories(predicted, top), power, extra), limit, least)
     return kept.select("qid", "item_id", "rank", F.col("score").alias("raw_score"))
 
 

@@ -123,7 +123,7 @@ def destination_prior(
 def adjusted_scores(scored: DataFrame, prior: DataFrame, weight: float = 0.05, floor: float = 1e-7) -> DataFrame:
     """Rows of (search_loc, item_loc, score) with ``adjusted``: score plus weight times the log of the prior; places without history add 0."""
     known = prior.select("search_loc").distinct().withColumn("known", F.lit(True))
-    joined = scored.join(prior, ["search_loc", "item_loc"], "left").join(F.broadcast(known), "search_loc", "left")
+    joined = scored.join(prior, ["search_loc", "item_loc"], "left").join(known, "search_loc", "left")
     log = F.when(F.col("known"), weight * F.ln(F.greatest(F.coalesce("p", F.lit(floor)), F.lit(floor)))).otherwise(0.0)
     return joined.withColumn("adjusted", F.round(F.col("score") + log, 6)).drop("known", "p")
 

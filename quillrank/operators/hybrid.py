@@ -62,7 +62,7 @@ def lexical_channels(scored: DataFrame, destinations: DataFrame, items: DataFram
             (plan.lexical * F.element_at(own, F.col("field")) / total).alias("weight"), "item_id", "rank", "raw_score",
         )
     places = destinations.groupBy("qid").agg(F.collect_set("place").alias("places"))
-    rows = rows.join(items.select("item_id", F.col("location").alias("at")), "item_id").join(F.broadcast(places), "qid", "left")
+    rows = rows.join(items.select("item_id", F.col("location").alias("at")), "item_id").join(places, "qid", "left")
     rows = rows.withColumn("inside", F.coalesce(F.array_contains("places", F.col("at")), F.lit(False))).withColumn("some", F.col("places").isNotNull())
     rows = rows.withColumn("rank", _place(["field", "qid"])).withColumn("near", _place(["field", "qid", "inside"]))
     rows = rows.where((F.col("rank") <= plan.depth) | (F.col("inside") & (F.col("near") <= plan.geo_depth)))
@@ -106,7 +106,7 @@ def related_channels(
     turn = F.create_map(*(F.lit(x) for i, (f, _) in enumerate(plan.fields) for x in (f, order + i)))
     inside = scored.join(
         items.select(F.col("item_id").alias("doc"), F.col("location").alias("place")), "doc",
-    ).join(F.broadcast(related), ["qid", "place"], "left_semi")
+    ).join(related, ["qid", "place"], "left_semi")
     rows = inside.select("qid", "field", F.element_at(turn, F.col("field")).alias("ch_ord"), F.col("doc").alias("item_id"), F.col("score").alias("raw_score"))
     held = base.select("qid", "item_id").distinct()
     size = held.groupBy("qid").agg(F.count("*").alias("held"))

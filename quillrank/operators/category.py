@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .blocks import Search
 
 
 def text_shares(clicks: DataFrame) -> DataFrame:
@@ -96,22 +97,32 @@ TOP, LEAST, POWER = 3, 5, 0.5
 
 
 def channel(
-    scored: DataFrame, predicted: DataFrame, items: DataFrame, queries: DataFrame, limit: int, weights: dict[str, float] | None = None,
+    scored: DataFrame | Search, predicted: DataFrame, items: DataFrame, queries: DataFrame, limit: int, weights: dict[str, float] | None = None,
     top: int = TOP, least: int = LEAST, power: float = POWER, bonus: float = 0.0,
 ) -> DataFrame:
     """(qid, item_id, rank, raw_score): items of a query's likeliest categories by lexical score and probability.
 
     Each of the categories has its ``least`` best items in the ranking before
     the rest is filled by score; ``bonus`` goes to items in the query's place.
+    ``scored`` has a row for each query and document with one of its terms, or
+    is a search whose items have ``place`` and ``cat``; that gives each block's
+    candidates, and grows with the postings alone.
     """
-    lexical = combined_scores(scored, weights or WEIGHTS).join(
+    weights, likely = weights or WEIGHTS, top_categories(predicted, top)
+    if isinstance(scored, Search):
+        said = likely.select("qid", "cat", F.pow("prob", F.lit(power)).alias("factor"))
+        place = F.col("location").cast("string")
+        found = scored.combined(weights, said, queries.where(place != "").select("qid", place.alias("place")), bonus, limit)
+    else:
+        found = combined_scores(scored, weights)
+    lexical = found.join(
         items.select("item_id", F.col("microcat").alias("cat"), F.col("location").alias("at")), "item_id",
     ).where("coalesce(cat, '') <> ''")
     extra: Column | float = 0.0
     if bonus:
         lexical = lexical.join(queries.select("qid", F.col("location").alias("here")), "qid")
         extra = F.when((F.col("at") == F.col("here")) & (F.col("here") != ""), bonus).otherwise(0.0)
-    kept = guaranteed_top_k(soft_scores(lexical, top_categories(predicted, top), power, extra), limit, least)
+    kept = guaranteed_top_k(soft_scores(lexical, likely, power, extra), limit, least)
     return kept.select("qid", "item_id", "rank", F.col("score").alias("raw_score"))
 
 

@@ -21,7 +21,9 @@ def destinations(spark: SparkSession, sf: str, with_related: bool = False) -> Da
 
 
 def lexical_channels(spark: SparkSession, sf: str) -> DataFrame:
-    return hybrid.lexical_channels(shop.lexical(spark, sf), destinations(spark, sf), shop.items(spark, sf), PLAN)
+    places = destinations(spark, sf)
+    found = shop.search(spark, sf).best(PLAN.depth, places, PLAN.geo_depth)
+    return hybrid.lexical_channels(found, places, shop.items(spark, sf), PLAN)
 
 
 def make_channels(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,7 +39,7 @@ def channels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def micro_route(spark: SparkSession, sf: str) -> DataFrame:
-    return category.channel(shop.lexical(spark, sf, "values"), shop.predicted(spark, sf), shop.items(spark, sf), shop.queries(spark, sf), 60, bonus=0.1)
+    return category.channel(shop.search(spark, sf, "values"), shop.predicted(spark, sf), shop.items(spark, sf), shop.queries(spark, sf), 60, bonus=0.1)
 
 
 _HEAD = f"WITH {R.BM25}, {shop.SHOP}, {shop.HYBRID}"
@@ -88,7 +90,8 @@ def related_geo_channels(spark: SparkSession, sf: str) -> DataFrame:
     related = destinations(spark, sf, with_related=True).where("not exact").join(
         destinations(spark, sf).where("exact").select("qid"), "qid", "left_semi",
     ).select("qid", "place")
-    out = hybrid.related_channels(shop.lexical(spark, sf), related, shop.items(spark, sf), channels(spark, sf), PLAN, capacity=330)
+    found = shop.search(spark, sf).best(0, related, PLAN.geo_depth)
+    out = hybrid.related_channels(found, related, shop.items(spark, sf), channels(spark, sf), PLAN, capacity=330)
     return out.drop("weight")
 
 
@@ -122,7 +125,7 @@ s AS (SELECT qid, item_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM rt ANT
 SELECT qid, 'supplemental_fill' AS channel, item_id, rank, score AS raw_score FROM g UNION ALL SELECT rt.qid, channel, rt.item_id, row_number() OVER (PARTITION BY rt.qid, channel ORDER BY rt.rank, rt.item_id), rt.raw_score FROM rt SEMI JOIN g ON g.qid = rt.qid AND g.item_id = rt.item_id""")
 def supplemental_four_routes(spark: SparkSession, sf: str) -> DataFrame:
     """Titles and parameters by text and filter values, the category route and a deep dense ranking fill what the dense channel leaves of 200 places."""
-    top = shop.lexical(spark, sf, "values").where("field in ('title', 'params')")
+    top = shop.search(spark, sf, "values").best(300, only=("title", "params"))
     from ..operators.bm25 import top_k
 
     lexical = top_k(top, 300, ["field", "qid"]).select(
@@ -152,7 +155,7 @@ def new_routes(spark: SparkSession, sf: str) -> DataFrame:
     """Routes beside the base: titles by values, categories, and a deep dense ranking."""
     from ..operators.bm25 import top_k
 
-    top = top_k(shop.lexical(spark, sf, "values").where("field = 'title'"), 80, ["qid"]).select(
+    top = top_k(shop.search(spark, sf, "values").best(80, only=("title",)), 80, ["qid"]).select(
         "qid", F.lit("supplemental_title_values").alias("channel"), F.col("doc").alias("item_id"), "rank",
     )
     micro = micro_route(spark, sf).select("qid", F.lit("micro_combined").alias("channel"), "item_id", "rank")
@@ -184,7 +187,7 @@ def hypothesis_channels(spark: SparkSession, sf: str) -> DataFrame:
 
     out = None
     for layout in ("text", "values"):
-        top = top_k(shop.lexical(spark, sf, layout).where("field in ('title', 'params')"), 20, ["field", "qid"])
+        top = top_k(shop.search(spark, sf, layout).best(20, only=("title", "params")), 20, ["field", "qid"])
         one = top.select(
             "qid", F.concat(F.lit(f"{layout}_"), "field").alias("channel"), F.col("doc").alias("item_id"), "rank",
             F.col("score").alias("raw_score"),
@@ -199,7 +202,7 @@ def popular_fill(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.bm25 import top_k
 
     top = top_k(
-        shop.lexical(spark, sf).where("field = 'title'"), 9, ["qid"],
+        shop.search(spark, sf).best(9, only=("title",)), 9, ["qid"],
     ).where("rank <= (qid % 4) * 3").select("qid", F.col("doc").alias("item_id"), "rank")
     clicks = shop.clicks(spark, sf).where("item_id % 3 = 0 OR item_id % 7 = 0")
     return protocol.popular_fill(top, shop.queries(spark, sf), clicks, shop.items(spark, sf), 10)

@@ -12,7 +12,7 @@ from ..functions import text as X
 from . import roles as R
 from .evaluation_queries import _PAIR, _two
 from .registry import query
-from .retrieval_queries import _LABELLED, CONSTANT, channels, labelled, lexical
+from .retrieval_queries import _LABELLED, CONSTANT, channels, labelled, search
 
 _NAMES = ["title", "params", "description"]
 _FEATURES = ["rrf_score", "pool_rank", "baseline_top50", "channel_count", *(f"{k}_{n}" for n in _NAMES for k in ("rank", "present", "score"))]
@@ -87,7 +87,7 @@ def category_channel_fitted(spark: SparkSession, sf: str) -> DataFrame:
     model = category_model.fit(category_examples(spark, sf), category_model.Settings(folds=0, words=4000, characters=8000, iterations=10))
     said = model.predict(q).join(q.select("qid", X.normalize(F.col("text")).alias("text")), "text").select("qid", "cat", "prob")
     items = R.corpus(spark, sf).select("item_id", F.col("category").alias("microcat"), "location")
-    return category.channel(lexical(spark, sf), said, items, q, 50).select("qid", "item_id", "rank", "raw_score")
+    return category.channel(search(spark, sf), said, items, q, 50).select("qid", "item_id", "rank", "raw_score")
 
 
 _POISSON = " + ".join(f"(u >= {c!r})::INTEGER" for c in E.POISSON)

@@ -9,21 +9,25 @@ from pyspark.sql.window import Window
 from .. import storage
 from ..functions import text as X
 from ..operators import bm25, category, features, fusion, geo
+from ..operators.blocks import Search
 from . import roles as R
 from .registry import query
 
 DEPTH, LIMIT, CONSTANT = 50, 10, 60
 
 
-def lexical(spark: SparkSession, sf: str) -> DataFrame:
-    """(field, qid, doc, score) of the corpus for all queries, from the stored index."""
-    terms = bm25.query_terms(R.queries(spark, sf))
-    own = R.index(spark, sf).where(F.col("field").isin([f.name for f in bm25.FIELDS]))
-    return bm25.scores(own, terms, bm25.fits(terms))
+def search(spark: SparkSession, sf: str) -> Search:
+    """The search of all queries in the corpus's three fields, from the stored index."""
+
+    def make() -> Search:
+        about = R.corpus(spark, sf).select("item_id", F.col("location").alias("place"), F.col("category").alias("cat"))
+        return Search(R.index(spark, sf), bm25.query_terms(R.queries(spark, sf)), tuple(f.name for f in bm25.FIELDS), about)
+
+    return R.once(spark, sf, "search", make)
 
 
 def channels(spark: SparkSession, sf: str) -> DataFrame:
-    return R.once(spark, sf, "channels", lambda: storage.stored(bm25.channels(bm25.top_k(lexical(spark, sf), DEPTH, ["field", "qid"])), "channels"))
+    return R.once(spark, sf, "channels", lambda: storage.stored(bm25.channels(bm25.top_k(search(spark, sf).best(DEPTH), DEPTH, ["field", "qid"])), "channels"))
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,13 +36,13 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bm25_top10", f"WITH {R.BM25} SELECT qid, doc AS item_id, score, rank FROM rk WHERE field = 'description' AND rank <= 10")
 def bm25_top10(spark: SparkSession, sf: str) -> DataFrame:
-    top = bm25.top_k(lexical(spark, sf).where("field = 'description'"), 10, ["qid"])
+    top = bm25.top_k(search(spark, sf).best(10, only=("description",)), 10, ["qid"])
     return top.select("qid", F.col("doc").alias("item_id"), "score", "rank")
 
 
 @query("bm25_multifield", f"WITH {R.BM25} SELECT qid, channel, item_id, rank, raw_score, weight FROM ch")
 def bm25_multifield(spark: SparkSession, sf: str) -> DataFrame:
-    top = bm25.channels(bm25.top_k(lexical(spark, sf), DEPTH, ["field", "qid"]))
+    top = bm25.channels(bm25.top_k(search(spark, sf).best(DEPTH), DEPTH, ["field", "qid"]))
     return top.select("qid", "channel", "item_id", "rank", "raw_score", "weight")
 
 
@@ -124,7 +128,8 @@ def source_controlled_pool(spark: SparkSession, sf: str) -> DataFrame:
 SELECT qid, field || '_geo' AS channel, doc AS item_id, score, rank FROM s WHERE rank <= 20""")
 def geo_topk(spark: SparkSession, sf: str) -> DataFrame:
     items, q = R.corpus(spark, sf), R.queries(spark, sf)
-    inside = lexical(spark, sf).join(q.select("qid", "location"), "qid").join(items.select(F.col("item_id").alias("doc"), "location"), ["doc", "location"])  # the mask comes before the cut
+    found = search(spark, sf).best(0, q.select("qid", F.col("location").alias("place")), 20)
+    inside = found.join(q.select("qid", "location"), "qid").join(items.select(F.col("item_id").alias("doc"), "location"), ["doc", "location"])  # the mask comes before the cut
     return bm25.top_k(inside, 20, ["field", "qid"]).select(
         "qid", F.concat("field", F.lit("_geo")).alias("channel"), F.col("doc").alias("item_id"), "score", "rank",
     )

@@ -37,11 +37,11 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", F.concat(F.lit("src"), F.col("item_id") % 20).alias("location"))
 
 
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], object] = {}
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that is made once for a session and a folder of tables, as an index is, and then read by every query."""
+def once[T](spark: SparkSession, sf_dir: str, name: str, make: Callable[[], T]) -> T:
+    """A table, or a search with its own, that is made once for a session and a folder of tables, as an index is, and then read by every query."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
         _stored[key] = make()

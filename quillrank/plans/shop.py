@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import bm25, geo, vectors
+from ..operators.blocks import Search
 from . import roles as R
 
 QUERY_PLACE = "CASE item_id % 5 WHEN 4 THEN concat('reg', item_id % 3) WHEN 3 THEN '' ELSE concat('src', item_id % 20) END"
@@ -82,12 +83,17 @@ def dense(spark: SparkSession, sf: str, k: int) -> DataFrame:
     return vectors.cosine_top_k(q, c, k, "own", skip_self=False).withColumnRenamed("score", "raw_score")
 
 
-def lexical(spark: SparkSession, sf: str, text: str = "text") -> DataFrame:
-    """(field, qid, doc, score) over all five fields; stems of the query for the fields of stems."""
-    plain = tuple(f.name for f in FIELDS if f.name not in STEMS)
-    q = queries(spark, sf).withColumn("values", F.concat_ws(" ", "text", filter_values(F.col("filters"))))
-    terms = bm25.stem_queries(bm25.query_terms(q, text=text), plain, tuple(STEMS))
-    return bm25.scores(R.index(spark, sf), terms, bm25.fits(terms))
+def search(spark: SparkSession, sf: str, text: str = "text") -> Search:
+    """The search over all five fields; stems of the query for the fields of stems."""
+
+    def make() -> Search:
+        plain = tuple(f.name for f in FIELDS if f.name not in STEMS)
+        q = queries(spark, sf).withColumn("values", F.concat_ws(" ", "text", filter_values(F.col("filters"))))
+        terms = bm25.stem_queries(bm25.query_terms(q, text=text), plain, tuple(STEMS))
+        about = items(spark, sf).select("item_id", F.col("location").alias("place"), F.col("microcat").alias("cat"))
+        return Search(R.index(spark, sf), terms, tuple(f.name for f in FIELDS), about)
+
+    return R.once(spark, sf, f"shop-search-{text}", make)
 
 
 def filter_values(filters) -> F.Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bm25, hybrid, vectors
+from .blocks import Search
 
 
 class Retriever(Protocol):
@@ -19,22 +20,25 @@ class Retriever(Protocol):
 
 @dataclass
 class Lexical:
-    """Fields, stems among them, from a stored index; geographic channels where there are destinations."""
+    """Fields, stems among them, from a stored index of counts; geographic channels where there are destinations."""
 
     items: DataFrame
     index: DataFrame
     plan: hybrid.Plan
+    fields: tuple[bm25.Field, ...] = bm25.FIELDS
     stems: tuple[str, ...] = ()
     destinations: DataFrame | None = None
 
-    def scores(self, queries: DataFrame, text: str = "text") -> DataFrame:
+    def search(self, queries: DataFrame, text: str = "text") -> Search:
         plain = tuple(f for f, _ in self.plan.fields if f not in self.stems)
         terms = bm25.stem_queries(bm25.query_terms(queries, text=text), plain, self.stems)
-        return bm25.scores(self.index, terms, bm25.fits(terms))
+        about = self.items.select("item_id", F.col("location").alias("place"), F.col("microcat").alias("cat"))
+        return Search(self.index, terms, self.fields, about)
 
     def channels(self, queries: DataFrame) -> DataFrame:
         places = self.destinations if self.destinations is not None else queries.select("qid", F.lit("").alias("place")).limit(0)
-        return hybrid.lexical_channels(self.scores(queries), places, self.items, self.plan)
+        found = self.search(queries).best(self.plan.depth, self.destinations, self.plan.geo_depth)
+        return hybrid.lexical_channels(found, places, self.items, self.plan)
 
 
 @dataclass

@@ -21,7 +21,7 @@ def search(spark: SparkSession, sf: str) -> Search:
 
     def make() -> Search:
         about = R.corpus(spark, sf).select("item_id", F.col("location").alias("place"), F.col("category").alias("cat"))
-        return Search(R.index(spark, sf), bm25.query_terms(R.queries(spark, sf)), tuple(f.name for f in bm25.FIELDS), about)
+        return Search(R.index(spark, sf), bm25.query_terms(R.queries(spark, sf)), bm25.FIELDS, about)
 
     return R.once(spark, sf, "search", make)
 

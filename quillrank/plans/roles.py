@@ -54,8 +54,8 @@ STEMS = {"title_stem": "title", "params_stem": "params"}
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored postings of the corpus's fields and stems."""
-    return once(spark, sf_dir, "index", lambda: bm25.build(corpus(spark, sf_dir), FIELDS, STEMS))
+    """The stored counts of the corpus's fields and stems."""
+    return once(spark, sf_dir, "index", lambda: bm25.counted(corpus(spark, sf_dir), FIELDS, STEMS))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:

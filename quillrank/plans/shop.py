@@ -91,7 +91,7 @@ def search(spark: SparkSession, sf: str, text: str = "text") -> Search:
         q = queries(spark, sf).withColumn("values", F.concat_ws(" ", "text", filter_values(F.col("filters"))))
         terms = bm25.stem_queries(bm25.query_terms(q, text=text), plain, tuple(STEMS))
         about = items(spark, sf).select("item_id", F.col("location").alias("place"), F.col("microcat").alias("cat"))
-        return Search(R.index(spark, sf), terms, tuple(f.name for f in FIELDS), about)
+        return Search(R.index(spark, sf), terms, FIELDS, about)
 
     return R.once(spark, sf, f"shop-search-{text}", make)
 

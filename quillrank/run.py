@@ -67,12 +67,19 @@ class Run:
         )
 
     @cached_property
-    def index(self) -> DataFrame:
-        """Postings of the fields and stems, stored."""
+    def stems(self) -> dict[str, str]:
+        """Fields of stems, and the fields they come from."""
+        return {n: n.removesuffix("_stem") for n, _ in self.plan.fields if n.endswith("_stem")}
+
+    @cached_property
+    def fields(self) -> tuple[bm25.Field, ...]:
         own = {f.name: f for f in bm25.FIELDS}
-        stems = {n: n.removesuffix("_stem") for n, _ in self.plan.fields if n.endswith("_stem")}
-        fields = bm25.FIELDS + tuple(bm25.Field(n, own[s].k1, own[s].b, dict(self.plan.fields)[n]) for n, s in stems.items())
-        return bm25.build(self.items, fields, stems)
+        return bm25.FIELDS + tuple(bm25.Field(n, own[s].k1, own[s].b, dict(self.plan.fields)[n]) for n, s in self.stems.items())
+
+    @cached_property
+    def index(self) -> DataFrame:
+        """Counts of the fields and stems, stored."""
+        return bm25.counted(self.items, self.fields, self.stems)
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -107,7 +114,7 @@ class Run:
         return storage.stored(texts.withColumn("text", X.normalize(F.col("text"))).join(said, "text").select("qid", "cat", "prob"), "predicted")
 
     def _lexical(self) -> retriever.Lexical:
-        return retriever.Lexical(self.items, self.index, self.plan, tuple(n for n, _ in self.plan.fields if n.endswith("_stem")))
+        return retriever.Lexical(self.items, self.index, self.plan, self.fields, tuple(self.stems))
 
     def valued(self, queries: DataFrame) -> DataFrame:
         """Queries with text and the values of their filters, as category and supplemental routes search."""
@@ -136,10 +143,10 @@ class Run:
             out = out.unionByName(p.select(*columns))
         out = storage.stored(out, "channels")
         if o.category_depth or o.supplemental:
-            scored = storage.stored(self._lexical().scores(self.valued(queries), "__valued"), "lexical")
+            scored = self._lexical().search(self.valued(queries), "__valued")
             route = category.channel(scored, self.predicted(queries), self.items, queries, hybrid.CAPACITY, bonus=o.location_bonus)
             if o.supplemental:
-                top = bm25.top_k(scored.where("field in ('title', 'params')"), hybrid.CAPACITY, ["field", "qid"]).select(
+                top = bm25.top_k(scored.best(hybrid.CAPACITY, only=("title", "params")), hybrid.CAPACITY, ["field", "qid"]).select(
                     "qid", F.concat(F.lit("supplemental_"), "field", F.lit("_values")).alias("channel"), F.col("doc").alias("item_id"),
                     "rank", F.col("score").alias("raw_score"),
                 )
@@ -155,7 +162,7 @@ class Run:
         if o.geo_related and o.method != "dense":
             exact = self.destinations(queries).where("exact").select("qid")
             places = self.destinations(queries, with_related=True).where("not exact").join(exact, "qid", "left_semi").select("qid", "place")
-            more = hybrid.related_channels(self._lexical().scores(queries), places, self.items, out, self.plan)
+            more = hybrid.related_channels(self._lexical().search(queries).best(0, places, self.plan.geo_depth), places, self.items, out, self.plan)
             out = storage.stored(out.unionByName(more.select(*columns)), "channels")
         return out
 

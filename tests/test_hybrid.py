@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import scalar as S
 from quillrank.functions import text as X
-from quillrank.operators import bm25, category, encode, evaluation, features, geo, hybrid, integrity, learning, protocol, tfidf, variants, vectors
+from quillrank.operators import blocks, bm25, category, encode, evaluation, features, geo, hybrid, integrity, learning, protocol, tfidf, variants, vectors
 from quillrank.sources import sinks, tables
 
 CHANNEL = "qid string, channel string, ch_ord int, weight double, item_id string, rank long, raw_score double"
@@ -155,6 +155,37 @@ def test_features_of_one_item(spark):
     )
 
 
+def test_search_in_blocks_equals_rows_and_is_bounded(spark, monkeypatch):
+    """Random words in two fields, one of stems: rankings over all items and inside places, and the category channel, as from a row for each pair."""
+    rng = np.random.default_rng(5)
+    words = np.array(["красивая", "красивый", "столы", *(f"w{k}" for k in range(25))])
+    text = lambda n: " ".join(rng.choice(words, n))
+    items = spark.createDataFrame(
+        [(f"i{k:03}", text(k % 4), "" if k % 7 == 0 else text(9), f"p{k % 5}", f"c{k % 3}" if k % 11 else "") for k in range(300)],
+        "item_id string, title string, params string, location string, microcat string",
+    ).repartition(7)
+    queries = spark.createDataFrame([(k, text(5) if k else "none", f"p{k % 6}") for k in range(12)], "qid long, text string, location string")
+    fields = (bm25.Field("title", 1.0, 0.2, 2.0), bm25.Field("params", 1.2, 0.7, 1.0), bm25.Field("title_stem", 1.0, 0.2, 0.5))
+    terms = bm25.stem_queries(bm25.query_terms(queries), ("title", "params"), ("title_stem",))
+    scored = bm25.scores(bm25.build(items, fields, {"title_stem": "title"}), terms, True).cache()
+    monkeypatch.setattr(blocks, "FEW", 1000)  # several blocks
+    monkeypatch.setattr(blocks, "GROUP", 5)
+    monkeypatch.setattr(blocks, "CELLS", 200)
+    about = items.select("item_id", F.col("location").alias("place"), F.col("microcat").alias("cat"))
+    search = blocks.Search(bm25.counted(items, fields, {"title_stem": "title"}), terms, fields, about)
+    places = queries.select("qid", F.explode(F.array("location", F.lit("p0"))).alias("place"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    ranked = lambda df, k: rows(bm25.top_k(df, k, ["field", "qid"]).select("field", "qid", "doc", "score", "rank"))
+    found = search.best(4).cache()
+    assert ranked(found, 4) == ranked(scored, 4) and search.blocks.count() > 1
+    assert found.count() <= 4 * 12 * 3 * search.blocks.count()
+    inside = lambda df: df.join(about.select(F.col("item_id").alias("doc"), "place"), "doc").join(places, ["qid", "place"], "left_semi")
+    assert ranked(inside(search.best(0, places, 3)), 3) == ranked(inside(scored), 3)
+    said = spark.createDataFrame([(q, f"c{c}", (1 + (q + c) % 3) / 6) for q in range(12) for c in range(3)], "qid long, cat string, prob double")
+    channel = lambda x: rows(category.channel(x, said, items, queries, 8, {"title": 2.0, "params": 1.0}, top=2, least=3, bonus=0.1))
+    assert channel(search) == channel(scored) and len(channel(search)) > 50
+
+
 def test_only_clicked_texts_have_a_prior(spark):
     """Six texts share a word; the seventh query shares it too but was never clicked."""
     from quillrank.plans import feature_queries

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Unicode white space and the ASCII separators.
@@ -14,13 +15,43 @@ _TOKEN = "([\\p{L}\\p{N}_]+)"
 
 def normalize(c: Column) -> Column:
     """Lower case, ё as е, white space collapsed; null as empty."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ё"), F.lit("е")), _WHITE, " "))
+    return F.trim(F.regexp_replace(folded(c), _WHITE, " "))
+
+
+def folded(c: Column) -> Column:
+    """Lower case, ё as е; null as empty.  It has the tokens of ``normalize``, as white space parts them either way."""
+    return F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ё"), F.lit("е"))
 
 
 def tokens(normal: Column) -> Column:
     return F.regexp_extract_all(normal, F.lit(_TOKEN), F.lit(1))
 
 
+def token_pattern(spark: SparkSession) -> tuple[str, str]:
+    """Python's pattern of a token, and one of characters that have to leave a text before it is used ("" for none).
+
+    Python's letters and digits are those of its own Unicode version; here they are made those of the JVM, so that both cut the same tokens.
+    """
+    if not _PATTERN:
+        every = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+        word = re.compile(r"\w")
+        of = {own: "".join(c for c in every if bool(word.match(c)) is own and (own or unicodedata.category(c) == "Cn")) for own in (True, False)}
+        cut = lambda own, pattern: spark.range(1).select(F.regexp_replace(F.lit(of[own]), pattern, "")).first()[0]
+        _PATTERN.append((f"[\\w{_ranges(cut(False, '[^' + _TOKEN[2:-3] + ']'))}]+", f"[{_ranges(gone)}]" if (gone := cut(True, _TOKEN[1:-2])) else ""))
+    return _PATTERN[0]
+
+
+_PATTERN: list[tuple[str, str]] = []
+
+
+def _ranges(chars: str) -> str:
+    """Sorted characters as ranges of a character class."""
+    at = [ord(c) for c in chars]
+    first = [i for i in range(len(at)) if not i or at[i] != at[i - 1] + 1]
+    last = [i for i in range(len(at)) if i + 1 == len(at) or at[i + 1] != at[i] + 1]
+    return "".join(f"{re.escape(chr(at[a]))}-{re.escape(chr(at[b]))}" for a, b in zip(first, last, strict=True))
+
+
 def long_tokens(normal: Column) -> Column:
     """Tokens of two characters or more."""
     return F.filter(tokens(normal), lambda t: F.length(t) >= 2)

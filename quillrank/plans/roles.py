@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import storage
 from ..functions import text as X
 from ..operators import bm25
+from ..shipping import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,28 +77,27 @@ def contained(q: DataFrame, items: DataFrame) -> DataFrame:
     """(qid, item_id) where an item's normalised description contains the query's normalised text.
 
     All words of a query but the first and last are whole words wherever its
-    text occurs, so an equi-join on a run of them finds the candidates; runs
-    are as long as the query allows, RUN at most, and an item's runs that no
-    query has leave before anything is shuffled where the queries' are few
-    enough to broadcast.  Queries of one or two words, which have no inner
-    word, are compared with every item; queries are a set of their own, given
-    beforehand, and don't grow with the items.
+    text occurs, so a run of them finds the candidates; runs are as long as
+    the query allows, RUN at most.  Where the queries are few enough, they go
+    to every task and texts meet them where they are read (``_Runs``); else
+    runs are joined by a shuffle.  Queries of one or two words, which have no
+    inner word, are compared with every item; queries are a set of their own,
+    given beforehand, and don't grow with the items.
     """
-    q = q.select("qid", X.normalize(F.col("text")).alias("qt")).where("qt <> ''").withColumn("w", F.split("qt", " "))
+    q = q.select("qid", X.normalize(F.col("text")).alias("qt")).where("qt <> ''")
+    if storage.small_enough(q, FEW):
+        return _found_where_read(q, items)
+    q = q.withColumn("w", F.split("qt", " "))
     d = items.select("item_id", X.normalize(F.col("description")).alias("dt"))
     inner = q.where("size(w) >= 3").withColumn("n", F.least(F.size("w") - 2, F.lit(RUN)))
     keys = inner.select("qid", "qt", "n", F.expr("array_join(slice(w, 2, n), ' ')").alias("k"))
     lengths = [r["n"] for r in keys.select("n").distinct().collect()]  # at most RUN rows
-    small = storage.small_enough(keys, bm25.BROADCAST_TERMS)
     found = None
     for n in sorted(lengths):
         own = keys.where(F.col("n") == n).select("qid", "qt", "k")
         runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
         cut = d.withColumn("w", F.split("dt", " ")).where(F.size("w") >= n)
-        if small:  # an item's text goes on with its run, as hardly any run stays
-            one = cut.select("item_id", "dt", F.explode(F.array_distinct(runs)).alias("k")).join(F.broadcast(own), "k")
-        else:
-            one = cut.select("item_id", F.explode(F.array_distinct(runs)).alias("k")).join(own, "k").join(d, "item_id")
+        one = cut.select("item_id", F.explode(F.array_distinct(runs)).alias("k")).join(own, "k").join(d, "item_id")
         one = one.where(F.contains("dt", F.col("qt"))).select("qid", "item_id")
         found = one if found is None else found.unionByName(one)
     short = q.where("size(w) < 3").select("qid", "qt")
@@ -102,6 +107,85 @@ def contained(q: DataFrame, items: DataFrame) -> DataFrame:
     return q.select("qid", F.lit(None).alias("item_id")).limit(0) if found is None else found.distinct()
 
 
+class _Known(dict):
+    """Numbers of words; an unknown one has -1."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
+class _Runs:
+    """Runs of the queries' inner words, by length and hash, and texts of queries without any."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts, self.known = texts, _Known()
+        self.short: list[int] = []
+        runs: dict[int, dict[int, list[int]]] = {}
+        for i, text in enumerate(texts):
+            own = text.split(" ")[1:-1][:RUN]
+            if own:
+                code = np.array([self.known.setdefault(w, len(self.known)) for w in own], np.int64)
+                runs.setdefault(len(own), {}).setdefault(int(self.hashed(code, len(own))[0]), []).append(i)
+            else:
+                self.short.append(i)
+        self.runs = runs
+        self.keys = {n: np.sort(np.fromiter(r, np.int64, len(r))) for n, r in runs.items()}
+
+    @staticmethod
+    def hashed(code: np.ndarray, n: int) -> np.ndarray:
+        """A number for each window of n."""
+        size = max(0, len(code) - n + 1)
+        out = np.zeros(size, np.int64)
+        for i in range(n):
+            out = out * 6364136223846793005 + code[i : i + size] + 1
+        return out
+
+    def found(self, texts: list[str]) -> tuple[list[int], list[int]]:
+        """(query, text) where the text, its white space collapsed, contains the query's."""
+        words = [t.split() for t in texts]  # on the same white space as ``X.normalize``
+        ends = np.cumsum([len(w) + 1 for w in words])
+        code = np.full(int(ends[-1]) if len(ends) else 0, -1, np.int64)  # -1 also parts texts
+        inside = np.ones(len(code), bool)
+        inside[ends - 1] = False
+        code[inside] = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(inside.sum()))
+        met = {(q, t) for q in self.short for t in range(len(texts))}
+        for n, keys in self.keys.items():
+            h = self.hashed(code, n)
+            whole = np.ones(len(h), bool)
+            for i in range(n):
+                whole &= code[i : i + len(h)] >= 0
+            at = np.flatnonzero(whole)
+            at = at[keys[np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)] == h[at]]
+            for t, k in set(zip(np.searchsorted(ends, at, "right").tolist(), h[at].tolist(), strict=True)):
+                met.update((q, t) for q in self.runs[n][k])
+        normal = {t: " ".join(words[t]) for t in {t for _, t in met}}
+        kept = sorted((q, t) for q, t in met if self.texts[q] in normal[t])
+        return [q for q, _ in kept], [t for _, t in kept]
+
+
+#: Up to so many queries go to every task to be found in texts; texts that are searched at once.
+FEW, PART = 50_000, 256
+
+
+def _found_where_read(q: DataFrame, items: DataFrame) -> DataFrame:
+    ship(items.sparkSession)
+    rows = [(r["qid"], r["qt"]) for r in q.collect()]  # at most FEW
+    sent = items.sparkSession.sparkContext.broadcast((pa.array([i for i, _ in rows], to_arrow_type(q.schema["qid"].dataType)), [t for _, t in rows]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts = sent.value
+        runs = _Runs(texts)
+        for batch in batches:
+            for low in range(0, batch.num_rows, PART):
+                part = batch.slice(low, PART)
+                own, at = runs.found(part.column("dt").to_pylist())
+                if own:
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), part.column("item_id").take(pa.array(at))], ["qid", "item_id"])
+
+    schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("item_id", items.schema["item_id"].dataType)])
+    return items.select("item_id", X.folded(F.col("description")).alias("dt")).mapInArrow(run, schema).distinct()
+
+
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a click log: part names are texts, nations places, brands categories, suppliers items."""
     t = lambda n: table(spark, sf_dir, n)

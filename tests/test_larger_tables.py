@@ -1,11 +1,13 @@
 """Steps that grow with the tables: what they make stays as many rows as blocks or answers, with the same results."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as X
 from quillrank.operators import bm25
+from quillrank.plans import roles
 
 
 def test_index_is_a_row_a_block_with_the_tokens_of_the_jvm(spark):
@@ -21,3 +23,27 @@ def test_index_is_a_row_a_block_with_the_tokens_of_the_jvm(spark):
     for r in items.select("item_id", X.folded(F.col("t")).alias("t")).collect():
         assert re.findall(pattern, re.sub(gone, " ", r["t"]) if gone else r["t"]) == want[r["item_id"]]
     assert sum(r["n"] for r in index.collect()) == len(texts) and sum(r["totals"][0] for r in index.collect()) == sum(map(len, want.values()))
+
+
+def test_truth_is_found_where_texts_are_read(spark):
+    """Texts of one to eight words inside others, at word edges and within words, over odd white space; nothing but answers leaves the reading."""
+    rng = random.Random(3)
+    words = lambda n: [rng.choice(["ab", "b", "ba", "Ёж", "c"]) for _ in range(n)]
+    items = [(f"i{k}", rng.choice([" ", " ", "\n\x1c", "  "]).join(words(rng.randrange(40)))) for k in range(300)] + [("null", None)]
+    asked = [(k, " ".join(words(1 + k % 8))) for k in range(60)] + [(99, ""), (98, " ")]
+    q = spark.createDataFrame(asked, "qid long, text string")
+    d = spark.createDataFrame(items, "item_id string, description string")
+    found = roles.contained(q, d)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, found.collect()))
+    normal = lambda t: " ".join((t or "").lower().replace("ё", "е").split())
+    want = sorted((k, i) for k, t in asked for i, u in items if normal(t) and normal(t) in normal(u))
+    assert got == want and len({k for k, _ in got if k % 8 == 3}) > 1
+
+
+def test_truth_of_more_queries_goes_by_shuffles(spark, monkeypatch):
+    q = spark.createDataFrame([(1, "b c d"), (2, "x b c d y"), (3, "d")], "qid long, text string")
+    d = spark.createDataFrame([(7, "A b  c d y"), (8, "x B c D y"), (9, "")], "item_id long, description string")
+    few = sorted(map(tuple, roles.contained(q, d).collect()))
+    monkeypatch.setattr(roles, "FEW", 1)
+    assert sorted(map(tuple, roles.contained(q, d).collect())) == few == [(1, 7), (1, 8), (2, 8), (3, 7), (3, 8)]

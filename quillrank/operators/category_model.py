@@ -7,8 +7,15 @@ that excluded it; all other texts go to the model of all folds.
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -20,8 +27,9 @@ from pyspark.sql.window import Window
 from .. import storage
 from ..functions import scalar as S
 from ..functions import text as X
-from . import integrity, tfidf
-from .stemming import stemmed_terms
+from ..shipping import ship
+from . import integrity
+from .stemming import stem
 
 
 @dataclass(frozen=True)
@@ -35,29 +43,71 @@ class Settings:
     regularisation: float = 1e-4
 
 
-def _grams(texts: DataFrame) -> DataFrame:
-    """(text, words, characters): n-grams of stems, one or two, and of characters within words, two to four."""
-    cut = texts.select("text", X.tokens(F.col("text")).alias("t"))
-    stems = storage.stored(stemmed_terms(cut.select(F.explode("t").alias("term")).distinct()), "stems")
-    each = cut.select("text", F.posexplode("t").alias("at", "term")).join(stems, "term")
-    said = each.groupBy("text").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "stem"))), lambda s: s["stem"]).alias("t"))
-    joined = texts.join(said, "text", "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
-    return joined.select("text", X.word_ngrams(F.col("t"), 1, 2).alias("words"), X.char_ngrams(F.col("text"), 2, 4).alias("characters"))
+class _Grams:
+    """Grams of normalised texts: n-grams of stems, one or two, and of characters within words padded by spaces, two to four."""
 
+    def __init__(self, token: str, gone: str) -> None:
+        self.find, self.gone = re.compile(token).findall, re.compile(gone) if gone else None
+        self.stem, self.characters = lru_cache(100_000)(stem), lru_cache(100_000)(self._characters)
 
-def _counts(grams: DataFrame) -> DataFrame:
-    """(text, kind, g, tf), stored."""
-    kinds = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("grams")) for k in ("words", "characters")]
-    each = grams.select("text", F.explode(F.array(*kinds)).alias("k")).select("text", "k.kind", F.explode("k.grams").alias("g"))
-    return storage.stored(each.groupBy("text", "kind", "g").agg(F.count("*").alias("tf")), "category-grams")
+    @staticmethod
+    def _characters(word: str) -> list[str]:
+        w = f" {word} "
+        return [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
+
+    def of(self, text: str) -> tuple[list[str], list[str]]:
+        """All occurrences of both kinds."""
+        cut = self.find(self.gone.sub(" ", text) if self.gone and not text.isascii() else text)
+        stems = list(map(self.stem, cut))
+        return stems + [f"{a} {b}" for a, b in zip(stems, stems[1:], strict=False)], list(chain.from_iterable(map(self.characters, filter(None, text.split(" ")))))
+
+
+def _dealt(texts: DataFrame) -> DataFrame:
+    """Texts dealt out for all cores: they are few bytes with much work each, and adaptive execution would leave them to one task."""
+    return texts.repartition(3 * texts.sparkSession.sparkContext.defaultParallelism, "text")
+
+
+#: Counts that a task holds before it hands them on.
+HELD = 500_000
+
+
+def _frequencies(texts: DataFrame) -> DataFrame:
+    """(fold, kind, g, df): texts of each fold with a gram, counted where they are read; stored."""
+    ship(texts.sparkSession)
+    patterns = X.token_pattern(texts.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, held, size = _Grams(*patterns), {}, 0
 
+        def out() -> Iterator[pa.RecordBatch]:
+            for (fold, kind), n in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([fold] * len(n), pa.int32()), pa.array([kind] * len(n), pa.string()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())],
+                    ["fold", "kind", "g", "df"],
+                )
 
-def _vocabulary(counts: DataFrame, documents: int, s: Settings) -> DataFrame:
+        for batch in batches:
+            for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
+                for kind, every in zip(("words", "characters"), grams.of(text), strict=True):
+                    own = held.setdefault((fold, kind), Counter())
+                    size -= len(own)
+                    own.update(set(every))
+                    size += len(own)
+                if size >= HELD:
+                    yield from out()
+                    held, size = {}, 0
+        yield from out()
+
+    each = texts.select("text", F.col("fold").cast("int").alias("fold")).mapInArrow(run, "fold int, kind string, g string, df long")
+    return storage.stored(each.groupBy("fold", "kind", "g").agg(F.sum("df").alias("df")), "category-grams")
+
+
+def _vocabulary(frequencies: DataFrame, documents: int, s: Settings) -> DataFrame:
     """(kind, g, id, idf): the most frequent grams of each kind in at least ``least`` texts; as many as the settings say at most."""
-    df = counts.groupBy("kind", "g").agg(F.count("*").alias("df")).where(F.col("df") >= s.least)
+    df = frequencies.groupBy("kind", "g").agg(F.sum("df").alias("df")).where(F.col("df") >= s.least)
     own = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("df"), "g"))
-    most = F.when(F.col("kind") == "words", s.words).otherwise(s.characters)
-    kept = df.withColumn("own", own).where(F.col("own") <= most)
+    head = lambda kind, most: df.where(F.col("kind") == kind).orderBy(F.desc("df"), "g").limit(most)
+    kept = head("words", s.words).unionByName(head("characters", s.characters)).withColumn("own", own)  # as many as the settings say
     number = F.when(F.col("kind") == "words", F.col("own") - 1).otherwise(s.words + F.col("own") - 1).cast("int")
     return storage.stored(
         kept.select("kind", "g", number.alias("id"), (F.ln((1 + F.lit(documents)) / (1 + F.col("df"))) + 1).alias("idf")),
@@ -65,23 +115,44 @@ def _vocabulary(counts: DataFrame, documents: int, s: Settings) -> DataFrame:
     )
 
 
-def _vectors(texts: DataFrame, counts: DataFrame, vocabulary: DataFrame, s: Settings) -> DataFrame:
-    """(text, x): both blocks at length 1 side by side; a text without known grams has zeros.
+def _vectors(rows: DataFrame, vocabulary: DataFrame, s: Settings) -> DataFrame:
+    """``rows`` (text, ...) with ``x``: both blocks at length 1 side by side, made where a text is read; a text without known grams has zeros."""
+    spark = rows.sparkSession
+    ship(spark)
+    size, patterns = s.words + s.characters, X.token_pattern(spark)
+    known: dict[str, dict[str, int]] = {"words": {}, "characters": {}}
+    idf = np.zeros(size)
+    for r in vocabulary.collect():  # as many as the settings say
+        known[r["kind"]][r["g"]] = r["id"]
+        idf[r["id"]] = r["idf"]
+    sent = spark.sparkContext.broadcast((known, idf))
+    names = rows.columns
 
-    The vector is written as the struct that Spark ML stores it as and read
-    back as a vector, so no row passes through Python.
-    """
-    weighted = counts.join(F.broadcast(vocabulary), ["kind", "g"]).withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
-    unit = F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("text", "kind")))
-    rows = weighted.withColumn("w", unit).groupBy("text").agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("v"))
-    full = texts.join(rows, "text", "left").withColumn("v", F.coalesce("v", F.array().cast("array<struct<id:int,w:double>>")))
-    x = F.struct(
-        F.lit(0).cast("tinyint").alias("type"), F.lit(s.words + s.characters).alias("size"), F.col("v.id").alias("indices"),
-        F.col("v.w").alias("values"),
-    )
-    path = f"{storage.shared_folder(texts.sparkSession)}/category-vectors-{storage.uuid.uuid4().hex}"
-    full.select("text", x.alias("x")).write.parquet(path)
-    return texts.sparkSession.read.schema(T.StructType([T.StructField("text", T.StringType()), T.StructField("x", VectorUDT())])).parquet(path)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (known, idf), grams = sent.value, _Grams(*patterns)
+        get = [known[k].get for k in ("words", "characters")]
+
+        def vector(text: str) -> dict[str, object]:
+            ids, values = [], []
+            for of, every in zip(get, grams.of(text), strict=True):
+                own, tf = np.unique(np.array([i for i in map(of, every) if i is not None], np.int32), return_counts=True)
+                w = (1 + np.log(tf)) * idf[own]
+                ids.append(own)
+                values.append(w / np.sqrt(np.sum(w * w)) if len(w) else w)
+            return {"type": 0, "size": size, "indices": np.concatenate(ids), "values": np.concatenate(values)}
+
+        kind = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS):
+                part = batch.slice(low, ROWS)
+                x = pa.array([vector(t) for t in part.column("text").to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), x], [*names, "x"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("x", VectorUDT())]))
+
+
+#: Vectors made at once.
+ROWS = 512
 
 
 @dataclass
@@ -92,25 +163,23 @@ class TextModel:
     classes: list[str]
     regression: LogisticRegressionModel | None
 
-    def probabilities(self, texts: DataFrame, counts: DataFrame, s: Settings) -> DataFrame:
+    def probabilities(self, texts: DataFrame, s: Settings) -> DataFrame:
         """(text, cat, prob) of every class for distinct normalised texts."""
         if self.regression is None:
             return texts.select("text", F.lit(self.classes[0]).alias("cat"), F.lit(1.0).alias("prob"))
-        scored = self.regression.transform(_vectors(texts, counts, self.vocabulary, s))
+        scored = self.regression.transform(_vectors(texts.select("text"), self.vocabulary, s))
         names = F.array(*map(F.lit, self.classes))
         each = scored.select("text", F.posexplode(vector_to_array("probability")).alias("k", "prob"))
         return each.select("text", F.get(names, F.col("k")).alias("cat"), "prob")
 
 
-def _fit(examples: DataFrame, counts: DataFrame, s: Settings) -> TextModel:
-    texts = examples.select("text").distinct()
-    own = counts.join(texts, "text", "left_semi")
-    vocabulary = _vocabulary(own, texts.count(), s)
+def _fit(examples: DataFrame, frequencies: DataFrame, s: Settings) -> TextModel:
+    vocabulary = _vocabulary(frequencies, examples.select("text").distinct().count(), s)
     classes = [r["cat"] for r in examples.select("cat").distinct().orderBy("cat").collect()]  # the categories
     if len(classes) < 2:
         return TextModel(vocabulary, classes, None)
     number = F.create_map(*(F.lit(v) for i, c in enumerate(classes) for v in (c, float(i))))
-    rows = examples.join(_vectors(texts, own, vocabulary, s), "text").select("x", F.element_at(number, F.col("cat")).alias("y"), "weight")
+    rows = _vectors(examples.select("text", F.element_at(number, F.col("cat")).alias("y"), "weight"), vocabulary, s).select("x", "y", "weight")
     lr = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", maxIter=s.iterations, regParam=s.regularisation, family="multinomial")
     return TextModel(vocabulary, classes, lr.fit(rows))
 
@@ -127,15 +196,16 @@ class CategoryModel:
     def predict(self, texts: DataFrame) -> DataFrame:
         """(text, cat, prob, by) of distinct texts (column text), normalised; ``by`` is the model that was asked."""
         asked = storage.stored(
-            texts.select(X.normalize(F.col("text")).alias("text")).distinct().join(self.fitted, "text", "left").select(
-                "text", F.coalesce("fold", F.lit(-1)).alias("by"),
+            _dealt(
+                texts.select(X.normalize(F.col("text")).alias("text")).distinct().join(self.fitted, "text", "left").select(
+                    "text", F.coalesce("fold", F.lit(-1)).alias("by"),
+                )
             ),
             "category-asked",
         )
-        counts = _counts(_grams(asked.select("text")))
         out = None
         for k, model in self.models.items():
-            one = model.probabilities(asked.where(F.col("by") == k).select("text"), counts, self.settings).withColumn("by", F.lit(k))
+            one = model.probabilities(asked.where(F.col("by") == k).select("text"), self.settings).withColumn("by", F.lit(k))
             out = one if out is None else out.unionByName(one)
         return out
 
@@ -175,16 +245,16 @@ def fit(examples: DataFrame, s: Settings = Settings()) -> CategoryModel:
         X.normalize(F.col("text")).alias("text"), F.col("cat").cast("string").alias("cat"), "weight",
     )
     fold: Column = S.fold(F.col("text"), s.folds, s.seed) if s.folds > 1 else F.lit(-1)
-    rows = storage.stored(rows.withColumn("fold", fold), "category-examples")
+    rows = storage.stored(_dealt(rows.withColumn("fold", fold)), "category-examples")
     if rows.isEmpty():
         raise ValueError("there are no examples with a category")
-    fitted = storage.stored(rows.select("text", "fold").distinct(), "category-texts")
-    counts = _counts(_grams(fitted.select("text")))
-    models = {-1: _fit(rows, counts, s)}
+    fitted = storage.stored(_dealt(rows.select("text", "fold").distinct()), "category-texts")
+    frequencies = _frequencies(fitted)
+    models = {-1: _fit(rows, frequencies, s)}
     for k in range(s.folds if s.folds > 1 else 0):
         rest = rows.where(F.col("fold") != k)
         if not rest.isEmpty():
-            models[k] = _fit(rest, counts, s)
+            models[k] = _fit(rest, frequencies.where(F.col("fold") != k), s)
     held = [k for k in models if k >= 0]
     if s.folds > 1 and not fitted.where(~F.col("fold").isin(held)).isEmpty():
         raise ValueError("a fold has all examples, so no model can leave it out")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import storage
 from ..operators import evaluation as E
 from ..operators import category, category_model, features, fusion, learning, stemming
 from ..functions import text as X
@@ -74,7 +75,7 @@ def category_examples(spark: SparkSession, sf: str) -> DataFrame:
 def oof_category_model(spark: SparkSession, sf: str) -> DataFrame:
     """Each text's categories from the model of the fold that left it out, the likeliest first."""
     model = category_model.fit(category_examples(spark, sf), category_model.Settings(words=4000, characters=8000, iterations=10))
-    scored = model.predict(R.corpus(spark, sf).select(F.col("title").alias("text")))
+    scored = storage.stored(model.predict(R.corpus(spark, sf).select(F.col("title").alias("text"))), "category-scores")
     model.assert_unseen(scored)
     top = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("prob"), "cat"))
     return scored.withColumn("place", top).where("place <= 3").select("text", "cat", "by", F.round("prob", 6).alias("prob"), "place")

@@ -1,12 +1,15 @@
 """Steps that grow with the tables: what they make stays as many rows as blocks or answers, with the same results."""
 
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as X
-from quillrank.operators import bm25
+from quillrank.operators import bm25, category_model
+from quillrank.operators.stemming import stem
 from quillrank.plans import roles
 
 
@@ -47,3 +50,29 @@ def test_truth_of_more_queries_goes_by_shuffles(spark, monkeypatch):
     few = sorted(map(tuple, roles.contained(q, d).collect()))
     monkeypatch.setattr(roles, "FEW", 1)
     assert sorted(map(tuple, roles.contained(q, d).collect())) == few == [(1, 7), (1, 8), (2, 8), (3, 7), (3, 8)]
+
+
+def test_category_vectors_are_made_where_texts_are_read(spark):
+    """Frequencies, and vectors of counted grams of both kinds, as the built-in expressions cut them; no gram is shuffled for a vector."""
+    s = category_model.Settings(words=50, characters=400)
+    said = ["красивая лампа для дома", "красивый дом", "b-a b лампа", "", "ё", "x 12 x 12"]
+    texts = spark.createDataFrame([(t, k % 2) for k, t in enumerate(said)], "text string, fold int")
+    cut = texts.select("text", X.tokens(F.col("text")).alias("t"), X.char_ngrams(F.col("text"), 2, 4).alias("characters")).collect()
+    grams = {}
+    for r in cut:
+        stems = [stem(t) for t in r["t"]]
+        grams[r["text"]] = {"words": stems + [f"{a} {b}" for a, b in zip(stems, stems[1:])], "characters": r["characters"]}
+    frequencies = category_model._frequencies(texts)
+    got = {(r["kind"], r["g"]): r["df"] for r in frequencies.groupBy("kind", "g").agg(F.sum("df").alias("df")).collect()}
+    assert got == dict(Counter((k, g) for own in grams.values() for k in own for g in set(own[k])))
+    vocabulary = category_model._vocabulary(frequencies, len(said), s)
+    ids = {(r["kind"], r["g"]): (r["id"], r["idf"]) for r in vocabulary.collect()}
+    assert set(ids) == {g for g, n in got.items() if n >= 2}
+    vectors = category_model._vectors(texts, vocabulary, s)
+    assert "Exchange" not in vectors._jdf.queryExecution().executedPlan().toString()
+    for r in vectors.collect():
+        want = {}
+        for kind, own in grams[r["text"]].items():
+            w = {ids[kind, g][0]: (1 + math.log(n)) * ids[kind, g][1] for g, n in Counter(own).items() if (kind, g) in ids}
+            want |= {i: v / math.sqrt(sum(x * x for x in w.values())) for i, v in w.items()}
+        assert {int(i): round(v, 9) for i, v in zip(r["x"].indices, r["x"].values)} == {i: round(v, 9) for i, v in want.items()}

@@ -47,6 +47,8 @@ LEAST_FILL = 32
 _ALONE = 1 << 40
 #: Up to so many documents of the stream are looked up by a broadcast; more by a shuffle join.
 BROADCAST_ROWS = 500_000
+#: Rows to a file of ranks, however many partitions a shuffle has: for each file an executor starts short processes, which for a moment show its whole memory as theirs.
+ROWS_PER_FILE = 20_000
 
 
 class Encoder:
@@ -324,7 +326,8 @@ def pack(df: DataFrame, model: str, end_id: int, capacity: int = 2048, grain: in
     kinds = -(-np.arange(capacity) // grain)
     cut = [int(max(0, p.streamed[kinds[r]] - p.first[r])) if r else 0 for r in range(capacity)]  # of each length: so many first ranks are in the stream
     in_stream = F.col("rank") < F.element_at(F.from_json(F.lit(json.dumps(cut)), "array<bigint>"), F.col("rest").cast("int") + 1)
-    ranked = common.stored(ranked.withColumn("in_stream", in_stream), "packing-ranks")
+    files = max(1, -(-int(histogram.sum()) // ROWS_PER_FILE))
+    ranked = common.stored(ranked.withColumn("in_stream", in_stream).coalesce(files), "packing-ranks")
     taken = ranked.where("in_stream")
     if common.small_enough(taken, BROADCAST_ROWS):
         taken = F.broadcast(taken)

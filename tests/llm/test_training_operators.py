@@ -108,6 +108,22 @@ def test_packing_is_a_round_trip(docs, nothing, capacity):
     assert packing.pack(nothing, BYTES, 1, capacity).count() == 0
 
 
+def test_packing_stores_few_files_of_ranks(spark, docs, monkeypatch):
+    """Files of ranks grow with the rows, not with the partitions of a shuffle."""
+    conf = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, tables, stored = {k: spark.conf.get(k) for k in conf}, {}, common.stored
+    monkeypatch.setattr(packing, "ROWS_PER_FILE", docs.count() // 2, raising=False)
+    monkeypatch.setattr(common, "stored", lambda df, name: tables.setdefault(name, stored(df, name)))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        packing.pack(docs, BYTES, 1, 64)
+        assert tables["packing-ranks"].count() == docs.count() and len(tables["packing-ranks"].inputFiles()) <= 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_packing_of_one_hot_length():
     h = np.zeros(2048, np.int64)
     h[1500] = 100_000

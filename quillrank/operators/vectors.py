@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .. import storage
 from ..functions import scalar as S
 from ..functions import text as X
 from ..shipping import ship
@@ -94,11 +95,13 @@ def cosine_top_k(
     group (null is one), and a column ``grp``.  With ``skip_self``, for queries
     that are rows of the corpus, a row isn't its own answer.  The queries are a
     given set, not the corpus itself: each of their blocks meets every block
-    of the corpus.  Each meeting is one matrix product, stripe by stripe, and
+    of the corpus; up to BLOCK queries are broadcast.  Each meeting is one matrix product, stripe by stripe, and
     gives at most k rows a query and group, so only those are shuffled.
     """
     q = packed(queries, key, vector).select(F.col("ids").alias("q_ids"), F.col("data").alias("q"), "width")
     c = packed(corpus, key, vector, group).select("ids", "groups", "data")
+    if storage.small_enough(queries, BLOCK):  # else rows of the corpus would be packed anew for each partition of queries
+        q = F.broadcast(q)
     more = k + 1 if skip_self else k
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

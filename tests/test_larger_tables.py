@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as X
-from quillrank.operators import bm25, category_model
+from quillrank.operators import bm25, category_model, vectors
 from quillrank.operators.stemming import stem
 from quillrank.plans import roles
 
@@ -76,3 +76,15 @@ def test_category_vectors_are_made_where_texts_are_read(spark):
             w = {ids[kind, g][0]: (1 + math.log(n)) * ids[kind, g][1] for g, n in Counter(own).items() if (kind, g) in ids}
             want |= {i: v / math.sqrt(sum(x * x for x in w.values())) for i, v in w.items()}
         assert {int(i): round(v, 9) for i, v in zip(r["x"].indices, r["x"].values)} == {i: round(v, 9) for i, v in want.items()}
+
+
+def test_vectors_of_the_corpus_are_packed_once_however_queries_are_dealt(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(300)]
+    c = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    q = c.where("vec_id % 7 = 0").repartition(5)
+    best = vectors.cosine_top_k(q, c, 4)
+    assert "CartesianProduct" not in best._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, best.collect()))
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    assert got == sorted(map(tuple, vectors.cosine_top_k(q, c, 4).collect())) and len(got) == 43 * 4

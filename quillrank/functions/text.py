@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,20 @@ def token_pattern(spark: SparkSession) -> tuple[str, str]:
 _PATTERN: list[tuple[str, str]] = []
 
 
+def token_points(spark: SparkSession) -> bytes:
+    """A bit for each code point: whether the JVM's tokens have it."""
+    if not _POINTS:
+        every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF)
+        held = spark.range(1).select(F.regexp_replace(F.lit(every), "[^" + _TOKEN[2:-3] + "]+", "")).first()[0]
+        out = np.zeros(0x110000, bool)
+        out[np.frombuffer(held.encode("utf-32-le"), "<u4")] = True
+        _POINTS.append(np.packbits(out).tobytes())
+    return _POINTS[0]
+
+
+_POINTS: list[bytes] = []
+
+
 def _ranges(chars: str) -> str:
     """Sorted characters as ranges of a character class."""
     at = [ord(c) for c in chars]

@@ -21,7 +21,7 @@ def destinations(spark: SparkSession, sf: str, with_related: bool = False) -> Da
 
 
 def lexical_channels(spark: SparkSession, sf: str) -> DataFrame:
-    places = destinations(spark, sf)
+    places = storage.stored(destinations(spark, sf), "destinations")
     found = shop.search(spark, sf).best(PLAN.depth, places, PLAN.geo_depth)
     return hybrid.lexical_channels(found, places, shop.items(spark, sf), PLAN)
 

@@ -5,10 +5,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as X
-from quillrank.operators import bm25, category_model, vectors
+from quillrank.operators import blocks, bm25, category_model, vectors
 from quillrank.operators.stemming import stem
 from quillrank.plans import roles
 
@@ -88,3 +90,43 @@ def test_vectors_of_the_corpus_are_packed_once_however_queries_are_dealt(spark,
     got = sorted(map(tuple, best.collect()))
     monkeypatch.setattr(vectors, "BLOCK", 10)
     assert got == sorted(map(tuple, vectors.cosine_top_k(q, c, 4).collect())) and len(got) == 43 * 4
+
+
+def test_tokens_are_cut_as_arrays_of_bytes_as_the_jvm_cuts_them(spark):
+    odd = [chr(i) for i in (*range(0x20, 0x3000), 0x10570, 0x1E030, 0x2EBF0, 0x1F600, 0x20000)]
+    texts = [("".join(odd[i : i + 40]) + " Ёлка ёлка A_b\x1cc") for i in range(0, len(odd), 30)] + ["", "ab", "", "ab", "é", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", X.folded(F.col("t")).alias("t"), X.tokens(X.normalize(F.col("t"))).alias("w")).orderBy("i").collect()
+    word = np.unpackbits(np.frombuffer(X.token_points(spark), np.uint8)).astype(bool)
+    own = pa.array(["x", *(r["t"] for r in rows)])
+    got = bm25._Tokens([own.slice(1, 100), own.slice(101)], word)
+    assert got.counts.tolist() == [len(r["w"]) for r in rows]
+    assert got.terms.take(pa.array(got.code)).to_pylist() == [w for r in rows for w in r["w"]]
+    packed = pa.scalar(bm25.packed_terms(got.terms), pa.binary())
+    assert bm25.unpacked_terms(packed).to_pylist() == got.terms.to_pylist() and not len(bm25.unpacked_terms(pa.scalar(b"", pa.binary())))
+
+
+def test_a_block_of_the_index_has_a_file_of_its_own(spark, monkeypatch):
+    """So a task never reads more than one at once; before, all of a task's blocks were one batch."""
+    monkeypatch.setattr(bm25, "TEXT", 1)
+    items = spark.range(1000).select(F.col("id").alias("item_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("t")).coalesce(1)
+    index = bm25.counted(items, (bm25.Field("t", 1.0, 0.5, 1.0),))
+    assert index.count() == len(index.inputFiles()) == 4
+    assert sum(r["n"] for r in index.collect()) == 1000
+
+
+def test_best_of_many_blocks_stay_few_rows(spark):
+    rng = np.random.default_rng(3)
+    for kind in (int, str):
+        best, every = blocks._Best(4, 5), {q: [] for q in range(4)}
+        for _ in range(40):
+            docs = np.sort(np.array([kind(d) for d in rng.integers(10**6, 10**7, 30)], object if kind is str else np.int64))
+            docs, near = np.unique(docs), None
+            near = np.where(rng.random((3, len(docs))) < 0.4, rng.integers(1, 9, (3, len(docs))) / 4, -np.inf)
+            q = rng.permutation(4)[:3]
+            best.meet(near, q, docs)
+            for row, own in zip(near, q, strict=True):
+                every[int(own)] += [(-s, d) for s, d in zip(row.tolist(), docs.tolist(), strict=True) if s > 0]
+            assert best.size <= 2 * 4 * 5
+        q, doc, score = best.taken()
+        assert [(a, -s, d) for a, s, d in zip(q.tolist(), score.tolist(), doc.tolist(), strict=True)] == [(a, *x) for a in range(4) for x in sorted(every[a])[:5]]
+        assert best.taken() is None

@@ -20,13 +20,13 @@ _FEATURES = ["rrf_score", "pool_rank", "baseline_top50", "channel_count", *(f"{k
 
 
 def _rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Feature rows with labels and weights for training, and all rows for scoring."""
+    """Feature rows with labels and weights for training, and all rows for scoring; both stored, as fitting reads them many times."""
     ch = channels(spark, sf)
     rows = features.channel_features(ch, fusion.fused_scores(ch, CONSTANT), _NAMES, CONSTANT)
     own = labelled(spark, sf)
-    every = rows.join(own.select("qid", "item_id", "label", F.col("pool_rank").alias("place")), ["qid", "item_id"])
+    every = storage.stored(rows.join(own.select("qid", "item_id", "label", F.col("pool_rank").alias("place")), ["qid", "item_id"]), "rank-rows")
     train = E.row_weights(learning.training_sample(own, fusion.fuse(fusion.fused_scores(ch, CONSTANT), 50), ch)).select("qid", "item_id", "weight")
-    return every.join(train, ["qid", "item_id"]), every
+    return storage.stored(every.join(train, ["qid", "item_id"]), "rank-train"), every
 
 
 @query("gbt_rank")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +66,12 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, item_id): documents whose normalised text contains the query's, found once."""
-    return once(spark, sf_dir, "truth", lambda: storage.stored(contained(queries(spark, sf_dir), corpus(spark, sf_dir)), "truth"))
+
+    def make() -> DataFrame:
+        with storage.splits(spark, bm25.SPLIT):
+            return storage.stored(contained(queries(spark, sf_dir), corpus(spark, sf_dir)), "truth")
+
+    return once(spark, sf_dir, "truth", make)
 
 
 #: Words of a run by which texts find each other; queries have to have two more, as their first and last may be parts of words.
@@ -107,28 +112,23 @@ def contained(q: DataFrame, items: DataFrame) -> DataFrame:
     return q.select("qid", F.lit(None).alias("item_id")).limit(0) if found is None else found.distinct()
 
 
-class _Known(dict):
-    """Numbers of words; an unknown one has -1."""
-
-    def __missing__(self, word: str) -> int:
-        return -1
-
-
 class _Runs:
     """Runs of the queries' inner words, by length and hash, and texts of queries without any."""
 
     def __init__(self, texts: list[str]) -> None:
-        self.texts, self.known = texts, _Known()
+        known: dict[str, int] = {}
+        self.texts = texts
         self.short: list[int] = []
         runs: dict[int, dict[int, list[int]]] = {}
         for i, text in enumerate(texts):
             own = text.split(" ")[1:-1][:RUN]
             if own:
-                code = np.array([self.known.setdefault(w, len(self.known)) for w in own], np.int64)
+                code = np.array([known.setdefault(w, len(known)) for w in own], np.int64)
                 runs.setdefault(len(own), {}).setdefault(int(self.hashed(code, len(own))[0]), []).append(i)
             else:
                 self.short.append(i)
-        self.runs = runs
+        self.runs, self.known = runs, pa.array(list(known), pa.large_string())
+        self.word = ~np.array([chr(i).isspace() for i in range(0x110000)])
         self.keys = {n: np.sort(np.fromiter(r, np.int64, len(r))) for n, r in runs.items()}
 
     @staticmethod
@@ -140,14 +140,13 @@ class _Runs:
             out = out * 6364136223846793005 + code[i : i + size] + 1
         return out
 
-    def found(self, texts: list[str]) -> tuple[list[int], list[int]]:
+    def found(self, texts: pa.Array) -> tuple[list[int], list[int]]:
         """(query, text) where the text, its white space collapsed, contains the query's."""
-        words = [t.split() for t in texts]  # on the same white space as ``X.normalize``
-        ends = np.cumsum([len(w) + 1 for w in words])
+        words = bm25.Tokens([texts], self.word)  # on the same white space as ``X.normalize``
+        ends = np.cumsum(words.counts + 1)
         code = np.full(int(ends[-1]) if len(ends) else 0, -1, np.int64)  # -1 also parts texts
-        inside = np.ones(len(code), bool)
-        inside[ends - 1] = False
-        code[inside] = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(inside.sum()))
+        own = pc.fill_null(pc.index_in(words.each, value_set=self.known), -1).to_numpy()
+        code[np.arange(len(own)) + np.repeat(np.arange(len(texts)), words.counts)] = own
         met = {(q, t) for q in self.short for t in range(len(texts))}
         for n, keys in self.keys.items():
             h = self.hashed(code, n)
@@ -158,7 +157,7 @@ class _Runs:
             at = at[keys[np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)] == h[at]]
             for t, k in set(zip(np.searchsorted(ends, at, "right").tolist(), h[at].tolist(), strict=True)):
                 met.update((q, t) for q in self.runs[n][k])
-        normal = {t: " ".join(words[t]) for t in {t for _, t in met}}
+        normal = {t: " ".join(texts[t].as_py().split()) for t in {t for _, t in met}}
         kept = sorted((q, t) for q, t in met if self.texts[q] in normal[t])
         return [q for q, _ in kept], [t for _, t in kept]
 
@@ -178,7 +177,7 @@ def _found_where_read(q: DataFrame, items: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, PART):
                 part = batch.slice(low, PART)
-                own, at = runs.found(part.column("dt").to_pylist())
+                own, at = runs.found(part.column("dt"))
                 if own:
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), part.column("item_id").take(pa.array(at))], ["qid", "item_id"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillrank.functions import text as X
 from quillrank.operators import blocks, bm25, category_model, vectors
 from quillrank.operators.stemming import stem
-from quillrank.plans import roles
+from quillrank.plans import learning_queries, roles
 
 
 def test_index_is_a_row_a_block_with_the_tokens_of_the_jvm(spark):
@@ -98,11 +98,12 @@ def test_tokens_are_cut_as_arrays_of_bytes_as_the_jvm_cuts_them(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", X.folded(F.col("t")).alias("t"), X.tokens(X.normalize(F.col("t"))).alias("w")).orderBy("i").collect()
     word = np.unpackbits(np.frombuffer(X.token_points(spark), np.uint8)).astype(bool)
     own = pa.array(["x", *(r["t"] for r in rows)])
-    got = bm25._Tokens([own.slice(1, 100), own.slice(101)], word)
+    got = bm25.Tokens([own.slice(1, 100), own.slice(101)], word)
+    terms, code = got.coded()
     assert got.counts.tolist() == [len(r["w"]) for r in rows]
-    assert got.terms.take(pa.array(got.code)).to_pylist() == [w for r in rows for w in r["w"]]
-    packed = pa.scalar(bm25.packed_terms(got.terms), pa.binary())
-    assert bm25.unpacked_terms(packed).to_pylist() == got.terms.to_pylist() and not len(bm25.unpacked_terms(pa.scalar(b"", pa.binary())))
+    assert terms.take(pa.array(code)).to_pylist() == [w for r in rows for w in r["w"]]
+    packed = pa.scalar(bm25.packed_terms(terms), pa.binary())
+    assert bm25.unpacked_terms(packed).to_pylist() == terms.to_pylist() and not len(bm25.unpacked_terms(pa.scalar(b"", pa.binary())))
 
 
 def test_a_block_of_the_index_has_a_file_of_its_own(spark, monkeypatch):
@@ -130,3 +131,17 @@ def test_best_of_many_blocks_stay_few_rows(spark):
         q, doc, score = best.taken()
         assert [(a, -s, d) for a, s, d in zip(q.tolist(), score.tolist(), doc.tolist(), strict=True)] == [(a, *x) for a in range(4) for x in sorted(every[a])[:5]]
         assert best.taken() is None
+
+
+def test_rows_of_a_ranker_are_made_once(spark):
+    """Fitting reads its rows many times; each time only stored ones."""
+    for df in learning_queries._rows(spark, "/root/testdata/sf0.001"):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
+
+
+def test_words_of_odd_white_space_find_the_truth():
+    """Runs are found in an array of texts, whole or a part of one, and never over the edge of two."""
+    texts = pa.array(["z", "a\u2003b\x1cc  d e", "", "x a b c", "d e y", "a b c d e"])
+    runs = roles._Runs(["a b c d e", "b"])
+    assert runs.found(texts.slice(1)) == ([0, 0, 1, 1, 1], [0, 4, 0, 2, 4])
